@@ -1,6 +1,58 @@
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. ``run`` applies them in turn.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluicework.llm import decontamination, line_dedup, packing, quality_classifier, simhash_dedup
+from sluicework.llm.common import cut
+
+#: A document goes if the classifier's score for good quality is below this.
+LEAST_SCORE = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier rejects; it learns from the labelled ones among them."""
+    model = quality_classifier.train(docs.where(~quality_classifier.held_out(F.col("doc_id"))), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.score(docs, model, "_score").where(F.col("_score") >= LEAST_SCORE).drop("_score")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of repeated runs of lines; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).drop("_removed")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates (five-word shingles) the document with the smallest doc_id."""
+    return simhash_dedup.drop_near_duplicates(docs, shingle=5)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of benchmark text."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of at most 2048 tokens."""
+    return packing.pack(docs, packing.tokenizer_path()).drop("ids")
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near-dedup", near_duplicates), ("benchmark decontamination", benchmark), ("best-fit packing", packed)]
+
+#: A learned classifier and a tokenizer are not for SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_formatting, decontamination, packing, quality_classifier, simhash_dedup, url_filters
+from . import chat_formatting, decontamination, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_packing": packing.op7_packing,
     "op9_chat_formatting": chat_formatting.op9_chat_formatting,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE_SQL = {"op1_url_filters": url_filters.OP1_SQL, "op9_chat_formatting": chat_formatting.OP9_SQL}
+ORACLE_SQL = {"op1_url_filters": url_filters.OP1_SQL, "op9_chat_formatting": chat_formatting.OP9_SQL, "op10_line_dedup": line_dedup.OP10_SQL}

@@ -186,18 +186,31 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def group_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (long) and component_id, the smallest doc_id reachable over links, for every row of docs."""
-    fps = cut(fingerprints(docs, shingle))
+def group_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The key columns (doc_id among them), fp (long) and component_id, the smallest doc_id reachable
+    over links, for every row of docs."""
+    fps = cut(fingerprints(docs, shingle, keys=keys))
     one = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("_least")))
     rooted = components(links(one.select("fp"), radius))
     named = one.join(rooted, one.fp == rooted.node, "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy(F.col("root").alias("_r")).agg(F.min("_least").alias("component_id"))
     named = named.join(least, F.col("root") == F.col("_r"))
     named = named.select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(named, fps.fp == named._fp).select("doc_id", "fp", "component_id")
+    return fps.join(named, fps.fp == named._fp).select(*keys, "fp", "component_id")
 
 
 def op6_simhash_dedup(spark, sf_dir):
     out = group_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 5) -> DataFrame:
+    """The rows of docs without those that are near duplicates of one with a smaller doc_id.
+
+    Texts without a word are not compared and all stay, as do rows of one doc_id, and rows without a
+    doc_id that resemble no row that has one."""
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    comparable = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    grouped = group_near_duplicates(keyed.where(comparable), radius, shingle, ("doc_id", "_text_hash"))
+    gone = grouped.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.col("_text_hash").alias("_h")).distinct()
+    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_text_hash").eqNullSafe(F.col("_h")), "left_anti").select(*docs.columns)
