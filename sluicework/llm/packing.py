@@ -14,7 +14,9 @@ doc_ids are packed like others. A document of exactly the capacity is one piece.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from .common import cut
 CACHED_WORDS = 600_000
 #: UTF-8 bytes of text that are encoded together.
 SLICE_BYTES = 2 << 20
+#: A control character that stands between words that are encoded together.
+MARK = b"\x01"
 #: Passes of the coordinate descent.
 PASSES = 4
 
@@ -38,7 +42,9 @@ class WordEncoder:
     """Encodes texts by way of their words.
 
     The tokenizer drops white space and none of its tokens spans any, so the ids of a text are those
-    of its white-space-separated words in turn; each distinct word is encoded once."""
+    of its white-space-separated words in turn. It lower-cases, and starts a new token where ASCII
+    punctuation follows a letter or digit, so of most words only the lower-case stem is encoded; each
+    distinct stem is encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,35 +54,54 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _encode_stems(self, stems: list[bytes]) -> None:
+        """Many at once, with a mark between them whose id no stem can have."""
+        plain = [s for s in stems if MARK not in s and b"<|" not in s]
+        self.stems.update((s, self._ids(s).tobytes()) for s in set(stems).difference(plain))
+        mark = self._ids(MARK)
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            ids = self._ids((b" " + MARK + b" ").join(some))
+            ends = np.flatnonzero(ids == mark[0]).tolist()
+            if len(mark) != 1 or len(ends) != len(some) - 1:
+                raise ValueError("the tokenizer does not keep the mark apart")
+            buffer = ids.tobytes()
+            self.stems.update((s, buffer[4 * a : 4 * z]) for s, a, z in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)]))
 
     def _learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        more = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, more])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """The ids of each text, without an end."""
+        """A stem and a tail, whose ids together are those of the word."""
+        parts = []
+        for w in words:
+            stem = w.lower().rstrip(b".,!?;:")
+            if b"<|" in w:  # may hold the text of a special token, which is case-sensitive
+                parts.append((w, b""))
+            else:
+                parts.append((stem, w[len(stem) :]) if stem[-1:].isalnum() else (w.lower(), b""))
+        if new := {s for p in parts for s in p if s not in self.stems} - {b""}:
+            self._encode_stems(list(new))
+        self.stems[b""] = b""
+        stems = self.stems
+        self.words.update((w, stems[s] + stems[t] if t else stems[s]) for w, (s, t) in zip(words, parts))
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit numbers, without an end."""
         words = [t.split() if t else [] for t in texts]
-        if len(self.known) > CACHED_WORDS:
+        if len(self.words) > CACHED_WORDS:
             self.clear()
-        new = set().union(*words) - self.known.keys()
-        if new:
-            self._learn(sorted(new))
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        get = self.known.__getitem__
-        which = np.fromiter((i for w in words for i in map(get, w)), np.int64, int(n.sum()))
-        lengths = self.length[which]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.start[which] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum(n)]]
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        known = self.words
+        if new := {w for ws in words for w in ws if w not in known}:
+            self._learn(list(new))
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian 32-bit numbers")
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -99,17 +124,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        end = array("I", [end_id]).tobytes()
         for batch in batches:
             text = batch.column(1)
             sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, z in _slices(sizes, SLICE_BYTES):
                 rows, piece, start, length, crc, kept = [], [], [], [], [], []
                 for row, ids in enumerate(enc.encode(text.slice(a, z - a).to_pylist()), a):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for p, at in enumerate(range(0, len(ids), capacity)):
-                        own = ids[at : at + capacity]
-                        rows.append(row), piece.append(p), start.append(at), length.append(len(own)), crc.append(zlib.crc32(own))
-                        kept.append(own.astype(np.int32) if with_ids else None)
+                    ids += end
+                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[at : at + 4 * capacity]
+                        rows.append(row), piece.append(p), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
+                        kept.append(np.frombuffer(own, np.int32) if with_ids else None)
                 size = np.array(length, np.int64)
                 by = np.argsort(size, kind="stable")
                 first = np.searchsorted(size[by], size[by])

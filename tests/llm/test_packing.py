@@ -14,13 +14,13 @@ PATH = P.tokenizer_path()
 def test_words_encode_like_whole_texts():
     whole = Tokenizer.from_file(PATH)
     rng = random.Random(2)
-    odd = ["don't we'll  'S", "<|endoftext|> x<|startoftext|>y", "a\u0301b e\u0301", "İSTANBUL ΣΑΣ ΑΣ", "tab\tnl\r\n\x0b\x0c\x1c\x1d x", "\u00a0nb\u2003sp\u3000", "日本語 テスト", "\U0001f600\U0001f1e9\U0001f1ea", "12 345,6", "", " ", "\u0301 alone \u0308", "x\x00y", "ﬁ ﬀ Å K"]
-    alphabet = "abAB '\u0301é.<|>endoftext 19\n\t\u00a0"
+    odd = ["don't we'll  'S", "<|endoftext|> x<|startoftext|>y", "a\u0301b e\u0301", "İSTANBUL ΣΑΣ ΑΣ", "tab\tnl\r\n\x0b\x0c\x1c\x1d x", "\u00a0nb\u2003sp\u3000", "日本語 テスト", "\U0001f600\U0001f1e9\U0001f1ea", "12 345,6", "", " ", "\u0301 alone \u0308", "x\x00y", "\x01 a\x01 \x01b !\x01", "ﬁ ﬀ Å K", "<|ENDOFTEXT|>. A<|endoftext|>!!", "é.. x'S. 'S, a.b, &&&. A\u030a. 5! ..."]
+    alphabet = "abAB '\u0301é.,!<|>endoftext 19\n\t\u00a0"
     odd += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(600)]
     enc = P.WordEncoder(PATH)
     got = enc.encode([t.encode() for t in odd])
     for t, ids in zip(odd, got):
-        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(ids, np.uint32).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_pack(spark):
