@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_formatting, decontamination, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, url_filters
+from . import chat_formatting, decontamination, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op7_packing": packing.op7_packing,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_chat_formatting": chat_formatting.op9_chat_formatting,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
