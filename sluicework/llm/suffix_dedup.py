@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-LENGTH, REACH = 200, 64
+LENGTH, REACH = 200, 100
 CORE, SIDE = LENGTH - REACH + 1, REACH - 1
 #: Text bytes whose anchors meet in one bucket, about.
 BUCKET_BYTES = 12 << 20
