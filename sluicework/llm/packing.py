@@ -14,6 +14,7 @@ doc_ids are packed like others. A document of exactly the capacity is one piece.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,9 +33,13 @@ from .common import cut
 #: Words that a worker keeps encoded before it starts anew.
 CACHED_WORDS = 1_200_000
 #: UTF-8 bytes of text that are encoded together.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: A control character that stands between words that are encoded together.
 MARK = b"\x01"
+#: UTF-8 of letters that stay as they are once ASCII is lowered (to U+00FF), and ASCII punctuation but for the apostrophe.
+LATIN_WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Byte-level vocabularies write a byte that has no visible Latin-1 character as the next free letter from U+0100 on.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Passes of the coordinate descent.
 PASSES = 4
 
@@ -42,28 +48,30 @@ class WordEncoder:
     """Encodes texts by way of their words.
 
     The tokenizer drops white space and none of its tokens spans any, so the ids of a text are those
-    of its white-space-separated words in turn. It lower-cases, and starts a new token where ASCII
-    punctuation follows a letter or digit, so of most words only the lower-case stem is encoded; each
-    distinct stem is encoded once."""
+    of its white-space-separated words in turn, and each distinct word of a block of texts is looked
+    up once. A word of plain Latin letters and a tail of ASCII punctuation is the common case: it is
+    split in two there, and its letters go straight to the merges. All others are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {b"": b""}
+        self.tails: dict[bytes, bytes] = {b"": b""}
 
     def _ids(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _encode_stems(self, stems: list[bytes]) -> None:
-        """Many at once, with a mark between them whose id no stem can have."""
-        plain = [s for s in stems if MARK not in s and b"<|" not in s]
-        self.stems.update((s, self._ids(s).tobytes()) for s in set(stems).difference(plain))
+    def _encode_whole(self, words: list[bytes]) -> None:
+        """Many at once, with a mark between them whose id no word can have."""
+        # the text of a special token is case-sensitive, so what may hold one is not lowered
+        plain = [w for w in words if MARK not in w and b"<|" not in w]
+        self.words.update((w, self._ids(w).tobytes()) for w in set(words).difference(plain))
         mark = self._ids(MARK)
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
@@ -72,32 +80,40 @@ class WordEncoder:
             if len(mark) != 1 or len(ends) != len(some) - 1:
                 raise ValueError("the tokenizer does not keep the mark apart")
             buffer = ids.tobytes()
-            self.stems.update((s, buffer[4 * a : 4 * z]) for s, a, z in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)]))
+            self.words.update((w, buffer[4 * a : 4 * z]) for w, a, z in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)]))
 
     def _learn(self, words: list[bytes]) -> None:
-        """A stem and a tail, whose ids together are those of the word."""
-        parts = []
+        whole, split, merge, known, tails = [], LATIN_WORD.fullmatch, self.merge, self.words, self.tails
         for w in words:
-            stem = w.lower().rstrip(b".,!?;:")
-            if b"<|" in w:  # may hold the text of a special token, which is case-sensitive
-                parts.append((w, b""))
-            else:
-                parts.append((stem, w[len(stem) :]) if stem[-1:].isalnum() else (w.lower(), b""))
-        if new := {s for p in parts for s in p if s not in self.stems} - {b""}:
-            self._encode_stems(list(new))
-        self.stems[b""] = b""
-        stems = self.stems
-        self.words.update((w, stems[s] + stems[t] if t else stems[s]) for w, (s, t) in zip(words, parts))
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit numbers, without an end."""
-        words = [t.split() if t else [] for t in texts]
+            if not (m := split(w)) or b"<|" in w:
+                whole.append(w)
+                continue
+            stem, tail = m.groups()
+            if tail not in tails:
+                tails[tail] = self._ids(tail).tobytes()
+            letters = stem.lower().decode("latin-1")
+            if not letters.isascii():
+                letters = letters.translate(BYTE_LETTERS)
+            known[w] = array("I", [t.id for t in merge(letters)]).tobytes() + tails[tail]
+        self._encode_whole(whole)
+
+    def encode(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """The ids of all texts as unsigned 32-bit numbers, without ends, and the bytes between which each text's are."""
         if len(self.words) > CACHED_WORDS:
             self.clear()
-        known = self.words
-        if new := {w for ws in words for w in ws if w not in known}:
-            self._learn(list(new))
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        _, offsets, data = coded.dictionary.buffers()
+        at, data = np.frombuffer(offsets, np.int32)[: len(coded.dictionary) + 1].tolist(), bytes(data or b"")
+        distinct = [data[a:z] for a, z in zip(at, at[1:])]
+        of_word = list(map(self.words.get, distinct))
+        if None in of_word:
+            self._learn([w for w, ids in zip(distinct, of_word) if ids is None])
+            of_word = [self.words[w] if ids is None else ids for w, ids in zip(distinct, of_word)]
+        ids = pa.array(of_word, pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        return memoryview(data or b""), at[words.offsets.to_numpy()].tolist()
 
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
@@ -127,11 +143,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             text = batch.column(1)
-            sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, z in _slices(sizes, SLICE_BYTES):
                 rows, piece, start, length, crc, kept = [], [], [], [], [], []
-                for row, ids in enumerate(enc.encode(text.slice(a, z - a).to_pylist()), a):
-                    ids += end
+                data, edges = enc.encode(text.slice(a, z - a))
+                for row, first, last in zip(range(a, z), edges, edges[1:]):
+                    ids = bytes(data[first:last]) + end
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         rows.append(row), piece.append(p), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
