@@ -1,4 +1,5 @@
-"""Chunking: blocks of consecutive elements, sliding windows, tabular parents, and who owns a window."""
+"""Chunking: blocks of consecutive elements, sliding windows, tabular parents, who owns a window, small
+elements folded, texts capped, section paths, and summaries of locations."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 # The default sizes.
 CHILD_TOKENS, CHILD_CHARS, OVERLAP_MIN, OVERLAP_MAX, OVERLAP, SEAM_REACH = 250, 1000, 200, 300, 250, 200
+TRUNCATED = "\n…[truncated]"
 
 
 def blocks(elements: DataFrame, doc: str, order: str, key: Column, name: str = "block") -> DataFrame:
@@ -84,3 +86,59 @@ def tabular_parents(rows: DataFrame, table: str, order: str, text: str, columns:
     out = banded.groupBy(table, "band").agg(F.count(F.lit(1)).alias("n_rows"), F.min(order).alias("row_min"), F.max(order).alias("row_max"), first.alias("_first"))
     body = F.array_join(F.transform("_first", lambda x: x["t"]), "\n")
     return out.withColumn("text", F.concat(F.lit("schema: " + " | ".join(columns) + "\n"), body)).drop("_first")
+
+
+def fold_small(elements: DataFrame, doc: str, order: str, text: str = "text", least: int = 60) -> DataFrame:
+    """doc, order, text, n_folded: texts of under ``least`` characters join the next longer one of their
+    document, those behind the last one join that, with a blank line between.
+
+    Blank texts go. A document without a longer text, or of a single element, stays as it is."""
+    bare = F.trim(F.coalesce(F.col(text), F.lit("")))
+    w = Window.partitionBy(doc)
+    marked = elements.select(doc, order, text, (F.length(bare) >= least).cast("int").alias("_big"), (bare != "").alias("_said"))
+    marked = marked.withColumn("_bigs", F.sum("_big").over(w)).withColumn("_rows", F.count(F.lit(1)).over(w))
+    plain = (F.col("_bigs") == 0) | (F.col("_rows") < 2)
+    before = F.coalesce(F.sum("_big").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = marked.withColumn("_group", F.least(before, F.col("_bigs") - 1)).where(F.col("_said") | plain)
+    folded = grouped.where(~plain).groupBy(doc, "_group").agg(
+        F.max(F.when(F.col("_big") == 1, F.col(order))).alias(order),
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_parts"),
+    )
+    joined = folded.select(doc, order, F.array_join(F.transform("_parts", lambda x: x["t"]), "\n\n").alias(text), F.size("_parts").cast("long").alias("n_folded"))
+    return joined.unionByName(grouped.where(plain).select(doc, order, text, F.lit(1).cast("long").alias("n_folded")))
+
+
+def cap_text(text: Column, most: int = 20_000, marker: str = TRUNCATED) -> Column:
+    """The text, or as much of it as fits into ``most`` characters with the marker."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - len(marker)), F.lit(marker))).otherwise(text)
+
+
+def section_paths(elements: DataFrame, doc: str, order: str, level: str, text: str, levels: int = 6) -> DataFrame:
+    """Adds section_path: the headings above each element, a heading itself included.
+
+    A heading closes all of its own level and deeper; an element whose level is null is no heading."""
+    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col(level) == n, F.struct(F.col(order).alias("at"), F.col(text).alias("title"))), ignorenulls=True).over(w) for n in range(1, levels + 1)]
+    out = elements.select("*", *[c.alias(f"_l{n}") for n, c in enumerate(last, 1)])
+    open_ = []
+    for n in range(1, levels + 1):
+        later = [~F.coalesce(F.col(f"_l{m}.at") > F.col(f"_l{n}.at"), F.lit(False)) for m in range(1, n)]
+        valid = F.col(f"_l{n}").isNotNull()
+        for c in later:
+            valid = valid & c
+        open_.append(F.when(valid, F.struct(F.col(f"_l{n}.title").alias("title"))))
+    path = F.transform(F.filter(F.array(*open_), lambda x: x.isNotNull()), lambda x: x["title"])
+    return out.withColumn("section_path", path).drop(*[f"_l{n}" for n in range(1, levels + 1)])
+
+
+def location_summary(locations: Column, most_paths: int = 50) -> Column:
+    """A struct of what an array of locations (page, sheet, json_path, row_start, row_end) covers: sorted
+    pages, sheets and JSON paths as first seen (paths at most ``most_paths``, as stored with a chunk), row bounds."""
+    seen = lambda name: F.array_distinct(F.filter(F.transform(locations, lambda x: x[name]), lambda v: v.isNotNull()))
+    return F.struct(
+        F.array_sort(seen("page")).alias("pages"),
+        seen("sheet").alias("sheets"),
+        F.slice(seen("json_path"), 1, most_paths).alias("json_paths"),
+        F.array_min(seen("row_start")).alias("row_min"),
+        F.array_max(seen("row_end")).alias("row_max"),
+    )

@@ -149,3 +149,14 @@ def route(hits: DataFrame, queries: DataFrame, min_hits: int = 2, strong: float
     r6 = F.round(dependency, 9)
     path = F.when(r6 >= 0.8, "conversation_only").when(r6 >= 0.55, "hybrid").otherwise("documents_only")
     return q.select("query_id", dependency.alias("dependency"), path.alias("route"))
+
+
+def payload_filter(chunks: DataFrame, **wanted) -> DataFrame:
+    """Chunks whose columns match: a value by equality, a list by any of its values; a column that holds
+    a list matches if any of its elements does. An empty list asks for nothing."""
+    for name, value in wanted.items():
+        values = [F.lit(v) for v in value] if isinstance(value, (list, tuple, set)) else [F.lit(value)]
+        if values:
+            many = chunks.schema[name].dataType.typeName() == "array"
+            chunks = chunks.where(F.arrays_overlap(F.col(name), F.array(*values)) if many else F.col(name).isin(*values))
+    return chunks

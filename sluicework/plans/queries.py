@@ -330,3 +330,48 @@ def hybrid_retrieve(spark, sf_dir):
     hits = S.sparse_topk(q, S.bm25_weights(chunks, "id"), 20)
     pairs = hits.join(chunks.select("id", "text"), "id").join(items, "query_id").select("query_id", "id", "query", "text", "rank")
     return S.rerank(pairs, S.lexical_scorer, 5).select("query_id", "id", "rank", "fused_rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+m AS (SELECT *, CASE WHEN length(trim(line, ' ')) >= 60 THEN 1 ELSE 0 END AS big, trim(line, ' ') <> '' AS said FROM p),
+k AS (SELECT *, sum(big) OVER (PARTITION BY doc_id) AS bigs, count(*) OVER (PARTITION BY doc_id) AS total,
+  coalesce(sum(big) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM m)
+SELECT doc_id, CAST(max(CASE WHEN big = 1 THEN n END) AS INT) AS n, md5(string_agg(line, chr(10) || chr(10) ORDER BY n)) AS text_md5, count(*) AS n_folded
+FROM k WHERE bigs > 0 AND total > 1 AND said GROUP BY doc_id, least(earlier, bigs - 1)
+UNION ALL SELECT doc_id, CAST(n AS INT), md5(line), 1 FROM k WHERE bigs = 0 OR total < 2""")
+def folded_lines(spark, sf_dir):
+    lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    folded = C.fold_small(lines.select("doc_id", (F.col("at") + 1).alias("n"), "text"), "doc_id", "n")
+    return folded.select("doc_id", "n", F.md5("text").alias("text_md5"), "n_folded")
+
+
+@query("""SELECT doc_id, length(text) AS n_before, md5(CASE WHEN length(text) > 20000 THEN substring(text, 1, 19987) || chr(10) || '…[truncated]' ELSE text END) AS capped_md5 FROM documents""")
+def capped_parents(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_before"), F.md5(C.cap_text(F.col("text"))).alias("capped_md5"))
+
+
+@query("""WITH e AS (SELECT p_partkey // 16 AS shelf, p_partkey, nullif(length(p_name) % 7, 0) AS level, CAST(p_partkey AS VARCHAR) AS title FROM part)
+SELECT a.shelf, a.p_partkey, coalesce(string_agg(h.title, ' > ' ORDER BY h.p_partkey), '') AS path FROM e a
+LEFT JOIN e h ON h.shelf = a.shelf AND h.p_partkey <= a.p_partkey AND h.level IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM e x WHERE x.shelf = h.shelf AND x.p_partkey > h.p_partkey AND x.p_partkey <= a.p_partkey AND x.level <= h.level)
+GROUP BY a.shelf, a.p_partkey""")
+def heading_paths(spark, sf_dir):
+    """Parts as elements of shelves of sixteen, the length of the name modulo 7 as heading level (0: none)."""
+    level = F.nullif(F.length("p_name") % 7, F.lit(0))
+    e = t(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 16).cast("long").alias("shelf"), "p_partkey", level.alias("level"), F.col("p_partkey").cast("string").alias("title"))
+    return C.section_paths(e, "shelf", "p_partkey", "level", "title").select("shelf", "p_partkey", F.array_join("section_path", " > ").alias("path"))
+
+
+@query("""SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') AS pages, count(DISTINCT l_returnflag) AS n_sheets,
+min(l_partkey) AS row_min, max(l_suppkey) AS row_max FROM lineitem GROUP BY l_orderkey""")
+def location_summaries(spark, sf_dir):
+    """Order lines as locations of their order."""
+    place = F.struct(F.col("l_linenumber").alias("page"), F.col("l_returnflag").alias("sheet"), F.lit(None).cast("string").alias("json_path"), F.col("l_partkey").alias("row_start"), F.col("l_suppkey").alias("row_end"))
+    s = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(place).alias("places")).select("l_orderkey", C.location_summary(F.col("places")).alias("s"))
+    return s.select("l_orderkey", F.array_join(F.transform("s.pages", lambda p: p.cast("string")), ",").alias("pages"), F.size("s.sheets").cast("long").alias("n_sheets"), "s.row_min", "s.row_max")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') AND list_has_any(string_split(text, ' '), ['the', 'und'])")
+def payload_filtered(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", "lang", F.split("text", " ").alias("words"))
+    return S.payload_filter(d, lang=["en", "de"], words=["the", "und"]).select("doc_id", "lang")
