@@ -105,3 +105,21 @@ def test_streams_equal_tables(spark, tmp_path):
     run = feeds.minute_metrics(live).writeStream.format("memory").queryName("mm").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(map(tuple, spark.table("mm").collect())) == sorted(map(tuple, feeds.minute_metrics(jobs).collect()))
+
+
+def test_fold_small_edges(spark):
+    C = chunking
+    big = "x" * 60
+    rows = [("a", 1, "s1"), ("a", 2, big), ("a", 3, "  "), ("a", 4, None), ("a", 5, "s2"), ("a", 6, big), ("a", 7, "s3"), ("b", 1, "s"), ("b", 2, ""), ("c", 1, None)]
+    got = {(r[0], r[1]): (r[2], r[3]) for r in C.fold_small(spark.createDataFrame(rows, "d string, n int, text string"), "d", "n").collect()}
+    assert got == {("a", 2): (f"s1\n\n{big}", 2), ("a", 6): (f"s2\n\n{big}\n\ns3", 3), ("b", 1): ("s", 1), ("b", 2): ("", 1), ("c", 1): (None, 1)}
+
+
+def test_section_paths_and_caps(spark):
+    C = chunking
+    rows = [(1, 1, "A"), (2, 3, "B"), (3, None, "t"), (4, 2, "C"), (5, None, "t"), (6, 1, "D"), (7, None, None)]
+    e = spark.createDataFrame([("d", *r) for r in rows], "d string, n int, level int, text string")
+    got = [r.section_path for r in C.section_paths(e, "d", "n", "level", "text").orderBy("n").collect()]
+    assert got == [["A"], ["A", "B"], ["A", "B"], ["A", "C"], ["A", "C"], ["D"], ["D"]]
+    t = spark.createDataFrame([("y" * 30,), ("y" * 20,), (None,)], "text string")
+    assert [r[0] for r in t.select(C.cap_text(F.col("text"), 20)).collect()] == ["y" * 7 + C.TRUNCATED, "y" * 20, None]
