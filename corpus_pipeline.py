@@ -29,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five-word shingles) the document with the smallest doc_id."""
-    return simhash_dedup.drop_near_duplicates(docs, shingle=5)
+    """Keeps of each group of near duplicates (0.8 of five-word shingles) the document with the smallest doc_id."""
+    return simhash_dedup.drop_near_duplicates(docs, similarity=0.8, shingle=5)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,13 +15,18 @@ contraction over the links, in Spark.
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other. Fewer
 words than a shingle: the whole sequence is one shingle. Null doc_ids take part; a component's id is
 its smallest doc_id that is not null. Repeated rows are all returned.
+
+Deduplication at a shingle similarity of 0.8 needs more than 64 bits: such texts differ in some 15 in
+100 bits. There a fingerprint has WORDS words of WORD_BITS bits over the distinct shingles, each word
+is hashed by its ball on its own, and colliding pairs are verified by all bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
-from math import comb
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -36,6 +41,12 @@ from .common import cut
 GROUP_VARIANTS = 4_000_000
 #: Bits by which a prefix is split.
 SPLIT_BITS = 6
+#: Words of a long fingerprint and their bits; two words that differ in at most WORD_RADIUS bits make a candidate.
+WORDS, WORD_BITS, WORD_RADIUS = 32, 32, 2
+#: Longest prefix by which words are dealt out: no group has more than 2^20 of them.
+WORD_PREFIX = 12
+#: Tasks over which the candidates of one fingerprint are spread for verification.
+SPREAD = 8
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> bytes:
@@ -98,9 +109,9 @@ def _ball(bits: int, left: int) -> int:
     return sum(comb(bits, r) for r in range(left + 1))
 
 
-def _meet(fps: np.ndarray, left: np.ndarray, known: int) -> np.ndarray:
-    """Links (row, row) among fingerprints that share a variant under the present prefix."""
-    masks = _masks(64 - known, int(left.max(initial=0)))
+def _meet(fps: np.ndarray, left: np.ndarray, known: int, bits: int = 64) -> np.ndarray:
+    """Links (row, row) among fingerprints that share a variant under the present prefix; fps has its ``bits`` leading bits in use."""
+    masks = [m << np.uint64(64 - bits) for m in _masks(bits - known, int(left.max(initial=0)))]
     variants, owners = [], []
     low = fps & np.uint64((1 << (64 - known)) - 1)
     for r, m in enumerate(masks):
@@ -204,13 +215,123 @@ def op6_simhash_dedup(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 5) -> DataFrame:
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set; rows are added in pairs, bit plane by bit plane."""
+    planes = [h]
+    while len(planes[0]) > 8:
+        if len(planes[0]) % 2:
+            planes = [np.concatenate([p, np.zeros_like(p[:1])]) for p in planes]
+        carry, sums = np.zeros_like(planes[0][::2]), []
+        for p in planes:
+            a, b = p[::2], p[1::2]
+            x = a ^ b
+            sums.append(x ^ carry)
+            carry = (a & b) | (x & carry)
+        planes = [*sums, carry]
+    return sum(np.unpackbits(p.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) << i for i, p in enumerate(planes))
+
+
+def _mixed(h: np.ndarray, columns: int) -> np.ndarray:
+    """Further hashes of each hash, one a column."""
+    x = h[:, None] + np.arange(1, columns + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def long_fingerprint(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """WORDS * WORD_BITS bits as 64-bit numbers; a bit is 1 if it is set in over half the hashes of the distinct shingles."""
+    columns = WORDS * WORD_BITS // 64
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(columns, np.uint64)
+    joined = b" ".join(words)
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    hash_of = xxhash.xxh64_intdigest
+    hashes = np.unique(np.array([hash_of(joined[s:e], seed) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :])], np.uint64))
+    count = reduce(np.add, [_ones(_mixed(hashes[i : i + 16_384], columns)) for i in range(0, len(hashes), 16_384)])
+    return np.packbits(count * 2 > len(hashes)).view(np.uint64)
+
+
+def long_fingerprints(docs: DataFrame, shingle: int, keys: tuple[str, ...]) -> DataFrame:
+    """The key columns of docs and ``bits``, the long fingerprint as an array of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [long_fingerprint(x, shingle).view(np.int64) for x in b.column(b.num_columns - 1).to_pylist()]
+            ends = np.arange(len(found) + 1, dtype=np.int32) * (WORDS * WORD_BITS // 64)
+            flat = np.concatenate(found) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keys, "bits"])
+
+    kept = docs.select(*keys, F.col("text").cast("binary").alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    return kept.mapInArrow(run, f"{kinds}, bits array<long>")
+
+
+def most_differing_bits(similarity: float) -> int:
+    """How many of all bits differ between sets of this Jaccard similarity, and one standard error more."""
+    n = WORDS * WORD_BITS
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(n * share + sqrt(n * share * (1 - share)))
+
+
+def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """distinct: id, bits, no fingerprint twice. Verified links (a, b) among them.
+
+    Fingerprints with one word in common are linked to the one with the least id, so that only
+    distinct words travel: once to each prefix within half the radius, where their variants meet."""
+    half = WORD_RADIUS // 2
+    known = min(WORD_PREFIX, max(1, int(np.ceil(np.log2(max(1, distinct.count()) * _ball(WORD_BITS, half) / GROUP_VARIANTS + 1)))))
+    low = (1 << WORD_BITS) - 1
+    word = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.struct(i.alias("place"), F.element_at("bits", F.floor(i / 2).cast("int") + 1).alias("two")))
+    words = distinct.select("id", F.explode(word).alias("w")).select(
+        "id", F.col("w.place").alias("place"), F.when(F.col("w.place") % 2 == 0, F.col("w.two").bitwiseAND(low)).otherwise(F.shiftrightunsigned("w.two", WORD_BITS)).alias("word")
+    )
+    heads = cut(words.groupBy("place", "word").agg(F.min("id").alias("head")))
+    same_word = words.join(heads, ["place", "word"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            w = f["word"].to_numpy(np.int64)
+            rows, nexts, lefts = _spread(w.astype(np.uint64) << np.uint64(64 - WORD_BITS), np.full(len(w), half), 0, known)
+            yield pd.DataFrame({"place": f["place"].to_numpy()[rows], "prefix": nexts.astype(np.int32), "word": w[rows], "head": f["head"].to_numpy()[rows], "left": lefts})
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("head")
+        shifted = f["word"].to_numpy(np.int64).astype(np.uint64) << np.uint64(64 - WORD_BITS)
+        pairs = _meet(shifted, f["left"].to_numpy(np.int64), known, WORD_BITS)
+        heads = f["head"].to_numpy(np.int64)
+        return pd.DataFrame({"a": heads[pairs[:, 0]], "b": heads[pairs[:, 1]]})
+
+    dealt = heads.mapInPandas(spread, "place int, prefix int, word long, head long, left int")
+    met = dealt.groupBy("place", "prefix").applyInPandas(meet, "a long, b long")
+    candidates = cut(same_word.unionAll(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    right = candidates.join(distinct.select(F.col("id").alias("b"), F.col("bits").alias("_right")), "b").withColumn("_salt", F.pmod("b", F.lit(SPREAD)).cast("int"))
+    left = distinct.select(F.col("id").alias("a"), F.col("bits").alias("_left"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"))
+    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("_left")[i].bitwiseXOR(F.col("_right")[i])) for i in range(WORDS * WORD_BITS // 64)])
+    return right.join(left, ["a", "_salt"]).where(differing <= most_differing_bits(similarity)).select("a", "b")
+
+
+def group_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The key columns of docs (doc_id among them) and component_id, the smallest doc_id reachable over
+    links of texts whose shingle sets are as similar as asked."""
+    fps = cut(long_fingerprints(docs, shingle, keys).withColumn("id", F.xxhash64("bits")))
+    one = cut(fps.groupBy("id").agg(F.first("bits").alias("bits"), F.min("doc_id").alias("_least")))
+    rooted = components(long_links(one.select("id", "bits"), similarity))
+    named = one.join(rooted, one.id == rooted.node, "left").select("id", "_least", F.coalesce("root", "id").alias("root"))
+    least = named.groupBy(F.col("root").alias("_r")).agg(F.min("_least").alias("component_id"))
+    named = named.join(least, F.col("root") == F.col("_r")).select(F.col("id").alias("_id"), "component_id")
+    return fps.join(named, fps.id == named._id).select(*keys, "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows of docs without those that are near duplicates of one with a smaller doc_id.
 
     Texts without a word are not compared and all stay, as do rows of one doc_id, and rows without a
     doc_id that resemble no row that has one."""
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     comparable = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    grouped = group_near_duplicates(keyed.where(comparable), radius, shingle, ("doc_id", "_text_hash"))
+    grouped = group_similar(keyed.where(comparable), similarity, shingle, ("doc_id", "_text_hash"))
     gone = grouped.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.col("_text_hash").alias("_h")).distinct()
     return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_text_hash").eqNullSafe(F.col("_h")), "left_anti").select(*docs.columns)

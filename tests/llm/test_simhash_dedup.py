@@ -77,3 +77,47 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 def test_empty(spark):
     assert S.group_near_duplicates(empty(spark)).count() == 0
+
+
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def similar(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def edited(rng, text, share):
+    return " ".join(f"new{rng.randrange(10**6)}" if rng.random() < share else w for w in text.split())
+
+
+def test_bits_counted_in_planes_are_the_bits():
+    h = np.random.default_rng(5).integers(0, 2**63, (1237, 3)).astype(np.uint64)
+    want = np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0)
+    assert (S._ones(h) == want).all()
+
+
+def test_texts_as_similar_as_asked_are_grouped_and_others_are_not(spark):
+    rng = random.Random(9)
+    texts, pairs = [], []
+    for i in range(120):
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400)))
+        other = edited(rng, base, rng.choice([0.005, 0.01, 0.015, 0.02, 0.1, 0.2]))
+        pairs.append((len(texts), len(texts) + 1, similar(base, other)))
+        texts += [base, other]
+    first = " ".join(f"w{rng.randrange(3000)}" for _ in range(200))
+    family = [first] + [edited(rng, first, 0.01) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts + family)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.group_similar(docs).collect()}
+    close = [p for p in pairs if p[2] >= 0.82]
+    assert len(close) > 40 and sum(got[b] == a for a, b, _ in close) >= 0.97 * len(close)
+    apart = [p for p in pairs if p[2] < 0.7]
+    assert len(apart) > 20 and all(got[a] == a and got[b] == b for a, b, _ in apart)
+    assert sum(got[len(texts) + i] == len(texts) for i in range(len(family))) >= 0.97 * len(family)
+
+
+def test_no_rows_to_compare(spark):
+    assert S.group_similar(empty(spark)).count() == 0
+    assert S.drop_near_duplicates(empty(spark)).count() == 0
