@@ -270,10 +270,10 @@ def long_fingerprints(docs: DataFrame, shingle: int, keys: tuple[str, ...]) -> D
 
 
 def most_differing_bits(similarity: float) -> int:
-    """How many of all bits differ between sets of this Jaccard similarity, and one standard error more."""
+    """How many of all bits differ between sets of this Jaccard similarity, and two standard errors more: links below the similarity by up to 0.06 pass too."""
     n = WORDS * WORD_BITS
     share = acos(2 * similarity / (1 + similarity)) / pi
-    return int(n * share + sqrt(n * share * (1 - share)))
+    return int(n * share + 2 * sqrt(n * share * (1 - share)))
 
 
 def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
