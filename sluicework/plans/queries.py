@@ -375,3 +375,6 @@ def location_summaries(spark, sf_dir):
 def payload_filtered(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", "lang", F.split("text", " ").alias("words"))
     return S.payload_filter(d, lang=["en", "de"], words=["the", "und"]).select("doc_id", "lang")
+
+
+from . import structure  # noqa: E402,F401  registers its queries

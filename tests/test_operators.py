@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from sluicework.functions import text as T
-from sluicework.operators import chunking, context, elements, search
+from sluicework.operators import chunking, context, elements, search, structure
 from sluicework.sources import registry as R
 from sluicework.streaming import feeds
 
@@ -123,3 +123,45 @@ def test_section_paths_and_caps(spark):
     assert got == [["A"], ["A", "B"], ["A", "B"], ["A", "C"], ["A", "C"], ["D"], ["D"]]
     t = spark.createDataFrame([("y" * 30,), ("y" * 20,), (None,)], "text string")
     assert [r[0] for r in t.select(C.cap_text(F.col("text"), 20)).collect()] == ["y" * 7 + C.TRUNCATED, "y" * 20, None]
+
+
+def test_long_lines_are_cut_at_spaces_and_cover_the_line():
+    line = "word " * 900 + "x" * 4500 + " end"
+    got = structure.pieces(line)
+    assert all(len(p) <= 2000 and line[o : o + len(p)] == p for o, p in got)
+    for (a, p), (b, _) in zip(got, got[1:]):
+        assert line[a + len(p) : b] in ("", " ")
+    assert structure.pieces("") == [(0, "")] and structure.pieces("a" * 2000) == [(0, "a" * 2000)]
+
+
+def test_markdown_outline():
+    text = "intro\n# One #\n\n###  Deep\nbody\n~~~py\n# no heading\n```\n~~~\n## Two\n#\n#x\n```\nopen"
+    assert [(e, t, path) for e, t, path, _ in structure.markdown_outline(text)] == [
+        ("paragraph", "intro", []),
+        ("heading", "One", ["One"]),
+        ("heading", "Deep", ["One", "Deep"]),
+        ("paragraph", "body", ["One", "Deep"]),
+        ("code_block", "~~~py\n# no heading\n```\n~~~", ["One", "Deep"]),
+        ("heading", "Two", ["One", "Two"]),
+        ("paragraph", "#x", ["One", "Two"]),
+        ("code_block", "```\nopen", ["One", "Two"]),
+    ]
+
+
+def test_packed_children_hold_all_texts_within_the_cap(spark):
+    rows = [(1, i, "x" * n, i == 4) for i, n in enumerate([900, 900, 300, 0, 20, 50, 2500, 10])] + [(2, 0, None, None), (3, 0, "one", None)]
+    df = spark.createDataFrame(rows, "doc_id long, n int, text string, alone boolean")
+    got = {(r.doc_id, r.child): (r.first, r.last, r.n_elements) for r in structure.pack_children(df, "doc_id", "n", atomic="alone").collect()}
+    assert got == {(1, 0): (0, 1, 2), (1, 1): (2, 2, 1), (1, 2): (4, 4, 1), (1, 3): (5, 5, 1), (1, 4): (6, 6, 1), (1, 5): (7, 7, 1), (3, 0): (0, 0, 1)}
+
+
+def test_style_clusters_keep_the_first_line_as_reference(spark):
+    rows = [(1, i, s, b) for i, (s, b) in enumerate([(10.0, False), (11.1, False), (11.3, False), (11.3, True), (5.0, True), (5.4, True)])]
+    got = structure.style_clusters(spark.createDataFrame(rows, "b long, n int, size double, bold boolean"), ["b"], "n")
+    assert [r.cluster for r in got.orderBy("n").collect()] == [1, 1, 2, 3, 4, 4]
+
+
+def test_boxes_that_are_no_numbers_are_null(spark):
+    df = spark.createDataFrame([("1", "2", "0", "5", "3"), ("a", "1", "1", "1", "1"), ("1", "1", "1", "1", None)], "a string, b string, c string, d string, p string")
+    got = [r.x for r in df.select(structure.safe_box(F.col("a"), F.col("b"), F.col("c"), F.col("d"), F.col("p")).alias("x")).collect()]
+    assert tuple(got[0]) == (3, 0.0, 2.0, 1.0, 5.0) and got[1:] == [None, None]

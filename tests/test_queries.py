@@ -22,7 +22,7 @@ def tables():
 
 def rows(df: pd.DataFrame) -> list[str]:
     def one(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return None
         return round(float(x), 5) if isinstance(x, (int, float)) or hasattr(x, "item") and not isinstance(x, bool) else str(x)
 
