@@ -18,7 +18,8 @@ its smallest doc_id that is not null. Repeated rows are all returned.
 
 Deduplication at a shingle similarity of 0.8 needs more than 64 bits: such texts differ in some 15 in
 100 bits. There a fingerprint has WORDS words of WORD_BITS bits over the distinct shingles, each word
-is hashed by its ball on its own, and colliding pairs are verified by all bits.
+is hashed by its ball on its own, and colliding pairs are verified by all bits and then by the exact
+Jaccard similarity of their shingle sets, so that no family of related texts grows together by chance.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ SPLIT_BITS = 6
 WORDS, WORD_BITS, WORD_RADIUS = 32, 32, 2
 #: Longest prefix by which words are dealt out: no group has more than 2^20 of them.
 WORD_PREFIX = 12
+#: Shingle hashes that a task holds before it passes them on.
+HELD = 1_000_000
 #: Tasks over which the candidates of one fingerprint are spread for verification.
 SPREAD = 8
 
@@ -239,45 +242,60 @@ def _mixed(h: np.ndarray, columns: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def long_fingerprint(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """WORDS * WORD_BITS bits as 64-bit numbers; a bit is 1 if it is set in over half the hashes of the distinct shingles."""
-    columns = WORDS * WORD_BITS // 64
+def shingle_hashes(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The hashes of the distinct shingles, in order."""
     words = text.lower().split() if text else []
     if not words:
-        return np.zeros(columns, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([hash_of(joined[s:e], seed) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :])], np.uint64))
+    return np.unique(np.array([hash_of(joined[s:e], seed) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :])], np.uint64))
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS * WORD_BITS bits as 64-bit numbers; a bit is 1 if it is set in over half the hashes of the distinct shingles."""
+    columns = WORDS * WORD_BITS // 64
+    if not len(hashes):
+        return np.zeros(columns, np.uint64)
     count = reduce(np.add, [_ones(_mixed(hashes[i : i + 16_384], columns)) for i in range(0, len(hashes), 16_384)])
     return np.packbits(count * 2 > len(hashes)).view(np.uint64)
 
 
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+
+
 def long_fingerprints(docs: DataFrame, shingle: int, keys: tuple[str, ...]) -> DataFrame:
-    """The key columns of docs and ``bits``, the long fingerprint as an array of longs."""
+    """The key columns of docs, ``bits``, the long fingerprint, and ``hashes``, the set of shingles, as arrays of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [long_fingerprint(x, shingle).view(np.int64) for x in b.column(b.num_columns - 1).to_pylist()]
-            ends = np.arange(len(found) + 1, dtype=np.int32) * (WORDS * WORD_BITS // 64)
-            flat = np.concatenate(found) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keys, "bits"])
+            texts, sets, at, held = b.column(b.num_columns - 1), [], 0, 0
+            for i in range(len(texts)):
+                sets.append(shingle_hashes(texts[i].as_py(), shingle))
+                held += len(sets[-1])
+                if held > HELD or i == len(texts) - 1:
+                    own = [c.slice(at, len(sets)) for c in b.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*own, _lists([long_fingerprint(h) for h in sets]), _lists(sets)], names=[*keys, "bits", "hashes"])
+                    sets, at, held = [], i + 1, 0
 
     kept = docs.select(*keys, F.col("text").cast("binary").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{kinds}, bits array<long>")
+    return kept.mapInArrow(run, f"{kinds}, bits array<long>, hashes array<long>")
 
 
 def most_differing_bits(similarity: float) -> int:
-    """How many of all bits differ between sets of this Jaccard similarity, and two standard errors more: links below the similarity by up to 0.06 pass too."""
+    """How many of all bits differ between sets of this Jaccard similarity, and two standard errors more."""
     n = WORDS * WORD_BITS
     share = acos(2 * similarity / (1 + similarity)) / pi
     return int(n * share + 2 * sqrt(n * share * (1 - share)))
 
 
 def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """distinct: id, bits, no fingerprint twice. Verified links (a, b) among them.
+    """distinct: id, bits, hashes, no set twice. Links (a, b) among them, each verified by its two sets.
 
     Fingerprints with one word in common are linked to the one with the least id, so that only
     distinct words travel: once to each prefix within half the radius, where their variants meet."""
@@ -307,22 +325,38 @@ def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
     dealt = heads.mapInPandas(spread, "place int, prefix int, word long, head long, left int")
     met = dealt.groupBy("place", "prefix").applyInPandas(meet, "a long, b long")
     candidates = cut(same_word.unionAll(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    right = candidates.join(distinct.select(F.col("id").alias("b"), F.col("bits").alias("_right")), "b").withColumn("_salt", F.pmod("b", F.lit(SPREAD)).cast("int"))
-    left = distinct.select(F.col("id").alias("a"), F.col("bits").alias("_left"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"))
-    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("_left")[i].bitwiseXOR(F.col("_right")[i])) for i in range(WORDS * WORD_BITS // 64)])
-    return right.join(left, ["a", "_salt"]).where(differing <= most_differing_bits(similarity)).select("a", "b")
+    return verified(candidates, distinct, similarity)
+
+
+def verified(pairs: DataFrame, distinct: DataFrame, similarity: float, filter_bits: bool = True) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; whole sets travel only for
+    pairs that pass the bits, where those are asked."""
+
+    def sides(pairs: DataFrame, name: str) -> DataFrame:
+        right = pairs.join(distinct.select(F.col("id").alias("b"), F.col(name).alias("_right")), "b").withColumn("_salt", F.pmod("b", F.lit(SPREAD)).cast("int"))
+        left = distinct.select(F.col("id").alias("a"), F.col(name).alias("_left"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"))
+        if name == "hashes":  # only sets that are asked for are salted
+            asked = right.select("a", "_salt").distinct()
+            left = distinct.select(F.col("id").alias("a"), F.col(name).alias("_left")).join(asked, "a")
+        return right.join(left, ["a", "_salt"])
+
+    if filter_bits:
+        differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("_left")[i].bitwiseXOR(F.col("_right")[i])) for i in range(WORDS * WORD_BITS // 64)])
+        pairs = cut(sides(pairs, "bits").where(differing <= most_differing_bits(similarity)).select("a", "b"))
+    common = F.size(F.array_intersect("_left", "_right"))
+    return sides(pairs, "hashes").where(common >= similarity * (F.size("_left") + F.size("_right") - common) - 1e-9).select("a", "b")
 
 
 def group_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The key columns of docs (doc_id among them) and component_id, the smallest doc_id reachable over
     links of texts whose shingle sets are as similar as asked."""
-    fps = cut(long_fingerprints(docs, shingle, keys).withColumn("id", F.xxhash64("bits")))
-    one = cut(fps.groupBy("id").agg(F.first("bits").alias("bits"), F.min("doc_id").alias("_least")))
-    rooted = components(long_links(one.select("id", "bits"), similarity))
-    named = one.join(rooted, one.id == rooted.node, "left").select("id", "_least", F.coalesce("root", "id").alias("root"))
+    sets = cut(long_fingerprints(docs, shingle, keys).withColumn("id", F.xxhash64("hashes")))
+    one = cut(sets.groupBy("id").agg(F.first("bits").alias("bits"), F.first("hashes").alias("hashes"), F.min("doc_id").alias("_least")))
+    rooted = components(long_links(one.select("id", "bits", "hashes"), similarity))
+    named = one.select("id", "_least").join(rooted, one.id == rooted.node, "left").select("id", "_least", F.coalesce("root", "id").alias("root"))
     least = named.groupBy(F.col("root").alias("_r")).agg(F.min("_least").alias("component_id"))
     named = named.join(least, F.col("root") == F.col("_r")).select(F.col("id").alias("_id"), "component_id")
-    return fps.join(named, fps.id == named._id).select(*keys, "component_id")
+    return sets.join(named, sets.id == named._id).select(*keys, "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

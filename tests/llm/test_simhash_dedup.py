@@ -121,3 +121,41 @@ def test_texts_as_similar_as_asked_are_grouped_and_others_are_not(spark):
 def test_no_rows_to_compare(spark):
     assert S.group_similar(empty(spark)).count() == 0
     assert S.drop_near_duplicates(empty(spark)).count() == 0
+
+
+def variants(rng, n, words, changed):
+    """Texts from one template that differ from it in so many words, each in two copies that differ in one word."""
+    first = " ".join(f"w{rng.randrange(3000)}" for _ in range(words))
+    out = []
+    for _ in range(n):
+        at = set(rng.sample(range(words), changed))
+        text = " ".join(f"new{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(first.split()))
+        out += [text, text + " end"]
+    return out
+
+
+def exact_components(texts, similarity=0.8):
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_variants_of_one_template_do_not_grow_together(spark):
+    texts = variants(random.Random(4), 150, 300, 5)
+    want = exact_components(texts)
+    assert len(set(want)) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.group_similar(docs).collect()}
+    assert all(want[got[i]] == want[i] for i in range(len(texts)))
