@@ -19,7 +19,8 @@ its smallest doc_id that is not null. Repeated rows are all returned.
 Deduplication at a shingle similarity of 0.8 needs more than 64 bits: such texts differ in some 15 in
 100 bits. There a fingerprint has WORDS words of WORD_BITS bits over the distinct shingles, each word
 is hashed by its ball on its own, and colliding pairs are verified by all bits and then by the exact
-Jaccard similarity of their shingle sets, so that no family of related texts grows together by chance.
+Jaccard similarity of their shingle sets, so that no family of related texts grows together by chance. What fingerprints or heads miss is found
+by an exact join over the rarest shingles of each text, so groups are those of all similar pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -268,8 +269,8 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
 
 
-def long_fingerprints(docs: DataFrame, shingle: int, keys: tuple[str, ...]) -> DataFrame:
-    """The key columns of docs, ``bits``, the long fingerprint, and ``hashes``, the set of shingles, as arrays of longs."""
+def shingle_sets(docs: DataFrame, shingle: int, keys: tuple[str, ...]) -> DataFrame:
+    """The key columns of docs and ``hashes``, the set of shingles as an array of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,13 +279,76 @@ def long_fingerprints(docs: DataFrame, shingle: int, keys: tuple[str, ...]) -> D
                 sets.append(shingle_hashes(texts[i].as_py(), shingle))
                 held += len(sets[-1])
                 if held > HELD or i == len(texts) - 1:
-                    own = [c.slice(at, len(sets)) for c in b.columns[:-1]]
-                    yield pa.RecordBatch.from_arrays([*own, _lists([long_fingerprint(h) for h in sets]), _lists(sets)], names=[*keys, "bits", "hashes"])
+                    yield pa.RecordBatch.from_arrays([*[c.slice(at, len(sets)) for c in b.columns[:-1]], _lists(sets)], names=[*keys, "hashes"])
                     sets, at, held = [], i + 1, 0
 
     kept = docs.select(*keys, F.col("text").cast("binary").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{kinds}, bits array<long>, hashes array<long>")
+    return kept.mapInArrow(run, f"{kinds}, hashes array<long>")
+
+
+def long_fingerprints(sets: DataFrame) -> DataFrame:
+    """sets: id, hashes. id and ``bits``, the long fingerprint as an array of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = b.column(1)
+            found = [long_fingerprint(sets[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in range(len(sets))]
+            if found:
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(found)], names=["id", "bits"])
+
+    return sets.select("id", "hashes").mapInArrow(run, "id long, bits array<long>")
+
+
+def _least_common(n: Column, similarity: float) -> Column:
+    """How many shingles a set of n at least shares with one as similar as asked."""
+    return F.ceil(n * similarity - 1e-6).cast("int")
+
+
+def comparable_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets: id, hashes (rows of one id are equal). id, n (its shingles) and shared: those that another row has
+    too, the rarest first; only of ids that share enough to resemble any other.
+
+    What two sets have in common is in shared, so these arrays verify a pair as the whole sets do."""
+    tokens = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
+    rows = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    shared = tokens.join(rows, "token").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("rows", "token"))).alias("t"))
+    return cut(shared.where(F.size("t") >= _least_common(F.col("n"), similarity)).select("id", "n", F.col("t.token").alias("shared")))
+
+
+def prefixes(near: DataFrame, similarity: float) -> DataFrame:
+    """near: as comparable_sets. Of each set the rarest shingles, one of which any similar set has among its own
+    (id, n, token, at: its place from 1): ``first`` are those that suffice on the smaller side of a pair."""
+    n, own = F.col("n"), F.col("n") - F.size("shared")
+    asked = n - _least_common(n, similarity) + 1 - own
+    rows = near.where(asked > 0).select("id", "n", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), asked)).alias("k", "token"))
+    at = F.col("own") + F.col("k") + 1
+    return rows.select("id", "n", "token", at.alias("at"), (at <= n - _least_common(n, 2 * similarity / (1 + similarity)) + 1).alias("first"))
+
+
+def exact_links(near: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """links and further verified ones, so that their components are those of all pairs as similar as asked.
+
+    Texts that share a rare shingle are tried with one of their size first, and then each with each as far as
+    they are not in one component yet; a pair goes untried only where the places of its first common shingle
+    prove it apart."""
+    rare = cut(prefixes(near, similarity))
+    kind = F.floor(F.log(F.col("n").cast("double")) * 10)
+    sized = rare.withColumn("kind", kind)
+    heads = sized.groupBy("token", "kind").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    tried = sized.join(heads, ["token", "kind"]).where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    links = cut(links.unionAll(verified(tried, near, similarity)).distinct())
+    rooted = components(links).select(F.col("node").alias("id"), "root")
+    rare = cut(rare.join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    open_ = rare.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("token")
+    rare = cut(rare.join(open_, "token", "left_semi"))
+    small = rare.where("first").select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "root")])
+    large = rare.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "root")])
+    common = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    apart = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    enough = (common >= _least_common(F.col("n_a") + F.col("n_b"), similarity / (1 + similarity))) & (F.col("n_a") >= _least_common(F.col("n_b"), similarity))
+    pairs = small.join(large, "token").where(apart & enough & (F.col("root_a") != F.col("root_b")))
+    return links.unionAll(verified(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), near, similarity))
 
 
 def most_differing_bits(similarity: float) -> int:
@@ -295,7 +359,7 @@ def most_differing_bits(similarity: float) -> int:
 
 
 def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """distinct: id, bits, hashes, no set twice. Links (a, b) among them, each verified by its two sets.
+    """distinct: id, bits, n, shared, no set twice. Links (a, b) among them, each verified by its two sets.
 
     Fingerprints with one word in common are linked to the one with the least id, so that only
     distinct words travel: once to each prefix within half the radius, where their variants meet."""
@@ -325,38 +389,39 @@ def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
     dealt = heads.mapInPandas(spread, "place int, prefix int, word long, head long, left int")
     met = dealt.groupBy("place", "prefix").applyInPandas(meet, "a long, b long")
     candidates = cut(same_word.unionAll(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return verified(candidates, distinct, similarity)
-
-
-def verified(pairs: DataFrame, distinct: DataFrame, similarity: float, filter_bits: bool = True) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; whole sets travel only for
-    pairs that pass the bits, where those are asked."""
+    bits = distinct.select("id", "bits")
+    right = candidates.join(bits.select(F.col("id").alias("b"), F.col("bits").alias("_right")), "b").withColumn("_salt", F.pmod("b", F.lit(SPREAD)).cast("int"))
+    left = bits.select(F.col("id").alias("a"), F.col("bits").alias("_left"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"))
+    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("_left")[i].bitwiseXOR(F.col("_right")[i])) for i in range(WORDS * WORD_BITS // 64)])
+    return verified(right.join(left, ["a", "_salt"]).where(differing <= most_differing_bits(similarity)).select("a", "b"), distinct, similarity)
 
-    def sides(pairs: DataFrame, name: str) -> DataFrame:
-        right = pairs.join(distinct.select(F.col("id").alias("b"), F.col(name).alias("_right")), "b").withColumn("_salt", F.pmod("b", F.lit(SPREAD)).cast("int"))
-        left = distinct.select(F.col("id").alias("a"), F.col(name).alias("_left"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"))
-        if name == "hashes":  # only sets that are asked for are salted
-            asked = right.select("a", "_salt").distinct()
-            left = distinct.select(F.col("id").alias("a"), F.col(name).alias("_left")).join(asked, "a")
-        return right.join(left, ["a", "_salt"])
 
-    if filter_bits:
-        differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("_left")[i].bitwiseXOR(F.col("_right")[i])) for i in range(WORDS * WORD_BITS // 64)])
-        pairs = cut(sides(pairs, "bits").where(differing <= most_differing_bits(similarity)).select("a", "b"))
-    common = F.size(F.array_intersect("_left", "_right"))
-    return sides(pairs, "hashes").where(common >= similarity * (F.size("_left") + F.size("_right") - common) - 1e-9).select("a", "b")
+def verified(pairs: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; near: as comparable_sets."""
+    right = pairs.join(near.select(F.col("id").alias("b"), F.struct("n", "shared").alias("_right")), "b").withColumn("_salt", F.pmod("b", F.lit(SPREAD)).cast("int"))
+    left = near.select(F.col("id").alias("a"), F.struct("n", "shared").alias("_left"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"))
+    common = F.size(F.array_intersect("_left.shared", "_right.shared"))
+    enough = common >= _least_common(F.col("_left.n") + F.col("_right.n"), similarity / (1 + similarity))
+    return right.join(left, ["a", "_salt"]).where(enough).select("a", "b")
 
 
 def group_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The key columns of docs (doc_id among them) and component_id, the smallest doc_id reachable over
-    links of texts whose shingle sets are as similar as asked."""
-    sets = cut(long_fingerprints(docs, shingle, keys).withColumn("id", F.xxhash64("hashes")))
-    one = cut(sets.groupBy("id").agg(F.first("bits").alias("bits"), F.first("hashes").alias("hashes"), F.min("doc_id").alias("_least")))
-    rooted = components(long_links(one.select("id", "bits", "hashes"), similarity))
-    named = one.select("id", "_least").join(rooted, one.id == rooted.node, "left").select("id", "_least", F.coalesce("root", "id").alias("root"))
+    links of texts whose shingle sets are as similar as asked.
+
+    Sets are made anew from the texts where they are asked for: they take more room than the texts."""
+    sets = shingle_sets(docs, shingle, keys).withColumn("id", F.xxhash64("hashes"))
+    ids = cut(sets.select(*keys, "id"))
+    least = ids.groupBy("id").agg(F.min("doc_id").alias("_least"))
+    near = comparable_sets(sets, similarity)
+    bits = long_fingerprints(sets.join(near.select("id"), "id", "left_semi")).dropDuplicates(["id"])
+    distinct = cut(near.join(bits, "id"))
+    links = exact_links(near, cut(long_links(distinct, similarity)), similarity)
+    named = least.join(components(links), F.col("id") == F.col("node"), "left").select("id", "_least", F.coalesce("root", "id").alias("root"))
+    named = cut(named)
     least = named.groupBy(F.col("root").alias("_r")).agg(F.min("_least").alias("component_id"))
     named = named.join(least, F.col("root") == F.col("_r")).select(F.col("id").alias("_id"), "component_id")
-    return sets.join(named, sets.id == named._id).select(*keys, "component_id")
+    return ids.join(named, ids.id == named._id).select(*keys, "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

@@ -159,3 +159,17 @@ def test_variants_of_one_template_do_not_grow_together(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in S.group_similar(docs).collect()}
     assert all(want[got[i]] == want[i] for i in range(len(texts)))
+
+
+def test_groups_are_those_of_all_similar_pairs(spark):
+    rng = random.Random(11)
+    texts = variants(rng, 120, 300, 5)
+    for n in (1, 3, 5, 7, 9, 14, 20, 28):  # short texts, at and beside the similarity asked
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+        texts += [base, base + " end", base + " one more", base.upper()]
+    boiler = " ".join(f"w{rng.randrange(3000)}" for _ in range(150))
+    texts += [boiler + " " + " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 60))) for _ in range(60)]
+    want = exact_components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.group_similar(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
