@@ -86,7 +86,7 @@ class Hasher:
         whole = (s[j + CORE + high] - s[j - low]) * self.down[j - low]
         core ^= core >> np.uint64(29)
         whole = (whole ^ (low.astype(np.uint64) << np.uint64(8)) ^ high.astype(np.uint64)) * _M2
-        return j, core * _M1, (whole >> np.uint64(32)).astype(np.uint32), low, high
+        return j, core * _M1, whole ^ (whole >> np.uint64(32)), low, high
 
 
 def _deal(buckets: int):
@@ -111,7 +111,7 @@ def _deal(buckets: int):
     return run
 
 
-_FIELDS = (("rid", np.int64), ("j", np.int32), ("core", np.uint64), ("whole", np.uint32), ("low", np.uint8), ("high", np.uint8))
+_FIELDS = (("rid", np.int64), ("j", np.int32), ("core", np.uint64), ("whole", np.uint64), ("low", np.uint8), ("high", np.uint8))
 
 
 def _packed(parts, buckets: int) -> pa.RecordBatch:

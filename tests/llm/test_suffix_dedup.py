@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sluicework.llm import suffix_dedup as S
@@ -42,3 +43,13 @@ def test_against_brute_force(spark, seed):
 
 def test_empty(spark):
     assert S.remove_repeats(empty(spark)).count() == 0
+
+
+def test_contexts_that_agree_in_32_bits_of_their_hash_are_told_apart(spark):
+    def text(seed):
+        t = bytes(np.random.default_rng(seed).integers(97, 123, 220).astype(np.uint8)).decode()
+        return t[:110] + "m" * 150 + t[110:]
+
+    docs = spark.createDataFrame([(1, text(810)), (2, text(887))], "doc_id long, text string")  # found by trying
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(docs).collect())
+    assert got == sorted(brute([text(810), text(887)])) and all(r[1] == 0 for r in got)
