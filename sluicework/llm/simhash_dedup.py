@@ -269,8 +269,8 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
 
 
-def shingle_sets(docs: DataFrame, shingle: int, keys: tuple[str, ...]) -> DataFrame:
-    """The key columns of docs and ``hashes``, the set of shingles as an array of longs."""
+def shingle_sets(docs: DataFrame, shingle: int, keys: tuple[str, ...], fingerprints: bool = False) -> DataFrame:
+    """The key columns of docs, ``hashes``, the set of shingles, and if asked ``bits``, the long fingerprint, as arrays of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,25 +279,14 @@ def shingle_sets(docs: DataFrame, shingle: int, keys: tuple[str, ...]) -> DataFr
                 sets.append(shingle_hashes(texts[i].as_py(), shingle))
                 held += len(sets[-1])
                 if held > HELD or i == len(texts) - 1:
-                    yield pa.RecordBatch.from_arrays([*[c.slice(at, len(sets)) for c in b.columns[:-1]], _lists(sets)], names=[*keys, "hashes"])
+                    made = [_lists(sets), *([_lists([long_fingerprint(h) for h in sets])] if fingerprints else [])]
+                    yield pa.RecordBatch.from_arrays([*[c.slice(at, len(sets)) for c in b.columns[:-1]], *made], names=[*keys, *("hashes", "bits")[: len(made)]])
                     sets, at, held = [], i + 1, 0
 
     kept = docs.select(*keys, F.col("text").cast("binary").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{kinds}, hashes array<long>")
-
-
-def long_fingerprints(sets: DataFrame) -> DataFrame:
-    """sets: id, hashes. id and ``bits``, the long fingerprint as an array of longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = b.column(1)
-            found = [long_fingerprint(sets[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for i in range(len(sets))]
-            if found:
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(found)], names=["id", "bits"])
-
-    return sets.select("id", "hashes").mapInArrow(run, "id long, bits array<long>")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
+    made = kept.mapInArrow(run, ", ".join([*kinds, "hashes array<long>", *["bits array<long>"] * fingerprints]))
+    return made.withColumn("id", F.xxhash64("hashes"))
 
 
 def _least_common(n: Column, similarity: float) -> Column:
@@ -410,12 +399,10 @@ def group_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ke
     links of texts whose shingle sets are as similar as asked.
 
     Sets are made anew from the texts where they are asked for: they take more room than the texts."""
-    sets = shingle_sets(docs, shingle, keys).withColumn("id", F.xxhash64("hashes"))
-    ids = cut(sets.select(*keys, "id"))
+    ids = cut(shingle_sets(docs, shingle, keys, True).select(*keys, "id", "bits"))
     least = ids.groupBy("id").agg(F.min("doc_id").alias("_least"))
-    near = comparable_sets(sets, similarity)
-    bits = long_fingerprints(sets.join(near.select("id"), "id", "left_semi")).dropDuplicates(["id"])
-    distinct = cut(near.join(bits, "id"))
+    near = comparable_sets(shingle_sets(docs, shingle, ()), similarity)
+    distinct = cut(near.join(ids.select("id", "bits").dropDuplicates(["id"]), "id"))
     links = exact_links(near, cut(long_links(distinct, similarity)), similarity)
     named = least.join(components(links), F.col("id") == F.col("node"), "left").select("id", "_least", F.coalesce("root", "id").alias("root"))
     named = cut(named)
