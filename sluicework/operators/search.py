@@ -160,3 +160,14 @@ def payload_filter(chunks: DataFrame, **wanted) -> DataFrame:
             many = chunks.schema[name].dataType.typeName() == "array"
             chunks = chunks.where(F.arrays_overlap(F.col(name), F.array(*values)) if many else F.col(name).isin(*values))
     return chunks
+
+
+def text_filter(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, id: the docs (id, text) that have every token of a query's text (query_id, text), by way of the postings.
+
+    A text without a token asks for nothing, so every document has all of it; a null text is no query."""
+    q = queries.where("text is not null").select("query_id", F.array_distinct(tokens(F.col("text"))).alias("w"))
+    terms = q.select("query_id", F.size("w").alias("n"), F.explode("w").alias("term"))
+    d = docs.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    met = d.join(terms, "term").groupBy("query_id", "id", "n").agg(F.count(F.lit(1)).alias("c"))
+    return met.where("c = n").select("query_id", "id").unionByName(q.where(F.size("w") == 0).select("query_id").crossJoin(docs.select("id")))

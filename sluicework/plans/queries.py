@@ -301,12 +301,20 @@ def replace_by_document(spark, sf_dir):
 
 @query("""SELECT q.item_id AS query_id, d.doc_id AS id FROM benchmark q, documents d WHERE len(list_filter(regexp_extract_all(lower(left(q.text, 12)), '[\\p{L}\\p{N}_]{2,}'), lambda x: NOT list_contains(regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}_]{2,}'), x))) = 0""")
 def text_filter(spark, sf_dir):
-    """Documents that have every token of a benchmark text's first twelve characters, by way of the postings."""
-    q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.substring("text", 1, 12))).alias("w"))
-    q = q.select("query_id", F.size("w").alias("n"), F.explode("w").alias("term"))
-    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    met = d.join(F.broadcast(q), "term").groupBy("query_id", "id", "n").agg(F.count(F.lit(1)).alias("c"))
-    return met.where("c = n").select("query_id", "id")
+    """Documents that have every token of a benchmark text's first twelve characters, by way of the postings.
+
+    As in the SQL, a null document has whatever is asked."""
+    q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("text"))
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    unread = q.where("text is not null").select("query_id").crossJoin(d.where("text is null").select("id"))
+    return S.text_filter(q, d.where("text is not null")).unionByName(unread)
+
+
+@query()
+def text_filter_whole(spark, sf_dir):
+    """Documents that have every token of a whole benchmark text."""
+    q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return S.text_filter(q, t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query()

@@ -38,3 +38,17 @@ def test_query(spark, tables, name):
         want = tables.execute(ORACLE_SQL[name]).fetchdf()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_text_filter_takes_tokenless_items_and_whole_texts(spark, tmp_path):
+    items = [(1, "alpha beta gamma delta"), (2, "... !!! ... alpha"), (3, None), (4, "alpha"), (5, "?")]
+    docs = [(1, "Delta gamma, beta alpha!"), (2, "alpha beta epsilon"), (3, ""), (4, None), (5, "gamma alpha")]
+    for name, key, have in (("benchmark", "item_id", items), ("documents", "doc_id", docs)):
+        spark.createDataFrame(have, f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["text_filter"]).fetchdf()
+    assert rows(QUERIES["text_filter"](spark, str(tmp_path)).toPandas()) == rows(want)
+    got = {(r.query_id, r.id) for r in QUERIES["text_filter_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (2, 1), (2, 2), (2, 5), (4, 1), (4, 2), (4, 5), *((5, d) for d in range(1, 6))}
