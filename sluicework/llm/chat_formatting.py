@@ -5,11 +5,15 @@ assistant and all others as named users; the character spans the model is to lea
 assistant's own words. System turns stay system turns and are no one's perspective.
 
 A dialogue is cut into parts of ``part_turns`` turns, each with its place in the whole, so that one
-very long conversation spreads over many tasks; parts joined in order are the whole dialogue.
+very long conversation spreads over many tasks, in the meeting of turns and participants too; parts
+joined in order are the whole dialogue.
 
 Defined cases: turns are ordered by turn (nulls first), then role, then text, and repeated rows are
 all kept. A null role is the participant ``unknown``; a null text is empty. A null conv_id is a
-conversation like any other. A conversation of system turns alone gives no row.
+conversation like any other. A conversation of system turns alone gives no row, an empty table none. A
+text is rendered as it is, however long, marks of the format included; with ``escape`` a backslash comes
+between the first two characters of such marks in texts and roles, so that no one can end a turn or speak
+as another. Further columns of turns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running
+from .common import attach, running
 
 #: Fixed values of the rendered format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -28,13 +32,15 @@ def header(role: Column, perspective: Column, system_roles: tuple[str, ...]) ->
     return F.concat(F.lit(OPEN), name, F.lit("\n"))
 
 
-def rotate_perspectives(turns: DataFrame, system_roles: tuple[str, ...] = ("system",), part_turns: int = 256) -> DataFrame:
+def rotate_perspectives(turns: DataFrame, system_roles: tuple[str, ...] = ("system",), part_turns: int = 256, escape: bool = False) -> DataFrame:
     """turns: conv_id, turn, role, text. One row per conv_id, perspective and part (from 0):
     n_turns, start (characters of the dialogue before this part), text, and targets, an array of
     (start, end) character spans within the part's text that carry the loss."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    people = rows.where(~F.col("role").isin(*system_roles)).groupBy(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    seen = rows.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    said = lambda c: F.regexp_replace(c, r"<(?=\|im_(start|end)\|>)", r"<\\") if escape else c
+    key = F.coalesce(F.concat(F.lit("k"), F.col("conv_id").cast("string")), F.lit("")).alias("_key")
+    rows = turns.select("conv_id", "turn", said(F.coalesce("role", F.lit("unknown"))).alias("role"), said(F.coalesce("text", F.lit(""))).alias("text"), key)
+    people = rows.where(~F.col("role").isin(*system_roles)).groupBy("_key", F.col("role").alias("perspective")).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    seen = attach(rows, people, ["_key"], like=turns.select(key)).drop("_key")
     seen = seen.withColumn("_head", header(F.col("role"), F.col("perspective"), system_roles))
     seen = seen.withColumn("_len", (F.length("_head") + F.length("text") + len(CLOSE)).cast("long"))
     placed = running(seen, ["conv_id", "perspective"], ["turn", "role", "text"], {"_at": "_len"}, "_k")

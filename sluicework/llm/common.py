@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A key is frequent if it holds more than one in so many times the number of partitions of the rows, but never if it holds no more than MANY.
+SHARES, MANY = 4, 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,14 +20,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the folder named by spark.checkpoint.dir and read from there.
 
-    A folder of our own is set only where none is named, as in tests.
+    Where none is named, a local session gets a temporary folder; a cluster, whose executors could not
+    see one, gets an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """The name, with underscores behind it until it is none of those taken (case does not tell names apart)."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def attach(rows: DataFrame, found: DataFrame, on: list[str], count: str | None = None, total: int | None = None, like: DataFrame | None = None) -> DataFrame:
+    """rows with the columns of found, which has each key (no nulls) once; rows without a key of found go.
+
+    A key that holds more than 1 / (SHARES * partitions) of rows is frequent: at most SHARES * partitions
+    keys are, so their list is broadcast. The rows of a frequent key are dealt over as many tasks as it has
+    such shares, and its row of found goes to each of them. count names the column of found, if there is one, that says
+    how many rows have its key; it is not returned. Else keys are counted in like, a cheaper table with the
+    same keys, or in rows. rows is counted unless total says how many they are."""
+    total = rows.count() if total is None else total
+    least = max(MANY, total // (SHARES * partitions(rows.sparkSession)))
+    if total <= least:
+        return rows.join(found.drop(count) if count else found, on)
+    per = (rows if like is None else like).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")) if count is None else found.withColumnRenamed(count, "_n")
+    hot = F.broadcast(per.where(F.col("_n") > least).select(*[F.col(c).alias(f"_hot_{c}") for c in on], F.ceil(F.col("_n") / least).cast("int").alias("_tasks")))
+
+    def dealt(df: DataFrame, deal: Column) -> DataFrame:
+        met = df.join(hot, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_hot_{c}") for c in on]), "left")
+        return met.withColumn("_task", deal).drop("_tasks", *[f"_hot_{c}" for c in on])
+
+    left = dealt(rows, F.when(F.col("_tasks").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_tasks"))).otherwise(0).cast("int"))
+    right = dealt(found.drop(count) if count else found, F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1)))
+    return left.join(right, [*on, "_task"]).drop("_task")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,8 +10,9 @@ The benchmark is taken in blocks of bounded size, each broadcast in turn, so it
 
 Defined cases: words are runs of 0-9, a-z (A-Z lower-cased) and anything outside ASCII. A null or
 wordless text has no words and no match. An item of fewer words than a window, but not none, is one
-window. An item of null id matches under the id ``null``. Repeated items and rows are all counted;
-extra columns of documents are carried through untouched.
+window. An item of null id matches under the id ``null``. Repeated items and rows are all counted. A very
+long text is searched as a whole, as a shard of its own. Extra columns of documents, of any name, are carried
+through untouched; those of benchmark are not read. Empty tables match nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, fresh
 
 #: Word bytes stay (A-Z lower-cased), all others become spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -172,24 +173,26 @@ def search_shard(texts: list[bytes | None], tests: TestSuffixes) -> tuple[list[i
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of docs with ``_n_words`` and ``_spans``: word spans that match benchmark text verbatim
-    for a window or more, each with the item's id; adjoining windows of one item are one span."""
+    """The rows of docs with two last columns, ``_n_words`` and ``_spans`` (underscores follow where docs has
+    columns of these names): word spans that match benchmark text verbatim for a window or more, each with the
+    item's id; adjoining windows of one item are one span."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_spans", SPAN)])
+    names = [fresh(docs.columns, n) for n in ("_n_words", "_spans")]
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], SPAN)])
     out = docs
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
         tests = spark.sparkContext.broadcast(TestSuffixes([(r["item"], bytes(r["text"])) for r in block], window))
         if b:
             out = cut(out)
-        out = out.mapInArrow(_searcher(tests, b > 0), schema)
+        out = out.mapInArrow(_searcher(tests, b > 0, names), schema)
     return out
 
 
-def _searcher(tests, again: bool):
+def _searcher(tests, again: bool, new: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             text = whole.column(whole.schema.get_field_index("text"))
@@ -208,7 +211,7 @@ def _searcher(tests, again: bool):
                     columns = columns[:-2]
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.string())]))
                 found = pa.array([[{"start": s, "end": e, "item": i} for s, e, i in x] for x in spans], kind)
-                names = [*whole.schema.names[: len(columns)], "_n_words", "_spans"]
+                names = [*whole.schema.names[: len(columns)], *new]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), found], names=names)
 
     return run
@@ -225,7 +228,8 @@ def covered(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs that match no window of the benchmark, with their own columns."""
-    return find_matches(docs, benchmark, window).where(F.size("_spans") == 0).drop("_n_words", "_spans")
+    found = find_matches(docs, benchmark, window)
+    return found.where(F.size(F.col(found.columns[-1])) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_decontamination(spark, sf_dir):

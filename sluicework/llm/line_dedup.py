@@ -11,8 +11,11 @@ earlier copy exists: maximal runs are the union of the shortest such runs from e
 backward, and those are what is named and compared. Earlier means a smaller doc_id (null first), then
 text hash, then line.
 
-Defined cases: a null text stays null. Lines without a word take no part and are never deleted. A text of which every line with a word is deleted leaves with its row. Rows equal in
-doc_id and text are one document and all get its result. Extra columns are carried through.
+Defined cases: a null text stays null and an empty one empty. Lines without a word take no part and are
+never deleted. A text of which every line with a word is deleted leaves with its row. Rows equal in doc_id
+and text are one document and all get its result; of equal texts under several doc_ids the smallest stays.
+A very long text is one row, whose lines spread over the tasks like all others. Extra columns of any name
+are carried through. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, running
+from .common import attach, cut, fresh, running
 from .quality_rules import let, words_of
 
 #: Words of the shortest run that is deleted.
@@ -64,8 +67,9 @@ def _with_runs(lines: Column, least: int) -> Column:
 
 
 def _repeated(ranked: DataFrame, pair: list[str]) -> DataFrame:
-    """The values of the pair that occur twice or more, each with its place in the order of such values."""
-    twice = ranked.groupBy(*pair).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    """The values of the pair that occur twice or more, each with its place in the order of such values and
+    how often it occurs (c)."""
+    twice = ranked.groupBy(*pair).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     return cut(running(twice, [], pair, {}, "rank"))
 
 
@@ -76,7 +80,9 @@ def find_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ids = keyed.select(F.explode(_lines(F.col("text"))).alias("x")).select("x.h1", "x.h2")
     rank0 = _repeated(ids, ["h1", "h2"])
     lines = keyed.select(*_DOC, F.explode(_with_runs(_lines(F.col("text")), min_words)).alias("x")).select(*_DOC, "x.*")
-    lines = cut(lines.join(rank0, ["h1", "h2"]).drop("h1", "h2"))
+    total = rank0.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    lines = attach(lines, rank0, ["h1", "h2"], "c", total).drop("h1", "h2")
+    lines = cut(lines.dropDuplicates([*_DOC, "j"]))  # repeated rows are one document
 
     onward = lines.where("ahead is not null").select(*_DOC, F.col("j").alias("s"), F.col("ahead").alias("m"), F.col("i").alias("start"), "end")
     backward = lines.where("back is not null").select(*_DOC, (F.col("j") - F.col("back") + 1).alias("s"), F.col("back").alias("m"), "start", F.col("i").alias("end"))
@@ -100,16 +106,17 @@ def find_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         on = ranks.select(*[F.col(c).alias(f"{c}2") for c in _DOC], (F.col("j") - size).alias("j2"), F.col("rank").alias("r2"))
         pairs = ranks.join(on, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")) & (F.col("j") == F.col("j2"))).select(*_DOC, "j", F.col("rank").alias("r1"), "r2")
         pairs = cut(pairs)
-        ranks = cut(pairs.join(_repeated(pairs, ["r1", "r2"]), ["r1", "r2"]).select(*_DOC, "j", "rank"))
+        ranks = cut(attach(pairs, _repeated(pairs, ["r1", "r2"]), ["r1", "r2"], "c").select(*_DOC, "j", "rank"))
         level += 1
         if ranks.isEmpty():
             break
     every = named[0]
     for n in named[1:]:
         every = every.unionByName(n)
+    every = cut(every)
     place = F.struct(F.col("_d").alias("d"), F.col("_h").alias("h"), F.col("s").alias("s"))
-    firsts = every.groupBy("m", "r1", "r2").agg(F.min(place).alias("_first"))
-    later = every.join(firsts, ["m", "r1", "r2"]).where(place > F.col("_first"))
+    firsts = every.groupBy("m", "r1", "r2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    later = attach(every, firsts, ["m", "r1", "r2"], "c").where(place > F.col("_first"))
     return later.groupBy(*_DOC).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
 
@@ -126,21 +133,21 @@ def _merged(runs: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with later copies of repeated runs cut from text, and ``_removed``, the number
-    of lines cut. Rows of which nothing with a word is left are not returned."""
-    runs = find_runs(docs, min_words).select("_d", "_h", F.transform("runs", lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end"))).alias("_runs"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")), "left")
-    lines = F.split("text", "\n", -1)
+    of lines cut, as last column (with underscores behind its name where docs has a column of that name).
+    Rows of which nothing with a word is left are not returned."""
+    runs = find_runs(docs, min_words).select("_d", "_h", F.transform("runs", lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end"))).alias("runs"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("key"))
+    joined = keyed.join(runs, F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_h")), "left")
+    lines = F.split("row.text", "\n", -1)
 
     def kept(all_runs: Column) -> Column:
         return F.filter(lines, lambda x, i: ~x.rlike(HAS_WORD) | ~F.exists(all_runs, lambda r: (i >= r["start"]) & (i <= r["end"])))
 
-    cut_lines = let(_merged(F.col("_runs")), kept)
-    left = joined.withColumn("_left", F.when(F.col("_runs").isNotNull(), cut_lines))
-    text = F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
-    removed = F.coalesce(F.size(lines) - F.size("_left"), F.lit(0)).cast("long")
-    some = F.col("_left").isNull() | F.exists("_left", lambda x: x.rlike(HAS_WORD))
-    return left.where(some).select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("_left").isNull(), F.lit(0).cast("long")).otherwise(removed).alias("_removed"))
+    left = joined.select("row", F.when(F.col("runs").isNotNull(), let(_merged(F.col("runs")), kept)).alias("left"))
+    text = F.when(F.col("left").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))
+    removed = F.when(F.col("left").isNull(), 0).otherwise(F.size(lines) - F.size("left")).cast("long")
+    some = F.col("left").isNull() | F.exists("left", lambda x: x.rlike(HAS_WORD))
+    return left.where(some).select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], removed.alias(fresh(docs.columns, "_removed")))
 
 
 def op10_line_dedup(spark, sf_dir):

@@ -7,12 +7,15 @@ them by dual coordinate descent. A logistic curve fitted to margins of rows that
 seen turns margins into scores.
 
 The counts cover every labelled training row; the descent runs in one task on a sample of about
-``FIT_ROWS`` of them, drawn by hash, with every n-gram of their whole texts.
-
-Defined cases: a null or empty text has no n-grams and gets the score of a margin equal to the bias.
-Labels other than 0 and 1, and null ones, are ignored; a row with several labels is counted for each.
-A null doc_id is never labelled and not held out. With fewer than two labels in the training rows,
-every score is their mean (0.5 without any).
+``FIT_ROWS`` of them, fewer where their n-grams would take more than ``FIT_BYTES``, drawn by the hash of
+doc_id and text, with every n-gram of their whole texts.
+
+Defined cases: a null or empty text has no n-grams and gets the score of a margin equal to the bias. A very
+long text has at most BUCKETS distinct n-grams and is read as a whole. Labels other than 0 and 1, and null
+ones, are ignored; a row with several labels is counted for each, a repeated row each time (its copies are
+drawn together). A null doc_id is never labelled and not held out. With fewer than two labels in the
+training rows, every score is their mean (0.5 without any); an empty table has no scores. Extra columns, of
+any name, are carried through.
 """
 
 from __future__ import annotations
@@ -24,12 +27,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import fresh
 
 BUCKETS = 1 << 18
 #: n-gram lengths in bytes.
 ORDERS = (2, 3, 4)
 #: Labelled rows that the descent is fitted to, about; a quarter of them sets the logistic curve.
 FIT_ROWS = 12_000
+#: Bytes of their n-grams, about; one row has at most 4 * BUCKETS.
+FIT_BYTES = 256 << 20
 #: Labels are broadcast up to this number of rows (of 12 bytes); beyond it both sides are shuffled.
 BROADCAST_LABELS = 1_000_000
 EPOCHS, COST = 8, 1.0
@@ -58,7 +66,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     labels = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
     if labels.count() <= BROADCAST_LABELS:
         labels = F.broadcast(labels)
-    return docs.join(labels, docs.doc_id == labels._id).select("_id", "_y", F.col("text").cast("binary").alias("_text"))
+    return docs.select("doc_id", F.col("text").cast("binary").alias("_text")).join(labels, F.col("doc_id") == F.col("_id")).select("_id", "_y", "_text")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +76,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             counts[y, features(t)] += 1
             rows[y] += 1
+    if not rows.any():
+        return
     parts = counts.reshape(2, _CHUNKS, -1)
     yield pa.RecordBatch.from_arrays(
         [pa.array(range(_CHUNKS), pa.int32()), *[pa.array([parts[y, c].tobytes() for c in range(_CHUNKS)], pa.binary()) for y in (0, 1)], *[pa.array([int(rows[y])] * _CHUNKS, pa.int64()) for y in (0, 1)]],
@@ -167,8 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
         a, b = fit_curve(margin, y[rest])
         return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "bias": [bias], "a": [a], "b": [b]})
 
-    share = min(1.0, fit_rows / (n0 + n1))
-    drawn = rows.withColumn("_h", F.xxhash64("_id", "_text")).where(F.pmod("_h", F.lit(1 << 20)) < int(share * (1 << 20)))
+    seen = int(sum(h.sum() - BUCKETS for h in have))  # n-grams of all rows, each of four bytes
+    share = min(1.0, fit_rows / (n0 + n1), FIT_BYTES / max(1, 4 * seen))
+    drawn = rows.withColumn("_h", F.xxhash64("_id", "_text"))
+    if share < 1:
+        drawn = drawn.where(F.col("_h") < int(share * 2.0**64) - (1 << 63))
     got = drawn.select("_h", "_y", "_text").mapInArrow(extract, "h long, y int, f binary").groupBy(F.lit(0).alias("g")).applyInPandas(fit, "w binary, bias double, a double, b double").collect()
     shared.unpersist()
     if not got:
@@ -178,7 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """The rows of docs with a further double column, higher where label 1 is likelier."""
+    """The rows of docs with a last double column, higher where label 1 is likelier; underscores follow its
+    name where docs has a column of that name."""
+    name = fresh(docs.columns, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +201,6 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             texts = b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(texts), pa.float64())], names=[*b.schema.names, name])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 

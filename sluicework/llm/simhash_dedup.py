@@ -10,17 +10,21 @@ The variants are dealt out by their leading bits: a fingerprint travels once to
 half the radius of its own, and its variants under that prefix are made in the task that groups them.
 Prefixes with too many variants are split further, bit by bit, so no group grows with the data.
 Equal fingerprints are one before they are emitted; components are found by alternating star
-contraction over the links, in Spark.
+contraction over the links, in Spark. Wherever rows look up what belongs to their fingerprint or group,
+a frequent one is dealt over many tasks.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other. Fewer
 words than a shingle: the whole sequence is one shingle. Null doc_ids take part; a component's id is
-its smallest doc_id that is not null. Repeated rows are all returned.
+its smallest doc_id that is not null. Repeated rows are all returned. A very long text is hashed as a
+whole, in one task; its votes are counted in blocks. Only doc_id, text and the named keys are read, so
+further columns may have any name. An empty table gives an empty one.
 
 Deduplication at a shingle similarity of 0.8 needs more than 64 bits: such texts differ in some 15 in
 100 bits. There a fingerprint has WORDS words of WORD_BITS bits over the distinct shingles, each word
 is hashed by its ball on its own, and colliding pairs are verified by all bits and then by the exact
-Jaccard similarity of their shingle sets, so that no family of related texts grows together by chance. What fingerprints or heads miss is found
-by an exact join over the rarest shingles of each text, so groups are those of all similar pairs.
+Jaccard similarity of their shingle sets, so that no family of related texts grows together by chance.
+What fingerprints or heads miss is found by an exact join over the rarest shingles of each text, so groups
+are those of all similar pairs.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import attach, cut
 
 #: Variants that one group makes at most before its prefix is split.
 GROUP_VARIANTS = 4_000_000
@@ -49,8 +53,6 @@ WORDS, WORD_BITS, WORD_RADIUS = 32, 32, 2
 WORD_PREFIX = 12
 #: Shingle hashes that a task holds before it passes them on.
 HELD = 1_000_000
-#: Tasks over which the candidates of one fingerprint are spread for verification.
-SPREAD = 8
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> bytes:
@@ -183,35 +185,37 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (longs). Every node that has an edge, with the smallest node of its component (columns node, root).
 
-    Alternating large-star and small-star contraction; each round is written once.
+    Alternating large-star and small-star contraction; each round is written once. The edges of a node that
+    has many are dealt over several tasks.
     """
     edges = cut(edges.where("a <> b"))
-    seen = None
+    n, seen = edges.count(), None
     while True:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("c"))
+        large = cut(attach(both, low, ["a"], "c", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = down.join(least, down.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = attach(down, least, ["a"], "c", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         edges = cut(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        seen = now
+        n, seen = now[0], now
 
 
 def group_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The key columns (doc_id among them), fp (long) and component_id, the smallest doc_id reachable
     over links, for every row of docs."""
-    fps = cut(fingerprints(docs, shingle, keys=keys))
-    one = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("_least")))
+    own = [f"k_{i}" for i in range(len(keys))]
+    rows = docs.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], "text")
+    fps = cut(fingerprints(rows, shingle, keys=tuple(own)))
+    one = cut(fps.groupBy("fp").agg(F.min(own[keys.index("doc_id")]).alias("least"), F.count(F.lit(1)).alias("c")))
     rooted = components(links(one.select("fp"), radius))
-    named = one.join(rooted, one.fp == rooted.node, "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy(F.col("root").alias("_r")).agg(F.min("_least").alias("component_id"))
-    named = named.join(least, F.col("root") == F.col("_r"))
-    named = named.select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(named, fps.fp == named._fp).select(*keys, "fp", "component_id")
+    named = cut(one.join(rooted, one.fp == rooted.node, "left").select("fp", "least", "c", F.coalesce("root", "fp").alias("root")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = attach(named, least, ["root"], "n").select("fp", "component_id", "c")
+    return attach(fps, named, ["fp"], "c").select(*[F.col(o).alias(k) for k, o in zip(keys, own)], "fp", "component_id")
 
 
 def op6_simhash_dedup(spark, sf_dir):
@@ -378,46 +382,65 @@ def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
     dealt = heads.mapInPandas(spread, "place int, prefix int, word long, head long, left int")
     met = dealt.groupBy("place", "prefix").applyInPandas(meet, "a long, b long")
     candidates = cut(same_word.unionAll(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    bits = distinct.select("id", "bits")
-    right = candidates.join(bits.select(F.col("id").alias("b"), F.col("bits").alias("_right")), "b").withColumn("_salt", F.pmod("b", F.lit(SPREAD)).cast("int"))
-    left = bits.select(F.col("id").alias("a"), F.col("bits").alias("_left"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"))
-    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("_left")[i].bitwiseXOR(F.col("_right")[i])) for i in range(WORDS * WORD_BITS // 64)])
-    return verified(right.join(left, ["a", "_salt"]).where(differing <= most_differing_bits(similarity)).select("a", "b"), distinct, similarity)
+    both = _with_both(candidates, distinct.select("id", "bits"), "bits")
+    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(WORDS * WORD_BITS // 64)])
+    return verified(both.where(differing <= most_differing_bits(similarity)).select("a", "b"), distinct, similarity)
+
+
+def _with_both(pairs: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b), cut, with the column of a's row and of b's row in found (id, column)."""
+    n = pairs.count()
+    side = lambda x: found.select(F.col("id").alias(x), F.col(column).alias(f"{column}_{x}"))
+    return attach(attach(pairs, side("b"), ["b"], total=n), side("a"), ["a"], total=n, like=pairs)
 
 
 def verified(pairs: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; near: as comparable_sets."""
-    right = pairs.join(near.select(F.col("id").alias("b"), F.struct("n", "shared").alias("_right")), "b").withColumn("_salt", F.pmod("b", F.lit(SPREAD)).cast("int"))
-    left = near.select(F.col("id").alias("a"), F.struct("n", "shared").alias("_left"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"))
-    common = F.size(F.array_intersect("_left.shared", "_right.shared"))
-    enough = common >= _least_common(F.col("_left.n") + F.col("_right.n"), similarity / (1 + similarity))
-    return right.join(left, ["a", "_salt"]).where(enough).select("a", "b")
+    both = _with_both(cut(pairs), near.select("id", F.struct("n", "shared").alias("set")), "set")
+    common = F.size(F.array_intersect("set_a.shared", "set_b.shared"))
+    enough = common >= _least_common(F.col("set_a.n") + F.col("set_b.n"), similarity / (1 + similarity))
+    return both.where(enough).select("a", "b")
 
 
-def group_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The key columns of docs (doc_id among them) and component_id, the smallest doc_id reachable over
-    links of texts whose shingle sets are as similar as asked.
+def _grouped(docs: DataFrame, keys: list[str], similarity: float, shingle: int) -> DataFrame:
+    """docs: keys, text. Every row's keys and ``first``, the least keys of its group (nulls last, as a struct).
 
     Sets are made anew from the texts where they are asked for: they take more room than the texts."""
-    ids = cut(shingle_sets(docs, shingle, keys, True).select(*keys, "id", "bits"))
-    least = ids.groupBy("id").agg(F.min("doc_id").alias("_least"))
+    ids = cut(shingle_sets(docs, shingle, tuple(keys), True).select(*keys, "id", "bits"))
+    order = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
+    least = ids.groupBy("id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("c"))
     near = comparable_sets(shingle_sets(docs, shingle, ()), similarity)
     distinct = cut(near.join(ids.select("id", "bits").dropDuplicates(["id"]), "id"))
     links = exact_links(near, cut(long_links(distinct, similarity)), similarity)
-    named = least.join(components(links), F.col("id") == F.col("node"), "left").select("id", "_least", F.coalesce("root", "id").alias("root"))
+    named = least.join(components(links), F.col("id") == F.col("node"), "left").select("id", "first", "c", F.coalesce("root", "id").alias("root"))
     named = cut(named)
-    least = named.groupBy(F.col("root").alias("_r")).agg(F.min("_least").alias("component_id"))
-    named = named.join(least, F.col("root") == F.col("_r")).select(F.col("id").alias("_id"), "component_id")
-    return ids.join(named, ids.id == named._id).select(*keys, "component_id")
+    least = named.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = cut(attach(named.drop("first"), least, ["root"], "n").select("id", "first", "c"))
+    return attach(ids.drop("bits"), named, ["id"], "c").drop("id")
+
+
+def group_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The key columns of docs (doc_id among them) and component_id, the smallest doc_id reachable over
+    links of texts whose shingle sets are as similar as asked."""
+    own = {k: f"k_{i}" for i, k in enumerate(sorted(keys, key="doc_id".__ne__))}
+    rows = docs.select(*[F.col(k).alias(o) for k, o in own.items()], "text")
+    out = _grouped(rows, list(own.values()), similarity, shingle)
+    return out.select(*[F.col(own[k]).alias(k) for k in keys], F.col("first.k_0").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of docs without those that are near duplicates of one with a smaller doc_id.
+    """The rows of docs less all but one of each group of near duplicates: the smallest doc_id stays, of
+    rows with that doc_id (or, where the group has none, without one) the smallest text hash, and one of the
+    rows that are equal in both.
 
-    Texts without a word are not compared and all stay, as do rows of one doc_id, and rows without a
-    doc_id that resemble no row that has one."""
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    Texts without a word are not compared and all stay. Extra columns of any name are carried through."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
     comparable = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    grouped = group_similar(keyed.where(comparable), similarity, shingle, ("doc_id", "_text_hash"))
-    gone = grouped.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.col("_text_hash").alias("_h")).distinct()
-    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_text_hash").eqNullSafe(F.col("_h")), "left_anti").select(*docs.columns)
+    grouped = _grouped(keyed.where(comparable).select("d", "h", "text"), ["d", "h"], similarity, shingle)
+    per = grouped.groupBy("d", "h").agg(F.count(F.lit(1)).alias("n"), F.max(~(F.col("d").eqNullSafe(F.col("first.d")) & (F.col("h") == F.col("first.h")))).alias("gone"))
+    marked = cut(per.where("gone or n > 1").select(F.col("d").alias("d2"), F.col("h").alias("h2"), "gone"))
+    on = F.col("d").eqNullSafe(F.col("d2")) & F.col("h").eqNullSafe(F.col("h2"))
+    single = keyed.join(marked, on, "left_anti").select("row.*")
+    repeated = keyed.join(marked.where("not gone"), on, "left_semi").dropDuplicates(["d", "h"]).select("row.*")
+    return single.unionByName(repeated)

@@ -68,13 +68,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", keys
     expressions = F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
     rows = rows.withColumn("_expr", F.explode_outer(expressions)).withColumn("_digest", F.sha2("_expr", 256)).drop("_expr")
     rows = rows.withColumn("_s", F.substring("_digest", 1, SHORT))
+    # the join knows short prefixes alone; what it lets through is confirmed by the full digest
     if small:
-        met = rows.join(F.broadcast(rules), (F.col("_s") == F.col("_short")) & (F.col("_digest") == F.col("_full")), "left")
+        met = rows.join(F.broadcast(rules), F.col("_s") == F.col("_short"), "left")
     else:
         rows = rows.withColumn("_salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int"))
         rules = rules.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rows.join(rules, (F.col("_s") == F.col("_short")) & (F.col("_salt") == F.col("_rsalt")) & (F.col("_digest") == F.col("_full")), "left")
-    hit = F.when(F.col("_rule").isNotNull(), F.struct(F.length("_rule").alias("n"), F.col("_rule").alias("rule"), F.col("_action").alias("action")))
+        met = rows.join(rules, (F.col("_s") == F.col("_short")) & (F.col("_salt") == F.col("_rsalt")), "left")
+    hit = F.when(F.col("_digest") == F.col("_full"), F.struct(F.length("_rule").alias("n"), F.col("_rule").alias("rule"), F.col("_action").alias("action")))
     group = ["_row", *[f"k_{i}" for i in range(len(keys))], "_host", "_path"]
     best = met.groupBy(*group).agg(F.max(hit).alias("_hit"))
     return best.select(

@@ -4,6 +4,19 @@ import random
 import re
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fp long, item string, _n_words int"
+#: Names that the operators use, or used, inside.
+CLASHES = ["_key", "_h", "_d", "_runs", "_left", "_removed", "_text_hash", "_spans", "_score", "row", "key", "left", "runs", "id", "bits", "hashes", "root", "first", "token", "n", "c", "m", "h", "d", "rid", "_task", "_id", "_y", "block", "part", "label", "score", "d2", "_n", "k_0"]
+
+
+def with_clashes(docs):
+    """docs with a string column of every such name, each with its own value in every row."""
+    from pyspark.sql import functions as F
+
+    return docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in CLASHES])
+
+
+def clashes_kept(rows):
+    return all(r[c] == f"{c}:{'?' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
 
 
 def words(rng, n, size=40):

@@ -5,7 +5,7 @@ import pytest
 
 from sluicework.llm import decontamination as D
 
-from .helpers import ascii_lower, documents, empty, words
+from .helpers import ascii_lower, clashes_kept, documents, empty, with_clashes, words
 
 PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -56,3 +56,16 @@ def test_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(empty(spark).drop("_n_words"), bench).count() == 0
     assert D.decontaminate(documents(spark).drop("_n_words"), bench).count() == documents(spark).count()
+
+
+def test_columns_of_any_name_are_carried_through(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 400)
+    docs = with_clashes(documents(spark))
+    bench = spark.createDataFrame([(i, r.text[:200]) for i, r in enumerate(docs.where("doc_id > 8").collect()) if r.text], "item_id long, text string")
+    found = D.find_matches(docs, bench)
+    assert found.columns == [*docs.columns, "_n_words_", "_spans_"]
+    rows = found.collect()
+    assert clashes_kept(rows) and sum(r._n_words == 7 for r in rows) >= len(rows) - 2 and any(r["_spans_"] for r in rows)
+    kept = D.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(not r["_spans_"] for r in rows)
+    assert D.decontaminate(with_clashes(empty(spark)), bench).count() == 0

@@ -4,7 +4,9 @@ import pytest
 
 from sluicework.llm import line_dedup as D
 
-from .helpers import documents, empty, words
+from sluicework.llm import common
+
+from .helpers import clashes_kept, documents, empty, with_clashes, words
 
 
 def brute(rows, least):
@@ -53,3 +55,25 @@ def test_awkward_rows(spark):
     rows = out.collect()
     assert sum(r.text is None for r in rows) == 2 and all("_" not in (r.text or "") for r in rows)
     assert D.dedup_lines(empty(spark)).count() == 0
+
+
+def test_columns_of_any_name_are_carried_through(spark):
+    docs = with_clashes(documents(spark))
+    out = D.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "_removed_"]
+    rows = out.collect()
+    assert clashes_kept(rows) and any(r._removed_ for r in rows)
+    plain = D.dedup_lines(documents(spark)).collect()
+    assert sorted(repr((r.doc_id, r.text, r._removed_)) for r in rows) == sorted(repr((r.doc_id, r.text, r._removed)) for r in plain)
+
+
+def test_a_very_common_line_and_a_row_in_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(common, "MANY", 4)  # frequent keys in so small a table
+    rng = random.Random(3)
+    common_line = words(rng, 6, 900)
+    rows = [(i, "\n".join([words(rng, 5, 10**6), common_line, words(rng, 5, 10**6)])) for i in range(120)]
+    rows += [(7, rows[7][1])] * 60 + [(500 + i, common_line) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted({(r.doc_id, r.text, r._removed) for r in D.dedup_lines(docs).collect()})
+    want = [(0, rows[0][1], 0)] + [(i, "\n".join(rows[i][1].split("\n")[::2]), 1) for i in range(1, 120)]
+    assert got == want and D.dedup_lines(docs).count() == 180

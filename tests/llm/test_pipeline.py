@@ -3,7 +3,7 @@ import random
 import corpus_pipeline as C
 from sluicework.llm import simhash_dedup as S
 
-from .helpers import documents, words
+from .helpers import clashes_kept, documents, empty, with_clashes, words
 
 
 def test_stages_on_a_small_corpus(spark, tmp_path):
@@ -47,3 +47,19 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     left = [r.doc_id for r in kept.collect()]
     assert 7 in left and 8 not in left and 9 not in left
     assert sum(d is None for d in left) == 1  # the copy without an id goes, the null text stays
+
+
+def test_every_stage_bears_awkward_rows_empty_tables_and_columns_of_any_name(spark, tmp_path):
+    docs = with_clashes(documents(spark))
+    labels = [(i, int(i % 3 > 0), 0) for i in range(40)] + [(None, 1, 0), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c " * 9), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and clashes_kept(rows), name
+        assert stage(spark, with_clashes(empty(spark)), str(tmp_path)).count() == 0, name
+    bare = C.lines(spark, docs.select("doc_id", "text"), str(tmp_path))
+    assert bare.columns == ["doc_id", "text"]
+    assert C.packed(spark, docs, str(tmp_path)).count() == docs.count()

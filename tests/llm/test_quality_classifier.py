@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sluicework.llm import quality_classifier as Q
 
-from .helpers import empty, words
+from .helpers import clashes_kept, empty, with_clashes, words
 
 
 def corpus(spark, n=400):
@@ -37,3 +37,20 @@ def test_no_labels_and_empty(spark):
     assert {r.score for r in Q.score(docs, Q.train(docs, labels.where("quality = 1"))).collect()} == {1.0}
     none = empty(spark).select("doc_id", "text")
     assert Q.score(none, Q.train(none, labels)).count() == 0
+
+
+def test_columns_of_any_name_are_carried_through(spark):
+    docs, labels = corpus(spark, 60)
+    docs = with_clashes(docs)
+    out = Q.score(docs, Q.train(docs, labels))
+    assert out.columns == [*docs.columns, "score_"] and clashes_kept(out.collect())
+
+
+def test_the_sample_keeps_both_bounds(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    for rows, size in ((80, Q.FIT_BYTES), (10**6, 40_000)):
+        monkeypatch.setattr(Q, "FIT_BYTES", size)
+        model = Q.train(docs, labels, fit_rows=rows)
+        assert model.constant is None
+        held = [r for r in Q.score(docs.where("doc_id < 400"), model).collect()]
+        assert sum((r.score >= 0.5) == (r.doc_id % 5 != 0) for r in held) > 380

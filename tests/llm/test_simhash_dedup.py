@@ -5,7 +5,9 @@ import xxhash
 
 from sluicework.llm import simhash_dedup as S
 
-from .helpers import documents, empty
+from sluicework.llm import common
+
+from .helpers import clashes_kept, documents, empty, with_clashes
 
 
 def plain_fingerprint(t):
@@ -115,7 +117,8 @@ def test_texts_as_similar_as_asked_are_grouped_and_others_are_not(spark):
     assert len(close) > 40 and sum(got[b] == a for a, b, _ in close) >= 0.97 * len(close)
     apart = [p for p in pairs if p[2] < 0.7]
     assert len(apart) > 20 and all(got[a] == a and got[b] == b for a, b, _ in apart)
-    assert sum(got[len(texts) + i] == len(texts) for i in range(len(family))) >= 0.97 * len(family)
+    want = exact_components(family)
+    assert [got[len(texts) + i] - len(texts) for i in range(len(family))] == want and want.count(0) > 140
 
 
 def test_no_rows_to_compare(spark):
@@ -173,3 +176,31 @@ def test_groups_are_those_of_all_similar_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in S.group_similar(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_frequent_fingerprints_and_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "MANY", 4)
+    rng = random.Random(6)
+    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(120))
+    texts = [base] * 90 + [None, "", "  "] * 20 + [" ".join(f"w{rng.randrange(3000)}" for _ in range(40)) for _ in range(40)] + [edited(rng, base, 0.004) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.group_near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components(list(range(len(texts))), [plain_fingerprint(t) for t in texts])
+    alike = {r.doc_id: r.component_id for r in S.group_similar(docs.where("trim(text) <> ''")).collect()}
+    some = [i for i, t in enumerate(texts) if t and t.strip()]
+    want = exact_components([texts[i] for i in some])
+    assert [alike[i] for i in some] == [some[w] for w in want]
+
+
+def test_one_row_of_each_group_stays_with_columns_of_any_name(spark):
+    docs = with_clashes(documents(spark))
+    kept = S.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert clashes_kept(rows) and all(r._n_words == 7 for r in rows if r.doc_id is not None)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text, "a"), (5, text, "b"), (5, text + " end", "c"), (6, text, "d"), (None, text, "e"), (None, "w " + text.upper(), "f"), (5, "other words of the same number", "g")]
+    none = [(None, text[::-1], "h"), (None, text[::-1] + " z", "i"), (None, text[::-1], "j"), (None, None, "k"), (None, "", "l"), (None, None, "m")]
+    out = S.drop_near_duplicates(spark.createDataFrame(rows + none, "doc_id long, text string, id string")).collect()
+    assert len(out) == 6 and sum(r.doc_id == 5 and r.text.startswith("w0") for r in out) == 1
+    assert {r.id for r in out} >= {"g", "k", "l", "m"} and sum(r.id in "hij" for r in out) == 1
