@@ -16,30 +16,54 @@ from sluicework.llm.common import cut
 LEAST_SCORE = 0.3
 
 
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects; it learns from the labelled ones among them."""
+    """Drops documents that the classifier rejects; it learns from the labelled ones among them.
+
+    Null and empty texts get the score of a text without n-grams, so they stay or go together; repeated rows
+    are scored each, and ties with LEAST_SCORE stay. Very long texts are scored whole. Without labels nothing
+    is rejected. An empty table stays empty, extra columns of any name stay."""
     model = quality_classifier.train(docs.where(~quality_classifier.held_out(F.col("doc_id"))), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model, "_score").where(F.col("_score") >= LEAST_SCORE).drop("_score")
+    scored = quality_classifier.score(docs, model)
+    return scored.where(F.col(scored.columns[-1]) >= LEAST_SCORE).select(*_own(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts later copies of repeated runs of lines; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).drop("_removed")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Cuts later copies of repeated runs of lines; n_chars, where documents has it, follows the text.
+
+    Null and empty texts stay as they are. Of documents with equal runs the smallest doc_id keeps them, and a
+    document of which no word is left goes; repeated rows share one result. A very long text is one document
+    like others. An empty table stays empty, extra columns of any name stay."""
+    out = line_dedup.dedup_lines(docs).select(*_own(docs))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (0.8 of five-word shingles) the document with the smallest doc_id."""
+    """Keeps one document of each group of near duplicates (0.8 of five-word shingles): the smallest doc_id.
+
+    Null, empty and wordless texts are in no group and stay. Of rows with the same doc_id the smallest text
+    hash stays, of repeated rows one; groups without any doc_id keep one row. Very long texts are compared by
+    all their shingles. An empty table stays empty, extra columns of any name stay."""
     return simhash_dedup.drop_near_duplicates(docs, similarity=0.8, shingle=5)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of benchmark text."""
+    """Drops documents that hold a window of benchmark text.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together; very long texts are searched
+    whole. Null benchmark texts match nothing. Empty tables drop nothing, extra columns of any name stay."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 2048 tokens."""
+    """Packs what is left into sequences of at most 2048 tokens.
+
+    A null or empty text is one piece of its end alone; a very long one is cut into pieces. Repeated rows are
+    packed each, and which of two equal pieces comes first is left open. An empty table gives no pieces; of
+    documents only doc_id and text are read."""
     return packing.pack(docs, packing.tokenizer_path()).drop("ids")
 
 
