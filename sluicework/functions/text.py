@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
-LINE = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])|[^\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]+$"
-TERMINATOR = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])$"
-SPACES = r"[\s   -​  　]+"
+LINE = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])|[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]+$"
+TERMINATOR = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])$"
+SPACES = r"[\s\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000]+"
 DOUBLED_WORDS = ("and", "or", "to", "of", "in", "on", "for", "the", "a", "an", "with", "by", "as", "at")
 ANAPHORA_WORDS = ("that", "this", "it", "these", "those", "them", "there", "then")
 CONVERSATION_PHRASES = (
@@ -97,12 +97,12 @@ def text_match(text: Column, wanted: Column) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    """Pieces that end after a newline, or after ``. ! ? ;`` and a space."""
-    return F.regexp_extract_all(text, F.lit(r"[^\n.!?;]*(?:[.!?;](?![ \n])[^\n.!?;]*)*(?:[.!?;](?= ) |[.!?;]?\n|[.!?;]?$)"), F.lit(0))
+    """Pieces that end after a newline, or after ``. ! ? ;`` before a space or newline; joined they are the text."""
+    return F.filter(F.split(text, r"(?<=\n)|(?<=[.!?;])(?=[ \n])", -1), lambda x: x != "")
 
 
 def normalize_query(raw: Column) -> Column:
-    s = F.regexp_replace(F.coalesce(raw, F.lit("")), r"[​‌‍]", "")
+    s = F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\u200b\u200c\u200d]", "")
     s = F.regexp_replace(s, rf"(?U)^{SPACES}|{SPACES}$", "")
     for pattern, to in (
         ("(?U)" + SPACES, " "),

@@ -3,6 +3,8 @@ elements folded, texts capped, section paths, and summaries of locations."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 # The default sizes.
 CHILD_TOKENS, CHILD_CHARS, OVERLAP_MIN, OVERLAP_MAX, OVERLAP, SEAM_REACH = 250, 1000, 200, 300, 250, 200
+CHILDREN, PARENT_TOKENS = (4, 8), 1800
 TRUNCATED = "\n…[truncated]"
 
 
@@ -29,29 +32,58 @@ def paragraph_runs(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     return lines.withColumn("_new", F.when(gap.isNull() | (gap >= 2), 1).otherwise(0)).withColumn("run", F.sum("_new").over(w).cast("long")).drop("_new")
 
 
-def _sentence_end(text: str, at: int) -> bool:
-    return text[at - 1] == "\n" or (at > 1 and text[at - 1] in " \n" and text[at - 2] in ".!?;")
-
-
-def windows(text: str, size: int = CHILD_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(start, end) of overlapping windows. An end moves back to a line end, else a sentence end, within
-    SEAM_REACH; the next start is a sentence end OVERLAP_MIN..OVERLAP_MAX before the end, else
-    ``overlap`` before it. A short tail joins the last window if that still fits."""
-    out, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + size)
-        if end < len(text):
-            reach = range(end, max(start, end - SEAM_REACH), -1)
-            end = next((p for p in reach if text[p - 1] == "\n"), None) or next((p for p in reach if _sentence_end(text, p)), end)
+SENTENCE_END = re.compile(r"\n|[.!?;](?=[ \n])")
+
+
+def sentence_seams(stream: str) -> list[int]:
+    """Places after a newline, and after ``. ! ? ;`` before a space or newline; the end of the text is none."""
+    return [m.end() for m in SENTENCE_END.finditer(stream) if m.end() < len(stream)]
+
+
+def _last(seams: list[int], low: int, high: int) -> int | None:
+    """The greatest of the ordered seams within low..high."""
+    i = bisect_right(seams, high) - 1
+    return seams[i] if i >= 0 and seams[i] >= low else None
+
+
+def window_spans(first: int, last: int, structural: list[int], sentence: list[int], atoms: list[tuple[int, int]] = (), chars: int = CHILD_CHARS, tokens: int = CHILD_TOKENS) -> list[tuple[int, int]]:
+    """Overlapping windows over the places first..last of a stream, by its ordered seams.
+
+    A window has at most ``chars`` characters and ``tokens`` tokens of four characters. Its end goes back to an
+    element's start, else a sentence end, within SEAM_REACH. The next one starts OVERLAP_MIN..OVERLAP_MAX before
+    that end, at the last sentence end there, else element's start, else OVERLAP before it; where that would
+    not move on, at the end itself. A tail that is shorter than OVERLAP_MAX, or follows a window that is, joins
+    it if the tokens allow. Atoms have windows of their own, several if they are too long for one."""
+    out, start, most = [], first, 4 * tokens + 3
+    while start < last:
+        atom = next(((a, z) for a, z in atoms if a <= start < z), None)
+        if atom:
+            if atom[1] - atom[0] <= most:
+                out.append(atom)
+            else:
+                out += [(at, min(last, at + min(chars, most))) for at in range(atom[0], atom[1], min(chars, most))]
+            start = atom[1]
+            continue
+        end = min(last, start + min(chars, most))
+        end = min([end, *(a for a, _ in atoms if a > start)])
+        low = max(start + 1, end - SEAM_REACH)
+        end = _last(structural, low, end) or _last(sentence, low, end) or end
+        if (last - end < OVERLAP_MAX or end - start <= OVERLAP_MAX) and last - start <= most:
+            end = last
         out.append((start, end))
-        if end >= len(text):
+        if end >= last:
             break
-        back = range(max(1, end - OVERLAP_MAX), max(1, end - OVERLAP_MIN + 1))
-        after = next((p for p in back if _sentence_end(text, p)), max(0, end - overlap))
+        low, high = max(first + 1, end - OVERLAP_MAX), end - OVERLAP_MIN
+        after = _last(sentence, low, high) or _last(structural, low, high) or max(first, end - OVERLAP)
         start = after if after > start else end
     return out
 
 
+def windows(text: str) -> list[tuple[int, int]]:
+    """The windows of a text that is one element."""
+    return window_spans(0, len(text), [], sentence_seams(text))
+
+
 def sliding_windows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, chunk_index, char_start, char_end, text of the windows of every text."""
     kind = docs.schema[key].dataType.simpleString()
@@ -64,6 +96,101 @@ def sliding_windows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk_index long, char_start long, char_end long, text string")
 
 
+def _streams(elements: DataFrame, doc: str, order: str, text: str, *more: Column) -> DataFrame:
+    """doc and the elements with a text as ``es``, an array in order."""
+    said = elements.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    return said.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), *more))).alias("es"))
+
+
+def _joined(texts: list[str]) -> tuple[str, list[int]]:
+    """The texts with a blank line between, and where each starts."""
+    starts, at = [], 0
+    for t in texts:
+        starts.append(at)
+        at += len(t) + 2
+    return "\n\n".join(texts), starts
+
+
+def element_windows(elements: DataFrame, doc: str, order: str, text: str = "text", atomic: Column | None = None) -> DataFrame:
+    """doc, win, w_start, w_end, text, first, last (order): windows over each document's stream of elements, and
+    the elements that a window overlaps. Elements for which ``atomic`` holds have windows of their own."""
+    kinds = {f.name: f.dataType.simpleString() for f in elements.schema.fields}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for d, es in zip(f[doc], f["es"]):
+                texts = [e["t"] for e in es]
+                stream, starts = _joined(texts)
+                atoms = [(a, a + len(t)) for a, t, e in zip(starts, texts, es) if e["alone"]]
+                for i, (a, z) in enumerate(window_spans(0, len(stream), starts[1:], sentence_seams(stream), atoms)):
+                    low = bisect_right(starts, a) - 1
+                    low += starts[low] + len(texts[low]) <= a
+                    rows.append((d, i, a, z, stream[a:z], es[min(low, len(es) - 1)]["o"], es[bisect_left(starts, z) - 1]["o"]))
+            yield pd.DataFrame(rows, columns=[doc, "win", "w_start", "w_end", "text", "first", "last"])
+
+    alone = (F.coalesce(atomic, F.lit(False)) if atomic is not None else F.lit(False)).alias("alone")
+    return _streams(elements, doc, order, text, alone).mapInPandas(run, f"{doc} {kinds[doc]}, win long, w_start long, w_end long, text string, first {kinds[order]}, last {kinds[order]}")
+
+
+def coalesce_run(texts: list[str], band: tuple[int, int] = CHILDREN, tokens: int = PARENT_TOKENS) -> list[tuple[int, int, int]]:
+    """(first, after, windows) of the parents of a run of blocks: as few parents as can be whose windows are
+    within the band (the last may have fewer) and whose text within the tokens, and of those the ones nearest
+    to the upper end of the band in sum. A block that fits nowhere is a parent alone."""
+    stream, starts = _joined(texts)
+    seams = sentence_seams(stream)
+    ends = [a + len(t) for a, t in zip(starts, texts)]
+    best: list[tuple | None] = [(0, 0, None, 0)] + [None] * len(texts)
+    for i in range(len(texts)):
+        if best[i] is None:
+            continue
+        for j in range(i + 1, len(texts) + 1):
+            size = ends[j - 1] - starts[i]
+            if j > i + 1 and max(1, size // 4) > tokens:
+                break
+            if j > i + 1 and j < len(texts) and size < (band[0] - 2) * (CHILD_CHARS - OVERLAP_MAX - SEAM_REACH):
+                continue  # too short for the least number of windows
+            n = len(window_spans(starts[i], ends[j - 1], starts[i + 1 : j], seams))
+            if j > i + 1 and not (n <= band[1] and (n >= band[0] or j == len(texts))):
+                continue
+            lone = not band[0] <= n <= band[1] and j < len(texts)
+            cost = (best[i][0] + 1 + lone * len(texts), best[i][1] + abs(band[1] - n), i, n)
+            if best[j] is None or cost[:2] < best[j][:2]:
+                best[j] = cost
+    out, j = [], len(texts)
+    while j:
+        out.append((best[j][2], j, best[j][3]))
+        j = best[j][2]
+    return out[::-1]
+
+
+def banded_parents(blocks: DataFrame, doc: str, order: str, text: str = "text", seam: Column | None = None) -> DataFrame:
+    """doc, parent (from 0), first, last (order), n_blocks, n_children, n_chars: parents over consecutive blocks.
+
+    A block for which ``seam`` holds is a parent alone; the runs between are coalesced by dynamic programming
+    (coalesce_run). A document is one row, documents run in parallel."""
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for d, es in zip(f[doc], f["es"]):
+                n, at = 0, 0
+                while at < len(es):
+                    z = at + 1
+                    while not es[at]["alone"] and z < len(es) and not es[z]["alone"]:
+                        z += 1
+                    texts = [e["t"] for e in es[at:z]]
+                    for a, b, k in coalesce_run(texts):
+                        rows.append((d, n, es[at + a]["o"], es[at + b - 1]["o"], b - a, k, sum(map(len, texts[a:b])) + 2 * (b - a - 1)))
+                        n += 1
+                    at = z
+            yield pd.DataFrame(rows, columns=[doc, "parent", "first", "last", "n_blocks", "n_children", "n_chars"])
+
+    alone = (F.coalesce(seam, F.lit(False)) if seam is not None else F.lit(False)).alias("alone")
+    return _streams(blocks, doc, order, text, alone).mapInPandas(run, f"{doc} {kinds[doc]}, parent long, first {kinds[order]}, last {kinds[order]}, n_blocks long, n_children long, n_chars long")
+
+
 def window_owners(elements: DataFrame, wins: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Pairs of windows (win, w_start, w_end) and elements (element, e_start, e_end) of a document that overlap.
 

@@ -12,6 +12,7 @@ from ..operators import context as X
 from ..operators import elements as E
 from ..operators import search as S
 from ..sources import registry as R
+from ..sources.scratch import written
 from ..streaming import feeds as H
 
 QUERIES: dict = {}
@@ -136,10 +137,8 @@ bm AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDE
 
 
 def _bm25(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents")
-    q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
-    q = q.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    return S.sparse_topk(q, S.bm25_weights(docs, "doc_id"), 20)
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return S.bm25_topk(t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), docs, 20)
 
 
 @query(f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM bm WHERE rank <= 20")
@@ -322,22 +321,55 @@ def html_elements(spark, sf_dir):
     return E.html_elements(t(spark, sf_dir, "pages"))
 
 
-@query()
+_WINDOWS = r"""ch AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS i FROM documents),
+sm AS (SELECT doc_id, list(i ORDER BY i) AS s FROM (SELECT *, lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM ch)
+  WHERE n IS NOT NULL AND (c = chr(10) OR (c IN ('.', '!', '?', ';') AND n IN (' ', chr(10)))) GROUP BY doc_id),
+d AS (SELECT documents.doc_id, text, length(text) AS len, coalesce(s, []) AS s FROM documents LEFT JOIN sm USING (doc_id) WHERE length(text) > 0),
+w AS (
+  SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS a, CASE WHEN (len - e < 300 OR e <= 300) AND len <= 1003 THEN len ELSE e END AS z FROM
+    (SELECT *, coalesce(list_max(list_filter(s, lambda x: x >= greatest(1, least(len, 1000) - 200) AND x <= least(len, 1000))), least(len, 1000)) AS e FROM d)
+  UNION ALL
+  SELECT doc_id, k, a, CASE WHEN (len - e < 300 OR e - a <= 300) AND len - a <= 1003 THEN len ELSE e END AS z FROM
+    (SELECT *, coalesce(list_max(list_filter(s, lambda x: x >= greatest(a + 1, least(len, a + 1000) - 200) AND x <= least(len, a + 1000))), least(len, a + 1000)) AS e FROM
+      (SELECT w.doc_id, w.k + 1 AS k, d.s, d.len, CASE WHEN n > w.a THEN n ELSE w.z END AS a FROM
+        (SELECT w.*, coalesce(list_max(list_filter(d.s, lambda x: x >= greatest(1, w.z - 300) AND x <= w.z - 200)), greatest(0, w.z - 250)) AS n FROM w JOIN d USING (doc_id) WHERE w.z < d.len) w
+        JOIN d ON d.doc_id = w.doc_id))
+), win AS (SELECT doc_id, CAST(k AS BIGINT) AS chunk_index, a AS char_start, z AS char_end, substr(text, a + 1, z - a) AS text FROM w JOIN d USING (doc_id))"""
+
+
+@query(f"WITH RECURSIVE {_WINDOWS} SELECT * FROM win")
 def sliding_windows(spark, sf_dir):
     return C.sliding_windows(t(spark, sf_dir, "documents"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_WINDOWS}, c AS (SELECT doc_id || '_' || chunk_index AS id, doc_id, doc_id % 4 AS user_id, text, {_LET} AS v FROM win),
+q AS (SELECT item_id AS query_id, item_id % 4 AS user_id, CASE WHEN item_id % 5 = 0 THEN range(item_id % 4, 401, 4) END AS doc_ids, text, {_LET} AS v FROM benchmark),
+cos AS (SELECT query_id, id, CASE WHEN list_sum(list_transform(q.v, lambda x: x * x)) * list_sum(list_transform(c.v, lambda x: x * x)) > 0 THEN
+ list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(c.v, lambda x: x * x)))) ELSE 0 END AS score
+ FROM q JOIN c ON q.user_id = c.user_id AND (doc_ids IS NULL OR list_contains(doc_ids, doc_id))),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM cos QUALIFY rank <= 20),
+toks AS (SELECT id, doc_id, user_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS ws FROM c),
+tf AS (SELECT id, doc_id, user_id, term, dl, count(*) AS tf FROM (SELECT id, doc_id, user_id, len(ws) AS dl, unnest(ws) AS term FROM toks) GROUP BY ALL),
+qt AS (SELECT query_id, user_id, doc_ids, term, count(*) AS qw FROM (SELECT query_id, user_id, doc_ids, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM q) GROUP BY ALL),
+sp AS (SELECT query_id, id, sum(qw * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(len(ws)) FROM toks))))) AS score
+ FROM tf JOIN qt USING (term) WHERE tf.user_id = qt.user_id AND (doc_ids IS NULL OR list_contains(doc_ids, doc_id)) GROUP BY query_id, id),
+sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sp QUALIFY rank <= 20),
+f AS (SELECT query_id, id, sum(CAST(s AS DOUBLE)) AS score FROM (SELECT query_id, id, 1.0 / (60 + rank) AS s FROM dense UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM sparse) GROUP BY query_id, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS fused FROM f QUALIFY fused <= 20),
+x AS (SELECT r.*, doc_id, list_distinct(regexp_extract_all(lower(q.text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS asked, ws FROM r JOIN q USING (query_id) JOIN toks USING (id)),
+y AS (SELECT *, CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, ws)) / CAST(len(asked) AS DOUBLE) ELSE 0 END AS rr FROM x)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rr DESC, fused, id) AS rank, id, doc_id, round(score, 6) AS score, round(rr, 6) AS rerank_score FROM y QUALIFY rank <= 5""")
 def hybrid_retrieve(spark, sf_dir):
-    """The flagship: windows of all documents, BM25 for every benchmark text, reranked by shared tokens."""
-    from ..functions.text import tokens
-
-    chunks = C.sliding_windows(t(spark, sf_dir, "documents")).withColumn("id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
-    items = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    q = items.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    hits = S.sparse_topk(q, S.bm25_weights(chunks, "id"), 20)
-    pairs = hits.join(chunks.select("id", "text"), "id").join(items, "query_id").select("query_id", "id", "query", "text", "rank")
-    return S.rerank(pairs, S.lexical_scorer, 5).select("query_id", "id", "rank", "fused_rank", F.round("rerank_score", 6).alias("rerank_score"))
+    """The flagship: every benchmark text searches the windows of its user's documents by cosine and BM25; both
+    arms are fused and reranked by shared tokens. A document's user is its id modulo 4; every fifth query names
+    documents of its own."""
+    cut = C.sliding_windows(t(spark, sf_dir, "documents"))
+    chunks = written(cut.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), "doc_id", (F.col("doc_id") % 4).alias("user_id"), F.lit("child").alias("chunk_type"), "text"))
+    user = F.col("item_id") % 4
+    named = F.when(F.col("item_id") % 5 == 0, F.sequence(user, F.lit(400), F.lit(4)))
+    q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), user.alias("user_id"), named.alias("doc_ids"), "text", _letters(F.col("text")).alias("vector"))
+    hits = S.retrieve(q, chunks.withColumn("vector", _letters(F.col("text"))), S.lexical_scorer)
+    return hits.select("query_id", "rank", "id", "doc_id", F.round("score", 6).alias("score"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
