@@ -111,6 +111,12 @@ def _joined(texts: list[str]) -> tuple[str, list[int]]:
     return "\n\n".join(texts), starts
 
 
+def windows_of(texts: list[str]) -> list[tuple[int, int]]:
+    """The windows over the stream of these elements."""
+    stream, starts = _joined(texts)
+    return window_spans(0, len(stream), starts[1:], sentence_seams(stream))
+
+
 def element_windows(elements: DataFrame, doc: str, order: str, text: str = "text", atomic: Column | None = None) -> DataFrame:
     """doc, win, w_start, w_end, text, first, last (order): windows over each document's stream of elements, and
     the elements that a window overlaps. Elements for which ``atomic`` holds have windows of their own."""

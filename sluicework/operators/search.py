@@ -278,3 +278,47 @@ def text_filter(queries: DataFrame, docs: DataFrame) -> DataFrame:
     d = docs.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     met = d.join(terms, "term").groupBy("query_id", "id", "n").agg(F.count(F.lit(1)).alias("c"))
     return met.where("c = n").select("query_id", "id").unionByName(q.where(F.size("w") == 0).select("query_id").crossJoin(docs.select("id")))
+
+
+# Other names of roles.
+ROLES = {"human": "user", "ai": "assistant"}
+
+
+def normalize_messages(messages: DataFrame, role: str = "role", content: str = "content") -> DataFrame:
+    """role and content as texts: aliases of roles resolved, content blocks (an array of texts) joined by spaces."""
+    said = F.lower(F.trim(F.coalesce(F.col(role), F.lit(""))))
+    for alias, name in ROLES.items():
+        said = F.when(said == alias, name).otherwise(said)
+    blocks = messages.schema[content].dataType.typeName() == "array"
+    text = F.array_join(F.col(content), " ") if blocks else F.coalesce(F.col(content), F.lit(""))
+    return messages.withColumns({role: said, content: text})
+
+
+def documents_asked(queries: DataFrame, routes: DataFrame) -> DataFrame:
+    """The queries that search documents: all but those routed to their conversation alone."""
+    gone = routes.where(F.col("route") == "conversation_only").select("query_id")
+    return queries.join(gone, "query_id", "left_anti")
+
+
+def fuse_sources(said: DataFrame, found: DataFrame, routes: DataFrame, k: float = 60.0, boost: float = 1.0, most_said: int = 2) -> DataFrame:
+    """query_id, item_id, source, payload, rrf, rank of what a query has found in its conversation and in documents.
+
+    said and found: query_id, rank, item_id (null in said: ``conv-`` and its place from 0), payload. On the route
+    hybrid the first ``most_said`` of said are fused with found by reciprocal ranks, said weighted by ``boost``;
+    an item of both adds up and keeps source and payload of its first place, said before found. On other routes
+    documents pass as they are with a null rrf."""
+    hybrid = routes.where(F.col("route") == "hybrid").select("query_id")
+    talk = top_per(said, ["query_id"], ["rank"], most_said, "place").join(hybrid, "query_id", "left_semi")
+    name = F.coalesce(F.col("item_id").cast("string"), F.concat(F.lit("conv-"), (F.col("place") - 1).cast("string")))
+    talk = talk.select("query_id", name.alias("item_id"), F.lit("conversation").alias("source"), "payload", F.col("place").alias("r"), F.lit(0).alias("arm"), (F.lit(boost) / (k + F.col("place"))).alias("s"))
+    docs = found.select("query_id", F.col("item_id").cast("string").alias("item_id"), F.lit("document").alias("source"), "payload", F.col("rank").alias("r"), F.lit(1).alias("arm"), (F.lit(1.0) / (k + F.col("rank"))).alias("s"))
+    both = talk.unionByName(docs.join(hybrid, "query_id", "left_semi")).groupBy("query_id", "item_id").agg(F.min_by(F.struct("source", "payload", "arm", "r"), F.struct("arm", "r")).alias("x"), F.sum("s").alias("rrf"))
+    order = Window.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), "x.arm", "x.r", "item_id")
+    fused = both.select("query_id", "item_id", "x.source", "x.payload", "rrf", F.row_number().over(order).cast("long").alias("rank"))
+    plain = docs.join(hybrid, "query_id", "left_anti").select("query_id", "item_id", "source", "payload", F.lit(None).cast("double").alias("rrf"), F.col("r").cast("long").alias("rank"))
+    return fused.unionByName(plain)
+
+
+def citation_candidates(fused: DataFrame) -> DataFrame:
+    """What goes on to reranking: documents alone."""
+    return fused.where(F.col("source") == "document")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 LINE_CHARS, PACK_CHARS, TABLE_BAND, JSON_SAMPLE = 2000, 2000, 8, 8
 BODY_SIZE, HEADING_RATIO, BOLD_RATIO, SHORT = 11.0, 1.35, 1.15, 150
 LIST_ITEM = r"^\s*(?:[-*•]|\d{1,2}[.)])\s+"
+CELL_CHARS = 500
 HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 
@@ -178,3 +179,30 @@ def tabular_meta(rows: DataFrame, group: list[str], order: str, sheet: str, cell
     """group, row_min, row_max, first sheet, and the range ``first:last`` of the group's rows."""
     first, last = F.min_by(cell_range, order), F.max_by(cell_range, order)
     return rows.groupBy(*group).agg(F.min(order).alias("row_min"), F.max(order).alias("row_max"), F.min_by(sheet, order).alias("sheet"), F.concat_ws(":", first, last).alias("cell_range"))
+
+
+def plain_elements(lines: DataFrame, key: str) -> DataFrame:
+    """key, line_number, piece, char_start, char_end, text: a paragraph for every line that is not blank, long ones in pieces.
+
+    lines: as lines_with_offsets gives them. Only lines longer than LINE_CHARS pass Python."""
+    said = lines.where(F.trim("line") != "")
+    short = F.length("line") <= LINE_CHARS
+    whole = said.where(short).select(key, "line_number", F.lit(0).alias("piece"), "char_start", "char_end", F.col("line").alias("text"))
+    return whole.unionByName(split_long_lines(said.where(~short), key))
+
+
+def html_table_rows(cells: DataFrame, table: list[str], row: str, column: str) -> DataFrame:
+    """table, row, element_type, text: the row that holds a table's first header cell, else its first row, names
+    the columns; every other row is ``header: cell`` a line, ``extra_n`` beyond the header, ``column{n}`` where
+    that is blank. cells: table, row, column (from 0), is_header, text; cells are cut to CELL_CHARS."""
+    kept = cells.select(*table, row, column, "is_header", F.substring(F.coalesce("text", F.lit("")), 1, CELL_CHARS).alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(column).alias("c"), F.col("text").alias("t"))))
+    rows = kept.groupBy(*table, row).agg(F.transform(parts, lambda x: x["t"]).alias("cells"), F.max("is_header").alias("_th"))
+    heads = rows.groupBy(*table).agg(F.min_by(F.struct(F.col(row).alias("at"), F.col("cells").alias("names")), F.struct(~F.col("_th"), F.col(row))).alias("_head"))
+    both = rows.join(heads, table)
+    name = lambda i: F.coalesce(F.nullif(F.get("_head.names", i), F.lit("")), F.concat(F.lit("column"), (i + 1).cast("string")))
+    label = lambda i: F.when(i < F.size("_head.names"), name(i)).otherwise(F.concat(F.lit("extra_"), (i - F.size("_head.names") + 1).cast("string")))
+    body = F.array_join(F.transform("cells", lambda v, i: F.concat(label(i), F.lit(": "), v)), "\n")
+    head = F.array_join(F.filter("cells", lambda v: v != ""), " | ")
+    first = F.col(row) == F.col("_head.at")
+    return both.select(*table, row, F.when(first, "table_header").otherwise("table_row").alias("element_type"), F.when(first, head).otherwise(body).alias("text"))

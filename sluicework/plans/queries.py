@@ -417,4 +417,4 @@ def payload_filtered(spark, sf_dir):
     return S.payload_filter(d, lang=["en", "de"], words=["the", "und"]).select("doc_id", "lang")
 
 
-from . import structure  # noqa: E402,F401  registers its queries
+from . import documents, structure  # noqa: E402,F401  register their queries

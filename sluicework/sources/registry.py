@@ -35,7 +35,8 @@ def first_of_content(files: DataFrame, owner: str, content: str, order: list[str
         hashed = hashed.join(known.select(owner, "sha256"), [owner, "sha256"], "left_anti")
     keep = F.struct(*[F.col(c) for c in order])
     least = hashed.groupBy(owner, "sha256").agg(F.min(keep).alias("_least"))
-    return hashed.join(least, [owner, "sha256"]).where(keep.eqNullSafe(F.col("_least"))).drop("_least")
+    first = hashed.join(least, [owner, "sha256"]).where(keep.eqNullSafe(F.col("_least"))).drop("_least")
+    return first.dropDuplicates([owner, "sha256"])  # of rows that tie in order, any one
 
 
 def parse_key(key: Column) -> tuple[Column, Column]:
@@ -77,7 +78,3 @@ def owned(df: DataFrame, key: str, value, owner: str, user) -> DataFrame:
 
 def top_per(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col(rank) <= n)
-
-
-def delete_cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")

@@ -1,11 +1,21 @@
-"""Streams: arrivals, status changes, minute metrics. Each gives on a stream what it gives on a table."""
+"""Streams: arrivals, minute metrics, status feeds, incremental ingest. ``arrivals`` and ``minute_metrics`` give
+on a stream what they give on a table; ``status_changes`` is for tables, ``status_feed`` for streams."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..sources.registry import parse_key, replace_by_document
+from ..sources.scratch import written
 
-from ..sources.registry import parse_key
+#: Folders of a chunk store, by the hash of the document.
+BUCKETS = 64
 
 ARRIVAL = "Records array<struct<eventName:string, s3:struct<object:struct<key:string>>>>"
 
@@ -40,3 +50,64 @@ def status_changes(events: DataFrame, key: str, order: list[str], status: str) -
 
 def current_status(events: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias(status))
+
+
+def metric_totals(minutes: DataFrame) -> DataFrame:
+    """One row of minute_metrics' sums: n_processed, n_failed, failure_rate (per cent) and average_duration_s, both to two places."""
+    out = minutes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_processed", "n_failed", "n_duration")], F.sum("sum_duration_s").alias("s"))
+    every = F.col("n_processed") + F.col("n_failed")
+    rate = F.when(every > 0, F.round(100.0 * F.col("n_failed") / every, 2)).otherwise(0.0)
+    return out.select("n_processed", "n_failed", rate.alias("failure_rate"), F.when(F.col("n_duration") > 0, F.round(F.col("s") / F.col("n_duration"), 2)).otherwise(0.0).alias("average_duration_s"))
+
+
+def status_feed(events: DataFrame, key: str, order: str, status: str, terminal: list[str]) -> DataFrame:
+    """key, order, status of a stream's changes: a key's first status, then each that differs from the one
+    before, up to its first terminal one. The state is one status a key; rows of a batch go by ``order``."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+
+    def run(own: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        f = pd.concat(list(frames)).sort_values(order, kind="stable")
+        rows = []
+        for at, now in zip(f[order], f[status]):
+            if last in terminal:
+                break
+            if now != last:
+                rows.append((own[0], at, now))
+                last = now
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(rows, columns=[key, order, status])
+
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {status} {kinds[status]}"
+    return events.select(key, order, status).groupBy(key).applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def first_deliveries(events: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:
+    """Repeated deliveries of a key within ``delay`` of event time go."""
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
+    return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+
+
+def ingest(batch: DataFrame, path: str, process: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> None:
+    """Puts process(batch) into the chunk store at path in place of what it has of the same documents.
+
+    Only the folders of the batch's documents are read and rewritten, and a batch that comes again changes nothing."""
+    spark = batch.sparkSession
+    new = written(process(batch).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = new
+    else:
+        touched = F.broadcast(new.select("bucket").distinct())  # at most BUCKETS rows
+        rows = written(replace_by_document(old.join(touched, "bucket", "left_semi").select(*new.columns), new, key))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def ingest_stream(stream: DataFrame, path: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], key: str = "doc_id"):
+    """The started query that ingests what has arrived and ends."""
+    return stream.writeStream.foreachBatch(lambda batch, _: ingest(batch, path, process, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
