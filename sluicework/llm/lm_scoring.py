@@ -6,22 +6,28 @@ each context a Krichevsky-Trofimov estimate is mixed, half and half, with the pr
 contexts. The trees are learned from the training texts and then held fixed, so that a text's
 probability is a product over its bytes of one number for each (context, byte).
 
-The work is dealt out in blocks of text. A block asks for the numbers of its distinct (context, byte)
-strings and words; requests go to buckets (by the two nearest context bytes, or by the word's hash),
-which see the whole corpus's counts of theirs, build their part of the trees and answer; a block then
-scores its texts with the answers. Only the nodes of the two shortest contexts, at most 256 x 255 of
-them, pass the driver. Requests, answers and blocks grow with the input; no table is held whole.
+The work is dealt out in blocks of text, written once. A block asks for the numbers of its distinct
+(context, byte) strings and words; requests go to buckets by the hash of the whole string, so that none
+is larger than others; there the counts of all blocks are added up, once for each distinct string. The
+trees are built from those sums, dealt out by their two nearest context bytes: what grows with the corpus
+is the number of distinct strings alone. The trees' numbers go back to the buckets, which answer the
+blocks, and a block scores its texts with the answers. Only the nodes of the two shortest contexts, at
+most 256 x 255 of them, pass the driver. Requests, answers and blocks grow with the input; no table is
+held whole.
 
 Texts are lower-cased (A-Z) UTF-8. A text starts in a context of 0xFF bytes and ends with one, so the
 numbers are probabilities over whole texts; 0xFF is in no UTF-8 text.
 
 Defined cases: a null text is empty and costs its end alone. Null doc_ids are not held out. Repeated
-rows are scored each. Very long texts are scored in segments cut at white space, each knowing the
-bytes before it, with the same result. Without training text every decision has probability 1/2.
+rows are scored each, and spread over the blocks like others. Very long texts are scored in segments cut
+at white space, each knowing the bytes before it, with the same result. Without training text every
+decision has probability 1/2. An empty table gives an empty one; extra columns are not read. Numbers
+travel in steps of 2^-26 in the base-10 logarithm.
 """
 
 from __future__ import annotations
 
+import io
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,15 +35,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Context bytes.
-DEPTH = 4
-#: Text bytes of a block and of a segment, and of what is sorted at once.
-BLOCK_BYTES, SEGMENT_BYTES, CHUNK_BYTES = 24 << 20, 4 << 20, 2 << 20
+#: Context bytes, 2 to 7.
+DEPTH = 5
+#: Text bytes of a block, of a segment, of what is dealt together, and of what is sorted at once.
+BLOCK_BYTES, SEGMENT_BYTES, PACK_BYTES, CHUNK_BYTES = 20 << 20, 4 << 20, 1 << 20, 2 << 20
+#: Steps of a number in one unit of its logarithm.
+STEPS = 1 << 26
 END = b"\xff"
 _LN10 = np.log(10.0)
 
@@ -63,24 +72,58 @@ def _segments(text: bytes, most: int) -> Iterator[tuple[bytes, bytes]]:
         at = z
 
 
+_PACK = pa.schema([("rid", pa.int64()), ("doc_id", pa.string()), ("train", pa.bool_()), ("last", pa.bool_()), ("before", pa.binary()), ("text", pa.binary())])
+
+
 def _deal(blocks: int):
+    """Segments in packs, each with the block it belongs to."""
+
+    def packed(rows: list[tuple]) -> bytes:
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, _PACK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACK)], schema=_PACK))
+        return out.getvalue()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, first = [], 0, 0
         for b in batches:
-            out = [[] for _ in range(7)]
+            packs = []
             for rid, doc_id, train, text in zip(*(c.to_pylist() for c in b.columns)):
-                text = (text or b"").lower()
-                pieces = list(_segments(text, SEGMENT_BYTES))
-                code = zlib.crc32(text)
+                pieces = list(_segments((text or b"").lower(), SEGMENT_BYTES))
                 for i, (before, piece) in enumerate(pieces):
                     last = i == len(pieces) - 1
-                    block = zlib.crc32(f"{doc_id}|{i}|{code}".encode()) % blocks
-                    for column, x in zip(out, (block, rid, doc_id, train, last, before, piece + END if last else piece)):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()))], names=["block", "rid", "doc_id", "train", "last", "before", "text"])
+                    if not rows:
+                        first = zlib.crc32(f"{rid}|{i}".encode()) % blocks
+                    rows.append((rid, doc_id, train, last, before, piece + END if last else piece))
+                    held += len(piece) + 64
+                    if held >= PACK_BYTES:
+                        packs.append((first, packed(rows)))
+                        rows, held = [], 0
+            if packs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*packs), (pa.int32(), pa.binary()))], names=["block", "data"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([packed(rows)], pa.binary())], names=["block", "data"])
 
     return run
 
 
+def _opened(f: pd.DataFrame) -> pd.DataFrame:
+    """The segments of a block."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in f["data"]]).to_pandas()
+
+
+def _press(a: np.ndarray, ordered: bool = False) -> bytes:
+    """Numbers as bytes, place by place; of ordered ones, their differences."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if ordered else a
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+
+
+def _unpress(b: bytes, kind, ordered: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    a = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(a, dtype=kind) if ordered else a
+
+
 def _keys(before: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(context, byte) of every byte as one number, the byte lowest, and where each text's begin."""
     b = np.frombuffer(b"".join(x for pair in zip(before, texts) for x in pair), np.uint8).astype(np.uint64)
@@ -144,8 +187,21 @@ def _words(f: pd.DataFrame) -> tuple[list[bytes], np.ndarray]:
 
 
 def _gram_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _tree_parts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """By the two nearest context bytes, under which a part has whole trees."""
     near = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
-    return ((near * np.uint64(0x9E3779B1)) % np.uint64(1 << 32) % np.uint64(buckets)).astype(np.int64)
+    return ((near * np.uint64(0x9E3779B1)) % np.uint64(1 << 32) % np.uint64(parts)).astype(np.int64)
+
+
+def _split_by(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of to with the places that have it, in order."""
+    by = np.argsort(to, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(to[by]) > 0]) if len(by) else []
+    for a, z in zip(first, [*first[1:], len(by)]):
+        yield int(to[by[a]]), by[a:z]
 
 
 def _word_buckets(words: list[bytes], buckets: int) -> np.ndarray:
@@ -156,28 +212,37 @@ def _ask(buckets: int):
     """A row for each block, kind and bucket: what the block asks for there, and its training counts."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        block, f = int(f["block"].iloc[0]), _opened(f)
         keys, counts = _grams(f)
-        to = _gram_buckets(keys, buckets)
-        by = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[by], np.arange(buckets + 1))
-        rows += [("gram", i, keys[by[a:z]].tobytes(), counts[by[a:z]].tobytes()) for i, (a, z) in enumerate(zip(edges, edges[1:])) if z > a]
+        rows = [("gram", i, _press(keys[at], True), _press(counts[at])) for i, at in _split_by(_gram_buckets(keys, buckets))]
         words, counts = _words(f)
-        to = _word_buckets(words, buckets)
-        by = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[by], np.arange(buckets + 1))
-        rows += [("word", i, b" ".join([words[k] for k in by[a:z].tolist()]), counts[by[a:z]].tobytes()) for i, (a, z) in enumerate(zip(edges, edges[1:])) if z > a]
-        rows.append(("text", 0, b"", np.array([int((f["train"] & f["last"]).sum())]).tobytes()))
+        rows += [("word", i, b" ".join([words[k] for k in at.tolist()]), _press(counts[at])) for i, at in _split_by(_word_buckets(words, buckets))]
+        rows.append(("text", 0, b"", _press(np.array([int((f["train"] & f["last"]).sum())]))))
         out = pd.DataFrame(rows, columns=["kind", "bucket", "keys", "counts"])
-        return out.assign(block=int(f["block"].iloc[0]))[["block", "kind", "bucket", "keys", "counts"]]
+        return out.assign(block=block)[["block", "kind", "bucket", "keys", "counts"]]
 
     return run
 
 
-def _gather(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    own = [np.frombuffer(k, np.uint64) for k in f["keys"]]
-    keys, counts = _merge([(k, np.frombuffer(c, np.int64)) for k, c in zip(own, f["counts"])])
-    return keys, counts, own
+def _pairs(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings of some rows and their counts, added up."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, c in zip(f["keys"], f["counts"]):
+        parts.append((_unpress(k, np.uint64, True), _unpress(c, np.int64)))
+        if sum(len(p[0]) for p in parts) > 4_000_000 and len(parts) > 8:
+            parts = [_merge(parts)]
+    return _merge(parts)
+
+
+def _sum_up(parts: int):
+    """Of a bucket's requests: each distinct string once, dealt to the part that has its tree."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = _pairs(f)
+        rows = [(i, int(f["bucket"].iloc[0]), _press(keys[at], True), _press(counts[at])) for i, at in _split_by(_tree_parts(keys, parts))]
+        return pd.DataFrame(rows, columns=["part", "bucket", "keys", "counts"])
+
+    return run
 
 
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -245,7 +310,7 @@ class Trees:
         ids = (nodes & np.uint64(0xFFFF)).astype(np.int64)
         return pd.DataFrame({"id": ids, "n0": n0, "n1": n1, "below": self.log_w}).groupby("id", as_index=False).sum()
 
-    def log10(self, top: Top) -> np.ndarray:
+    def log10(self, top) -> np.ndarray:
         """Log probability of each key's byte in its context."""
         p = None
         for _, at, n0, n1, log_kt, below in self.levels:
@@ -285,48 +350,69 @@ def _word_counts(f: pd.DataFrame) -> tuple[dict[bytes, int], list[list[bytes]]]:
     total: dict[bytes, int] = {}
     own = [k.split(b" ") for k in f["keys"]]
     for words, counts in zip(own, f["counts"]):
-        for w, c in zip(words, np.frombuffer(counts, np.int64).tolist()):
+        for w, c in zip(words, _unpress(counts, np.int64).tolist()):
             total[w] = total.get(w, 0) + c
     return total, own
 
 
 def _summary(f: pd.DataFrame) -> pd.DataFrame:
+    """Totals of words and of texts."""
     kind = f["kind"].iloc[0]
-    if kind == "gram":
-        keys, counts, _ = _gather(f)
-        return Trees(keys, counts).shorter().assign(kind=kind)[["kind", "id", "n0", "n1", "below"]]
     if kind == "word":
         counts = [c for c in _word_counts(f)[0].values() if c]
         return pd.DataFrame([(kind, -1, float(sum(counts)), float(len(counts)), 0.0)], columns=["kind", "id", "n0", "n1", "below"])
-    return pd.DataFrame([(kind, -1, float(sum(np.frombuffer(c, np.int64).sum() for c in f["counts"])), 0.0, 0.0)], columns=["kind", "id", "n0", "n1", "below"])
+    return pd.DataFrame([(kind, -1, float(sum(_unpress(c, np.int64).sum() for c in f["counts"])), 0.0, 0.0)], columns=["kind", "id", "n0", "n1", "below"])
+
+
+def _shorter(f: pd.DataFrame) -> pd.DataFrame:
+    return Trees(*_pairs(f)).shorter().assign(kind="gram")[["kind", "id", "n0", "n1", "below"]]
 
 
-def _answer(top):
+def _values(top):
+    """The number of each distinct string of a part, for the bucket that asked."""
+
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        kind = f["kind"].iloc[0]
-        if kind == "gram":
-            keys, counts, own = _gather(f)
-            values = Trees(keys, counts).log10(top.value)
-            answers = [values[np.searchsorted(keys, k)].tobytes() for k in own]
-        else:
-            total, own = _word_counts(f)
-            answers = [np.array([total[w] for w in words], np.int64).tobytes() for words in own]
-        return pd.DataFrame({"block": f["block"], "kind": kind, "bucket": f["bucket"], "values": answers})
+        keys, counts = _pairs(f)
+        value = np.round(Trees(keys, counts).log10(top.value) * STEPS).astype(np.int32)
+        rows = []
+        for bucket, k in zip(f["bucket"], f["keys"]):
+            own = _unpress(k, np.uint64, True)
+            rows.append((bucket, k, _press(value[np.searchsorted(keys, own)])))
+        return pd.DataFrame(rows, columns=["bucket", "keys", "values"])
 
     return run
 
 
+def _answer(f: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """What each block asked of a bucket."""
+    if not len(f):
+        return pd.DataFrame([], columns=["block", "kind", "bucket", "values"])
+    keys = np.concatenate([_unpress(k, np.uint64, True) for k in found["keys"]])
+    values = np.concatenate([_unpress(v, np.int32) for v in found["values"]])
+    by = np.argsort(keys, kind="stable")
+    keys, values = keys[by], values[by]
+    answers = [_press(values[np.searchsorted(keys, _unpress(k, np.uint64, True))]) for k in f["keys"]]
+    return pd.DataFrame({"block": f["block"], "kind": "gram", "bucket": f["bucket"], "values": answers})
+
+
+def _answer_words(f: pd.DataFrame) -> pd.DataFrame:
+    total, own = _word_counts(f)
+    answers = [_press(np.array([total[w] for w in words], np.int64)) for words in own]
+    return pd.DataFrame({"block": f["block"], "kind": "word", "bucket": f["bucket"], "values": answers})
+
+
 def _score(buckets: int, spread: float):
     """spread: N + V + 1 of the base estimate."""
 
     def run(f: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(f):
             return pd.DataFrame([], columns=["rid", "doc_id", "train", "n_tokens", "n_known", "base", "score"])
+        f = _opened(f)
         got = {(k, b): v for k, b, v in zip(answers["kind"], answers["bucket"], answers["values"])}
         keys, _ = _grams(f)
-        by = np.argsort(_gram_buckets(keys, buckets), kind="stable")
         values = np.empty(len(keys))
-        values[by] = np.concatenate([np.frombuffer(got["gram", b], np.float64) for b in range(buckets) if ("gram", b) in got])
+        for b, at in _split_by(_gram_buckets(keys, buckets)):
+            values[at] = _unpress(got["gram", b], np.int32) / STEPS
         score = []
         for a, z in _chunks(_sizes(f)):
             some = f.iloc[a:z]
@@ -337,18 +423,17 @@ def _score(buckets: int, spread: float):
             ends = np.cumsum(size)
             score.append(each[ends] - each[ends - size])
         words, _ = _words(f)
-        by = np.argsort(_word_buckets(words, buckets), kind="stable")
         counts = np.empty(len(words), np.int64)
-        if len(words):
-            counts[by] = np.concatenate([np.frombuffer(got["word", b], np.int64) for b in range(buckets) if ("word", b) in got])
+        for b, at in _split_by(_word_buckets(words, buckets)):
+            counts[at] = _unpress(got["word", b], np.int64)
         logs = dict(zip(words, np.log10((counts + 1) / spread).tolist()))
-        unknown = float(np.log10(1 / spread))
+        seen = {w for w, c in zip(words, counts.tolist()) if c}
         tokens, known, base = [], [], []
         for text in f["text"]:
-            own = list(map(logs.__getitem__, _split(text)))
+            own = _split(text)
             tokens.append(len(own))
-            known.append(len(own) - own.count(unknown))
-            base.append(sum(own))
+            known.append(sum(map(seen.__contains__, own)))
+            base.append(sum(map(logs.__getitem__, own)))
         return pd.DataFrame({"rid": f["rid"], "doc_id": f["doc_id"], "train": f["train"], "n_tokens": tokens, "n_known": known, "base": base, "score": np.concatenate(score)})
 
     return run
@@ -365,16 +450,21 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
     buckets = max(16, 2 * blocks)
-    dealt = rows.mapInArrow(_deal(blocks), "block int, rid long, doc_id string, train boolean, last boolean, before binary, text binary")
+    dealt = cut(rows.mapInArrow(_deal(blocks), "block int, data binary"))
     asked = cut(dealt.groupBy("block").applyInPandas(_ask(buckets), "block int, kind string, bucket int, keys binary, counts binary"))
-    parts = asked.groupBy("kind", "bucket").applyInPandas(_summary, "kind string, id int, n0 double, n1 double, below double")
+    grams, words = asked.where("kind = 'gram'"), asked.where("kind = 'word'")
+    summed = cut(grams.groupBy("bucket").applyInPandas(_sum_up(buckets), "part int, bucket int, keys binary, counts binary"))
+    shape = "kind string, id int, n0 double, n1 double, below double"
+    parts = asked.where("kind <> 'gram'").groupBy("kind", "bucket").applyInPandas(_summary, shape).unionAll(summed.groupBy("part").applyInPandas(_shorter, shape))
     summary = parts.groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).collect()  # at most 256 x 255 + 2 rows
     n_words, n_distinct = next(((r["n0"], r["n1"]) for r in summary if r["kind"] == "word"), (0.0, 0.0))
     n_texts = next((r["n0"] for r in summary if r["kind"] == "text"), 0.0)
     tokens, distinct = int(n_words + n_texts), int(n_distinct + (n_texts > 0))
     spread = float(tokens + distinct + 1)
     top = spark.sparkContext.broadcast(Top([r for r in summary if r["kind"] == "gram"]))
-    answers = asked.where("kind <> 'text'").groupBy("kind", "bucket").applyInPandas(_answer(top), "block int, kind string, bucket int, values binary")
+    shape = "block int, kind string, bucket int, values binary"
+    found = summed.groupBy("part").applyInPandas(_values(top), "bucket int, keys binary, values binary")
+    answers = grams.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(_answer, shape).unionAll(words.groupBy("bucket").applyInPandas(_answer_words, shape))
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(buckets, spread), "rid long, doc_id string, train boolean, n_tokens long, n_known long, base double, score double")
     sums = scored.groupBy("rid", "doc_id", "train").agg(*[F.sum(c).alias(f"_{c}") for c in ("n_tokens", "n_known", "base", "score")])
     end = float(np.log10((n_texts + 1) / spread))

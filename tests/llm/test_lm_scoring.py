@@ -56,7 +56,7 @@ def decisions(text):
 @pytest.mark.parametrize("small", [False, True])
 def test_against_plain_trees_and_counts(spark, monkeypatch, small):
     if small:
-        for name, v in (("BLOCK_BYTES", 900), ("SEGMENT_BYTES", 64), ("CHUNK_BYTES", 200)):
+        for name, v in (("BLOCK_BYTES", 900), ("SEGMENT_BYTES", 64), ("PACK_BYTES", 300), ("CHUNK_BYTES", 200)):
             monkeypatch.setattr(L, name, v)
     docs = documents(spark).where("n_chars is null or n_chars < 700").limit(24)
     rows = docs.collect()
@@ -86,3 +86,17 @@ def test_against_plain_trees_and_counts(spark, monkeypatch, small):
 def test_empty(spark):
     none = empty(spark)
     assert L.score_texts(none, ~L.held_out(none.doc_id)).count() == 0
+
+
+def test_a_row_in_many_copies_spreads_over_the_blocks(spark, monkeypatch):
+    for name, v in (("BLOCK_BYTES", 4000), ("PACK_BYTES", 500)):
+        monkeypatch.setattr(L, name, v)
+    rows = [(7, "the same words again and again")] * 400 + [(8, "others"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = L.score_texts(docs, ~L.held_out(docs.doc_id)).collect()
+    assert len(got) == 402 and len({r.score for r in got if r.doc_id == 7}) == 1
+    dealt = docs.selectExpr("cast(1 as bigint)", "cast(doc_id as string)", "true", "cast(text as binary)").mapInArrow(L._deal(10), "block int, data binary")
+    sizes = {}
+    for r in dealt.collect():
+        sizes[r.block] = sizes.get(r.block, 0) + len(L._opened({"data": [r.data]}))
+    assert sum(sizes.values()) == 402
