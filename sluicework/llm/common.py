@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,21 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the folder named by spark.checkpoint.dir and read from there.
+def _folder(spark: SparkSession) -> str:
+    """The folder of this session's checkpoints.
 
-    Where none is named, a local session gets a temporary folder; a cluster, whose executors could not
-    see one, gets an error.
-    """
-    sc = df.sparkSession.sparkContext
+    Where spark.checkpoint.dir names none, a local session gets a temporary folder; a cluster, whose executors
+    could not see one, gets an error."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, checkpointed once and read from there."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of df, written once as a table in the folder of the checkpoints and read from there.
+
+    A checkpoint keeps the planner's estimate of its size, which every join multiplies; after some rounds of
+    joins that is a number of millions of digits, and the planner takes minutes. A table has the size of its files."""
+    path = f"{_folder(df.sparkSession)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """The name, with underscores behind it until it is none of those taken (case does not tell names apart)."""
     have = {t.lower() for t in taken}

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut
+from .common import attach, settled
 
 #: Variants that one group makes at most before its prefix is split.
 GROUP_VARIANTS = 4_000_000
@@ -159,7 +159,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     rows = distinct.select(F.lit(0).alias("known"), F.lit(0).cast("long").alias("prefix"), "fp", F.lit(half).alias("left")).mapInPandas(spread(0, known), schema)
     ready = []
     while True:
-        rows = cut(rows)
+        rows = settled(rows)
         size = F.element_at(F.array(*[F.lit(_ball(64 - known, r)) for r in range(half + 1)]), F.col("left") + 1)
         weights = rows.groupBy("known", "prefix").agg(F.sum(size).alias("_w")).where(F.col("_w") > 2 * GROUP_VARIANTS)
         if known + SPLIT_BITS > 48 or weights.isEmpty():
@@ -188,16 +188,16 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star contraction; each round is written once. The edges of a node that
     has many are dealt over several tasks.
     """
-    edges = cut(edges.where("a <> b"))
+    edges = settled(edges.where("a <> b"))
     n, seen = edges.count(), None
     while True:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("c"))
-        large = cut(attach(both, low, ["a"], "c", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = settled(attach(both, low, ["a"], "c", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c"))
         small = attach(down, least, ["a"], "c", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut(small)
+        edges = settled(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
@@ -209,10 +209,10 @@ def group_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, ke
     over links, for every row of docs."""
     own = [f"k_{i}" for i in range(len(keys))]
     rows = docs.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], "text")
-    fps = cut(fingerprints(rows, shingle, keys=tuple(own)))
-    one = cut(fps.groupBy("fp").agg(F.min(own[keys.index("doc_id")]).alias("least"), F.count(F.lit(1)).alias("c")))
+    fps = settled(fingerprints(rows, shingle, keys=tuple(own)))
+    one = settled(fps.groupBy("fp").agg(F.min(own[keys.index("doc_id")]).alias("least"), F.count(F.lit(1)).alias("c")))
     rooted = components(links(one.select("fp"), radius))
-    named = cut(one.join(rooted, one.fp == rooted.node, "left").select("fp", "least", "c", F.coalesce("root", "fp").alias("root")))
+    named = settled(one.join(rooted, one.fp == rooted.node, "left").select("fp", "least", "c", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     named = attach(named, least, ["root"], "n").select("fp", "component_id", "c")
     return attach(fps, named, ["fp"], "c").select(*[F.col(o).alias(k) for k, o in zip(keys, own)], "fp", "component_id")
@@ -304,9 +304,9 @@ def comparable_sets(sets: DataFrame, similarity: float) -> DataFrame:
 
     What two sets have in common is in shared, so these arrays verify a pair as the whole sets do."""
     tokens = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
-    rows = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    rows = settled(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     shared = tokens.join(rows, "token").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("rows", "token"))).alias("t"))
-    return cut(shared.where(F.size("t") >= _least_common(F.col("n"), similarity)).select("id", "n", F.col("t.token").alias("shared")))
+    return settled(shared.where(F.size("t") >= _least_common(F.col("n"), similarity)).select("id", "n", F.col("t.token").alias("shared")))
 
 
 def prefixes(near: DataFrame, similarity: float) -> DataFrame:
@@ -325,16 +325,16 @@ def exact_links(near: DataFrame, links: DataFrame, similarity: float) -> DataFra
     Texts that share a rare shingle are tried with one of their size first, and then each with each as far as
     they are not in one component yet; a pair goes untried only where the places of its first common shingle
     prove it apart."""
-    rare = cut(prefixes(near, similarity))
+    rare = settled(prefixes(near, similarity))
     kind = F.floor(F.log(F.col("n").cast("double")) * 10)
     sized = rare.withColumn("kind", kind)
     heads = sized.groupBy("token", "kind").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     tried = sized.join(heads, ["token", "kind"]).where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    links = cut(links.unionAll(verified(tried, near, similarity)).distinct())
+    links = settled(links.unionAll(verified(tried, near, similarity)).distinct())
     rooted = components(links).select(F.col("node").alias("id"), "root")
-    rare = cut(rare.join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    rare = settled(rare.join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id")))
     open_ = rare.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("token")
-    rare = cut(rare.join(open_, "token", "left_semi"))
+    rare = settled(rare.join(open_, "token", "left_semi"))
     small = rare.where("first").select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "root")])
     large = rare.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "root")])
     common = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
@@ -363,7 +363,7 @@ def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
     words = distinct.select("id", F.explode(word).alias("w")).select(
         "id", F.col("w.place").alias("place"), F.when(F.col("w.place") % 2 == 0, F.col("w.two").bitwiseAND(low)).otherwise(F.shiftrightunsigned("w.two", WORD_BITS)).alias("word")
     )
-    heads = cut(words.groupBy("place", "word").agg(F.min("id").alias("head")))
+    heads = settled(words.groupBy("place", "word").agg(F.min("id").alias("head")))
     same_word = words.join(heads, ["place", "word"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -381,7 +381,7 @@ def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     dealt = heads.mapInPandas(spread, "place int, prefix int, word long, head long, left int")
     met = dealt.groupBy("place", "prefix").applyInPandas(meet, "a long, b long")
-    candidates = cut(same_word.unionAll(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    candidates = settled(same_word.unionAll(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = _with_both(candidates, distinct.select("id", "bits"), "bits")
     differing = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(WORDS * WORD_BITS // 64)])
     return verified(both.where(differing <= most_differing_bits(similarity)).select("a", "b"), distinct, similarity)
@@ -396,7 +396,7 @@ def _with_both(pairs: DataFrame, found: DataFrame, column: str) -> DataFrame:
 
 def verified(pairs: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; near: as comparable_sets."""
-    both = _with_both(cut(pairs), near.select("id", F.struct("n", "shared").alias("set")), "set")
+    both = _with_both(settled(pairs), near.select("id", F.struct("n", "shared").alias("set")), "set")
     common = F.size(F.array_intersect("set_a.shared", "set_b.shared"))
     enough = common >= _least_common(F.col("set_a.n") + F.col("set_b.n"), similarity / (1 + similarity))
     return both.where(enough).select("a", "b")
@@ -406,16 +406,16 @@ def _grouped(docs: DataFrame, keys: list[str], similarity: float, shingle: int)
     """docs: keys, text. Every row's keys and ``first``, the least keys of its group (nulls last, as a struct).
 
     Sets are made anew from the texts where they are asked for: they take more room than the texts."""
-    ids = cut(shingle_sets(docs, shingle, tuple(keys), True).select(*keys, "id", "bits"))
+    ids = settled(shingle_sets(docs, shingle, tuple(keys), True).select(*keys, "id", "bits"))
     order = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
     least = ids.groupBy("id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("c"))
     near = comparable_sets(shingle_sets(docs, shingle, ()), similarity)
-    distinct = cut(near.join(ids.select("id", "bits").dropDuplicates(["id"]), "id"))
-    links = exact_links(near, cut(long_links(distinct, similarity)), similarity)
+    distinct = settled(near.join(ids.select("id", "bits").dropDuplicates(["id"]), "id"))
+    links = exact_links(near, settled(long_links(distinct, similarity)), similarity)
     named = least.join(components(links), F.col("id") == F.col("node"), "left").select("id", "first", "c", F.coalesce("root", "id").alias("root"))
-    named = cut(named)
+    named = settled(named)
     least = named.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
-    named = cut(attach(named.drop("first"), least, ["root"], "n").select("id", "first", "c"))
+    named = settled(attach(named.drop("first"), least, ["root"], "n").select("id", "first", "c"))
     return attach(ids.drop("bits"), named, ["id"], "c").drop("id")
 
 
@@ -439,7 +439,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     comparable = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     grouped = _grouped(keyed.where(comparable).select("d", "h", "text"), ["d", "h"], similarity, shingle)
     per = grouped.groupBy("d", "h").agg(F.count(F.lit(1)).alias("n"), F.max(~(F.col("d").eqNullSafe(F.col("first.d")) & (F.col("h") == F.col("first.h")))).alias("gone"))
-    marked = cut(per.where("gone or n > 1").select(F.col("d").alias("d2"), F.col("h").alias("h2"), "gone"))
+    marked = settled(per.where("gone or n > 1").select(F.col("d").alias("d2"), F.col("h").alias("h2"), "gone"))
     on = F.col("d").eqNullSafe(F.col("d2")) & F.col("h").eqNullSafe(F.col("h2"))
     single = keyed.join(marked, on, "left_anti").select("row.*")
     repeated = keyed.join(marked.where("not gone"), on, "left_semi").dropDuplicates(["d", "h"]).select("row.*")
