@@ -272,12 +272,17 @@ def payload_filter(chunks: DataFrame, **wanted) -> DataFrame:
 def text_filter(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, id: the docs (id, text) that have every token of a query's text (query_id, text), by way of the postings.
 
-    A text without a token asks for nothing, so every document has all of it; a null text is no query."""
+    Only the postings of each query's rarest token are read; what they hold is then asked for all tokens. A text
+    without a token asks for nothing, so every document has all of it; a null text is no query."""
     q = queries.where("text is not null").select("query_id", F.array_distinct(tokens(F.col("text"))).alias("w"))
-    terms = q.select("query_id", F.size("w").alias("n"), F.explode("w").alias("term"))
-    d = docs.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    met = d.join(terms, "term").groupBy("query_id", "id", "n").agg(F.count(F.lit(1)).alias("c"))
-    return met.where("c = n").select("query_id", "id").unionByName(q.where(F.size("w") == 0).select("query_id").crossJoin(docs.select("id")))
+    terms = q.select("query_id", F.explode("w").alias("term"))
+    words = docs.select("id", F.coalesce(F.array_distinct(tokens(F.col("text"))), F.array()).alias("has"))
+    postings = words.select("id", F.explode("has").alias("term"))
+    held = postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+    rarest = terms.join(held, "term").groupBy("query_id").agg(F.min(F.struct("c", "term")).alias("r")).select("query_id", "r.term")
+    maybe = postings.join(rarest, "term").select("query_id", "id").distinct()
+    met = maybe.join(q, "query_id").join(words, "id").where(F.size(F.array_except("w", "has")) == 0).select("query_id", "id")
+    return met.unionByName(q.where(F.size("w") == 0).select("query_id").crossJoin(docs.select("id")))
 
 
 # Other names of roles.

@@ -298,22 +298,19 @@ def replace_by_document(spark, sf_dir):
     return R.replace_by_document(c, new, "c_nationkey").select(c.columns)
 
 
-@query("""SELECT q.item_id AS query_id, d.doc_id AS id FROM benchmark q, documents d WHERE len(list_filter(regexp_extract_all(lower(left(q.text, 12)), '[\\p{L}\\p{N}_]{2,}'), lambda x: NOT list_contains(regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}_]{2,}'), x))) = 0""")
+@query(r"""WITH q AS MATERIALIZED (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS asked FROM benchmark WHERE text IS NOT NULL),
+d AS MATERIALIZED (SELECT doc_id, coalesce(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')), []) AS has FROM documents)
+SELECT item_id AS query_id, doc_id AS id FROM q, d WHERE list_has_all(has, asked)""")
 def text_filter(spark, sf_dir):
-    """Documents that have every token of a benchmark text's first twelve characters, by way of the postings.
-
-    As in the SQL, a null document has whatever is asked."""
-    q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("text"))
-    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    unread = q.where("text is not null").select("query_id").crossJoin(d.where("text is null").select("id"))
-    return S.text_filter(q, d.where("text is not null")).unionByName(unread)
+    """Documents that have every token of a whole benchmark text, by way of the postings."""
+    q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return S.text_filter(q, t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query()
+@query(ORACLE_SQL["text_filter"])
 def text_filter_whole(spark, sf_dir):
-    """Documents that have every token of a whole benchmark text."""
-    q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return S.text_filter(q, t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    """text_filter under the name it had when that read only the beginnings of texts."""
+    return text_filter(spark, sf_dir)
 
 
 @query()
