@@ -16,7 +16,9 @@ Only contexts pass the merge, aligned on their anchors, so a step costs one move
 not one for each byte of the corpus; 2 x (REACH-1) steps replace LENGTH of them.
 
 Defined cases: a null text is empty; texts shorter than LENGTH keep all bytes. Matches never cross
-documents. Rows equal in doc_id and text are copies of each other. Extra columns are not read.
+documents. Rows equal in doc_id and text are copies of each other. Extra columns are not read. A text
+of equal bytes or of a short period has an anchor at every byte or period; overlapping intervals of one
+text become one before they leave their bucket, so such a text gives few of them.
 """
 
 from __future__ import annotations
@@ -135,6 +137,17 @@ def _same(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, np.repeat(np.diff(np.r_[first, len(by)]), np.diff(np.r_[first, len(by)]))
 
 
+def _united(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The intervals with those of one rid that overlap or touch made one."""
+    by = np.lexsort((start, rid))
+    rid, start, end = rid[by], start[by].astype(np.int64), end[by].astype(np.int64)
+    row = np.cumsum(np.r_[False, rid[1:] != rid[:-1]][: len(rid)]) << 32
+    top = np.maximum.accumulate(row + end)
+    first = np.flatnonzero(np.r_[True, (row + start)[1:] > top[:-1]][: len(rid)])
+    last = np.r_[first[1:], len(rid)][: len(first)] - 1
+    return rid[first], start[first], (top - row)[last]
+
+
 def _settle(f: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket's anchors: intervals that are repeated as they stand (core null), and the contexts
     that the merge needs (core set): the single ones, and one of each repeated kind beside them."""
@@ -155,7 +168,8 @@ def _settle(f: pd.DataFrame) -> pd.DataFrame:
     ask = open_ & first & (end - start >= LENGTH)
     more = np.bincount(where, ask, len(groups))[where] > 1
     ask &= more
-    a = pd.DataFrame({"rid": rid[done], "j": j[done], "core": pd.array([None] * int(done.sum()), "Int64"), "start": start[done], "end": end[done]})
+    runs, starts, ends = _united(rid[done], start[done], end[done])
+    a = pd.DataFrame({"rid": runs, "j": starts, "core": pd.array([None] * len(runs), "Int64"), "start": starts, "end": ends})
     b = pd.DataFrame({"rid": rid[ask], "j": j[ask], "core": pd.array(core.view(np.int64)[ask], "Int64"), "start": start[ask], "end": end[ask]})
     return pd.concat([a, b])
 
@@ -213,7 +227,7 @@ def _merge(f: pd.DataFrame) -> pd.DataFrame:
             most[hit] = np.maximum(most[hit], a)
             least[hit] = np.minimum(least[hit], a)
     met = most >= 0
-    return pd.DataFrame({"rid": f["rid"].to_numpy()[met], "start": (j - most)[met], "end": (j - least + LENGTH)[met]})
+    return pd.DataFrame(dict(zip(("rid", "start", "end"), _united(f["rid"].to_numpy(np.int64)[met], (j - most)[met], (j - least + LENGTH)[met]))))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

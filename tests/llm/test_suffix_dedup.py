@@ -53,3 +53,19 @@ def test_contexts_that_agree_in_32_bits_of_their_hash_are_told_apart(spark):
     docs = spark.createDataFrame([(1, text(810)), (2, text(887))], "doc_id long, text string")  # found by trying
     got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(docs).collect())
     assert got == sorted(brute([text(810), text(887)])) and all(r[1] == 0 for r in got)
+
+
+def test_long_texts_of_equal_bytes_and_of_short_periods(spark):
+    texts = {1: "a" * 300_000, 2: "xyz" * 100_000, 3: "b" * 200, 4: "c" * 201, 5: "pqr" * 67 + "p", 6: "stu" * 67 + "st"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.remove_repeats(docs).collect()}
+    whole = {i: (len(x), len(x), 1) for i, x in texts.items() if i in (1, 2, 4, 6)}
+    # 202 bytes of period 3 hold three strings, none twice; 203 hold the first of them again
+    assert got == {**whole, 3: (200, 0, 0), 5: (202, 0, 0)}
+
+
+def test_intervals_of_one_text_are_united():
+    rid, start, end = (np.array(x) for x in ([7, 3, 7, 7, 3], [50, 0, 0, 10, 5], [60, 4, 30, 20, 9]))
+    got = S._united(rid, start, end)
+    assert list(zip(*(x.tolist() for x in got))) == [(3, 0, 4), (3, 5, 9), (7, 0, 30), (7, 50, 60)]
+    assert [len(x) for x in S._united(*(np.empty(0, np.int64),) * 3)] == [0, 0, 0]
