@@ -1,183 +1,20 @@
-"""Search: dense and sparse arms, fusion, rerank, conversation search, routing."""
+"""Search: fusion of the arms, rerank, conversation search, routing."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import cosine
 from ..sources.registry import top_per
+from .arms import bm25_topk, dense_topk
 
-#: Queries are broadcast in blocks of this many, so that neither side of the search grows a task.
-QUERY_BLOCK = 2_000
-
-
-def _blocks(queries: DataFrame, *columns) -> Iterator[list]:
-    """The rows of queries in blocks of about QUERY_BLOCK distinct query_ids."""
-    n = queries.agg(F.count_distinct("query_id")).first()[0]
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for b in range(blocks):
-        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(*columns).collect()
-
-
-class _Best:
-    """The k best of each query that a task has seen."""
-
-    def __init__(self, k: int):
-        self.k, self.rows, self.size = k, [], 0
-
-    def add(self, query: int, ids, scores) -> None:
-        self.rows.append((np.full(len(ids), query), ids, scores))
-        self.size += len(ids)
-
-    def frame(self) -> pd.DataFrame:
-        q, i, x = zip(*self.rows) if self.rows else ([np.empty(0, int)],) * 3
-        f = pd.DataFrame({"q": np.concatenate(q), "id": np.concatenate(i), "score": np.concatenate(x)})
-        f = f.assign(r=f["score"].round(9)).sort_values(["q", "r", "id"], ascending=[True, False, True]).groupby("q").head(self.k)
-        self.rows = [(f["q"].to_numpy(), f["id"].to_numpy(), f["score"].to_numpy())]
-        return f
-
-
-def _unit(rows: list[np.ndarray]) -> np.ndarray:
-    m = np.stack(rows)
-    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
-def _seen_by(owners: list, wanted: list, users: list, docs: list) -> np.ndarray | None:
-    """Which row each query may see: those of its user, and of its documents where it names any."""
-    if owners[0] is None and len(owners) == 1:
-        return None
-    user = np.array(users, object)
-    own = {o: user == o for o in set(owners)}
-    doc = np.array(docs, object)
-    return np.stack([own[o] & (np.isin(doc, list(w)) if w is not None and len(w) else True) for o, w in zip(owners, wanted)])
-
-
-def dense_topk(queries: DataFrame, index: DataFrame, k: int = 20, scoped: bool = False) -> DataFrame:
-    """query_id, id, score, rank: the k nearest of index (id, vector) by cosine to every query (query_id, vector).
-
-    scoped: queries have user_id and doc_ids, the index user_id and doc_id, and a query sees its user's rows
-    only, of its doc_ids where that is not empty. The index is read once; queries are broadcast in blocks, each
-    task keeps its own k best of each by matrix products, and the tasks' bests are ranked together. Ties go to
-    the smaller id."""
-    spark = queries.sparkSession
-    kind, qkind = index.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    more = ["user_id", "doc_ids"] if scoped else [F.lit(None), F.lit(None)]
-    shared = [spark.sparkContext.broadcast([tuple(r) for r in own]) for own in _blocks(queries, "query_id", F.col("vector").cast("array<double>"), *more) if own]
-    if not shared:
-        return spark.createDataFrame([], f"query_id {qkind}, id {kind}, score double, rank long")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = [_Best(k) for _ in shared]
-        for f in frames:
-            have = [np.array(v if v is not None else [], np.float64) for v in f["vector"]]
-            ids = f["id"].to_numpy()
-            order = f["id"].rank(method="first").to_numpy()
-            for own, kept in zip(shared, best):
-                rows = own.value
-                vectors = [np.array(r[1] if r[1] is not None else [], np.float64) for r in rows]
-                sees = _seen_by([r[2] for r in rows], [r[3] for r in rows], f["user_id"].tolist(), f["doc_id"].tolist()) if scoped else None
-                for d in sorted({len(v) for v in vectors}):  # vectors of another length have cosine 0
-                    which = [i for i, v in enumerate(vectors) if len(v) == d]
-                    scores = np.zeros((len(which), len(have)))
-                    same = [j for j, v in enumerate(have) if len(v) == d] if d else []
-                    if same:
-                        scores[:, same] = _unit([vectors[i] for i in which]) @ _unit([have[j] for j in same]).T
-                    for q, exact in zip(which, scores):
-                        can = np.arange(len(have)) if sees is None else np.flatnonzero(sees[q])
-                        top = can[np.lexsort((order[can], -np.round(exact[can], 9)))[:k]]
-                        kept.add(q, ids[top], exact[top])
-                if kept.size > 50 * k * len(rows):
-                    kept.frame()
-                    kept.size = 0
-        for own, kept in zip(shared, best):
-            f = kept.frame()
-            yield pd.DataFrame({"query_id": [own.value[q][0] for q in f["q"]], "id": f["id"], "score": f["score"]})
-
-    own = ["user_id", "doc_id"] if scoped else []
-    found = index.select("id", F.col("vector").cast("array<double>"), *own).mapInPandas(run, f"query_id {qkind}, id {kind}, score double")
-    return top_per(found, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
-
-
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, scoped: bool = False) -> DataFrame:
-    """query_id, id, score, rank: the k best of docs (id, text) by BM25 without inverse document frequency for
-    every query (query_id, text); a query's term counts as often as it occurs in it. scoped: as in dense_topk.
-
-    Texts are tokenised in Spark; each task scores its documents against the terms of the queries, broadcast in
-    blocks, and keeps its k best of each, so no postings are shuffled and no term meets in one task."""
-    spark = queries.sparkSession
-    kind, qkind = docs.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    more = ["user_id", "doc_ids"] if scoped else [F.lit(None), F.lit(None)]
-    own = ["user_id", "doc_id"] if scoped else []
-    words = docs.select("id", tokens(F.coalesce("text", F.lit(""))).alias("w"), *own)
-    average = words.agg(F.avg(F.size("w"))).first()[0] or 1.0
-    shared = [spark.sparkContext.broadcast([tuple(r) for r in x]) for x in _blocks(queries, "query_id", tokens(F.coalesce("text", F.lit(""))), *more) if x]
-    if not shared:
-        return spark.createDataFrame([], f"query_id {qkind}, id {kind}, score double, rank long")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best, asked = [_Best(k) for _ in shared], []
-        for x in shared:
-            terms: dict[str, dict[int, int]] = {}
-            for q, r in enumerate(x.value):
-                for t in r[1]:
-                    at = terms.setdefault(t, {})
-                    at[q] = at.get(q, 0) + 1
-            asked.append({t: (np.array(list(at)), np.array(list(at.values()), np.float64)) for t, at in terms.items()})
-        for f in frames:
-            ids = f["id"].to_numpy()
-            for x, kept, terms in zip(shared, best, asked):
-                rows = x.value
-                scores = np.zeros((len(f), len(rows)))
-                for row, text in zip(scores, f["w"]):
-                    said = text.split(" ") if text else []
-                    for t, tf in Counter(filter(terms.__contains__, said)).items():
-                        at, weight = terms[t]
-                        row[at] += weight * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(said) / average)))
-                if scoped:
-                    scores *= _seen_by([r[2] for r in rows], [r[3] for r in rows], f["user_id"].tolist(), f["doc_id"].tolist()).T
-                order = f["id"].rank(method="first").to_numpy()
-                for q in np.flatnonzero(scores.any(axis=0)).tolist():
-                    can = np.flatnonzero(scores[:, q])
-                    top = can[np.lexsort((order[can], -np.round(scores[can, q], 9)))[:k]]
-                    kept.add(q, ids[top], scores[top, q])
-                if kept.size > 50 * k * len(rows):
-                    kept.frame()
-                    kept.size = 0
-        for x, kept in zip(shared, best):
-            f = kept.frame()
-            yield pd.DataFrame({"query_id": [x.value[q][0] for q in f["q"]], "id": f["id"], "score": f["score"]})
-
-    found = words.withColumn("w", F.array_join("w", " ")).mapInPandas(run, f"query_id {qkind}, id {kind}, score double")
-    return top_per(found, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
-
-
-def bm25_weights(docs: DataFrame, id_col: str, k1: float = 1.2, b: float = 0.75, idf: bool = False) -> DataFrame:
-    """id, term, weight: saturated term frequencies, with inverse document frequency if asked for."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    average = words.agg(F.avg(F.size("w")).alias("avgdl"), F.count(F.lit(1)).alias("n_docs"))
-    counts = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    scored = counts.crossJoin(F.broadcast(average))  # one row
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    if idf:
-        df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        scored = scored.join(df, "term")
-        tf = tf * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return scored.select("id", "term", tf.alias("weight"))
-
-
-def sparse_topk(queries: DataFrame, postings: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, id, score, rank by sparse dot product; queries: query_id, term, weight. Ties go to the smaller id."""
-    q = queries.select("query_id", "term", F.col("weight").alias("_qw"))
-    scores = postings.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("_qw")).alias("score"))
-    return top_per(scores, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
+
+# What a hit shows of its chunk beside id and text.
+PAYLOAD = ("filename", "section_path", "locations")
 
 
 def rrf_fuse(arms: list[tuple[DataFrame, float]], k: float = 60.0) -> DataFrame:
@@ -210,7 +47,8 @@ def rerank(pairs: DataFrame, scorer: Callable[[Column, Column], Column] | None,
 
 
 def retrieve(queries: DataFrame, index: DataFrame, scorer: Callable[[Column, Column], Column] | None, top_k: int = 5, prefetch: int = 20, fusion: str = "rrf", rerank_required: bool = False) -> DataFrame:
-    """The hits of hybrid search: query_id, rank, id, doc_id, text, score (fused), rerank_score.
+    """The hits of hybrid search: query_id, rank, id, doc_id, text, score (fused), rerank_score, and what the index has
+    of the payload (filename, section_path, locations); a null list or name comes back empty, null locations go.
 
     queries: query_id, user_id, doc_ids (null or empty: all), text, vector; index: id, doc_id, user_id,
     chunk_type, text, vector. A query sees children of its user's documents alone. Both arms bring ``prefetch``
@@ -222,9 +60,21 @@ def retrieve(queries: DataFrame, index: DataFrame, scorer: Callable[[Column, Col
     dense, sparse = dense_topk(queries, seen, prefetch, True), bm25_topk(queries, seen, prefetch, scoped=True)
     fused = dbsf_fuse([dense, sparse]) if fusion == "dbsf" else rrf_fuse([(dense, 1.0), (sparse, 1.0)])
     fused = fused.where(F.col("rank") <= max(top_k, prefetch)).select("query_id", "id", "rank", "score")
-    pairs = fused.join(seen.select("id", "doc_id", "text"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    pairs = fused.join(index.where(F.col("chunk_type") == "child").select("id", "doc_id", "text", *_payload(index)), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     best = rerank(pairs, scorer, top_k)
-    return best.select("query_id", "rank", "id", "doc_id", "text", "score", "rerank_score")
+    return best.select("query_id", "rank", "id", "doc_id", "text", "score", "rerank_score", *[c for c in PAYLOAD if c in index.columns])
+
+
+def _payload(index: DataFrame) -> list[Column]:
+    """The columns of PAYLOAD that the index has, without nulls."""
+    out = []
+    for f in (index.schema[c] for c in PAYLOAD if c in index.columns):
+        if f.dataType.typeName() == "array":
+            kept = F.filter(F.col(f.name), lambda x: x.isNotNull()) if f.name == "locations" else F.col(f.name)
+            out.append(F.coalesce(kept, F.array().cast(f.dataType)).alias(f.name))
+        else:
+            out.append(F.coalesce(F.col(f.name).cast("string"), F.lit("")).alias(f.name))
+    return out
 
 
 def lexical_scorer(query: Column, text: Column) -> Column:

@@ -307,12 +307,6 @@ def text_filter(spark, sf_dir):
     return S.text_filter(q, t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query(ORACLE_SQL["text_filter"])
-def text_filter_whole(spark, sf_dir):
-    """text_filter under the name it had when that read only the beginnings of texts."""
-    return text_filter(spark, sf_dir)
-
-
 @query()
 def html_elements(spark, sf_dir):
     return E.html_elements(t(spark, sf_dir, "pages"))
