@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.registry import top_per
+from ..sources.registry import spread, top_per
 
 SMALL_QUERIES, SMALL_BYTES = 2_000, 32 << 20
 TILE_QUERIES, TILE_ROWS, TILE_LEAST, CHUNK = 5_000, 100_000, 1_000, 1_024
@@ -218,9 +218,7 @@ def _topk(queries: DataFrame, index: DataFrame, arm, k: int, scoped: bool, tiled
             if first is not None and len(shared.value):
                 yield from _scan(shared.value, _tables(first, batches), arm, k, scoped, first.schema.field("id").type).combine_chunks().to_batches()
 
-        files = len(index.inputFiles())
-        cores = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found = (i.repartition(cores) if 0 < files < cores else i).mapInArrow(run, schema)
+        found = spread(i).mapInArrow(run, schema)
     return top_per(found, ["query_id"], [F.round("score", PLACES).desc(), F.col("id")], k)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from ..operators import context as X
 from ..operators import elements as E
 from ..operators import search as S
 from ..sources import registry as R
-from ..sources.scratch import written
+from ..sources.scratch import scratch, written
+from ..sources.store import ChunkStore
 from ..streaming import feeds as H
 
 QUERIES: dict = {}
@@ -298,6 +301,23 @@ def replace_by_document(spark, sf_dir):
     return R.replace_by_document(c, new, "c_nationkey").select(c.columns)
 
 
+@query(r"""WITH p AS (SELECT doc_id, n_chars, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT doc_id, CAST(n AS INT) AS n, CASE WHEN doc_id % 3 = 1 THEN 'new ' || line ELSE line END AS line, CAST(CASE WHEN doc_id % 3 = 1 THEN 2 WHEN doc_id % 5 = 4 THEN 4 ELSE 1 END AS BIGINT) AS version
+FROM p WHERE doc_id % 3 <> 2 AND NOT (doc_id % 5 = 4 AND doc_id % 3 = 0 AND n > 1)""")
+def stored_versions(spark, sf_dir):
+    """All documents by lines; then a third of them with other lines and a third without any; compacted; then
+    some of the last third with their first lines alone."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    store = ChunkStore(spark, f"{scratch(spark)}/{uuid4().hex}")
+    lines = lambda df: df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("n"), "line")
+    store.put(docs, lines(docs), "all")
+    store.put(docs.where("doc_id % 3 > 0"), lines(docs.where("doc_id % 3 = 1")).withColumn("line", F.concat(F.lit("new "), "line")), "some")
+    store.compact("compacted")
+    few = docs.where("doc_id % 5 = 4 and doc_id % 3 = 0")
+    store.put(few, lines(few).where("n = 1"), "few")
+    return store.read()
+
+
 @query(r"""WITH q AS MATERIALIZED (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS asked FROM benchmark WHERE text IS NOT NULL),
 d AS MATERIALIZED (SELECT doc_id, coalesce(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')), []) AS has FROM documents)
 SELECT item_id AS query_id, doc_id AS id FROM q, d WHERE list_has_all(has, asked)""")
@@ -354,7 +374,7 @@ def hybrid_retrieve(spark, sf_dir):
     """The flagship: every benchmark text searches the windows of its user's documents by cosine and BM25; both
     arms are fused and reranked by shared tokens. A document's user is its id modulo 4; every fifth query names
     documents of its own."""
-    cut = C.sliding_windows(t(spark, sf_dir, "documents"))
+    cut = C.sliding_windows(R.spread(t(spark, sf_dir, "documents")))
     chunks = written(cut.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), "doc_id", (F.col("doc_id") % 4).alias("user_id"), F.lit("child").alias("chunk_type"), "text"))
     user = F.col("item_id") % 4
     named = F.when(F.col("item_id") % 5 == 0, F.sequence(user, F.lit(400), F.lit(4)))

@@ -45,9 +45,19 @@ def parse_key(key: Column) -> tuple[Column, Column]:
     return F.when(ok, F.regexp_extract(key, KEY, 1)), F.when(ok, F.regexp_extract(key, KEY, 2))
 
 
-def replace_by_document(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The old rows of documents that new does not touch, and the new rows; a rerun changes nothing."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def replace_by_document(old: DataFrame, new: DataFrame, key: str = "doc_id", touched: DataFrame | None = None) -> DataFrame:
+    """The old rows of documents that are not touched, and the new rows; a rerun changes nothing.
+
+    touched has the keys of all documents that were processed, so that one that has no rows now loses its old
+    ones; without it the keys of the new rows are taken."""
+    keys = new if touched is None else touched.select(key).unionByName(new.select(key))
+    return old.join(keys.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all tasks where they come from fewer files than that."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks) if 0 < len(df.inputFiles()) < tasks else df
 
 
 def promote(df: DataFrame, fields: list[str], source: str = "metadata") -> DataFrame:

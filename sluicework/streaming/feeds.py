@@ -6,16 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..sources.registry import parse_key, replace_by_document
-from ..sources.scratch import written
-
-#: Folders of a chunk store, by the hash of the document.
-BUCKETS = 64
+from ..sources.registry import parse_key
+from ..sources.store import ChunkStore
 
 ARRIVAL = "Records array<struct<eventName:string, s3:struct<object:struct<key:string>>>>"
 
@@ -90,24 +86,21 @@ def first_deliveries(events: DataFrame, key: str, at: str, delay: str = "1 hour"
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def ingest(batch: DataFrame, path: str, process: Callable[[DataFrame], DataFrame], key: str = "doc_id") -> None:
-    """Puts process(batch) into the chunk store at path in place of what it has of the same documents.
+def ingest(batch: DataFrame, path: str, process: Callable[[DataFrame], DataFrame], name: str, key: str = "doc_id", order: str | None = None) -> int:
+    """Puts process(batch) into the chunk store at path in place of what it has of the batch's documents, and
+    tells the commit. A document that process gives no chunk for has none any more. With ``order`` the last row
+    of a document counts, without it all of them are processed. A batch of a name that is known does nothing."""
+    rows = batch.where(F.col(key).isNotNull())
+    if order is not None:
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("_row")).select("_row.*")
+    return ChunkStore(batch.sparkSession, path, key).put(rows, process(rows), name)
+
 
-    Only the folders of the batch's documents are read and rewritten, and a batch that comes again changes nothing."""
-    spark = batch.sparkSession
-    new = written(process(batch).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = new
-    else:
-        touched = F.broadcast(new.select("bucket").distinct())  # at most BUCKETS rows
-        rows = written(replace_by_document(old.join(touched, "bucket", "left_semi").select(*new.columns), new, key))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def ingest_stream(stream: DataFrame, path: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], key: str = "doc_id", order: str | None = None, name: str = "stream"):
+    """The started query that ingests what has arrived and ends; a batch is known by name and number, so that one
+    that is replayed changes nothing. ``name`` stays the same for a checkpoint and differs between streams."""
 
+    def run(batch: DataFrame, n: int) -> None:
+        ingest(batch, path, process, f"{name}-{n}", key, order)
 
-def ingest_stream(stream: DataFrame, path: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], key: str = "doc_id"):
-    """The started query that ingests what has arrived and ends."""
-    return stream.writeStream.foreachBatch(lambda batch, _: ingest(batch, path, process, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

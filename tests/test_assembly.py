@@ -11,6 +11,7 @@ from sluicework.operators import chunking as C
 from sluicework.operators import search as S
 from sluicework.operators import trees as G
 from sluicework.sources import delimited as D
+from sluicework.sources.store import ChunkStore
 from sluicework.streaming import feeds
 
 
@@ -114,14 +115,15 @@ def test_status_feed_and_ingest_on_streams(spark, tmp_path):
     run = feeds.status_feed(live, "k", "n", "s", ["DONE", "FAILED"]).writeStream.format("memory").queryName("feed").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(map(tuple, spark.table("feed").collect())) == [("a", 1, "UP"), ("a", 4, "DONE"), ("b", 1, "UP"), ("b", 3, "FAILED")]
-    docs = spark.readStream.schema("k string, n long, s string").json(f"{tmp_path}/in")
-    process = lambda b: b.select(F.col("k").alias("doc_id"), "n", F.upper("s").alias("text"))
+    docs = spark.readStream.schema("k string, n long, s string").json(f"{tmp_path}/in").withColumnRenamed("k", "doc_id")
+    store = ChunkStore(spark, f"{tmp_path}/store")
+    process = lambda b: b.select("doc_id", "n", F.upper("s").alias("text"))
     feeds.ingest_stream(docs, f"{tmp_path}/store", f"{tmp_path}/c2", process).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/store").count() == 7
+    assert store.read().count() == 7
     (tmp_path / "in" / "2.json").write_text(json.dumps({"k": "b", "n": 9, "s": "new"}))
     feeds.ingest_stream(docs, f"{tmp_path}/store", f"{tmp_path}/c2", process).awaitTermination()
-    assert sorted((r.doc_id, r.n, r.text) for r in spark.read.parquet(f"{tmp_path}/store").where("doc_id = 'b'").collect()) == [("b", 9, "NEW")]
-    assert spark.read.parquet(f"{tmp_path}/store").count() == 5
+    assert sorted((r.doc_id, r.n, r.text) for r in store.read().where("doc_id = 'b'").collect()) == [("b", 9, "NEW")]
+    assert store.read().count() == 5
 
 
 def test_delimited_files(spark, tmp_path):
