@@ -11,25 +11,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import islands, pack
+
 # The default sizes.
 CHILD_TOKENS, CHILD_CHARS, OVERLAP_MIN, OVERLAP_MAX, OVERLAP, SEAM_REACH = 250, 1000, 200, 300, 250, 200
 CHILDREN, PARENT_TOKENS = (4, 8), 1800
+GROUP_CHARS = 6264
 TRUNCATED = "\n…[truncated]"
 
 
 def blocks(elements: DataFrame, doc: str, order: str, key: Column, name: str = "block") -> DataFrame:
     """Numbers the maximal runs of consecutive elements with an equal key, from 1 in each document."""
-    w = Window.partitionBy(doc).orderBy(order)
-    keyed = elements.withColumn("_key", key)
-    changed = F.when((F.row_number().over(w) == 1) | ~F.col("_key").eqNullSafe(F.lag("_key").over(w)), 1).otherwise(0)
-    return keyed.withColumn("_new", changed).withColumn(name, F.sum("_new").over(w).cast("long")).drop("_new", "_key")
+    return islands(elements.withColumn("_key", key), [doc], [order], "_key", name).drop("_key")
+
+
+def paragraph_runs(lines: DataFrame, doc: str = "doc_id", first: str = "line_number", last: str | None = None, order: str | None = None) -> DataFrame:
+    """Numbers (column run, from 1) runs of elements between gaps of two or more line numbers.
+
+    first and last: an element's lines; one without any has the last line before it."""
+    end = F.coalesce(F.col(last), F.col(first)) if last else F.col(first)
+    w = Window.partitionBy(doc).orderBy(order or first)
+    before = F.last(end, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.coalesce(F.col(first) - before >= 2, F.lit(False))
+    marked = lines.withColumn("_new", F.when(gap | (F.row_number().over(w) == 1), 1).otherwise(0))
+    return marked.withColumn("run", F.sum("_new").over(w).cast("long")).drop("_new")
+
 
+def paragraph_groups(lines: DataFrame, doc: str = "doc_id", first: str = "line_number", last: str | None = None, order: str | None = None, text: str = "text", target: int = GROUP_CHARS) -> DataFrame:
+    """doc, group (from 0), n_runs, n_elements, n_chars, line_first, line_last, first, last (order): runs of elements
+    put together in order until ``target`` characters would be passed, each run whole, joins by a blank line counted.
 
-def paragraph_runs(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Numbers runs of lines between gaps of two or more line numbers."""
-    w = Window.partitionBy(doc).orderBy("line_number")
-    gap = F.col("line_number") - F.lag("line_number").over(w)
-    return lines.withColumn("_new", F.when(gap.isNull() | (gap >= 2), 1).otherwise(0)).withColumn("run", F.sum("_new").over(w).cast("long")).drop("_new")
+    Only the sizes of runs are packed, by ranges; a run that is longer than the target is a group alone, one
+    without a character in none."""
+    order = order or first
+    runs = paragraph_runs(lines.select(doc, *dict.fromkeys([first, *([last] if last else []), order, text])), doc, first, last, order)
+    end = F.coalesce(F.col(last), F.col(first)) if last else F.col(first)
+    joins = 2 * (F.count(F.lit(1)) - 1)
+    per = runs.groupBy(doc, "run").agg(
+        (F.coalesce(F.sum(F.length(text)), F.lit(0)) + joins).alias("_size"), F.count(F.lit(1)).alias("_n"), F.min(first).alias("_low"), F.max(end).alias("_high"), F.min(order).alias("_a"), F.max(order).alias("_z"),
+    )
+    packed = pack(per, doc, "run", "_size", target).where("group is not null")
+    return packed.groupBy(doc, "group").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.sum("_n").alias("n_elements"), (F.sum("_size") + joins).alias("n_chars"),
+        F.min("_low").alias("line_first"), F.max("_high").alias("line_last"), F.min("_a").alias("first"), F.max("_z").alias("last"),
+    )
 
 
 SENTENCE_END = re.compile(r"\n|[.!?;](?=[ \n])")
@@ -55,8 +80,10 @@ def window_spans(first: int, last: int, structural: list[int], sentence: list[in
     not move on, at the end itself. A tail that is shorter than OVERLAP_MAX, or follows a window that is, joins
     it if the tokens allow. Atoms have windows of their own, several if they are too long for one."""
     out, start, most = [], first, 4 * tokens + 3
+    begins = [a for a, _ in atoms]
     while start < last:
-        atom = next(((a, z) for a, z in atoms if a <= start < z), None)
+        at = bisect_right(begins, start)
+        atom = atoms[at - 1] if at and start < atoms[at - 1][1] else None
         if atom:
             if atom[1] - atom[0] <= most:
                 out.append(atom)
@@ -65,7 +92,7 @@ def window_spans(first: int, last: int, structural: list[int], sentence: list[in
             start = atom[1]
             continue
         end = min(last, start + min(chars, most))
-        end = min([end, *(a for a, _ in atoms if a > start)])
+        end = min(end, begins[at]) if at < len(begins) else end
         low = max(start + 1, end - SEAM_REACH)
         end = _last(structural, low, end) or _last(sentence, low, end) or end
         if (last - end < OVERLAP_MAX or end - start <= OVERLAP_MAX) and last - start <= most:

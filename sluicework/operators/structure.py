@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered, pack
+
 # Fixed values.
 LINE_CHARS, PACK_CHARS, TABLE_BAND, JSON_SAMPLE = 2000, 2000, 8, 8
 BODY_SIZE, HEADING_RATIO, BOLD_RATIO, SHORT = 11.0, 1.35, 1.15, 150
@@ -126,27 +128,17 @@ def safe_box(x1: Column, y1: Column, x2: Column, y2: Column, page: Column) -> Co
     return F.when(whole, F.struct(page.try_cast("int").alias("page"), F.least(v[0], v[2]).alias("x1"), F.least(v[1], v[3]).alias("y1"), F.greatest(v[0], v[2]).alias("x2"), F.greatest(v[1], v[3]).alias("y2")))
 
 
-def pack_children(elements: DataFrame, doc: str, order: str, text: str = "text", atomic: str | None = None, most: int = PACK_CHARS) -> DataFrame:
+def pack_children(elements: DataFrame, doc: str, order: str, text: str = "text", atomic: str | None = None, most: int = PACK_CHARS, fresh: str | None = None) -> DataFrame:
     """doc, child (from 0), first, last (order), n_elements, text: consecutive elements joined by a blank line
-    up to ``most`` characters. Blank ones go; an atomic one, or one longer than that, is a child alone."""
-    kinds = {f.name: f.dataType.simpleString() for f in elements.schema.fields}
+    up to ``most`` characters. Blank ones go; an atomic one, or one longer than that, is a child alone. An
+    element for which ``fresh`` holds, blank or not, lets nothing behind it join what is before it.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        groups, size = [], most + 1
-        for o, x, alone in zip(f[order], f[text], f["_alone"]):
-            if x is None or not x.strip():
-                continue
-            if alone or size + 2 + len(x) > most:
-                groups.append([])
-                size = -2
-            groups[-1].append((o, x))
-            size = most + 1 if alone else size + 2 + len(x)
-        rows = [(f[doc].iloc[0], i, g[0][0], g[-1][0], len(g), "\n\n".join(x for _, x in g)) for i, g in enumerate(groups)]
-        return pd.DataFrame(rows, columns=[doc, "child", "first", "last", "n_elements", "text"])
-
-    rows = elements.select(doc, order, text, (F.coalesce(F.col(atomic), F.lit(False)) if atomic else F.lit(False)).alias("_alone"))
-    return rows.groupBy(doc).applyInPandas(run, f"{doc} {kinds[doc]}, child long, first {kinds[order]}, last {kinds[order]}, n_elements long, text string")
+    Elements are packed by ranges, so that no task holds a document; a child is as large as ``most`` or one element."""
+    said = F.col(text).rlike(r"(?U)\S")
+    sized = elements.withColumn("_size", F.when(said, F.length(text)))
+    packed = pack(sized, doc, order, "_size", most, fresh, atomic, "child").where("child is not null")
+    out = packed.groupBy(doc, "child").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_es"))
+    return out.select(doc, "child", F.get("_es.o", 0).alias("first"), F.element_at("_es.o", -1).alias("last"), F.size("_es").cast("long").alias("n_elements"), F.array_join("_es.t", "\n\n").alias("text"))
 
 
 def json_parents(leaves: DataFrame, key: str, sample: int = JSON_SAMPLE) -> DataFrame:
@@ -169,10 +161,9 @@ def slide_parents(slides: DataFrame, keys: list[str]) -> DataFrame:
 
 def table_row_children(rows: DataFrame, table: str, order: str, text: str, band: int = TABLE_BAND) -> DataFrame:
     """table, parent (from 0), child (0..band-1 in it), order, text: one child for each row that is not blank."""
-    said = rows.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
-    n = F.row_number().over(Window.partitionBy(table).orderBy(order)) - 1
-    numbered = said.select(table, order, text, n.cast("long").alias("_n"))
-    return numbered.select(table, F.floor(F.col("_n") / band).alias("parent"), (F.col("_n") % band).alias("child"), order, text)
+    said = rows.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(table, order, text)
+    by = numbered(said, [table], [order], "_n")  # by ranges: a table may be larger than a task
+    return by.select(table, F.floor(F.col("_n") / band).alias("parent"), (F.col("_n") % band).alias("child"), order, text)
 
 
 def tabular_meta(rows: DataFrame, group: list[str], order: str, sheet: str, cell_range: str) -> DataFrame:

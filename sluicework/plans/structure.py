@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import chunking as C
 from ..operators import elements as E
+from ..operators import parts as Q
 from ..operators import reports as P
 from ..operators import search as S
 from ..operators import structure as X
@@ -24,13 +27,35 @@ def markdown_elements(spark, sf_dir):
     return X.markdown_elements(t(spark, sf_dir, "documents"))
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, length(line) AS n FROM p WHERE regexp_matches(line, '[^ 	
+- ]')),
+g AS (SELECT doc_id, k, 0 AS child, n AS fill FROM e WHERE k = 1
+  UNION ALL SELECT e.doc_id, e.k, CASE WHEN fill + 2 + n <= 2000 THEN child ELSE child + 1 END, CASE WHEN fill + 2 + n <= 2000 THEN fill + 2 + n ELSE n END FROM g JOIN e ON e.doc_id = g.doc_id AND e.k = g.k + 1)
+SELECT doc_id, CAST(child AS BIGINT) AS child, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last, count(*) AS n_elements, md5(string_agg(line, chr(10) || chr(10) ORDER BY k)) AS text_md5
+FROM g JOIN e USING (doc_id, k) GROUP BY doc_id, child""")
 def packed_children(spark, sf_dir):
     """Lines of documents as elements."""
     lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
     return X.pack_children(lines, "doc_id", "at").select("doc_id", "child", "first", "last", "n_elements", F.md5("text").alias("text_md5"))
 
 
+_RUNS = """WITH RECURSIVE l AS (SELECT o_custkey AS doc, o_orderkey AS line, length(o_orderpriority) + o_orderkey % 900 AS n FROM orders),
+r AS (SELECT *, sum(CASE WHEN line - before >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line) AS run FROM (SELECT *, lag(line) OVER (PARTITION BY doc ORDER BY line) AS before FROM l)),
+u AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY run) AS k, sum(n) + 2 * (count(*) - 1) AS size, count(*) AS n, min(line) AS a, max(line) AS z FROM r GROUP BY doc, run),
+g AS (SELECT doc, k, 0 AS grp, size AS fill FROM u WHERE k = 1
+  UNION ALL SELECT u.doc, u.k, CASE WHEN fill + 2 + size <= 6264 THEN grp ELSE grp + 1 END, CASE WHEN fill + 2 + size <= 6264 THEN fill + 2 + size ELSE size END FROM g JOIN u ON u.doc = g.doc AND u.k = g.k + 1)"""
+
+
+@query(f"""{_RUNS} SELECT doc AS o_custkey, CAST(grp AS BIGINT) AS "group", count(*) AS n_runs, CAST(sum(n) AS BIGINT) AS n_elements, CAST(sum(size) + 2 * (count(*) - 1) AS BIGINT) AS n_chars, min(a) AS line_first, max(z) AS line_last
+FROM g JOIN u USING (doc, k) GROUP BY doc, grp""")
+def paragraph_groups(spark, sf_dir):
+    """A customer's orders as lines of a text, their keys as line numbers: runs of adjacent keys, packed."""
+    o = t(spark, sf_dir, "orders")
+    lines = o.select("o_custkey", "o_orderkey", F.concat("o_orderpriority", F.repeat(F.lit("x"), (F.col("o_orderkey") % 900).cast("int"))).alias("text"))
+    return C.paragraph_groups(lines, "o_custkey", "o_orderkey").drop("first", "last")
+
+
 @query(r"""WITH s AS (SELECT p_brand, p_partkey, p_name, CAST(p_size AS DOUBLE) AS size, p_partkey % 3 = 0 AS bold FROM part),
 b AS (SELECT p_brand, quantile_cont(size, 0.5) AS body FROM s GROUP BY p_brand),
 k AS (SELECT s.*, body, CASE WHEN regexp_matches(p_name, '^\s*(?:[-*•]|\d{1,2}[.)])\s+') THEN 'list_item'
@@ -42,7 +67,11 @@ def style_classes(spark, sf_dir):
     return X.style_classes(s, "p_brand", F.col("p_name"), F.col("size"), F.col("bold")).select("p_partkey", "body_size", "element_type", "heading_level")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT p_partkey // 16 AS block, p_partkey, CAST(p_size AS DOUBLE) AS size, p_partkey % 3 = 0 AS bold, row_number() OVER (PARTITION BY p_partkey // 16 ORDER BY p_partkey) AS k FROM part),
+c AS (SELECT block, p_partkey, k, 1 AS cluster, size AS ref, bold FROM s WHERE k = 1
+  UNION ALL SELECT s.block, s.p_partkey, s.k, CASE WHEN stays THEN cluster ELSE cluster + 1 END, CASE WHEN stays THEN ref ELSE size END, s.bold
+  FROM (SELECT s.*, c.cluster, c.ref, abs(s.size - ref) <= greatest(0.5, 0.12 * ref) AND s.bold = c.bold AS stays FROM c JOIN s ON s.block = c.block AND s.k = c.k + 1) s)
+SELECT block, p_partkey, CAST(cluster AS BIGINT) AS cluster FROM c""")
 def style_clusters(spark, sf_dir):
     """Parts as styled lines of blocks of sixteen."""
     block = F.floor(F.col("p_partkey") / 16).alias("block")
@@ -146,3 +175,40 @@ def status_feed(spark, sf_dir):
     """Status changes of a user up to the first error."""
     changes = H.status_changes(t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
     return P.changes_until_done(changes, "user_id", ["ts", "event_id"], "event_type", ["error"]).select("user_id", "event_id", "event_type")
+
+
+def _said_lines(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+
+
+@query()
+def standard_parts(spark, sf_dir):
+    """Documents as one block each of their lines."""
+    p = Q.standard_parts(_said_lines(spark, sf_dir), ["doc_id"], "n")
+    return p.select("doc_id", "part", "part_count", "first", "first_char", "last", "last_char", "n_units", F.size("children").cast("long").alias("n_children"), F.md5("text").alias("text_md5"))
+
+
+@query(r"""SELECT doc_id, CAST(0 AS BIGINT) AS over_tokens, CAST(0 AS BIGINT) AS over_band, CAST(0 AS BIGINT) AS gaps, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM
+(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^ \t\r\f\v\x1c-\x1f\x85\xa0]') GROUP BY doc_id""")
+def part_audit(spark, sf_dir):
+    """What is wrong with standard_parts: parts of too many tokens or children, places out of order, characters lost."""
+    p = Q.standard_parts(_said_lines(spark, sf_dir), ["doc_id"], "n").withColumn("size", F.length("text")).drop("text")
+    before = F.lag(F.struct("last", "last_char")).over(Window.partitionBy("doc_id").orderBy("part"))
+    gap = F.coalesce(F.struct(F.col("first").alias("last"), F.col("first_char").alias("last_char")) < before, F.lit(False))
+    rows = p.select("doc_id", "size", "n_units", F.size("children").alias("n"), gap.alias("gap"))
+    return rows.groupBy("doc_id").agg(
+        F.count_if(F.floor(F.col("size") / 4) > 1800).alias("over_tokens"), F.count_if(F.col("n") > 8).alias("over_band"), F.count_if("gap").alias("gaps"),
+        F.sum(F.col("size") - 2 * (F.col("n_units") - 1)).cast("long").alias("n_chars"),
+    )
+
+
+@query(r"""WITH RECURSIVE e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+g AS (SELECT doc_id, k, 0 AS part, length(line) AS fill FROM e WHERE k = 1
+  UNION ALL SELECT e.doc_id, e.k, CASE WHEN fill + 2 + length(line) <= 7500 THEN part ELSE part + 1 END, CASE WHEN fill + 2 + length(line) <= 7500 THEN fill + 2 + length(line) ELSE length(line) END FROM g JOIN e ON e.doc_id = g.doc_id AND e.k = g.k + 1),
+p AS (SELECT doc_id, part, min(k) AS a, max(k) AS z, max(fill) AS n, count(*) AS c, max(part) OVER (PARTITION BY doc_id) AS most FROM g GROUP BY doc_id, part),
+f AS (SELECT *, part = most AND part > 0 AND n < 3750 AND n + 2 + lag(n) OVER (PARTITION BY doc_id ORDER BY part) <= 20000 AS folds FROM p),
+u AS (SELECT doc_id, CASE WHEN folds THEN part - 1 ELSE part END AS part, a, z, n, c FROM f)
+SELECT doc_id, CAST(part + 1 AS INTEGER) AS part, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS part_count, CAST(min(a) - 1 AS INTEGER) AS first, CAST(max(z) - 1 AS INTEGER) AS last, CAST(sum(c) AS BIGINT) AS n_elements, CAST(sum(n) + 2 * (count(*) - 1) AS BIGINT) AS n_chars FROM u GROUP BY doc_id, part""")
+def legacy_parts(spark, sf_dir):
+    """Documents as one block each of their lines, under the soft cap."""
+    return Q.legacy_parts(_said_lines(spark, sf_dir), ["doc_id"], "n", soft=True)
