@@ -10,85 +10,203 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .structure import pieces
+
 # Fixed values.
 DROPPED = ("script", "style", "noscript", "iframe", "svg", "template")
 KEPT = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "tr")
 ENDS_PARAGRAPH = (*KEPT[:8], "ul", "ol", "table", "div", "section", "article", "header", "footer", "nav", "main", "blockquote", "pre")
+KINDS = {**{f"h{i}": "heading" for i in range(1, 7)}, "li": "list_item"}
+ROOT, CELL_CHARS = "[document]", 500
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
-class _Outline(HTMLParser):
-    """Collects the outermost kept elements with the headings above them."""
+class Node:
+    """An open or closed element: its place among the siblings of its name, and what has been read in it."""
+
+    __slots__ = ("tag", "path", "parent", "counts", "parts", "hrefs", "cells", "table", "header", "first", "section")
+
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent = tag, parent
+        n = 1
+        if parent is not None:
+            n = parent.counts[tag] = parent.counts.get(tag, 0) + 1
+        self.path = f"{parent.path} > {tag}:nth-of-type({n})" if parent is not None else f"{tag}:nth-of-type(1)"
+        self.counts: dict[str, int] = {}
+        self.parts: list[str] = []
+        self.hrefs: dict[str, None] = {}
+        self.cells: list[Node] = []
+        self.table: Node | None = None
+        self.header: Node | None = None  # of a table: the row of its first header cell
+        self.first: Node | None = None  # of a table: its first row
+        self.section: list[str] = []
+
+    def up(self, tag: str) -> Node | None:
+        n = self.parent
+        while n is not None and n.tag != tag:
+            n = n.parent
+        return n
+
+    def text(self) -> str:
+        return " ".join(" ".join(self.parts).split())
+
+
+class Dom(HTMLParser):
+    """One pass over a page. ``found`` has the outermost kept elements in order; text, links and cells are given to
+    every open element that asks for them while they are read, so that no tree has to be kept."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
+        self.open = [Node(ROOT, None)]
         self.dropped = 0
-        self.own: tuple[str, int, list[str]] | None = None
+        self.kept: Node | None = None
+        self.readers: list[Node] = [self.open[0]]  # whose text is wanted
         self.section: list[str] = []
-        self.found: list[tuple[str, str, list[str]]] = []
-        self.body: list[str] = []
+        self.found: list[Node] = []
 
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_PARAGRAPH and self.kept is not None and self.kept.tag == "p":
+            self._close(self.kept)
+        node = Node(tag, self.open[-1])
+        if tag == "a" and not self.dropped:
+            url = (dict(attrs).get("href") or "").strip()
+            if url:
+                for n in self.open:
+                    n.hrefs.setdefault(url)
         if tag in VOID:
-            self._text(" ")
             return
-        if self.own and self.own[0] == "p" and tag in ENDS_PARAGRAPH:
-            del self.open[self.own[1] - 1 :]
-            self._close()
-        self.open.append(tag)
+        self.open.append(node)
         self.dropped += tag in DROPPED
-        if tag in KEPT and not self.own and not self.dropped:
-            self.own = (tag, len(self.open), [])
+        if self.dropped:
+            return
+        if tag in ("td", "th"):
+            self.readers.append(node)
+            if node.parent.tag == "tr":
+                node.parent.cells.append(node)
+        if tag == "tr":
+            node.table = node.up("table")
+        if tag in ("tr", "th"):
+            row = node if tag == "tr" else node.up("tr")
+            for table in (n for n in self.open if n.tag == "table"):
+                if tag == "tr":
+                    table.first = table.first or node
+                elif row is not None:
+                    table.header = table.header or row
+        if tag in KEPT and self.kept is None:
+            self.kept = node
+            self.readers.append(node)
 
     def handle_endtag(self, tag):
-        if tag not in self.open:
-            return
-        while self.open:
-            if self.own and len(self.open) == self.own[1]:
-                self._close()
+        node = next((n for n in reversed(self.open) if n.tag == tag), None)
+        if node is not None and node.tag != ROOT:
+            self._close(node)
+
+    def handle_data(self, data):
+        if not self.dropped:
+            for n in self.readers:
+                n.parts.append(data)
+
+    def _close(self, node: Node) -> None:
+        """Closes the node and all that is open in it."""
+        while True:
             last = self.open.pop()
-            self.dropped -= last in DROPPED
-            if last == tag:
+            self.dropped -= last.tag in DROPPED
+            if last in self.readers:
+                self.readers.remove(last)
+            if last is self.kept:
+                self.kept = None
+                text = last.text()
+                if text:
+                    if last.tag in KEPT[:6]:
+                        self.section = self.section[: int(last.tag[1]) - 1] + [text]
+                    last.section = list(self.section)
+                    self.found.append(last)
+            if last is node:
                 return
 
-    def handle_data(self, data):
-        self._text(data)
+    def close(self):
+        super().close()
+        if len(self.open) > 1:
+            self._close(self.open[1])
 
-    def _text(self, data):
-        if not self.dropped:
-            (self.own[2] if self.own else self.body).append(data)
 
-    def _close(self):
-        tag, _, parts = self.own
-        self.own = None
-        text = " ".join("".join(parts).split())
-        if not text:
-            return
-        if tag[0] == "h":
-            self.section = self.section[: int(tag[1]) - 1] + [text]
-        self.found.append((tag, text, list(self.section)))
+def _read(html: str) -> Dom:
+    page = Dom()
+    page.feed(html)
+    page.close()
+    return page
+
+
+def _whole(page: Dom) -> str:
+    return page.open[0].text()
 
 
 def html_outline(html: str) -> list[tuple[str, str, list[str]]]:
-    p = _Outline()
-    p.feed(html)
-    if p.own:
-        p._close()
-    return p.found or [("body", t, []) for t in [" ".join("".join(p.body).split())] if t]
+    """(tag, text, section path) of the outermost headings, paragraphs, list items and rows; the text of a page without any."""
+    page = _read(html)
+    return [(n.tag, n.text(), n.section) for n in page.found] or [("body", t, []) for t in [_whole(page)] if t]
+
+
+def _columns(node: Node) -> tuple[Node | None, list[str]]:
+    head = node.table.header or node.table.first
+    return head, [c.text() for c in head.cells] if head is not None else []
+
+
+def row_text(names: list[str], cells: list[str]) -> str:
+    """``header: cell`` a line; ``column{n}`` for a blank header, ``extra_n`` beyond the headers."""
+    label = lambda i: (names[i] or f"column{i + 1}") if i < len(names) else f"extra_{i - len(names) + 1}"
+    return "\n".join(f"{label(i)}: {c[:CELL_CHARS]}" for i, c in enumerate(cells))
+
+
+def _elements(html: str) -> Iterator[tuple[str, str, list[str], str, list[str], int]]:
+    page = _read(html)
+    for n in page.found:
+        links = list(n.hrefs)
+        if n.tag != "tr":
+            yield from ((KINDS.get(n.tag, "paragraph"), p, n.section, n.path, links, i) for i, (_, p) in enumerate(pieces(n.text())))
+        elif n.table is not None:
+            head, names = _columns(n)
+            if n is head:
+                yield "table_header", " | ".join(x for x in names if x), n.section, n.path, links, 0
+            else:
+                yield "table_row", row_text(names, [c.text() for c in n.cells]), n.section, n.path, links, 0
+    if not page.found and (text := _whole(page)):
+        yield "paragraph", text, [], "", [], 0
 
 
 def html_elements(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, order (from 1), element_type, text, section_path of every page's elements."""
-    kinds = {**{f"h{i}": "heading" for i in range(1, 7)}, "li": "list_item", "tr": "table_row"}
+    """key, order (from 1), element_type, text, section_path, dom_path, hrefs, fragment of every page's elements.
+
+    Texts of over 2000 characters are cut into fragments (from 0). A table's row is told by the names of its columns,
+    its header by the names alone; rows outside a table go. hrefs are the links within the element, each once. A p is
+    closed by what closes it in HTML, so unclosed ones do not nest. A page without any element is one paragraph."""
     kind = pages.schema[key].dataType.simpleString()
+    columns = [key, "order", "element_type", "text", "section_path", "dom_path", "hrefs", "fragment"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, n, *e) for k, h in zip(f[key], f["html"]) if h for n, e in enumerate(_elements(h), 1)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, order long, element_type string, text string, section_path array<string>, dom_path string, hrefs array<string>, fragment int")
+
+
+def html_cells(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, table (its DOM path), row (from 1 in the page), column (from 0), is_header, text: the cells of the outermost
+    rows of every page's tables, as html_table_rows takes them. is_header: of the row that names the columns, which
+    is that of the table's first header cell, those of tables inside it included, else its first."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def cells(html: str) -> Iterator[tuple]:
+        rows = [n for n in _read(html).found if n.tag == "tr" and n.table is not None]
+        for r, n in enumerate(rows, 1):
+            yield from ((n.table.path, r, c, n is _columns(n)[0], x.text()) for c, x in enumerate(n.cells))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, n, kinds.get(tag, "paragraph"), text, path) for k, h in zip(f[key], f["html"]) if h for n, (tag, text, path) in enumerate(html_outline(h), 1)]
-            yield pd.DataFrame(rows, columns=[key, "order", "element_type", "text", "section_path"])
+            yield pd.DataFrame([(k, *c) for k, h in zip(f[key], f["html"]) if h for c in cells(h)], columns=[key, "table", "row", "column", "is_header", "text"])
 
-    return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, order long, element_type string, text string, section_path array<string>")
+    return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, table string, row long, column int, is_header boolean, text string")
 
 
 def _leaves(value, path: str = "$", label: str | None = None, depth: int = 0):

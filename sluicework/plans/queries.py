@@ -327,9 +327,36 @@ def text_filter(spark, sf_dir):
     return S.text_filter(q, t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query()
+@query(r"""WITH RECURSIVE b AS (SELECT page_id, regexp_replace(html, '(?s)^.*<body>', '') AS h FROM pages),
+s AS (SELECT page_id, unnest(regexp_extract_all(h, '<(li|h1|p)>', 1)) AS tag, unnest(regexp_split_to_array(h, '<(?:li|h1|p)>')[2:]) AS piece, generate_subscripts(regexp_extract_all(h, '<(li|h1|p)>', 1), 1) AS n FROM b),
+e AS (SELECT *, row_number() OVER (PARTITION BY page_id, tag ORDER BY n) AS k, regexp_extract(piece, '(?s)^(.*?)(?:</li>|</h1>|</p>|</article>|$)', 1) AS own FROM s),
+x AS (SELECT *, trim(regexp_replace(replace(replace(replace(regexp_replace(own, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text, regexp_extract(own, 'href="([^"]*)"', 1) AS href FROM e),
+t AS (SELECT *, max(CASE WHEN tag = 'h1' THEN text END) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS title FROM x WHERE text <> ''),
+c AS (SELECT page_id, n, 0 AS i, text AS rest, regexp_extract(left(text, 2001), '(?s)^(.+) ', 1) AS fits FROM t UNION ALL SELECT page_id, n, i + 1, r, regexp_extract(left(r, 2001), '(?s)^(.+) ', 1) FROM
+ (SELECT page_id, n, i, CASE WHEN fits <> '' THEN substr(rest, length(fits) + 2) ELSE substr(rest, 2001) END AS r FROM c WHERE length(rest) > 2000)),
+f AS (SELECT t.* EXCLUDE (text), i, CASE WHEN length(rest) <= 2000 THEN rest WHEN fits <> '' THEN fits ELSE left(rest, 2000) END AS text FROM c JOIN t USING (page_id, n))
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n, i) AS "order", CASE tag WHEN 'li' THEN 'list_item' WHEN 'h1' THEN 'heading' ELSE 'paragraph' END AS element_type, text, coalesce(title, '') AS section_path,
+ '[document]:nth-of-type(1) > html:nth-of-type(1) > body:nth-of-type(1) > ' || CASE tag WHEN 'li' THEN 'nav:nth-of-type(1) > ul:nth-of-type(1)' ELSE 'article:nth-of-type(1)' END || ' > ' || tag || ':nth-of-type(' || k || ')' AS dom_path, href AS hrefs, CAST(i AS INTEGER) AS fragment FROM f""")
 def html_elements(spark, sf_dir):
-    return E.html_elements(t(spark, sf_dir, "pages"))
+    """Elements of pages, long texts in fragments; lists joined."""
+    e = E.html_elements(t(spark, sf_dir, "pages"))
+    return e.select("page_id", "order", "element_type", "text", F.array_join("section_path", " > ").alias("section_path"), "dom_path", F.array_join("hrefs", " ").alias("hrefs"), "fragment")
+
+
+@query("""SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS BIGINT) AS row, 'table_row' AS element_type,
+ 'key: ' || o_orderkey || chr(10) || 'column2: ' || o_orderstatus || chr(10) || 'date & more: ' || CAST(o_orderdate AS DATE) || chr(10) || 'extra_1: ' || o_orderpriority AS text FROM orders
+UNION ALL SELECT DISTINCT o_custkey, 1, 'table_header', 'key | date & more' FROM orders""")
+def html_table_rows(spark, sf_dir):
+    """A customer's orders as a page with a table, read back by way of its cells."""
+    o = t(spark, sf_dir, "orders")
+    cells = [F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderdate").cast("date").cast("string"), F.concat(F.lit("<b>"), "o_orderpriority", F.lit("</b>"))]
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td> "), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"]), "\n")
+    html = F.concat(F.lit("<body><p>Orders<table><thead><tr><th>key</th><th></th><th>date &amp; more</th></tr></thead><tbody>"), rows, F.lit("</tbody></table>"))
+    pages = o.groupBy("o_custkey").agg(html.alias("html"))
+    from ..operators.structure import html_table_rows as told
+
+    return told(E.html_cells(pages, "o_custkey"), ["o_custkey", "table"], "row", "column").drop("table")
 
 
 _WINDOWS = r"""ch AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS i FROM documents),

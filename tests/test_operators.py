@@ -63,7 +63,7 @@ def test_windows_cover_the_text_and_overlap():
 def test_html_and_json(spark):
     html = "<title>t</title><script>x</script><h1>A</h1><p>one<p>two <b>b</b><h3>C</h3><ul><li><p>in</p></li></ul><table><tr><th>h</th><td>1</td></tr></table>"
     got = elements.html_outline(html)
-    assert [(g[0], g[1], g[2]) for g in got] == [("h1", "A", ["A"]), ("p", "one", ["A"]), ("p", "two b", ["A"]), ("h3", "C", ["A", "C"]), ("li", "in", ["A", "C"]), ("tr", "h1", ["A", "C"])]
+    assert [(g[0], g[1], g[2]) for g in got] == [("h1", "A", ["A"]), ("p", "one", ["A"]), ("p", "two b", ["A"]), ("h3", "C", ["A", "C"]), ("li", "in", ["A", "C"]), ("tr", "h 1", ["A", "C"])]
     assert elements.html_outline("plain") == [("body", "plain", [])]
     rows = [(1, json.dumps({"b": [1, {"c": "x"}], "a": None})), (2, '{"a": 1}\n{"b": NaN}\n{"c": true}'), (3, "")]
     out = elements.json_leaves(spark.createDataFrame(rows, "k int, j string"), "k", "j").collect()
@@ -71,6 +71,29 @@ def test_html_and_json(spark):
     assert [r.path for r in out if r.error] == ["L2"]
 
 
+def test_html_paths_links_and_fragments(spark):
+    html = '<html><body><div>x<p>see <a href=" /a ">a</a><a href="/b">b</a><a href="/a">c</a><a>d</a><script><a href="/no">n</a></script></div><p>' + "long " * 900 + '<div><h2>T<svg><p>no</p></svg></h2></div><ul><li>one</li><li><a href="u">two</a></ul><tr><td>stray</td></tr>'
+    got = elements.html_elements(spark.createDataFrame([(1, html), (2, "<div> bare <i>text</i></div>"), (3, ""), (4, None), (5, "<p> </p><script>x</script>")], "page_id int, html string")).orderBy("page_id", "order").collect()
+    body = "[document]:nth-of-type(1) > html:nth-of-type(1) > body:nth-of-type(1)"
+    assert [(r.page_id, r.order, r.element_type, r.fragment, r.hrefs) for r in got] == [(1, 1, "paragraph", 0, ["/a", "/b"]), (1, 2, "paragraph", 0, []), (1, 3, "paragraph", 1, []), (1, 4, "paragraph", 2, []), (1, 5, "heading", 0, []), (1, 6, "list_item", 0, []), (1, 7, "list_item", 0, ["u"]), (2, 1, "paragraph", 0, [])]
+    assert got[0].text == "see a b c d" and got[0].dom_path == f"{body} > div:nth-of-type(1) > p:nth-of-type(1)"
+    assert " ".join(r.text for r in got[1:4]) == ("long " * 900).strip() and got[1].dom_path == f"{body} > p:nth-of-type(1)"
+    assert (got[4].dom_path, got[4].text, got[4].section_path) == (f"{body} > div:nth-of-type(2) > h2:nth-of-type(1)", "T", ["T"])
+    assert got[5].dom_path == f"{body} > ul:nth-of-type(1) > li:nth-of-type(1)" and got[7].text == "bare text"
+
+
+def test_html_tables(spark):
+    """The first header cell names the columns, also from a row below and from a table inside; rows inside rows are no rows."""
+    one = "<table><tr><td>a</td><td>b</td></tr><tr><th>X</th><td></td></tr><tr><td>1</td><td>2<b>3</b></td><td>4</td></tr></table>"
+    two = "<h1>H</h1><table><tbody><tr><td>p</td><td><table><tr><th>in</th></tr></table></td></tr><tr><td>q</td></tr></tbody></table><table><tr><td>n</td></tr><tr><td>" + "m" * 600 + "</td></tr></table>"
+    pages = spark.createDataFrame([(1, one), (2, two)], "page_id int, html string")
+    got = [(r.page_id, r.element_type, r.text) for r in elements.html_elements(pages).orderBy("page_id", "order").collect() if r.element_type != "heading"]
+    want = [(1, "table_row", "X: a\ncolumn2: b"), (1, "table_header", "X"), (1, "table_row", "X: 1\ncolumn2: 2 3\nextra_1: 4"), (2, "table_row", "in: p\nextra_1: in"), (2, "table_row", "in: q"), (2, "table_header", "n"), (2, "table_row", "n: " + "m" * 500)]
+    assert got == want
+    told = structure.html_table_rows(elements.html_cells(pages.where("page_id = 1")), ["page_id", "table"], "row", "column").orderBy("row").collect()
+    assert [(r.page_id, r.element_type, r.text) for r in told] == want[:3]
+
+
 def test_citations_and_prompts(spark):
     answer = f'See it. {context.START}[{{"id": 1, "doc_id": "d", "page": 2,}}]{context.END}'
     text, cites = context.parse_citations(F.col("a"))
