@@ -24,3 +24,9 @@ def cosine(a: Column, b: Column) -> Column:
     """0.0 for empty vectors, unequal lengths or a zero norm."""
     n = norm(a) * norm(b)
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (n > 0), dot(a, b) / n).otherwise(0.0)
+
+
+def of_dimension(a: Column, dimension: int) -> Column:
+    """The vector; one of another length, or a null one, is an error."""
+    said = F.concat(F.lit(f"a vector of {dimension} was expected, not of "), F.coalesce(F.size(a).cast("string"), F.lit("none")))
+    return F.when(F.coalesce(F.size(a), F.lit(-1)) == dimension, a).otherwise(F.raise_error(said))

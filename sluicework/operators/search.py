@@ -11,6 +11,7 @@ from ..functions.text import tokens
 from ..functions.vectors import cosine
 from ..sources.registry import top_per
 from .arms import bm25_topk, dense_topk
+from .ranges import numbered
 
 
 # What a hit shows of its chunk beside id and text.
@@ -96,8 +97,48 @@ def search_conversations(queries: DataFrame, messages: DataFrame, k: int = 5, wi
     return top_per(scored, ["query_id"], [F.round("score", 9).desc(), "turn"], k)
 
 
+def search_history(queries: DataFrame, messages: DataFrame, k: int = 5, window: int = 40) -> DataFrame:
+    """query_id, conv_id, turn, score, rank: as search_conversations, for queries that are turns themselves.
+
+    queries: query_id, conv_id, turn, vector. Each is compared with the ``window`` non-blank turns before it. Turns
+    are numbered by ranges and met by their numbers, at most ``window`` a query, so that a long conversation is
+    neither held by one task nor met with itself."""
+    found = _history(queries, messages, window).withColumn("score", cosine(F.col("vector"), F.col("_v")))
+    return top_per(found.select("query_id", "conv_id", "turn", "score"), ["query_id"], [F.round("score", 9).desc(), "turn"], k)
+
+
+def _history(queries: DataFrame, messages: DataFrame, window: int) -> DataFrame:
+    said = numbered(messages.where(F.trim("text") != "").select("conv_id", "turn", F.col("vector").alias("_v")), ["conv_id"], ["turn"], "_at")
+    asked = queries.join(said.select("conv_id", F.col("turn"), "_at"), ["conv_id", "turn"])
+    places = F.explode(F.sequence(F.greatest(F.col("_at") - window, F.lit(0)), F.col("_at") - 1))
+    before = asked.where("_at > 0").select("query_id", "conv_id", "vector", places.alias("_at"))
+    return before.join(said, ["conv_id", "_at"])
+
+
+def history_statistics(queries: DataFrame, messages: DataFrame, k: int = 5, window: int = 40) -> DataFrame:
+    """query_id, best, mean (of the hits of search_history; 0 without any), n_hits, num_searched (turns compared: those
+    with a vector), num_turns (turns in the window)."""
+    turns = _history(queries, messages, window)
+    seen = turns.groupBy("query_id").agg(F.count_if(F.size("_v") > 0).alias("num_searched"), F.count(F.lit(1)).alias("num_turns"))
+    hits = search_history(queries, messages.where(F.size("vector") > 0), k, window) if k > 0 else None
+    out = queries.select("query_id").join(seen, "query_id", "left")
+    if hits is not None:
+        out = out.join(hits.groupBy("query_id").agg(F.max("score").alias("best"), F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n_hits")), "query_id", "left")
+    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
+    return out.select("query_id", zero("best", "double"), zero("mean", "double"), zero("n_hits", "long"), zero("num_searched", "long"), zero("num_turns", "long"))
+
+
+# Why a query goes where it does.
+REASONS = {
+    None: "no usable conversation history; falling back to document retrieval",
+    "conversation_only": "conversation is highly sufficient (dependency=%.3f); skipping document retrieval",
+    "hybrid": "conversation is moderately sufficient (dependency=%.3f); fusing conversation context with document retrieval",
+    "documents_only": "conversation is not sufficient (dependency=%.3f); retrieving from documents only",
+}
+
+
 def route(hits: DataFrame, queries: DataFrame, min_hits: int = 2, strong: float = 0.6) -> DataFrame:
-    """query_id, dependency, route. hits: query_id, score; queries: query_id, refers_conversation, refers_document."""
+    """query_id, dependency, route, reason. hits: query_id, score; queries: query_id, refers_conversation, refers_document."""
     per = hits.groupBy(F.col("query_id").alias("_q")).agg(F.max("score").alias("best"), F.sum((F.col("score") >= strong).cast("int")).alias("n_strong"))
     q = queries.join(per, F.col("query_id") == F.col("_q"), "left")
     raw = 0.5 * F.col("best") + 0.3 * F.least(F.col("n_strong") / F.lit(max(min_hits, 1)), F.lit(1.0))
@@ -105,7 +146,11 @@ def route(hits: DataFrame, queries: DataFrame, min_hits: int = 2, strong: float
     dependency = F.when(F.col("best").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
     r6 = F.round(dependency, 9)
     path = F.when(r6 >= 0.8, "conversation_only").when(r6 >= 0.55, "hybrid").otherwise("documents_only")
-    return q.select("query_id", dependency.alias("dependency"), path.alias("route"))
+    reason = F.when(F.col("best").isNull(), REASONS[None])
+    for name, said in REASONS.items():
+        if name:
+            reason = reason.when(path == name, F.format_string(said, dependency))
+    return q.select("query_id", dependency.alias("dependency"), path.alias("route"), reason.alias("reason"))
 
 
 def payload_filter(chunks: DataFrame, **wanted) -> DataFrame:

@@ -80,24 +80,55 @@ def event_props_leaves(spark, sf_dir):
 
 _NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
  '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '\s+([.,!?;:])', '\1', 'g'), '([.,!?;:])([^\s.,!?;:])', '\1 \2', 'g'), '\?{2,}', '?', 'g'), '!{2,}', '!', 'g'), '\.{2,}', '.', 'g'))"""
-for _w in T.DOUBLED_WORDS:
+for _w in ("and", "or", "to", "of", "in", "on", "for", "the", "a", "an", "with", "by", "as", "at"):
     _NORM = rf"regexp_replace({_NORM}, '(?i)\b({_w})\s+{_w}\b', '\1', 'g')"
 
 
-@query(f"SELECT conv_id, turn, {_NORM} AS normalized FROM conversations WHERE role = 'user'")
+@query(f"SELECT conv_id, turn, {_NORM} AS normalized FROM conversations")
 def query_normalize(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations").where("role = 'user'")
+    c = t(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", T.normalize_query(F.col("text")).alias("normalized"))
 
 
-def _sql_any(patterns, guarded=False):
-    p = T._guarded(patterns) if guarded else T._any(patterns)
-    return p.replace("'", "''")
-
-
-@query(f"""SELECT conv_id, turn, regexp_matches(n, '{_sql_any(T.ANAPHORA_WORDS, True)}') OR regexp_matches(n, '{_sql_any(T.CONVERSATION_PHRASES)}') AS refers_conversation,
-(regexp_matches(n, '{_sql_any(T.DOC_NOUNS, True)}') AND regexp_matches(n, '{_sql_any(T.DOC_PHRASES)}')) OR regexp_matches(n, '(?i){T.DOC_VERB}') AS refers_document
-FROM (SELECT conv_id, turn, {_NORM} AS n FROM conversations)""")
+# what the flags mean, written out on its own
+_REFERS = r"""(regexp_matches(n, '(?i)(^|[^A-Za-z0-9_])(that|this|it|these|those|them|there|then)([^A-Za-z0-9_]|$)') OR
+ regexp_matches(n, '(?i)the\s+above') OR
+ regexp_matches(n, '(?i)the\s+following') OR
+ regexp_matches(n, '(?i)aforementioned') OR
+ regexp_matches(n, '(?i)as\s+(we|i|you)\s+(discussed|said|mentioned|talked|covered)') OR
+ regexp_matches(n, '(?i)as\s+discussed') OR
+ regexp_matches(n, '(?i)as\s+previously\s+(said|mentioned|stated)') OR
+ regexp_matches(n, '(?i)(we|you|i)\s+(discussed|talked|said|mentioned|covered)\b') OR
+ regexp_matches(n, '(?i)you\s+(said|mentioned|recommended|suggested|told)\b') OR
+ regexp_matches(n, '(?i)what\s+did\s+(you|we|i)\s+recommend') OR
+ regexp_matches(n, '(?i)our\s+(previous|earlier)\s+(decision|discussion|conversation)') OR
+ regexp_matches(n, '(?i)earlier\s+discussion') OR
+ regexp_matches(n, '(?i)continue') OR
+ regexp_matches(n, '(?i)explain\s+that') OR
+ regexp_matches(n, '(?i)go\s+(on|ahead)') OR
+ regexp_matches(n, '(?i)elaborate') OR
+ regexp_matches(n, '(?i)expand') OR
+ regexp_matches(n, '(?i)in\s+more\s+detail') OR
+ regexp_matches(n, '(?i)why\s+did\s+(we|you|i)\b') OR
+ regexp_matches(n, '(?i)what\s+was\s+our\s+reason') OR
+ regexp_matches(n, '(?i)the\s+decision')) AS refers_conversation,
+((regexp_matches(n, '(?i)(^|[^A-Za-z0-9_])(document|documents|docs|pdf|pdfs|file|files|paper|papers|report|reports|memo|memos|whitepaper|chapter|section|appendix|attachment|upload|uploaded)([^A-Za-z0-9_]|$)') AND (
+ regexp_matches(n, '(?i)according\s+to\b') OR
+ regexp_matches(n, '(?i)as\s+per\b') OR
+ regexp_matches(n, '(?i)in\s+the\s+(?:uploaded\s+)?(?:attached\s+)?\b') OR
+ regexp_matches(n, '(?i)from\s+the\s+(?:uploaded\s+)?\b') OR
+ regexp_matches(n, '(?i)of\s+the\s+(?:uploaded\s+)?\b') OR
+ regexp_matches(n, '(?i)referring\s+to\b') OR
+ regexp_matches(n, '(?i)refer(?:s|ring)?\s+to\s+the\b') OR
+ regexp_matches(n, '(?i)(?:what|where|how|who|why|which)\s+does\s+(?:the|this|that|our)\b') OR
+ regexp_matches(n, '(?i)does\s+(?:the|this|that|our)\b.*\b(say|state|mention|recommend|suggest|covers|contain|describe)\b') OR
+ regexp_matches(n, '(?i)on\s+page\s+\d+') OR
+ regexp_matches(n, '(?i)pages?\s+\d+') OR
+ regexp_matches(n, '(?i)in\s+section\b'))) OR
+ regexp_matches(n, '(?i)\b(document|pdf|file|paper|report|memo|chapter|section|appendix)\b\s+(says?|states?|mentions?|recommends?|suggests?|covers?|contains?|describes?|shows?|notes?)\b')) AS refers_document"""
+
+
+@query(f"SELECT conv_id, turn, {_REFERS} FROM (SELECT conv_id, turn, {_NORM} AS n FROM conversations)")
 def query_flags(spark, sf_dir):
     return T.analyze_queries(t(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "refers_conversation", "refers_document")
 
@@ -185,37 +216,46 @@ def _letters(text):
 
 
 _LET = "[" + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in "aeinorst") + "]"
-_CONV = f"""m AS (SELECT conv_id, turn, role, text, {_LET} AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE trim(text) <> ''),
-q AS (SELECT conv_id AS query_id, conv_id, v, turn AS qt, text FROM m WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+_CONV = f"""m AS (SELECT conv_id, turn, role, text, {_LET} AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE trim(text) <> ''),
+q AS (SELECT conv_id || '-' || turn AS query_id, conv_id, v, k, text FROM m WHERE role = 'user'),
 c AS (SELECT q.query_id, q.conv_id, m.turn, CASE WHEN list_sum(list_transform(q.v, lambda x: x * x)) * list_sum(list_transform(m.v, lambda x: x * x)) > 0 THEN
  list_sum(list_transform(list_zip(q.v, m.v), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(m.v, lambda x: x * x)))) ELSE 0 END AS score
- FROM q JOIN m ON q.conv_id = m.conv_id AND m.turn < q.qt AND m.back <= 40),
+ FROM q JOIN m ON q.conv_id = m.conv_id AND m.k < q.k AND m.k >= q.k - 40),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, turn) AS rank FROM c)"""
 
 
 def _conv(spark, sf_dir):
+    """Every turn of a user asks the turns before it."""
     msgs = t(spark, sf_dir, "conversations").withColumn("vector", _letters(F.col("text")))
-    said = msgs.where(F.trim("text") != "")
-    last = said.where("role = 'user'").groupBy("conv_id").agg(F.max_by(F.struct("vector", "text", "turn"), "turn").alias("x"))
-    queries = last.select(F.col("conv_id").alias("query_id"), "conv_id", "x.vector", "x.text", F.col("x.turn").alias("asked"))
-    before = S.conversation_window(said.select("conv_id", "turn", "text", "vector")).join(queries.select("conv_id", "asked"), "conv_id").where("turn < asked").drop("asked")
-    return queries, S.search_conversations(queries.select("query_id", "conv_id", "vector"), before)
+    asked = msgs.where("role = 'user' and trim(text) <> ''")
+    return asked.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "conv_id", "turn", "vector", "text"), msgs
 
 
 @query(f"WITH {_CONV} SELECT query_id, conv_id, turn, round(score, 6) AS score, rank FROM k WHERE rank <= 5")
 def conv_search(spark, sf_dir):
-    return _conv(spark, sf_dir)[1].withColumn("score", F.round("score", 6))
+    queries, msgs = _conv(spark, sf_dir)
+    return S.search_history(queries, msgs).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_CONV}, h AS (SELECT query_id, max(score) AS best, avg(score) AS mean, count(*) AS n FROM k WHERE rank <= 5 GROUP BY query_id),
+w AS (SELECT query_id, count(*) AS n FROM c GROUP BY query_id)
+SELECT q.query_id, round(coalesce(best, 0), 6) AS best, round(coalesce(mean, 0), 6) AS mean, coalesce(h.n, 0) AS n_hits, coalesce(w.n, 0) AS num_searched, coalesce(w.n, 0) AS num_turns FROM q LEFT JOIN h USING (query_id) LEFT JOIN w USING (query_id)""")
+def conv_statistics(spark, sf_dir):
+    out = S.history_statistics(*_conv(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("best", "mean")})
 
 
 @query(f"""WITH {_CONV}, h AS (SELECT query_id, max(score) AS best, count(*) FILTER (WHERE score >= 0.6) AS strong FROM k WHERE rank <= 5 GROUP BY query_id),
-n AS (SELECT q.query_id, {_NORM} AS n FROM q), f AS (SELECT query_id,
- regexp_matches(n, '{_sql_any(T.ANAPHORA_WORDS, True)}') OR regexp_matches(n, '{_sql_any(T.CONVERSATION_PHRASES)}') AS rc,
- (regexp_matches(n, '{_sql_any(T.DOC_NOUNS, True)}') AND regexp_matches(n, '{_sql_any(T.DOC_PHRASES)}')) OR regexp_matches(n, '(?i){T.DOC_VERB}') AS rd FROM n),
-d AS (SELECT f.query_id, CASE WHEN best IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 0.5 * best + 0.3 * least(strong / 2.0, 1.0) + CASE WHEN rc THEN 0.15 ELSE 0 END - CASE WHEN rd THEN 0.15 ELSE 0 END)) END AS x FROM f LEFT JOIN h USING (query_id))
-SELECT query_id, round(x, 6) AS dependency, CASE WHEN round(x, 9) >= 0.8 THEN 'conversation_only' WHEN round(x, 9) >= 0.55 THEN 'hybrid' ELSE 'documents_only' END AS route FROM d""")
+f AS (SELECT query_id, {_REFERS} FROM (SELECT q.query_id, {_NORM} AS n FROM q)),
+d AS (SELECT f.query_id, best, CASE WHEN best IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 0.5 * best + 0.3 * least(strong / 2.0, 1.0) + CASE WHEN refers_conversation THEN 0.15 ELSE 0 END - CASE WHEN refers_document THEN 0.15 ELSE 0 END)) END AS x FROM f LEFT JOIN h USING (query_id)),
+r AS (SELECT *, CASE WHEN round(x, 9) >= 0.8 THEN 'conversation_only' WHEN round(x, 9) >= 0.55 THEN 'hybrid' ELSE 'documents_only' END AS route FROM d)
+SELECT query_id, round(x, 6) AS dependency, route, CASE WHEN best IS NULL THEN 'no usable conversation history; falling back to document retrieval' WHEN route = 'conversation_only' THEN 'conversation is highly sufficient; skipping document retrieval'
+ WHEN route = 'hybrid' THEN 'conversation is moderately sufficient; fusing conversation context with document retrieval' ELSE 'conversation is not sufficient; retrieving from documents only' END AS reason FROM r""")
 def conv_route(spark, sf_dir):
-    queries, hits = _conv(spark, sf_dir)
-    return S.route(hits, T.analyze_queries(queries, "text")).withColumn("dependency", F.round("dependency", 6))
+    """The figure in a reason, which engines round each in its way, is left out."""
+    queries, msgs = _conv(spark, sf_dir)
+    out = S.route(S.search_history(queries, msgs), T.analyze_queries(queries, "text"))
+    return out.withColumn("dependency", F.round("dependency", 6)).withColumn("reason", F.regexp_replace("reason", r" \(dependency=[^)]*\)", ""))
 
 
 _WIN = "SELECT doc_id, CAST(w AS BIGINT) AS win, CAST(w * 750 AS BIGINT) AS w_start, CAST(least(w * 750 + 1000, length(text)) AS BIGINT) AS w_end FROM (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) - 250 + 749) // 750))) AS w FROM documents)"

@@ -13,6 +13,7 @@ from ..operators import reports as P
 from ..operators import search as S
 from ..operators import structure as X
 from ..streaming import feeds as H
+from ..streaming import lifecycle as L
 from .queries import _ARMS, _LET, _arms, _letters, query, t
 
 
@@ -212,3 +213,16 @@ SELECT doc_id, CAST(part + 1 AS INTEGER) AS part, CAST(count(*) OVER (PARTITION
 def legacy_parts(spark, sf_dir):
     """Documents as one block each of their lines, under the soft cap."""
     return Q.legacy_parts(_said_lines(spark, sf_dir), ["doc_id"], "n", soft=True)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'UPLOADED' WHEN 'view' THEN 'PROCESSING' WHEN 'click' THEN 'PARSED' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' END AS status FROM events),
+p AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id, status) AS previous FROM e WHERE status IS NOT NULL AND user_id IS NOT NULL)
+SELECT user_id, status, previous, CASE WHEN previous IS NULL THEN status = 'UPLOADED' WHEN status = 'FAILED' THEN previous NOT IN ('COMPLETED', 'FAILED') WHEN status = 'UPLOADED' THEN previous <> 'PROCESSING'
+ WHEN status = 'PROCESSING' THEN previous = 'UPLOADED' WHEN status = 'PARSED' THEN previous = 'PROCESSING' WHEN status = 'CHUNKED' THEN previous = 'PARSED' WHEN status = 'EMBEDDED' THEN previous = 'CHUNKED' ELSE previous = 'EMBEDDED' END AS legal, count(*) AS n
+FROM p WHERE status IS DISTINCT FROM previous GROUP BY ALL""")
+def lifecycle_steps(spark, sf_dir):
+    """Users as documents, their events as steps of the lifecycle; how often each step is taken."""
+    names = {"signup": "UPLOADED", "view": "PROCESSING", "click": "PARSED", "purchase": "COMPLETED", "error": "FAILED"}
+    status = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in names.items()])
+    e = t(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+    return L.steps(e, "user_id", "ts", "status", "event_id").groupBy("user_id", "status", "previous", "legal").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 # Fixed values.
 EXTENSIONS = ("csv", "docx", "html", "json", "md", "pdf", "pptx", "txt", "xlsx")
 MAGIC = {"pdf": "255044462D", "docx": "504B0304", "pptx": "504B0304", "xlsx": "504B0304"}
+OFFICE = "application/vnd.openxmlformats-officedocument"
+MIME = {
+    "pdf": ("application/pdf",),
+    "docx": (f"{OFFICE}.wordprocessingml.document", "application/zip"),
+    "pptx": (f"{OFFICE}.presentationml.presentation", "application/zip"),
+    "xlsx": (f"{OFFICE}.spreadsheetml.sheet", "application/zip"),
+    "txt": ("text/plain",),
+    "md": ("text/plain", "text/markdown"),
+    "csv": ("text/csv", "text/plain"),
+    "json": ("application/json", "text/plain"),
+    "html": ("text/html", "text/plain"),
+}
 MAX_BYTES = 50 * 1024 * 1024
 KEY = r"(?s)^([^/]*)/(doc_[0-9a-f]{32})(?:_.*)?$"
 
@@ -19,12 +31,18 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def admit(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Adds reject_reason: the first check that fails, or null."""
+    """Adds reject_reason: the first check that fails (extension, size, signature, and mime where files have a
+    detected_mime, whose null fails), or null."""
     head = F.hex(F.substring("content", 1, 5))
     wrong = F.lit(False)
     for ext, magic in MAGIC.items():
         wrong = wrong | ((F.col("extension") == ext) & ~head.startswith(magic))
     reason = F.when(~F.col("extension").isin(*EXTENSIONS), "extension").when(F.col("file_size") > max_bytes, "size").when(wrong, "signature")
+    if "detected_mime" in files.columns:
+        fits = F.lit(False)
+        for ext, kinds in MIME.items():
+            fits = fits | ((F.col("extension") == ext) & F.col("detected_mime").isin(*kinds))
+        reason = reason.when(~F.coalesce(fits, F.lit(False)), "mime")
     return files.withColumn("reject_reason", reason)
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -104,3 +104,32 @@ def ingest_stream(stream: DataFrame, path: str, checkpoint: str, process: Callab
         ingest(batch, path, process, f"{name}-{n}", key, order)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def embed_messages(batch: DataFrame, path: str, encode: Callable[[Column], Column], name: str, key: str = "message_id", order: str = "at", text: str = "text") -> int:
+    """Keeps one vector of each message in the store at path: that of its latest text by ``order``.
+
+    Of the messages of the batch those go that the store has as late or later, so late and repeated ones change
+    nothing. A blank text has no vector, and takes away the one from before; its row stays, with a null vector, so
+    that what comes late behind it is known as late. Only key and order of the store are read."""
+    store = ChunkStore(batch.sparkSession, path, key)
+    rows = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(order, text), F.struct(order, text)).alias("_row")).select(key, "_row.*")
+    if store.commits():
+        known = store.read().select(F.col(key).alias("_key"), F.col(order).alias("_known"))
+        rows = rows.join(known, F.col(key) == F.col("_key"), "left").where(F.col("_known").isNull() | (F.col("_known") < F.col(order))).drop("_key", "_known")
+    said = F.col(text).rlike(r"(?U)\S")
+    return store.put(rows, rows.select(key, order, F.when(said, encode(F.col(text))).alias("vector")), name)
+
+
+def message_vectors(spark: SparkSession, path: str, key: str = "message_id") -> DataFrame:
+    """key, vector of every message that has one."""
+    return ChunkStore(spark, path, key).read().where("vector is not null").select(key, "vector")
+
+
+def embed_stream(stream: DataFrame, path: str, checkpoint: str, encode: Callable[[Column], Column], key: str = "message_id", order: str = "at", text: str = "text", name: str = "messages"):
+    """The started query that embeds what has arrived and ends."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        embed_messages(batch, path, encode, f"{name}-{n}", key, order, text)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

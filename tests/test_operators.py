@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sluicework.functions import text as T
+from sluicework.functions.vectors import of_dimension
 from sluicework.operators import chunking, context, elements, search, structure
 from sluicework.sources import registry as R
 from sluicework.streaming import feeds
@@ -188,3 +190,31 @@ def test_boxes_that_are_no_numbers_are_null(spark):
     df = spark.createDataFrame([("1", "2", "0", "5", "3"), ("a", "1", "1", "1", "1"), ("1", "1", "1", "1", None)], "a string, b string, c string, d string, p string")
     got = [r.x for r in df.select(structure.safe_box(F.col("a"), F.col("b"), F.col("c"), F.col("d"), F.col("p")).alias("x")).collect()]
     assert tuple(got[0]) == (3, 0.0, 2.0, 1.0, 5.0) and got[1:] == [None, None]
+
+
+def test_admission_by_detected_type_and_vectors_of_a_dimension(spark):
+    rows = [("a", "pdf", b"%PDF-1", "application/pdf"), ("b", "pdf", b"%PDF-1", "text/plain"), ("c", "md", b"x", "text/markdown"), ("d", "txt", b"x", None), ("e", "docx", b"PK\x03\x04", "application/zip"), ("f", "pdf", b"no", "text/plain")]
+    files = spark.createDataFrame([(p, e, bytearray(c), len(c), m) for p, e, c, m in rows], "path string, extension string, content binary, file_size long, detected_mime string")
+    assert {r.path: r.reject_reason for r in R.admit(files).collect()} == {"a": None, "b": "mime", "c": None, "d": "mime", "e": None, "f": "signature"}
+    v = spark.createDataFrame([([1.0, 2.0],), ([1.0],), (None,)], "v array<double>")
+    assert v.where("size(v) = 2").select(of_dimension(F.col("v"), 2)).first()[0] == [1.0, 2.0]
+    for odd in ("size(v) = 1", "v is null"):
+        with pytest.raises(Exception, match="a vector of 2 was expected"):
+            v.where(odd).select(of_dimension(F.col("v"), 2)).collect()
+
+
+def test_a_long_conversation_is_searched_back_from_each_turn(spark):
+    rows = [("c", i, "x" if i % 5 else " ", [float(i % 7), 1.0] if i % 11 else []) for i in range(120)] + [("d", 1, "y", [1.0, 0.0])]
+    msgs = spark.createDataFrame(rows, "conv_id string, turn int, text string, vector array<double>")
+    queries = msgs.where("turn % 3 = 1").withColumn("query_id", F.concat("conv_id", F.col("turn").cast("string")))
+    got = {(r.query_id, r.turn) for r in search.search_history(queries, msgs, 3, 10).collect()}
+    want, stats = set(), {}
+    for c, at, text, v in rows:
+        if at % 3 == 1 and text.strip():
+            before = [r for r in rows if r[0] == c and r[1] < at and r[2].strip()][-10:]
+            score = lambda w: 0.0 if not v or not w else sum(a * b for a, b in zip(v, w)) / (sum(a * a for a in v) ** 0.5 * sum(a * a for a in w) ** 0.5)  # noqa: B023, E731
+            want |= {(f"{c}{at}", r[1]) for r in sorted(before, key=lambda r: (-round(score(r[3]), 9), r[1]))[:3]}
+            stats[f"{c}{at}"] = (sum(bool(r[3]) for r in before), len(before))
+    assert got == want
+    told = {r.query_id: (r.num_searched, r.num_turns) for r in search.history_statistics(queries.where("trim(text) <> ''"), msgs, 3, 10).collect()}
+    assert told == stats
