@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .structure import pieces
+from ..sources.scratch import written
+from .structure import LINE_CHARS, pieces
 
 # Fixed values.
 DROPPED = ("script", "style", "noscript", "iframe", "svg", "template")
@@ -209,15 +210,18 @@ def html_cells(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, table string, row long, column int, is_header boolean, text string")
 
 
-def _leaves(value, path: str = "$", label: str | None = None, depth: int = 0):
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from _leaves(v, f"{path}.{k}", k, depth + 1)
-    elif isinstance(value, list):
-        for i, v in enumerate(value):
-            yield from _leaves(v, f"{path}[{i}]", label, depth + 1)
-    else:
-        yield path, label, value if isinstance(value, str) else json.dumps(value), depth
+def _leaves(root) -> Iterator[tuple[str, str | None, str, int]]:
+    """(path, label, value, depth) of every scalar in the order of the text: the label is the key that holds it, none
+    for an item of an array; the root has depth 1. Nesting of any depth is walked by a stack."""
+    todo = [(root, "$", None, 1)]
+    while todo:
+        value, path, label, depth = todo.pop()
+        if isinstance(value, dict):
+            todo += [(v, f"{path}.{k}", k, depth + 1) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            todo += [(v, f"{path}[{i}]", None, depth + 1) for i, v in reversed([*enumerate(value)])]
+        else:
+            yield path, label, value if isinstance(value, str) else json.dumps(value), depth
 
 
 def _strict(name: str):
@@ -250,6 +254,60 @@ def json_leaves(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, column).mapInPandas(run, f"{key} {kind}, order long, path string, label string, value string, depth long, error string")
 
 
+def json_elements(leaves: DataFrame, key: str) -> DataFrame:
+    """key, order (of the leaf), fragment (from 0), path, text: ``label: value`` of every leaf, values of over 2000 characters in
+    fragments cut at spaces, each with the label. Only those pass Python. Rows with an error are none."""
+    sound = leaves.where("error is null")
+    short = F.length("value") <= LINE_CHARS
+    whole = sound.where(short).select(key, "order", F.lit(0).alias("fragment"), "path", F.concat_ws(": ", F.nullif("label", F.lit("")), "value").alias("text"))
+    kind = leaves.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, n, i, p, f"{x}: {v}" if x else v) for k, n, p, x, t in zip(f[key], f["order"], f["path"], f["label"], f["value"]) for i, (_, v) in enumerate(pieces(t))]
+            yield pd.DataFrame(rows, columns=[key, "order", "fragment", "path", "text"])
+
+    long = sound.where(~short).select(key, "order", "path", "label", "value")
+    return whole.unionByName(long.mapInPandas(run, f"{key} {kind}, order long, fragment int, path string, text string"))
+
+
+def json_statistics(leaves: DataFrame, elements: DataFrame, key: str) -> DataFrame:
+    """key, max_depth, n_errors, value_count and char_count (of the elements) of every document that has leaves or errors."""
+    own = leaves.groupBy(key).agg(F.max(F.when(F.col("error").isNull(), F.col("depth"))).alias("max_depth"), F.count("error").alias("n_errors"))
+    said = elements.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("value_count"), F.sum(F.length("text")).alias("char_count"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return own.join(said, F.col(key) == F.col("_k"), "left").select(key, zero("max_depth"), "n_errors", zero("value_count"), zero("char_count"))
+
+
+def json_leaves_unordered(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, path, label, value, depth of every scalar of texts that are JSON as a whole, without Python: texts become
+    variants, which are opened a level at a time until none holds another.
+
+    A variant does not keep the order of its keys, nor how a number was written: numbers come as Spark writes them.
+    Other texts give no row; json_leaves takes them line by line."""
+    spark = df.sparkSession
+    parsed = df.select(F.col(key), F.try_parse_json(column).alias("_v")).where("_v is not null")
+    level = parsed.select(key, F.lit("$").alias("path"), F.lit(None).cast("string").alias("label"), F.lit(1).cast("long").alias("depth"), "_v")
+    kind, found = F.schema_of_variant("_v"), []
+    while True:
+        level = written(level.withColumn("_open", kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+        scalar = F.when(kind == "STRING", F.variant_get("_v", "$", "string")).otherwise(F.coalesce(F.to_json("_v"), F.lit("null")))
+        found.append(level.where("not _open").select(key, "path", "label", scalar.alias("value"), "depth"))
+        inner = level.where("_open")
+        if inner.isEmpty():
+            break
+        inner = inner.select(key, "path", "depth", "_v").lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(
+            key,
+            F.when(F.col("key").isNotNull(), F.concat("path", F.lit("."), "key")).otherwise(F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).alias("path"),
+            F.col("key").alias("label"), (F.col("depth") + 1).alias("depth"), F.col("value").alias("_v"),
+        )
+        level = inner
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def element_statistics(elements: DataFrame, key: str) -> DataFrame:
     """key, element_type, n_elements, n_chars."""
     return elements.groupBy(key, "element_type").agg(F.count(F.lit(1)).alias("n_elements"), F.sum(F.length("text")).alias("n_chars"))

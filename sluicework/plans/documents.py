@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -71,6 +72,20 @@ def sheet_rows(spark, sf_dir):
     return D.sheet_rows(t(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", cells.alias("cells")), ["c_nationkey", "c_mktsegment"], "c_custkey")
 
 
+@query("""WITH c AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k, array_to_string(string_split(text, chr(10))[1:1], '') AS line, n_chars FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+v AS (SELECT *, trim(left(line, 1500), ' ') AS said FROM c), h AS (SELECT source, lang, said, doc_id AS first FROM v WHERE k = 1)
+SELECT v.source, v.lang, doc_id, CAST(0 AS INTEGER) AS fragment, CASE WHEN k = 1 THEN 'table_header' ELSE 'spreadsheet_row' END AS element_type, CASE WHEN k = 1 THEN concat_ws(' | ', v.doc_id, n_chars) ELSE concat_ws(' | ', first || ': ' || v.doc_id, (SELECT n_chars FROM c x WHERE x.source = v.source AND x.lang = v.lang AND x.k = 1) || ': ' || n_chars, CASE WHEN v.said <> '' THEN 'extra_1: ' || v.said END) END AS text
+FROM v JOIN h ON h.source = v.source AND h.lang = v.lang""")
+def sheet_elements(spark, sf_dir):
+    """Documents as rows of a sheet for each source and language: number, length and, beyond the header, the beginning of the text."""
+    d = t(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    first = F.min("doc_id").over(Window.partitionBy("source", "lang"))
+    said = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 1500)
+    numbers = F.array(D.cell_text(F.col("doc_id").cast("double"), "double"), F.col("n_chars").cast("string"))
+    cells = F.when(F.col("doc_id") == F.col("_first"), numbers).otherwise(F.concat(numbers, F.array(said)))
+    return D.sheet_elements(d.withColumn("_first", first).select("source", "lang", "doc_id", cells.alias("cells")), ["source", "lang"], "doc_id")
+
+
 _NODES = """n AS (
  SELECT c_nationkey AS doc_id, 'c' || c_custkey AS node, CAST(NULL AS VARCHAR) AS parent, c_custkey * 10 AS pos, CASE WHEN c_custkey % 4 = 0 THEN 'list' ELSE 'paragraph' END AS type,
   CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS content, CAST(nullif(c_custkey % 3, 0) AS INT) AS page, CAST(nullif(c_custkey % 2, 0) AS INT) AS grp FROM customer

@@ -78,6 +78,19 @@ def event_props_leaves(spark, sf_dir):
     return E.json_leaves(t(spark, sf_dir, "events"), "event_id", "props").select("event_id", "path", "label", "value")
 
 
+@query("""WITH l AS (SELECT user_id, '$.events[' || (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) || ']' AS pth, event_id, event_type, props FROM events),
+u AS (SELECT user_id, pth || '.id' AS path, 'id' AS label, CAST(event_id AS VARCHAR) AS value, 4 AS depth FROM l UNION ALL SELECT user_id, pth || '.tags[0]', NULL, event_type, 5 FROM l UNION ALL SELECT user_id, pth || '.tags[1]', NULL, 'true', 5 FROM l
+ UNION ALL SELECT user_id, pth || '.props.' || k, k, CASE WHEN json_type(props, '$.' || k) = 'VARCHAR' THEN json_extract_string(props, '$.' || k) ELSE CAST(json_extract(props, '$.' || k) AS VARCHAR) END, 5 FROM (SELECT *, unnest(json_keys(props)) AS k FROM l))
+SELECT user_id, path, label, value, CAST(depth AS BIGINT) AS depth FROM u""")
+def nested_leaves(spark, sf_dir):
+    """A user's events as one nested document, opened level by level without Python."""
+    e = t(spark, sf_dir, "events")
+    one = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "tags": ["'), "event_type", F.lit('", true], "props": '), "props", F.lit("}"))
+    docs = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", one.alias("j")))).alias("es"))
+    text = F.concat(F.lit('{"events": ['), F.array_join("es.j", ", "), F.lit("]}"))
+    return E.json_leaves_unordered(docs.select("user_id", text.alias("json")), "user_id", "json")
+
+
 _NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
  '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '\s+([.,!?;:])', '\1', 'g'), '([.,!?;:])([^\s.,!?;:])', '\1 \2', 'g'), '\?{2,}', '?', 'g'), '!{2,}', '!', 'g'), '\.{2,}', '.', 'g'))"""
 for _w in ("and", "or", "to", "of", "in", "on", "for", "the", "a", "an", "with", "by", "as", "at"):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from ..operators.structure import pieces
 
 # Fixed values.
 DELIMITERS, HEAD_CHARS, ROW_CHARS = (",", ";", "\t", "|"), 8192, 2000
@@ -59,3 +63,74 @@ def sheet_rows(cells: DataFrame, keys: list[str], row: str, values: str = "cells
         return F.when(F.coalesce(F.trim(v), F.lit("")) != "", F.concat(label, F.lit(": "), F.trim(v)))
 
     return joined.select(*keys, row, F.array_join(F.transform(values, cell), " | ").alias("text"))
+
+
+def cell_text(value: Column, kind: str) -> Column:
+    """A typed cell as text: true or false, whole numbers without a point, texts trimmed, nothing for null."""
+    text = value.cast("string")
+    if kind in ("float", "double"):
+        text = F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("long").cast("string")).otherwise(text)
+    return F.coalesce(F.trim(text), F.lit(""))
+
+
+def packed_cells(cells: list[tuple[str, str]], most: int = ROW_CHARS) -> list[str]:
+    """``label: value`` of every cell, joined by `` | `` into lines of at most ``most`` characters.
+
+    A value that does not fit with its label is cut, at spaces where it can be, and every piece has the label, so
+    that nothing is lost and each piece speaks for itself."""
+    parts = []
+    for label, value in cells:
+        room = most - len(label) - 2
+        for _, piece in pieces(value, most):
+            parts += [f"{label}: {piece[i : i + room]}" for i in range(0, len(piece), room)] if room > 0 else [piece]
+    lines: list[str] = []
+    for p in parts:
+        if lines and len(lines[-1]) + 3 + len(p) <= most:
+            lines[-1] += " | " + p
+        else:
+            lines.append(p)
+    return lines
+
+
+def sheet_elements(cells: DataFrame, keys: list[str], row: str, values: str = "cells") -> DataFrame:
+    """keys, row, fragment (from 0), element_type, text: the header of every sheet (``a | b``) and its rows.
+
+    As sheet_rows, with rows of over ROW_CHARS characters in fragments (packed_cells); headers that repeat are
+    numbered. Only rows that are too long, and the headers' numbering, pass Python."""
+    kinds = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in [*keys, row])
+    blank = ~F.exists(values, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
+    said = cells.where(~blank).select(*keys, row, F.transform(values, lambda x: F.coalesce(F.trim(x), F.lit(""))).alias("_v"))
+    first = said.groupBy(*keys).agg(F.min_by(F.struct(F.col(row).alias("at"), F.col("_v").alias("names")), row).alias("_h"))
+    heads = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_h.at").alias("_at"), _unique("_h.names").alias("_names"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = said.join(heads, on)
+    label = lambda i: F.when(i < F.size("_names"), F.get("_names", i)).otherwise(F.concat(F.lit("extra_"), (i - F.size("_names") + 1).cast("string")))
+    body = met.where(F.col(row) > F.col("_at")).select(*keys, row, F.filter(F.transform("_v", lambda v, i: F.struct(label(i).alias("n"), v.alias("v"))), lambda x: x["v"] != "").alias("_cells"))
+    body = body.withColumn("_text", F.array_join(F.transform("_cells", lambda x: F.concat(x["n"], F.lit(": "), x["v"])), " | "))
+    short = F.length("_text") <= ROW_CHARS
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            own = f[[*keys, row]]
+            lines = [packed_cells([(c["n"], c["v"]) for c in x]) for x in f["_cells"]]
+            out = own.loc[own.index.repeat([len(x) for x in lines])].reset_index(drop=True)
+            yield out.assign(fragment=[i for x in lines for i in range(len(x))], text=[t for x in lines for t in x])
+
+    long = body.where(~short).select(*keys, row, "_cells").mapInPandas(run, f"{kinds}, fragment int, text string")
+    whole = body.where(short).select(*keys, row, F.lit(0).alias("fragment"), F.col("_text").alias("text"))
+    header = met.where(F.col(row) == F.col("_at")).select(*keys, row, F.lit(0).alias("fragment"), F.lit("table_header").alias("element_type"), F.array_join("_names", " | ").alias("text"))
+    rows = whole.unionByName(long).select(*keys, row, "fragment", F.lit("spreadsheet_row").alias("element_type"), "text")
+    return header.unionByName(rows)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _unique(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: None if x is None else unique_headers(list(x)))
+
+
+def sheet_statistics(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, row_count (source rows, not fragments), char_count of every sheet."""
+    rows = F.count_if((F.col("element_type") == "spreadsheet_row") & (F.col("fragment") == 0))
+    return elements.groupBy(*keys).agg(rows.alias("row_count"), F.sum(F.length("text")).cast("long").alias("char_count"))

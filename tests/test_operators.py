@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluicework.functions import text as T
 from sluicework.functions.vectors import of_dimension
 from sluicework.operators import chunking, context, elements, search, structure
+from sluicework.sources import delimited
 from sluicework.sources import registry as R
 from sluicework.streaming import feeds
 
@@ -69,7 +70,7 @@ def test_html_and_json(spark):
     assert elements.html_outline("plain") == [("body", "plain", [])]
     rows = [(1, json.dumps({"b": [1, {"c": "x"}], "a": None})), (2, '{"a": 1}\n{"b": NaN}\n{"c": true}'), (3, "")]
     out = elements.json_leaves(spark.createDataFrame(rows, "k int, j string"), "k", "j").collect()
-    assert [(r.k, r.path, r.label, r.value) for r in out if not r.error] == [(1, "$.b[0]", "b", "1"), (1, "$.b[1].c", "c", "x"), (1, "$.a", "a", "null"), (2, "L1.$.a", "a", "1"), (2, "L3.$.c", "c", "true")]
+    assert [(r.k, r.path, r.label, r.value) for r in out if not r.error] == [(1, "$.b[0]", None, "1"), (1, "$.b[1].c", "c", "x"), (1, "$.a", "a", "null"), (2, "L1.$.a", "a", "1"), (2, "L3.$.c", "c", "true")]
     assert [r.path for r in out if r.error] == ["L2"]
 
 
@@ -218,3 +219,40 @@ def test_a_long_conversation_is_searched_back_from_each_turn(spark):
     assert got == want
     told = {r.query_id: (r.num_searched, r.num_turns) for r in search.history_statistics(queries.where("trim(text) <> ''"), msgs, 3, 10).collect()}
     assert told == stats
+
+
+def test_json_elements_and_both_ways_to_leaves(spark):
+    deep = json.dumps({"n": [[1, {"x": "é"}], []], "t": "w " * 1500, "e": {}, "z": None, "b": True, "f": 2.5})
+    nested = "[" * 3000 + "1" + "]" * 3000
+    rows = [(1, deep), (2, nested), (3, "no json"), (4, '"bare"'), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "k int, j string")
+    leaves = elements.json_leaves(df, "k", "j").cache()
+    got = {(r.k, r.path): (r.label, r.value, r.depth) for r in leaves.where("k in (1, 4) and path <> '$.t'").collect()}
+    want = {(1, "$.n[0][0]"): (None, "1", 4), (1, "$.n[0][1].x"): ("x", "é", 5), (1, "$.z"): ("z", "null", 2), (1, "$.b"): ("b", "true", 2), (1, "$.f"): ("f", "2.5", 2), (4, "$"): (None, "bare", 1)}
+    assert got == want
+    native = elements.json_leaves_unordered(df.where("k <> 2"), "k", "j").where("path <> '$.t'").collect()
+    assert {(r.k, r.path): (r.label, r.value, r.depth) for r in native} == want
+    told = elements.json_elements(leaves, "k").orderBy("order", "fragment").collect()
+    assert [r.text for r in told if r.k == 1 and r.path == "$.t"] == ["t: " + ("w " * 1000).strip(), "t: " + "w " * 500]
+    assert [r.text for r in told if r.k == 1 and r.path != "$.t"] == ["1", "x: é", "z: null", "b: true", "f: 2.5"]
+    stats = {r.k: (r.max_depth, r.n_errors, r.value_count) for r in elements.json_statistics(leaves, elements.json_elements(leaves, "k"), "k").collect()}
+    assert stats == {1: (5, 0, 7), 2: (3001, 0, 1), 3: (0, 1, 0), 4: (1, 0, 1)}
+
+
+def test_long_cells_are_cut_and_give_back_what_they_hold(spark):
+    long, solid = " ".join(f"w{i}" for i in range(1500)), "x" * 4100
+    rows = [("s", 2, ["Name", "Name", "", "Note"]), ("s", 1, ["", " "]), ("s", 3, ["a", "b", "c", "d", "e"]), ("s", 4, [long, "b", solid, "tail"]), ("s", 5, [None, ""]), (None, 1, ["H"]), (None, 2, ["v"])]
+    cells = spark.createDataFrame(rows, "sheet string, n int, cells array<string>")
+    out = delimited.sheet_elements(cells, ["sheet"], "n").orderBy("sheet", "n", "fragment").collect()
+    assert [(r.sheet, r.n, r.element_type, r.text) for r in out if r.n != 4] == [(None, 1, "table_header", "H"), (None, 2, "spreadsheet_row", "H: v"), ("s", 2, "table_header", "Name | Name_2 | column | Note"), ("s", 3, "spreadsheet_row", "Name: a | Name_2: b | column: c | Note: d | extra_1: e")]
+    lines = [r.text for r in out if r.n == 4]
+    assert len(lines) > 3 and all(len(x) <= 2000 for x in lines)
+    parts = [p.split(": ", 1) for x in lines for p in x.split(" | ")]
+    held = {}
+    for label, value in parts:
+        held.setdefault(label, []).append(value)
+    assert "".join(held["column"]) == solid and "".join(held["Name"]).replace(" ", "") == long.replace(" ", "") and held["Note"] == ["tail"]
+    stats = {r.sheet: r.row_count for r in delimited.sheet_statistics(delimited.sheet_elements(cells, ["sheet"], "n"), ["sheet"]).collect()}
+    assert stats == {"s": 2, None: 1}
+    v = spark.createDataFrame([(True, 3.0, 2.5, " t ", None)], "b boolean, f double, g double, s string, z string")
+    assert v.select(*[delimited.cell_text(F.col(f.name), f.dataType.simpleString()) for f in v.schema]).first()[:] == ("true", "3", "2.5", "t", "")
