@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import islands, pack
+from .ranges import islands, numbered, pack
 
 # The default sizes.
 CHILD_TOKENS, CHILD_CHARS, OVERLAP_MIN, OVERLAP_MAX, OVERLAP, SEAM_REACH = 250, 1000, 200, 300, 250, 200
@@ -166,13 +166,15 @@ def element_windows(elements: DataFrame, doc: str, order: str, text: str = "text
     return _streams(elements, doc, order, text, alone).mapInPandas(run, f"{doc} {kinds[doc]}, win long, w_start long, w_end long, text string, first {kinds[order]}, last {kinds[order]}")
 
 
-def coalesce_run(texts: list[str], band: tuple[int, int] = CHILDREN, tokens: int = PARENT_TOKENS) -> list[tuple[int, int, int]]:
-    """(first, after, windows) of the parents of a run of blocks: as few parents as can be whose windows are
+def coalesce_run(texts: list[str], band: tuple[int, int] = CHILDREN, tokens: int = PARENT_TOKENS, atomic: list[bool] | None = None) -> list[tuple[int, int, int]]:
+    """(first, after, windows) of the parents of a run of blocks, of which the atomic ones have windows of their own: as few parents as can be whose windows are
     within the band (the last may have fewer) and whose text within the tokens, and of those the ones nearest
     to the upper end of the band in sum. A block that fits nowhere is a parent alone."""
     stream, starts = _joined(texts)
     seams = sentence_seams(stream)
     ends = [a + len(t) for a, t in zip(starts, texts)]
+    atoms = [(a, z) for a, z, own in zip(starts, ends, atomic or []) if own]
+    begins = [a for a, _ in atoms]
     best: list[tuple | None] = [(0, 0, None, 0)] + [None] * len(texts)
     for i in range(len(texts)):
         if best[i] is None:
@@ -183,7 +185,8 @@ def coalesce_run(texts: list[str], band: tuple[int, int] = CHILDREN, tokens: int
                 break
             if j > i + 1 and j < len(texts) and size < (band[0] - 2) * (CHILD_CHARS - OVERLAP_MAX - SEAM_REACH):
                 continue  # too short for the least number of windows
-            n = len(window_spans(starts[i], ends[j - 1], starts[i + 1 : j], seams))
+            own = atoms[bisect_left(begins, starts[i]) : bisect_left(begins, ends[j - 1])]
+            n = len(window_spans(starts[i], ends[j - 1], starts[i + 1 : j], seams, own))
             if j > i + 1 and not (n <= band[1] and (n >= band[0] or j == len(texts))):
                 continue
             lone = not band[0] <= n <= band[1] and j < len(texts)
@@ -197,10 +200,10 @@ def coalesce_run(texts: list[str], band: tuple[int, int] = CHILDREN, tokens: int
     return out[::-1]
 
 
-def banded_parents(blocks: DataFrame, doc: str, order: str, text: str = "text", seam: Column | None = None) -> DataFrame:
+def banded_parents(blocks: DataFrame, doc: str, order: str, text: str = "text", seam: Column | None = None, atomic: Column | None = None) -> DataFrame:
     """doc, parent (from 0), first, last (order), n_blocks, n_children, n_chars: parents over consecutive blocks.
 
-    A block for which ``seam`` holds is a parent alone; the runs between are coalesced by dynamic programming
+    A block for which ``seam`` holds is a parent alone; one that is atomic (code) has windows of its own. The runs between are coalesced by dynamic programming
     (coalesce_run). A document is one row, documents run in parallel."""
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
 
@@ -214,14 +217,15 @@ def banded_parents(blocks: DataFrame, doc: str, order: str, text: str = "text",
                     while not es[at]["alone"] and z < len(es) and not es[z]["alone"]:
                         z += 1
                     texts = [e["t"] for e in es[at:z]]
-                    for a, b, k in coalesce_run(texts):
+                    for a, b, k in coalesce_run(texts, atomic=[e["code"] for e in es[at:z]]):
                         rows.append((d, n, es[at + a]["o"], es[at + b - 1]["o"], b - a, k, sum(map(len, texts[a:b])) + 2 * (b - a - 1)))
                         n += 1
                     at = z
             yield pd.DataFrame(rows, columns=[doc, "parent", "first", "last", "n_blocks", "n_children", "n_chars"])
 
     alone = (F.coalesce(seam, F.lit(False)) if seam is not None else F.lit(False)).alias("alone")
-    return _streams(blocks, doc, order, text, alone).mapInPandas(run, f"{doc} {kinds[doc]}, parent long, first {kinds[order]}, last {kinds[order]}, n_blocks long, n_children long, n_chars long")
+    code = (F.coalesce(atomic, F.lit(False)) if atomic is not None else F.lit(False)).alias("code")
+    return _streams(blocks, doc, order, text, alone, code).mapInPandas(run, f"{doc} {kinds[doc]}, parent long, first {kinds[order]}, last {kinds[order]}, n_blocks long, n_children long, n_chars long")
 
 
 def window_owners(elements: DataFrame, wins: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -291,14 +295,55 @@ def section_paths(elements: DataFrame, doc: str, order: str, level: str, text: s
     return out.withColumn("section_path", path).drop(*[f"_l{n}" for n in range(1, levels + 1)])
 
 
-def location_summary(locations: Column, most_paths: int = 50) -> Column:
-    """A struct of what an array of locations (page, sheet, json_path, row_start, row_end) covers: sorted
-    pages, sheets and JSON paths as first seen (paths at most ``most_paths``, as stored with a chunk), row bounds."""
-    seen = lambda name: F.array_distinct(F.filter(F.transform(locations, lambda x: x[name]), lambda v: v.isNotNull()))
-    return F.struct(
-        F.array_sort(seen("page")).alias("pages"),
-        seen("sheet").alias("sheets"),
-        F.slice(seen("json_path"), 1, most_paths).alias("json_paths"),
-        F.array_min(seen("row_start")).alias("row_min"),
-        F.array_max(seen("row_end")).alias("row_max"),
-    )
+#: What a location may tell, and how a summary gathers it.
+PLACES = {"page": "pages", "slide": "slides", "sheet": "sheets", "cell_range": "cell_ranges", "json_path": "json_paths", "dom_path": "dom_paths"}
+
+
+def location_summary(locations: Column, most_paths: int = 50, fields: tuple[str, ...] = ("page", "sheet", "json_path", "row_start", "row_end")) -> Column:
+    """A struct of what an array of locations covers, for those of its fields that are named: sorted pages and slides;
+    sheets, cell_ranges, json_paths (at most ``most_paths``, as stored with a chunk) and dom_paths as first seen, without
+    empty ones; row_min and row_max, line_min and line_max."""
+    def seen(name: str) -> Column:
+        kept = F.filter(F.transform(locations, lambda x: x[name]), lambda v: v.isNotNull() & (v.cast("string") != ""))
+        return F.array_distinct(kept)
+
+    out = []
+    for name, many in PLACES.items():
+        if name in fields:
+            v = seen(name)
+            out.append((F.array_sort(v) if name in ("page", "slide") else F.slice(v, 1, most_paths) if name == "json_path" else v).alias(many))
+    for what in ("row", "line"):
+        if f"{what}_start" in fields:
+            out += [F.array_min(F.transform(locations, lambda x: x[f"{what}_start"])).alias(f"{what}_min"), F.array_max(F.transform(locations, lambda x: x[f"{what}_end"])).alias(f"{what}_max")]  # noqa: B023
+    return F.struct(*out)
+
+
+def cap_tokens(text: Column, most: int = PARENT_TOKENS, marker: str = TRUNCATED) -> Column:
+    """The text, or as much of it as fits into ``most`` tokens less those of the marker (tokens of both are rounded down,
+    so together they may be one more), cut behind the last space, newline or sentence within OVERLAP_MAX characters, or
+    hard if there is none."""
+    limit = 4 * (most - max(1, len(marker) // 4)) + 3
+    # the character before the reach, the reach, and one to look ahead at
+    tail = F.substring(text, limit - OVERLAP_MAX, OVERLAP_MAX + 2)
+    seam = F.length(F.regexp_extract(tail, r"(?s)^.*(?:[ \t\n]|[.!?;](?=[ \n]))(?=.)", 0))
+    cut = F.when(seam > 0, limit - OVERLAP_MAX - 1 + seam).otherwise(limit)
+    return F.when(F.floor(F.length(text) / 4) > most, F.concat(F.substring(text, F.lit(1), cut), F.lit(marker))).otherwise(text)
+
+
+def sheet_parents(rows: DataFrame, tables: DataFrame, keys: list[str], order: str, text: str = "text", band: int = 8, sample: int = 5) -> DataFrame:
+    """keys, band (from 0), n_rows, row_min, row_max, text: parents of every table, ``band`` rows each by their place.
+
+    tables: keys, columns (array), sheet (null for a table without). The text names the sheet and the columns and shows
+    the first rows; a table without any of these is ``(empty sheet)`` or ``(empty table)``, and one without rows has
+    one parent all the same. Rows are numbered by ranges, so a table may be larger than a task."""
+    placed = numbered(rows.select(*keys, order, text), keys, [order], "_n").withColumn("band", F.floor(F.col("_n") / band).cast("long"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), 1, sample)
+    per = placed.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("n_rows"), F.min(order).alias("row_min"), F.max(order).alias("row_max"), first.alias("_first"))
+    met = tables.select(*keys, "columns", "sheet").join(per, keys, "left")
+    names = F.when(F.size("columns") > 0, F.concat(F.lit("schema: "), F.array_join("columns", " | ")))
+    head = F.concat_ws("\n", F.concat(F.lit("sheet: "), F.nullif("sheet", F.lit(""))), names)
+    body = F.array_join(F.transform("_first", lambda x: x["t"]), "\n")
+    said = F.concat_ws("\n\n", F.nullif(head, F.lit("")), F.when(F.size("_first") > 0, body))
+    nothing = F.when(F.col("sheet").isNull(), "(empty table)").otherwise("(empty sheet)")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return met.select(*keys, zero("band"), zero("n_rows"), "row_min", "row_max", F.when(said == "", nothing).otherwise(said).alias("text"))

@@ -166,10 +166,13 @@ def table_row_children(rows: DataFrame, table: str, order: str, text: str, band:
     return by.select(table, F.floor(F.col("_n") / band).alias("parent"), (F.col("_n") % band).alias("child"), order, text)
 
 
-def tabular_meta(rows: DataFrame, group: list[str], order: str, sheet: str, cell_range: str) -> DataFrame:
-    """group, row_min, row_max, first sheet, and the range ``first:last`` of the group's rows."""
+def tabular_meta(rows: DataFrame, group: list[str], order: str, sheet: str, cell_range: str, columns: str | None = None) -> DataFrame:
+    """group, row_min, row_max, the first sheet, the range from the first row's first cell to the last row's last (one
+    cell as itself), and, if asked for, the first columns of the group's rows."""
     first, last = F.min_by(cell_range, order), F.max_by(cell_range, order)
-    return rows.groupBy(*group).agg(F.min(order).alias("row_min"), F.max(order).alias("row_max"), F.min_by(sheet, order).alias("sheet"), F.concat_ws(":", first, last).alias("cell_range"))
+    ends = F.array_distinct(F.filter(F.array(F.element_at(F.split(first, ":"), 1), F.element_at(F.split(last, ":"), -1)), lambda x: x.isNotNull()))
+    more = [F.min_by(columns, F.when(F.size(columns) > 0, F.col(order))).alias("columns")] if columns else []
+    return rows.groupBy(*group).agg(F.min(order).alias("row_min"), F.max(order).alias("row_max"), F.min_by(sheet, order).alias("sheet"), F.array_join(ends, ":").alias("cell_range"), *more)
 
 
 def plain_elements(lines: DataFrame, key: str) -> DataFrame:

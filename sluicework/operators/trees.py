@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .ranges import numbered
 
 # Containers hand their children on; these types stay without a text.
 CONTAINERS = ("list", "text_block")
@@ -79,3 +80,13 @@ def tree_blocks(flat: DataFrame, doc: str = "doc_id") -> DataFrame:
     new = F.when(F.col("major") | F.coalesce(F.lag("major").over(w), F.lit(True)), 1).otherwise(0)
     numbered = marked.withColumn("_new", new).select(doc, "root", F.sum("_new").over(w).cast("long").alias("block"))
     return flat.join(numbered, [doc, "root"])
+
+
+def in_reading_order(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """nodes (with page, y1, x1) with the roots of every document placed by page, then from y1 and x1 upwards, instead
+    of by pos; a missing one comes last. Roots are numbered by ranges."""
+    roots = nodes.where("parent is null")
+    keys = [F.coalesce(F.col(c).cast("double"), F.lit(1e9)) for c in ("page", "y1", "x1")]
+    at = numbered(roots.select(doc, "node", *[k.alias(f"_p{i}") for i, k in enumerate(keys)], "pos"), [doc], ["_p0", "_p1", "_p2", "pos", "node"], "_place")
+    placed = nodes.join(at.select(F.col(doc).alias("_doc"), F.col("node").alias("_node"), "_place"), F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("node") == F.col("_node")), "left")
+    return placed.withColumn("pos", F.coalesce("_place", "pos").cast(nodes.schema["pos"].dataType)).drop("_doc", "_node", "_place")

@@ -383,7 +383,7 @@ def text_filter(spark, sf_dir):
 @query(r"""WITH RECURSIVE b AS (SELECT page_id, regexp_replace(html, '(?s)^.*<body>', '') AS h FROM pages),
 s AS (SELECT page_id, unnest(regexp_extract_all(h, '<(li|h1|p)>', 1)) AS tag, unnest(regexp_split_to_array(h, '<(?:li|h1|p)>')[2:]) AS piece, generate_subscripts(regexp_extract_all(h, '<(li|h1|p)>', 1), 1) AS n FROM b),
 e AS (SELECT *, row_number() OVER (PARTITION BY page_id, tag ORDER BY n) AS k, regexp_extract(piece, '(?s)^(.*?)(?:</li>|</h1>|</p>|</article>|$)', 1) AS own FROM s),
-x AS (SELECT *, trim(regexp_replace(replace(replace(replace(regexp_replace(own, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text, regexp_extract(own, 'href="([^"]*)"', 1) AS href FROM e),
+x AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(own, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text, regexp_extract(own, 'href="([^"]*)"', 1) AS href FROM e),
 t AS (SELECT *, max(CASE WHEN tag = 'h1' THEN text END) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS title FROM x WHERE text <> ''),
 c AS (SELECT page_id, n, 0 AS i, text AS rest, regexp_extract(left(text, 2001), '(?s)^(.+) ', 1) AS fits FROM t UNION ALL SELECT page_id, n, i + 1, r, regexp_extract(left(r, 2001), '(?s)^(.+) ', 1) FROM
  (SELECT page_id, n, i, CASE WHEN fits <> '' THEN substr(rest, length(fits) + 2) ELSE substr(rest, 2001) END AS r FROM c WHERE length(rest) > 2000)),

@@ -14,10 +14,15 @@ from ..operators import search as S
 from ..operators import structure as X
 from ..streaming import feeds as H
 from ..streaming import lifecycle as L
-from .queries import _ARMS, _LET, _arms, _letters, query, t
+from .queries import _ARMS, _LET, _LINES, ORACLE_SQL, _arms, _letters, html_elements, query, t
 
 
-@query()
+@query(rf"""WITH RECURSIVE l AS ({_LINES}),
+c AS (SELECT doc_id, line_number, 0 AS piece, char_start AS a, line AS rest, regexp_extract(left(line, 2001), '(?s)^(.+) ', 1) AS fits FROM l
+ UNION ALL SELECT doc_id, line_number, piece + 1, a, r, regexp_extract(left(r, 2001), '(?s)^(.+) ', 1) FROM
+ (SELECT doc_id, line_number, piece, a + CASE WHEN fits <> '' THEN length(fits) + 1 ELSE 2000 END AS a, CASE WHEN fits <> '' THEN substr(rest, length(fits) + 2) ELSE substr(rest, 2001) END AS r FROM c WHERE length(rest) > 2000)),
+p AS (SELECT *, CASE WHEN length(rest) <= 2000 THEN rest WHEN fits <> '' THEN fits ELSE left(rest, 2000) END AS own FROM c)
+SELECT doc_id, line_number, CAST(piece AS INTEGER) AS piece, CAST(a AS BIGINT) AS char_start, CAST(a + length(own) AS BIGINT) AS char_end, md5(own) AS text_md5 FROM p""")
 def long_line_pieces(spark, sf_dir):
     p = X.split_long_lines(T.lines_with_offsets(t(spark, sf_dir, "documents"), "doc_id"), "doc_id")
     return p.select("doc_id", "line_number", "piece", "char_start", "char_end", F.md5("text").alias("text_md5"))
@@ -226,3 +231,39 @@ def lifecycle_steps(spark, sf_dir):
     status = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in names.items()])
     e = t(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
     return L.steps(e, "user_id", "ts", "status", "event_id").groupBy("user_id", "status", "previous", "legal").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT page_id, element_type, count(*) AS n_elements, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ({ORACLE_SQL['html_elements']}) GROUP BY ALL")
+def page_statistics(spark, sf_dir):
+    return E.element_statistics(html_elements(spark, sf_dir), "page_id")
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, length(text) // 4 > 1800 AS over, substr(text, 6891, 302) AS tail FROM documents),
+s AS (SELECT *, length(regexp_extract(left(tail, 301), '(?s)^(.*[ \t\n])', 1)) AS space, length(regexp_extract(tail, '(?s)^(.*[.!?;])[ \n]', 1)) AS stop FROM d)
+SELECT doc_id, md5(CASE WHEN over THEN left(text, CASE WHEN greatest(space, stop) > 0 THEN 6890 + greatest(space, stop) ELSE 7191 END) || chr(10) || '…[truncated]' ELSE text END) AS capped_md5 FROM s""")
+def token_caps(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(C.cap_tokens(F.col("text"))).alias("capped_md5"))
+
+
+@query("""SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') AS slides, count(DISTINCT l_linestatus) AS n_ranges, count(DISTINCT l_returnflag) AS n_paths,
+min(l_partkey) AS line_min, max(l_suppkey) AS line_max FROM lineitem GROUP BY l_orderkey""")
+def location_details(spark, sf_dir):
+    """Order lines as places on slides, in ranges, on paths and lines."""
+    place = F.struct(F.col("l_linenumber").alias("slide"), F.col("l_linestatus").alias("cell_range"), F.col("l_returnflag").alias("dom_path"), F.col("l_partkey").alias("line_start"), F.col("l_suppkey").alias("line_end"))
+    per = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(place).alias("p"))
+    s = per.select("l_orderkey", C.location_summary(F.col("p"), fields=("slide", "cell_range", "dom_path", "line_start", "line_end")).alias("s"))
+    return s.select("l_orderkey", F.array_join(F.transform("s.slides", lambda x: x.cast("string")), ",").alias("slides"), F.size("s.cell_ranges").cast("long").alias("n_ranges"), F.size("s.dom_paths").cast("long").alias("n_paths"), "s.line_min", "s.line_max")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderpriority AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders),
+b AS (SELECT o_custkey, n // 8 AS band, count(*) AS c, min(o_orderkey) AS a, max(o_orderkey) AS z, string_agg(t, chr(10) ORDER BY n) FILTER (WHERE n % 8 < 5) AS body FROM r GROUP BY ALL)
+SELECT c_custkey AS o_custkey, CAST(coalesce(band, 0) AS BIGINT) AS band, CAST(coalesce(c, 0) AS BIGINT) AS n_rows, a AS row_min, z AS row_max,
+ coalesce(nullif(concat_ws(chr(10) || chr(10), nullif(concat_ws(chr(10), CASE WHEN c_custkey % 3 = 0 THEN 'sheet: ' || c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'schema: priority' END), ''), body), ''), CASE WHEN c_custkey % 3 = 0 THEN '(empty sheet)' ELSE '(empty table)' END) AS text
+FROM customer LEFT JOIN b ON o_custkey = c_custkey""")
+def sheet_parents(spark, sf_dir):
+    """Orders as rows of their customers' tables, of which a third are sheets and half have names of columns."""
+    c = t(spark, sf_dir, "customer")
+    names = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("priority"))).otherwise(F.array().cast("array<string>"))
+    tables = c.select(F.col("c_custkey").alias("o_custkey"), names.alias("columns"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("sheet"))
+    rows = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("text"))
+    return C.sheet_parents(rows, tables, ["o_custkey"], "o_orderkey")
