@@ -91,16 +91,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
-def text_match(text: Column, wanted: Column) -> Column:
-    """Whether the text has every token of ``wanted``."""
-    return F.size(F.array_except(tokens(wanted), tokens(text))) == 0
-
-
-def split_sentences(text: Column) -> Column:
-    """Pieces that end after a newline, or after ``. ! ? ;`` before a space or newline; joined they are the text."""
-    return F.filter(F.split(text, r"(?<=\n)|(?<=[.!?;])(?=[ \n])", -1), lambda x: x != "")
-
-
 def normalize_query(raw: Column) -> Column:
     s = F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\u200b\u200c\u200d]", "")
     s = F.regexp_replace(s, rf"(?U)^{SPACES}|{SPACES}$", "")

@@ -47,6 +47,11 @@ def retrieval_log(stages: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [s.select("query_id", F.lit(name).alias("stage"), "rank", "id", F.col("score").cast("double").alias("score")) for name, s in stages.items()])
 
 
+def retrieval_sizes(log: DataFrame) -> DataFrame:
+    """query_id, stage, n_hits, best (score) of a retrieval_log."""
+    return log.groupBy("query_id", "stage").agg(F.count(F.lit(1)).alias("n_hits"), F.max("score").alias("best"))
+
+
 def backfill_vectors(messages: DataFrame, stored: DataFrame, keys: list[str], encode: Callable[[Column], Column], text: str = "text") -> DataFrame:
     """keys, vector of messages that have a text and no stored vector yet; works on a stream of messages too."""
     fresh = messages.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")

@@ -128,6 +128,32 @@ def safe_box(x1: Column, y1: Column, x2: Column, y2: Column, page: Column) -> Co
     return F.when(whole, F.struct(page.try_cast("int").alias("page"), F.least(v[0], v[2]).alias("x1"), F.least(v[1], v[3]).alias("y1"), F.greatest(v[0], v[2]).alias("x2"), F.greatest(v[1], v[3]).alias("y2")))
 
 
+def slide_box(left: Column, top: Column, right: Column, bottom: Column, origin: Column, slide: Column) -> Column:
+    """A slide's box as stored (its corners as they are, with the origin they count from), or null where the slide or
+    one of the four numbers is missing or none."""
+    v = [c.try_cast("double") for c in (left, top, right, bottom)]
+    whole = slide.try_cast("int").isNotNull()
+    for c in v:
+        whole = whole & c.isNotNull() & ~F.isnan(c)
+    return F.when(whole, F.struct(slide.try_cast("int").alias("slide"), v[0].alias("x1"), v[1].alias("y1"), v[2].alias("x2"), v[3].alias("y2"), F.coalesce(origin, F.lit("TOPLEFT")).alias("coord_origin")))
+
+
+def location(page_box: Column, slide_box_: Column, start: Column, end: Column) -> Column:
+    """Where an element is: its page's box (safe_box), else its slide's (slide_box), with its characters; characters
+    alone are a text_offset. Characters count only if both are whole numbers in order; without anything it is null."""
+    a, z = start.try_cast("int"), end.try_cast("int")
+    sound = a.isNotNull() & z.isNotNull() & (a >= 0) & (a <= z)
+    kind = F.when(page_box.isNotNull(), "page_box").when(slide_box_.isNotNull(), "slide_box").when(sound, "text_offset")
+    at = lambda c: F.coalesce(page_box[c], slide_box_[c])
+    return F.when(
+        kind.isNotNull(),
+        F.struct(
+            kind.alias("type"), page_box["page"].alias("page"), slide_box_["slide"].alias("slide"), at("x1").alias("x1"), at("y1").alias("y1"), at("x2").alias("x2"), at("y2").alias("y2"),
+            F.when(page_box.isNull(), slide_box_["coord_origin"]).alias("coord_origin"), F.when(sound, a).alias("char_start"), F.when(sound, z).alias("char_end"),
+        ),
+    )
+
+
 def pack_children(elements: DataFrame, doc: str, order: str, text: str = "text", atomic: str | None = None, most: int = PACK_CHARS, fresh: str | None = None) -> DataFrame:
     """doc, child (from 0), first, last (order), n_elements, text: consecutive elements joined by a blank line
     up to ``most`` characters. Blank ones go; an atomic one, or one longer than that, is a child alone. An

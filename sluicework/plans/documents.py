@@ -117,7 +117,23 @@ def _tree(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_TREE} SELECT * FROM f")
 def layout_tree(spark, sf_dir):
-    return _tree(spark, sf_dir)
+    return _tree(spark, sf_dir).drop("section_path")
+
+
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, trim(replace(text, chr(10), ' '), ' ') AS text FROM documents),
+c AS (SELECT doc_id, 0 AS i, 0 AS a, text AS rest, regexp_extract(left(text, 2001), '(?s)^(.+) ', 1) AS fits FROM d WHERE text <> ''
+ UNION ALL SELECT doc_id, i + 1, a, r, regexp_extract(left(r, 2001), '(?s)^(.+) ', 1) FROM
+ (SELECT doc_id, i, a + CASE WHEN fits <> '' THEN length(fits) + 1 ELSE 2000 END AS a, CASE WHEN fits <> '' THEN substr(rest, length(fits) + 2) ELSE substr(rest, 2001) END AS r FROM c WHERE length(rest) > 2000)),
+p AS (SELECT *, CASE WHEN length(rest) <= 2000 THEN rest WHEN fits <> '' THEN fits ELSE left(rest, 2000) END AS own FROM c)
+SELECT doc_id, CAST(1 AS BIGINT) AS "order", 'title' AS element_type, md5('Deck ' || doc_id) AS text_md5, CAST(doc_id % 5 + 1 AS INTEGER) AS slide, 'Deck ' || doc_id AS section_path, CAST(0 AS INTEGER) AS fragment_index, CAST(1 AS INTEGER) AS fragment_count, CAST(0 AS BIGINT) AS char_start, CAST(length('Deck ' || doc_id) AS BIGINT) AS char_end FROM documents
+UNION ALL SELECT doc_id, i + 2, CASE WHEN i = 0 THEN 'paragraph' ELSE 'fragment' END, md5(own), CAST(doc_id % 5 + 1 AS INTEGER), 'Deck ' || doc_id, CAST(i AS INTEGER), CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER), CAST(a AS BIGINT), CAST(a + length(own) AS BIGINT) FROM p""")
+def slide_elements(spark, sf_dir):
+    """Documents as decks: a title on a slide named by its group, and below it the whole text."""
+    d = t(spark, sf_dir, "documents")
+    node = lambda kind, parent, pos, content: d.select("doc_id", F.lit(kind).alias("node"), F.lit(parent).cast("string").alias("parent"), F.lit(pos).alias("pos"), F.lit(kind).alias("type"), content.alias("content"), F.when(F.lit(parent is None), F.col("doc_id") % 5).cast("int").alias("group"))
+    nodes = node("title", None, 1, F.concat(F.lit("Deck "), F.col("doc_id").cast("string"))).unionAll(node("paragraph", "title", 2, F.translate("text", "\n", " ")))
+    e = G.slide_elements(G.flatten(nodes))
+    return e.select("doc_id", "order", "element_type", F.md5("text").alias("text_md5"), "slide", F.array_join("section_path", " > ").alias("section_path"), "fragment_index", "fragment_count", "char_start", "char_end")
 
 
 @query(rf"""WITH RECURSIVE {_TREE}, top AS (SELECT doc_id, root, min("order") AS o, coalesce(bool_or(node = root AND (type IN ('table', 'heading', 'list_item') OR n_kids > 0 OR regexp_matches(coalesce(content, ''), '^\d{{1,2}}[.)]\s'))) OR NOT bool_or(node = root), true) AS major FROM f GROUP BY ALL),

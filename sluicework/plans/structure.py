@@ -12,6 +12,8 @@ from ..operators import parts as Q
 from ..operators import reports as P
 from ..operators import search as S
 from ..operators import structure as X
+from ..sources import registry as R
+from ..sources.scratch import written
 from ..streaming import feeds as H
 from ..streaming import lifecycle as L
 from .queries import _ARMS, _LET, _LINES, ORACLE_SQL, _arms, _letters, html_elements, query, t
@@ -162,7 +164,7 @@ f AS (SELECT query_id, id, sum(CAST(s AS DOUBLE)) AS score FROM u GROUP BY query
 r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM f)
 SELECT query_id, 'dense' AS stage, rank, id, round(CAST(score AS DOUBLE), 6) AS score FROM dense UNION ALL SELECT query_id, 'label', rank, id, round(CAST(score AS DOUBLE), 6) FROM lr UNION ALL SELECT query_id, 'fused', rank, id, round(score, 6) FROM r""")
 def retrieval_log(spark, sf_dir):
-    a, b = _arms(spark, sf_dir)
+    a, b = (written(x) for x in _arms(spark, sf_dir))  # each is read twice
     return P.retrieval_log({"dense": a, "label": b, "fused": S.rrf_fuse([(a, 1.0), (b, 1.0)])}).withColumn("score", F.round("score", 6))
 
 
@@ -267,3 +269,34 @@ def sheet_parents(spark, sf_dir):
     tables = c.select(F.col("c_custkey").alias("o_custkey"), names.alias("columns"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("sheet"))
     rows = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("text"))
     return C.sheet_parents(rows, tables, ["o_custkey"], "o_orderkey")
+
+
+@query(f"SELECT query_id, stage, count(*) AS n_hits, max(score) AS best FROM ({ORACLE_SQL['retrieval_log']}) GROUP BY ALL")
+def retrieval_sizes(spark, sf_dir):
+    return P.retrieval_sizes(retrieval_log(spark, sf_dir))
+
+
+@query("""SELECT o_custkey, o_orderkey, n_chunks, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS place FROM
+(SELECT o_custkey, o_orderkey, o_orderdate, count(l_orderkey) AS n_chunks FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber > 1 GROUP BY ALL)""")
+def own_documents(spark, sf_dir):
+    """Orders as their customers' documents, lines behind the first as chunks."""
+    docs = t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("doc_id"), "o_orderdate")
+    chunks = t(spark, sf_dir, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("doc_id"))
+    return R.own_documents(docs, chunks, "o_custkey", "o_orderdate").select("o_custkey", F.col("doc_id").alias("o_orderkey"), "n_chunks", "place")
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber AS chunk_id, l_returnflag AS filename, concat_ws(',', CASE WHEN l_linenumber % 2 = 0 THEN 'pages=' || l_linenumber END, 'sheet=' || l_linestatus) AS filters FROM lineitem""")
+def payloads(spark, sf_dir):
+    """Order lines as chunks; page and sheet are filtered by, the quantity is not."""
+    l = t(spark, sf_dir, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    entry = lambda k, c: F.struct(F.lit(k).alias("k"), text(c).alias("v"))
+    entries = F.array(entry("filename", "l_returnflag"), entry("quantity", "l_quantity"), entry("sheet", "l_linestatus"))
+    entries = F.when(F.col("l_linenumber") % 2 == 0, F.concat(entries, F.array(entry("pages", "l_linenumber")))).otherwise(entries)
+    none = F.lit(None).cast("string")
+    chunks = l.select(
+        none.alias("user_id"), text("l_orderkey").alias("doc_id"), none.alias("version_id"), F.concat_ws("-", text("l_orderkey"), text("l_linenumber")).alias("chunk_id"), none.alias("parent_chunk_id"), F.lit("child").alias("chunk_type"),
+        F.col("l_linenumber").alias("chunk_index"), none.alias("text"), F.array(none).alias("section_path"), F.array(none).alias("locations"), F.map_from_entries(entries).alias("metadata"),
+    )
+    p = R.build_payload(chunks)
+    return p.select("chunk_id", "filename", F.array_join(F.array_sort(F.transform(F.map_entries("filters"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("filters"))

@@ -38,13 +38,24 @@ def unique_headers(names: list[str | None]) -> list[str]:
     return out
 
 
+def delimited_formats(spark: SparkSession, path: str) -> DataFrame:
+    """path, delimiter, head (the first line) of every delimited file; an admitted file fits into a task."""
+    text = spark.read.format("binaryFile").load(path).select("path", decode_lenient(F.substring("content", 1, 4 * HEAD_CHARS)).alias("t"))
+    return text.select("path", sniff_delimiter(F.col("t")).alias("delimiter"), F.regexp_extract("t", r"^[^\r\n]*", 0).alias("head"))
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of delimited files of one format; delimiter and header come from the head of the first file."""
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, 4 * HEAD_CHARS).alias("c")).limit(1)
-    sep = (head.select(sniff_delimiter(decode_lenient("c"))).first() or [","])[0]
-    names = spark.read.csv(path, sep=sep, multiLine=True).first()
-    rows = spark.read.csv(path, sep=sep, header=True, multiLine=True)
-    return rows.toDF(*unique_headers([(c or "").lstrip("\ufeff") for c in names])) if names else rows
+    """The rows of delimited files; those of one delimiter and header are read together, columns that a file does not
+    have are null. Only the list of files, by their formats, comes to the driver."""
+    formats = delimited_formats(spark, path).groupBy("delimiter", "head").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()
+    out = None
+    for f in sorted(formats, key=lambda r: r.paths[0]):
+        options = {"sep": f.delimiter, "multiLine": True}
+        names = spark.read.csv(f.paths[0], **options).first()
+        rows = spark.read.csv(f.paths, header=True, enforceSchema=True, **options)
+        rows = rows.toDF(*unique_headers([(c or "").lstrip("\ufeff") for c in names])) if names else rows
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "column string")
 
 
 def sheet_rows(cells: DataFrame, keys: list[str], row: str, values: str = "cells") -> DataFrame:

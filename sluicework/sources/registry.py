@@ -83,6 +83,22 @@ def promote(df: DataFrame, fields: list[str], source: str = "metadata") -> DataF
     return df.select("*", *[F.try_element_at(F.col(source), F.lit(f)).alias(f) for f in fields])
 
 
+# What of a chunk's metadata is filtered by.
+FILTERS = ("embedder", "section_path", "mime_type", "strategy", "root", "sheet", "sheets", "pages", "slides", "row_start", "row_end", "line_start", "line_end", "json_paths", "dom_paths", "cell_ranges")
+IDENTITY = ("user_id", "doc_id", "version_id", "chunk_id", "parent_chunk_id", "chunk_type", "chunk_index", "text")
+
+
+def build_payload(chunks: DataFrame) -> DataFrame:
+    """What the index holds of chunks: who they are (IDENTITY), filename and parser out of their metadata (null if not
+    there), section_path and locations without nulls, and ``filters``, those of FILTERS that the metadata has.
+
+    chunks: the columns of IDENTITY, section_path, locations (arrays), metadata (map of texts). Other keys stay out."""
+    meta = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    known = F.map_filter(meta, lambda k, _: k.isin(*FILTERS))
+    full = lambda c: F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array().cast(chunks.schema[c].dataType)).alias(c)
+    return chunks.select(*IDENTITY, F.try_element_at(meta, F.lit("filename")).alias("filename"), F.try_element_at(meta, F.lit("parser")).alias("parser"), full("section_path"), full("locations"), known.alias("filters"))
+
+
 def count_agreement(chunks: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """doc_id, n_chunks, n_dense, n_sparse, status: FAILED where the three counts differ."""
     ids = chunks.select("doc_id", "chunk_id")
@@ -99,6 +115,12 @@ def list_documents(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return docs.join(counts, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0).cast("long")))
 
 
+def own_documents(docs: DataFrame, chunks: DataFrame, owner: str, created: str) -> DataFrame:
+    """list_documents with ``place``: from 1 for each owner's newest document on (ties by doc_id)."""
+    listed = list_documents(docs, chunks)
+    return listed.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(F.col(created).desc(), "doc_id")).cast("long"))
+
+
 def owned(df: DataFrame, key: str, value, owner: str, user) -> DataFrame:
     """The row of that key if it belongs to the user, else nothing."""
     return df.where((F.col(key) == value) & (F.col(owner) == user))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluicework.functions import text as T
 from sluicework.functions.vectors import of_dimension
-from sluicework.operators import chunking, context, elements, search, structure
+from sluicework.operators import chunking, context, elements, search, structure, trees
 from sluicework.sources import delimited
 from sluicework.sources import registry as R
 from sluicework.streaming import feeds
@@ -256,3 +256,48 @@ def test_long_cells_are_cut_and_give_back_what_they_hold(spark):
     assert stats == {"s": 2, None: 1}
     v = spark.createDataFrame([(True, 3.0, 2.5, " t ", None)], "b boolean, f double, g double, s string, z string")
     assert v.select(*[delimited.cell_text(F.col(f.name), f.dataType.simpleString()) for f in v.schema]).first()[:] == ("true", "3", "2.5", "t", "")
+
+
+def test_slides_have_title_paths_and_fragments(spark):
+    rows = [("d", "t", None, 1, "title", "Deck", 1), ("d", "u", "t", 1, "title", " Part ", None), ("d", "p", "u", 1, "paragraph", "word " * 900, 3), ("d", "q", None, 2, "paragraph", "loose", None), ("d", "g", "t", 2, "list", None, None), ("d", "i", "g", 1, "list_item", "in", None), ("d", "o", "gone", 1, "paragraph", "orphan", None)]
+    nodes = spark.createDataFrame(rows, "doc_id string, node string, parent string, pos int, type string, content string, page int")
+    got = trees.slide_elements(trees.flatten(nodes)).orderBy("order").collect()
+    assert [(r.order, r.node, r.element_type, r.slide, r.section_path, r.fragment_index, r.fragment_count) for r in got] == [
+        (1, "t", "title", 1, ["Deck"], 0, 1),
+        (2, "u", "title", 1, ["Deck", "Part"], 0, 1),
+        (3, "p", "paragraph", 3, ["Deck", "Part"], 0, 3),
+        (4, "p", "fragment", 3, ["Deck", "Part"], 1, 3),
+        (5, "p", "fragment", 3, ["Deck", "Part"], 2, 3),
+        (6, "i", "list_item", 1, ["Deck"], 0, 1),
+        (7, "q", "paragraph", None, [], 0, 1),
+    ]
+    whole = ("word " * 900).strip()
+    assert all(whole[r.char_start : r.char_end] == r.text for r in got if r.node == "p")
+
+
+def test_places_of_pages_slides_and_characters(spark):
+    cols = ["x", "y", "z", "w", "page", "slide", "a", "b"]
+    rows = [("4", "3", "2", "1", "7", None, "5", "9"), ("4", "3", "2", "1", None, "2", None, None), ("4", "3", "bad", "1", "7", "2", "5", "9"), (None,) * 6 + ("9", "5"), ("1", "2", "3", "4", "x", "y", "1", "no"), ("1", "2", "3", "NaN", "1", "1", "0", "0")]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    box = [F.col(c) for c in "xyzw"]
+    where = structure.location(structure.safe_box(*box, F.col("page")), structure.slide_box(*box, F.lit(None).cast("string"), F.col("slide")), F.col("a"), F.col("b"))
+    got = [r[0] and (r[0].type, r[0].page, r[0].slide, r[0].x1, r[0].y2, r[0].coord_origin, r[0].char_start, r[0].char_end) for r in df.select(where).collect()]
+    assert got == [("page_box", 7, None, 2.0, 3.0, None, 5, 9), ("slide_box", None, 2, 4.0, 1.0, "TOPLEFT", None, None), ("text_offset", None, None, None, None, None, 5, 9), None, None, ("text_offset", None, None, None, None, None, 0, 0)]
+
+
+def test_delimited_files_of_several_formats(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,n\nx,1\n")
+    (tmp_path / "b.csv").write_text("name,n\ny,2\n")
+    (tmp_path / "c.csv").write_bytes("\ufeffn;note\n3;\"one; two\"\n".encode())
+    got = sorted((r.name or "", r.n, r.note or "") for r in delimited.read_delimited(spark, str(tmp_path)).collect())
+    assert got == [("", "3", "one; two"), ("x", "1", ""), ("y", "2", "")]
+    files = R.scan_files(spark, str(tmp_path), "*.csv").select(F.regexp_extract("path", r"[^/]*$", 0).alias("f"), "extension", "file_size").collect()
+    assert sorted(map(tuple, files)) == [("a.csv", "csv", 11), ("b.csv", "csv", 11), ("c.csv", "csv", 23)]
+
+
+def test_payloads_take_what_is_filtered_by(spark):
+    schema = "user_id string, doc_id string, version_id string, chunk_id string, parent_chunk_id string, chunk_type string, chunk_index int, text string, section_path array<string>, locations array<struct<page:int>>, metadata map<string,string>"
+    rows = [("u", "d", "v", "c", "p", "child", 3, "t", ["A", None], [(1,), None], {"pages": "1", "secret": "x", "filename": "f", "sheet": None}), ("u", "d", "v", "e", None, "parent", 0, "t", None, None, None)]
+    one, two = R.build_payload(spark.createDataFrame(rows, schema)).orderBy("chunk_index", ascending=False).collect()
+    assert (one.filename, one.parser, one.section_path, [x.page for x in one.locations], one.filters) == ("f", None, ["A"], [1], {"pages": "1", "sheet": None})
+    assert (two.filename, two.section_path, two.locations, two.filters) == (None, [], [], {})
