@@ -56,16 +56,13 @@ def metric_totals(minutes: DataFrame) -> DataFrame:
     return out.select("n_processed", "n_failed", rate.alias("failure_rate"), F.when(F.col("n_duration") > 0, F.round(F.col("s") / F.col("n_duration"), 2)).otherwise(0.0).alias("average_duration_s"))
 
 
-def status_feed(events: DataFrame, key: str, order: str, status: str, terminal: list[str], keep_ms: int = 86_400_000) -> DataFrame:
+def status_feed(events: DataFrame, key: str, order: str, status: str, terminal: list[str]) -> DataFrame:
     """key, order, status of a stream's changes: a key's first status, then each that differs from the one
-    before, up to its first terminal one. The state is one status a key, dropped keep_ms after
-    a terminal one, when a key that goes on would start anew; rows of a batch go by ``order``."""
+    before, up to its first terminal one. The state is one status a key, which is kept;
+    rows of a batch go by ``order``. Where the state of finished keys must go, use lifecycle.steps_on_stream."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
 
     def run(own: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         f = pd.concat(list(frames)).sort_values(order, kind="stable")
         rows = []
@@ -77,12 +74,10 @@ def status_feed(events: DataFrame, key: str, order: str, status: str, terminal:
                 last = now
         if last is not None:
             state.update((last,))
-        if last in terminal:
-            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(rows, columns=[key, order, status])
 
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {status} {kinds[status]}"
-    return events.select(key, order, status).groupBy(key).applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(key, order, status).groupBy(key).applyInPandasWithState(run, schema, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def first_deliveries(events: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:
