@@ -29,6 +29,7 @@ are those of all similar pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate, combinations
@@ -53,6 +54,8 @@ WORDS, WORD_BITS, WORD_RADIUS = 32, 32, 2
 WORD_PREFIX = 12
 #: Shingle hashes that a task holds before it passes them on.
 HELD = 1_000_000
+#: Texts with one rare shingle that one task tries with others.
+TRIED_ROWS = 5_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> bytes:
@@ -224,39 +227,75 @@ def op6_simhash_dedup(spark, sf_dir):
 
 
 def _ones(h: np.ndarray) -> np.ndarray:
-    """How many rows have each bit set; rows are added in pairs, bit plane by bit plane."""
-    planes = [h]
-    while len(planes[0]) > 8:
-        if len(planes[0]) % 2:
-            planes = [np.concatenate([p, np.zeros_like(p[:1])]) for p in planes]
-        carry, sums = np.zeros_like(planes[0][::2]), []
-        for p in planes:
-            a, b = p[::2], p[1::2]
-            x = a ^ b
-            sums.append(x ^ carry)
-            carry = (a & b) | (x & carry)
-        planes = [*sums, carry]
-    return sum(np.unpackbits(p.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) << i for i, p in enumerate(planes))
+    """How many rows have each bit set, added up as bytes over 255 rows at a time."""
+    parts = [np.add.reduce(np.unpackbits(h[i : i + 255].view(np.uint8), axis=1), axis=0, dtype=np.uint8) for i in range(0, len(h), 255)]
+    return reduce(np.add, parts[1:], parts[0].astype(np.int64))
 
 
 def _mixed(h: np.ndarray, columns: int) -> np.ndarray:
     """Further hashes of each hash, one a column."""
     x = h[:, None] + np.arange(1, columns + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """The hashes of the distinct shingles, in order."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    hash_of = xxhash.xxh64_intdigest
-    return np.unique(np.array([hash_of(joined[s:e], seed) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :])], np.uint64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+#: Bytes whose words are hashed at once, and the numbers for that: one for each byte, and powers of a number and its inverse.
+PIECE = 1 << 16
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)], np.int8)
+_BYTES = _mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1), 1)[:, 0]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, ... as n unsigned 64-bit numbers that wrap around."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_BASE, 2 * PIECE), _powers(_INVERSE, 2 * PIECE)
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """The hash of each word, A-Z lower-cased, in order: a polynomial over numbers drawn for its bytes, mixed.
+
+    All words of some PIECE bytes, cut between words, are hashed at once."""
+    found, at = [], 0
+    while at < len(text):
+        space = _SPACE.search(text, at + PIECE)
+        end = space.end() if space else len(text)
+        raw = np.frombuffer(text, np.uint8, end - at, at)
+        edge = np.diff(_IS_SPACE[raw], prepend=np.int8(1), append=np.int8(1))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if len(starts):
+            up, down = (_UP, _DOWN) if len(raw) <= len(_UP) else (_powers(_BASE, len(raw)), _powers(_INVERSE, len(raw)))
+            terms = _BYTES[raw] * up[: len(raw)]
+            ends = ends[:-1] if ends[-1] == len(raw) else ends
+            sums = np.add.reduceat(terms, np.sort(np.concatenate([starts, ends])))[::2]
+            h = sums * down[starts]
+            h ^= h >> np.uint64(32)
+            found.append(h)
+        at = end
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def shingle_hashes(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """The hashes of the distinct shingles, in order; each is made of the hashes of its words, all shingles at once."""
+    h = _word_hashes(text) if text else np.empty(0, np.uint64)
+    width = min(shingle, len(h))
+    many = len(h) - width + 1 if width else 0
+    out = np.full(many, width, np.uint64)
+    for i in range(width):
+        out += h[i : i + many]
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(31)
+    out.sort()
+    return out[np.diff(out, prepend=~out[:1]) != 0]
 
 
 def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -264,7 +303,7 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     columns = WORDS * WORD_BITS // 64
     if not len(hashes):
         return np.zeros(columns, np.uint64)
-    count = reduce(np.add, [_ones(_mixed(hashes[i : i + 16_384], columns)) for i in range(0, len(hashes), 16_384)])
+    count = reduce(np.add, [_ones(_mixed(hashes[i : i + 255], columns)) for i in range(0, len(hashes), 255)])
     return np.packbits(count * 2 > len(hashes)).view(np.uint64)
 
 
@@ -298,14 +337,14 @@ def _least_common(n: Column, similarity: float) -> Column:
     return F.ceil(n * similarity - 1e-6).cast("int")
 
 
-def comparable_sets(sets: DataFrame, similarity: float) -> DataFrame:
-    """sets: id, hashes (rows of one id are equal). id, n (its shingles) and shared: those that another row has
-    too, the rarest first; only of ids that share enough to resemble any other.
+def comparable_sets(sets: DataFrame, similarity: float, total: int) -> DataFrame:
+    """sets: id, hashes (rows of one id are equal), total of them in all. id, n (its shingles) and shared: those that
+    another row has too, the rarest first; only of ids that share enough to resemble any other.
 
     What two sets have in common is in shared, so these arrays verify a pair as the whole sets do."""
     tokens = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
     rows = settled(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    shared = tokens.join(rows, "token").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("rows", "token"))).alias("t"))
+    shared = attach(tokens, rows.withColumn("c", F.col("rows")), ["token"], "c", total).groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("rows", "token"))).alias("t"))
     return settled(shared.where(F.size("t") >= _least_common(F.col("n"), similarity)).select("id", "n", F.col("t.token").alias("shared")))
 
 
@@ -324,23 +363,26 @@ def exact_links(near: DataFrame, links: DataFrame, similarity: float) -> DataFra
 
     Texts that share a rare shingle are tried with one of their size first, and then each with each as far as
     they are not in one component yet; a pair goes untried only where the places of its first common shingle
-    prove it apart."""
+    prove it apart. The texts of one shingle are dealt over a task for each TRIED_ROWS of them, and its smaller
+    sides go to all of these."""
     rare = settled(prefixes(near, similarity))
     kind = F.floor(F.log(F.col("n").cast("double")) * 10)
     sized = rare.withColumn("kind", kind)
-    heads = sized.groupBy("token", "kind").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    tried = sized.join(heads, ["token", "kind"]).where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    heads = sized.groupBy("token", "kind").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    tried = attach(sized, heads, ["token", "kind"], "c").where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     links = settled(links.unionAll(verified(tried, near, similarity)).distinct())
     rooted = components(links).select(F.col("node").alias("id"), "root")
     rare = settled(rare.join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    open_ = rare.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("token")
-    rare = settled(rare.join(open_, "token", "left_semi"))
-    small = rare.where("first").select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "root")])
-    large = rare.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "root")])
+    per = rare.groupBy("token").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count(F.lit(1)).alias("c"))
+    open_ = per.where("_x <> _y").select("token", "c", F.ceil(F.col("c") / TRIED_ROWS).cast("int").alias("tasks"))
+    rare = settled(attach(rare, open_, ["token"], "c"))
+    task = F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")
+    small = rare.where("first").select("token", task, *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "root")])
+    large = rare.select("token", F.pmod(F.xxhash64("id"), "tasks").cast("int").alias("task"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "root")])
     common = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     apart = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
     enough = (common >= _least_common(F.col("n_a") + F.col("n_b"), similarity / (1 + similarity))) & (F.col("n_a") >= _least_common(F.col("n_b"), similarity))
-    pairs = small.join(large, "token").where(apart & enough & (F.col("root_a") != F.col("root_b")))
+    pairs = small.join(large, ["token", "task"]).where(apart & enough & (F.col("root_a") != F.col("root_b")))
     return links.unionAll(verified(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), near, similarity))
 
 
@@ -363,8 +405,8 @@ def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
     words = distinct.select("id", F.explode(word).alias("w")).select(
         "id", F.col("w.place").alias("place"), F.when(F.col("w.place") % 2 == 0, F.col("w.two").bitwiseAND(low)).otherwise(F.shiftrightunsigned("w.two", WORD_BITS)).alias("word")
     )
-    heads = settled(words.groupBy("place", "word").agg(F.min("id").alias("head")))
-    same_word = words.join(heads, ["place", "word"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    heads = settled(words.groupBy("place", "word").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("c")))
+    same_word = attach(words, heads.where("c > 1"), ["place", "word"], "c", WORDS * distinct.count()).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -379,7 +421,7 @@ def long_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
         heads = f["head"].to_numpy(np.int64)
         return pd.DataFrame({"a": heads[pairs[:, 0]], "b": heads[pairs[:, 1]]})
 
-    dealt = heads.mapInPandas(spread, "place int, prefix int, word long, head long, left int")
+    dealt = heads.drop("c").mapInPandas(spread, "place int, prefix int, word long, head long, left int")
     met = dealt.groupBy("place", "prefix").applyInPandas(meet, "a long, b long")
     candidates = settled(same_word.unionAll(met).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = _with_both(candidates, distinct.select("id", "bits"), "bits")
@@ -406,17 +448,18 @@ def _grouped(docs: DataFrame, keys: list[str], similarity: float, shingle: int)
     """docs: keys, text. Every row's keys and ``first``, the least keys of its group (nulls last, as a struct).
 
     Sets are made anew from the texts where they are asked for: they take more room than the texts."""
-    ids = settled(shingle_sets(docs, shingle, tuple(keys), True).select(*keys, "id", "bits"))
+    ids = settled(shingle_sets(docs, shingle, tuple(keys), True).select(*keys, "id", "bits", F.size("hashes").alias("n")))
+    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     order = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
     least = ids.groupBy("id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("c"))
-    near = comparable_sets(shingle_sets(docs, shingle, ()), similarity)
+    near = comparable_sets(shingle_sets(docs, shingle, ()), similarity, total)
     distinct = settled(near.join(ids.select("id", "bits").dropDuplicates(["id"]), "id"))
     links = exact_links(near, settled(long_links(distinct, similarity)), similarity)
     named = least.join(components(links), F.col("id") == F.col("node"), "left").select("id", "first", "c", F.coalesce("root", "id").alias("root"))
     named = settled(named)
     least = named.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
     named = settled(attach(named.drop("first"), least, ["root"], "n").select("id", "first", "c"))
-    return attach(ids.drop("bits"), named, ["id"], "c").drop("id")
+    return attach(ids.drop("bits", "n"), named, ["id"], "c").drop("id")
 
 
 def group_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
