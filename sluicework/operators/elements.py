@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,6 +20,8 @@ KEPT = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "tr")
 ENDS_PARAGRAPH = (*KEPT[:8], "ul", "ol", "table", "div", "section", "article", "header", "footer", "nav", "main", "blockquote", "pre")
 KINDS = {**{f"h{i}": "heading" for i in range(1, 7)}, "li": "list_item"}
 ROOT, CELL_CHARS = "[document]", 500
+#: The start of a character reference that lacks its semicolon.
+BARE = re.compile(r"&(?=#?[A-Za-z0-9]+(?![A-Za-z0-9;]))")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
@@ -159,8 +162,8 @@ def row_text(names: list[str], cells: list[str]) -> str:
     return "\n".join(f"{label(i)}: {c[:CELL_CHARS]}" for i, c in enumerate(cells))
 
 
-def _elements(html: str) -> Iterator[tuple[str, str, list[str], str, list[str], int]]:
-    page = _read(html)
+def _elements(html: str, bare: bool = True) -> Iterator[tuple[str, str, list[str], str, list[str], int]]:
+    page = _read(html if bare else BARE.sub("&amp;", html))
     for n in page.found:
         links = list(n.hrefs)
         if n.tag != "tr":
@@ -175,18 +178,19 @@ def _elements(html: str) -> Iterator[tuple[str, str, list[str], str, list[str],
         yield "paragraph", text, [], "", [], 0
 
 
-def html_elements(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def html_elements(pages: DataFrame, key: str = "page_id", bare: bool = True) -> DataFrame:
     """key, order (from 1), element_type, text, section_path, dom_path, hrefs, fragment of every page's elements.
 
     Texts of over 2000 characters are cut into fragments (from 0). A table's row is told by the names of its columns,
     its header by the names alone; rows outside a table go. hrefs are the links within the element, each once. A p is
-    closed by what closes it in HTML, so unclosed ones do not nest. A page without any element is one paragraph."""
+    closed by what closes it in HTML, so unclosed ones do not nest. A page without any element is one paragraph.
+    bare: whether a character reference without its semicolon (``&amp``) is read as HTML does; else it stays as it is."""
     kind = pages.schema[key].dataType.simpleString()
     columns = [key, "order", "element_type", "text", "section_path", "dom_path", "hrefs", "fragment"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, n, *e) for k, h in zip(f[key], f["html"]) if h for n, e in enumerate(_elements(h), 1)]
+            rows = [(k, n, *e) for k, h in zip(f[key], f["html"]) if h for n, e in enumerate(_elements(h, bare), 1)]
             yield pd.DataFrame(rows, columns=columns)
 
     return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, order long, element_type string, text string, section_path array<string>, dom_path string, hrefs array<string>, fragment int")
