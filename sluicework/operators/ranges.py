@@ -6,14 +6,19 @@ come before, and each range then finishes its own rows. So a key of any size spr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.scratch import written
 
-#: Rows of a range of one key that are packed together.
+#: Rows of a document that began in an earlier task that are packed together.
 RANGE = 20_000
 
 
@@ -84,72 +89,123 @@ def pack(rows: DataFrame, doc: str, order: str, size: str, most: int, fresh: str
     before it while the sizes, with 2 for each join, stay within ``most``.
 
     A row for which ``fresh`` holds starts a group, one for which ``alone`` does is one by itself. A row of null or
-    no size joins nothing and has a null group, but where it is fresh the next row still starts one. The greedy
-    choice depends on all rows before; a range of RANGE rows says for each place where it may first be broken how
-    many groups follow and how full the last is left, and these are chained."""
-    said = F.coalesce(F.col(size), F.lit(0)) > 0
+    no size joins nothing and has a null group, but where it is fresh the next row still starts one. Rows are dealt
+    by ranges of doc and order and each task walks its own in order, many documents one after the other. Only the first
+    document of a task can have begun in an earlier one. Of that, each RANGE rows say for each place where they may
+    first be broken how many groups follow and how full the last is left; these, and how the last document of each
+    task ends, are chained, and every task is told what its first row finds."""
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(False)
-    ranked = numbered(rows.withColumns({"_said": said, "_fresh": flag(fresh), "_alone": flag(alone) & said}), [doc], [order], "_at").withColumn("_range", F.floor(F.col("_at") / RANGE))
-    ranked = written(ranked)
-    lean = ranked.select(F.col(doc).alias("_doc"), "_range", "_at", F.col(size).cast("long").alias("_size"), "_said", "_fresh", "_alone")
-
-    def shaped(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool, pd.DataFrame]:
-        """Places and sizes of the rows that count, which of them must start a group, whether the range's end is
-        closed to what follows, and the rows in their order."""
-        f = f.sort_values("_at")
-        said, new, own = (f[c].to_numpy(bool) for c in ("_said", "_fresh", "_alone"))
-        due = np.cumsum(new)
-        at = np.flatnonzero(said)
-        seen = np.concatenate([[0], due[at]])
-        must = np.diff(seen) > 0
-        must |= own[at]
-        must[1:] |= own[at[:-1]]
-        closed = bool(len(at) and own[at[-1]]) or (due[-1] > (due[at[-1]] if len(at) else 0))
-        return at, f["_size"].fillna(0).to_numpy(np.int64)[at], must, closed, f
-
-    outcome = f"_doc {ranked.schema[doc].dataType.simpleString()}, _range long, ends array<long>, forced long, n long, groups array<long>, fill array<long>, closed boolean"
-
-    def offer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        at, sizes, must, closed, _ = shaped(f)
-        n = len(at)
-        ends = np.cumsum(sizes + 2)
-        forced = int(np.argmax(must)) if must.any() else n
-        reach = min(forced, int(np.searchsorted(ends, most, "right")), n)  # no later first break is possible
-        _, groups, fill = _steps(sizes, must, most)
-        return pd.DataFrame({"_doc": [key[0]], "_range": [key[1]], "ends": [ends[:reach]], "forced": [forced], "n": [n], "groups": [groups[: reach + 1]], "fill": [fill[: reach + 1]], "closed": [closed]})
-
-    def chain(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        rows, base, filled = [], 0, 0
-        for r in f.sort_values("_range").itertuples(index=False):
-            rows.append((key[0], r[1], base, filled))
-            ends, n = np.asarray(r.ends), r.n
-            b = _first_break(ends, min(r.forced, len(ends)), filled, most)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = {"_pack_size": F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long"), "_pack_fresh": flag(fresh), "_pack_alone": flag(alone), "_pack_tie": F.monotonically_increasing_id()}
+    place = [doc, order, "_pack_tie"]
+    dealt = rows.withColumns(own).repartitionByRange(tasks, *place).sortWithinPartitions(*place).drop("_pack_tie")
+    dealt = written(dealt.withColumn("_pid", F.spark_partition_id()))
+    kind = rows.schema[doc].dataType.simpleString()
+    outcome = f"_doc {kind}, _pid int, _seq int, ends array<long>, forced long, n long, groups array<long>, fill array<long>, closed boolean, base long, filled long"
+    span, key = RANGE, pa.field("_doc", to_arrow_type(rows.schema[doc].dataType))
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each range of the task's first document offers, and how its last one ends if that is another."""
+        opening, pid, seq, held, walk = None, 0, 0, [[], [], []], None
+        for b in batches:
+            docs, *marks = (b.column(i).to_pylist() for i in range(4))
+            if opening is None and docs:
+                opening, pid = (docs[0],), b.column(4)[0].as_py()
+            at = 0
+            if walk is None and docs:
+                at = next((i for i, d in enumerate(docs) if d != opening[0]), len(docs))
+                for h, m in zip(held, marks):
+                    h += m[:at]
+                while len(held[0]) >= span:
+                    yield _offered(key, opening[0], pid, seq, *(h[:span] for h in held), most)
+                    held, seq = [h[span:] for h in held], seq + 1
+                if at < len(docs):
+                    walk = Walk(most)
+            if walk is not None:
+                walk.groups(docs[at:], *(m[at:] for m in marks))
+        if held[0]:
+            yield _offered(key, opening[0], pid, seq, *held, most)
+        if walk is not None:
+            yield _told(key, walk.doc, pid, 0, base=walk.n + 1, filled=walk.filled)
+
+    def chain(_: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        out, base, filled = [], 0, 0
+        for r in f.sort_values(["_pid", "_seq"]).itertuples(index=False):
+            if r.ends is None:  # a document that begins in the task
+                base, filled = int(r.base), int(r.filled)
+                continue
+            if r[2] == 0:
+                out.append((r[1], base, filled))
+            ends, n = np.asarray(r.ends), int(r.n)
+            b = _first_break(ends, min(int(r.forced), len(ends)), filled, most)
             if n and b < n:
                 base, filled = base + int(r.groups[b]), int(r.fill[b])
             elif n:
                 filled += int(ends[-1])
             if r.closed:
                 filled = 0
-        return pd.DataFrame(rows, columns=["_doc", "_range", "_base", "_filled"])
-
-    offers = written(lean.groupBy("_doc", "_range").applyInPandas(offer, outcome))
-    kind = ranked.schema[doc].dataType.simpleString()
-    states = offers.groupBy("_doc").applyInPandas(chain, f"_doc {kind}, _range long, _base long, _filled long")
-
-    def settle(key: tuple, f: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        at, sizes, must, _, f = shaped(f)
-        base, filled = int(s["_base"].iloc[0]), int(s["_filled"].iloc[0])
-        n, out = len(at), np.full(len(f), -1, np.int64)
-        if n:
-            after, _, _ = _steps(sizes, must, most)
-            forced = int(np.argmax(must)) if must.any() else n
-            starts, i = np.zeros(n, np.int64), _first_break(np.cumsum(sizes + 2), forced, filled, most)
-            while i < n:
-                starts[i] = 1
-                i = after[i]
-            out[at] = base - 1 + np.cumsum(starts)
-        return pd.DataFrame({"_pack_doc": f["_doc"], "_pack_at": f["_at"], "_pack_group": out})
-
-    placed = lean.groupBy("_doc", "_range").cogroup(states.groupBy("_doc", "_range")).applyInPandas(settle, f"_pack_doc {kind}, _pack_at long, _pack_group long")
-    met = ranked.join(placed, F.col(doc).eqNullSafe(F.col("_pack_doc")) & (F.col("_at") == F.col("_pack_at")))
-    return met.select(*rows.columns, F.when(F.col("_pack_group") >= 0, F.col("_pack_group")).alias(name))
+        return pd.DataFrame(out, columns=["_pid", "_base", "_filled"])
+
+    states = dealt.select(doc, "_pack_size", "_pack_fresh", "_pack_alone", "_pid").mapInArrow(offer, outcome).groupBy("_doc").applyInPandas(chain, "_pid int, _base long, _filled long")
+    names = [f"_c{i}" for i in range(len(rows.columns))]  # a column may have the name of the group's
+    told = dealt.join(F.broadcast(states), "_pid", "left").select(doc, "_pack_size", "_pack_fresh", "_pack_alone", "_base", "_filled", *[F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, names)])
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, rows.schema.fields)]).add("_group", LongType())
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            docs, *marks = (b.column(i).to_pylist() for i in range(4))
+            if walk is None:
+                walk = Walk(most, docs[0], b.column(4)[0].as_py(), b.column(5)[0].as_py())
+            group = pa.array(walk.groups(docs, *marks), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[6:], group], [*names, "_group"])
+
+    return told.mapInArrow(settle, schema).select(*[F.col(n).alias(c) for c, n in zip(rows.columns, names)], F.col("_group").alias(name))
+
+
+class Walk:
+    """Greedy packing row by row: the document, its last group and how full that is (0: nothing joins it)."""
+
+    def __init__(self, most: int, doc=None, base: int = 0, filled: int = 0):
+        self.most, self.doc, self.n, self.filled = most, doc, base - 1, filled
+
+    def groups(self, docs: list, sizes: list[int], fresh: list[bool], alone: list[bool]) -> list[int | None]:
+        most, doc, n, filled, out = self.most, self.doc, self.n, self.filled, []
+        for d, s, new, own in zip(docs, sizes, fresh, alone):
+            if d != doc:
+                doc, n, filled = d, -1, 0
+            if new:
+                filled = 0
+            if not s:
+                out.append(None)
+                continue
+            if filled and not own and filled + 2 + s <= most:
+                filled += 2 + s
+            else:
+                n, filled = n + 1, 0 if own else s
+            out.append(n)
+        self.doc, self.n, self.filled = doc, n, filled
+        return out
+
+
+def _offered(key: pa.Field, doc, pid: int, seq: int, sizes: list[int], fresh: list[bool], alone: list[bool], most: int) -> pa.RecordBatch:
+    size, new, own = np.array(sizes, np.int64), np.array(fresh, bool), np.array(alone, bool)
+    due, at = np.cumsum(new), np.flatnonzero(size > 0)
+    must = np.diff(np.concatenate([[0], due[at]])) > 0
+    must |= own[at]
+    must[1:] |= own[at[:-1]]
+    closed = bool(len(at) and own[at[-1]]) or bool(due[-1] > (due[at[-1]] if len(at) else 0))
+    size, n = size[at], len(at)
+    ends = np.cumsum(size + 2)
+    forced = int(np.argmax(must)) if must.any() else n
+    reach = min(forced, int(np.searchsorted(ends, most, "right")), n)  # no later first break is possible
+    _, groups, fill = _steps(size, must, most)
+    return _told(key, doc, pid, seq, ends[:reach], forced, n, groups[: reach + 1], fill[: reach + 1], closed)
+
+
+def _told(key: pa.Field, doc, pid: int, seq: int, ends=None, forced=None, n=None, groups=None, fill=None, closed=None, base=None, filled=None) -> pa.RecordBatch:
+    many, one = pa.list_(pa.int64()), pa.int64()
+    fields = [key, ("_pid", pa.int32()), ("_seq", pa.int32()), ("ends", many), ("forced", one), ("n", one), ("groups", many), ("fill", many), ("closed", pa.bool_()), ("base", one), ("filled", one)]
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((doc, pid, seq, ends, forced, n, groups, fill, closed, base, filled), pa.schema(fields))], schema=pa.schema(fields))
