@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..functions.vectors import cosine
 from ..sources.registry import top_per
+from ..sources.scratch import written
 from .arms import bm25_topk, dense_topk
 from .ranges import numbered
 
@@ -18,6 +19,19 @@ from .ranges import numbered
 PAYLOAD = ("filename", "section_path", "locations")
 
 
+def nearest_of_group(rows: DataFrame, group: str, number: str, asks: Column, k: int = 20) -> DataFrame:
+    """query_id, id, score (1 / (1 + distance)), rank: for each row that asks, the k of its group nearest by their number,
+    itself included; ties go to the smaller number.
+
+    In order of numbers these lie within k places of the row, so rows are numbered by ranges and met by their places:
+    at most 2 k + 1 for each that asks, however large its group is."""
+    placed = written(numbered(rows.where(F.col(group).isNotNull() & F.col(number).isNotNull()).select(group, number), [group], [number], "_at"))
+    places = F.explode(F.sequence(F.col("_at") - k, F.col("_at") + k))
+    asked = placed.where(asks).select(group, F.col(number).alias("query_id"), places.alias("_at"))
+    near = asked.join(placed, [group, "_at"]).select("query_id", F.col(number).alias("id"), (1.0 / (1 + F.abs(F.col("query_id") - F.col(number)))).alias("score"))
+    return top_per(near, ["query_id"], [F.col("score").desc(), "id"], k)
+
+
 def rrf_fuse(arms: list[tuple[DataFrame, float]], k: float = 60.0) -> DataFrame:
     """query_id, id, score, rank: the sum over arms of weight / (k + rank). Ties go to the smaller id."""
     parts = [a.select("query_id", "id", (F.lit(w) / (k + F.col("rank"))).alias("s")) for a, w in arms]
