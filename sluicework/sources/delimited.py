@@ -15,10 +15,11 @@ from ..operators.structure import pieces
 DELIMITERS, HEAD_CHARS, ROW_CHARS = (",", ";", "\t", "|"), 8192, 2000
 
 
-@F.pandas_udf(StringType())
-def decode_lenient(content: pd.Series) -> pd.Series:
+def decode_lenient(content: Column | str) -> Column:
     """UTF-8 without its mark; bytes that are none become replacement characters."""
-    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8-sig", "replace"))
+    raw = F.col(content) if isinstance(content, str) else content
+    marked = F.substring(raw, 1, 3) == F.unhex(F.lit("EFBBBF"))
+    return F.make_valid_utf8(F.when(marked, F.substring(raw, F.lit(4), F.length(raw))).otherwise(raw).cast("string"))
 
 
 def sniff_delimiter(text: Column) -> Column:
