@@ -11,13 +11,18 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from .chunking import CHILDREN, OVERLAP_MAX, PARENT_TOKENS, sentence_seams, window_spans
 
 # Where a part is closed, and the caps of the legacy split.
 CLOSE_TOKENS, SOFT_CHARS, HARD_CHARS = 1344, 7500, 20_000
+#: Blocks whose texts a task has open at once.
+BLOCKS = 128
 
 
 def tokens(chars: int) -> int:
@@ -140,26 +145,31 @@ def standard_parts(elements: DataFrame, keys: list[str], order: str, text: str =
     A part goes from the character first_char of its first element up to last_char of its last one; only elements of
     over CLOSE_TOKENS that are not atomic are cut. children are the windows (start, end) over the part's text."""
     kinds = {f.name: f.dataType.simpleString() for f in elements.schema.fields}
-    columns = [*keys, "part", "part_count", "first", "first_char", "last", "last_char", "n_units", "text", "children"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for own, es in zip(f[keys].itertuples(index=False), f["es"]):
-                units = []  # (order, first character, text, atomic)
-                for e in es:
-                    cuts = [(0, len(e["t"]))] if e["alone"] else seam_cuts(e["t"])
-                    units += [(e["o"], a, e["t"][a:z], e["alone"]) for a, z in cuts]
-                runs = standard_runs([u[2] for u in units], [u[3] for u in units])
-                for p, (i, j) in enumerate(runs, 1):
-                    stream = Stream([u[2] for u in units[i:j]], [u[3] for u in units[i:j]])
-                    spans = [{"start": a, "end": z} for a, z in stream.windows(0, j - i)]
-                    last = units[j - 1]
-                    rows.append((*own, p, len(runs), units[i][0], units[i][1], last[0], last[1] + len(last[2]), j - i, stream.text, spans))
-            yield pd.DataFrame(rows, columns=columns)
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", part int, part_count int, first {kinds[order]}, first_char long, last {kinds[order]}, last_char long, n_units long, text string, children array<struct<start:long,end:long>>"
-    return _blocks(elements, keys, order, text, False, alone=atomic).mapInPandas(run, schema)
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    schema = f"{named}, part int, part_count int, first {kinds[order]}, first_char long, last {kinds[order]}, last_char long, n_units long, text string, children array<struct<start:long,end:long>>"
+    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema).fields]
+    names = [*keys, "part", "part_count", "first", "first_char", "last", "last_char", "n_units", "text", "children"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCKS):  # texts are opened a few at a time
+                own, rows = b.slice(at, BLOCKS), []
+                for r, es in enumerate(own.column(len(keys)).to_pylist()):
+                    units = []  # (order, first character, text, atomic)
+                    for e in es:
+                        cuts = [(0, len(e["t"]))] if e["alone"] else seam_cuts(e["t"])
+                        units += [(e["o"], a, e["t"][a:z], e["alone"]) for a, z in cuts]
+                    runs = standard_runs([u[2] for u in units], [u[3] for u in units])
+                    for p, (i, j) in enumerate(runs, 1):
+                        stream = Stream([u[2] for u in units[i:j]], [u[3] for u in units[i:j]])
+                        spans = [{"start": a, "end": z} for a, z in stream.windows(0, j - i)]
+                        last = units[j - 1]
+                        rows.append((r, p, len(runs), units[i][0], units[i][1], last[0], last[1] + len(last[2]), j - i, stream.text, spans))
+                columns = list(zip(*rows)) if rows else [[]] * (len(names) - len(keys) + 1)
+                of = pa.array(columns[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(of) for c in own.columns[: len(keys)]), *(pa.array(c, t) for c, t in zip(columns[1:], types[len(keys) :]))], names)
+
+    return _blocks(elements, keys, order, text, False, alone=atomic).mapInArrow(run, schema)
 
 
 def legacy_parts(elements: DataFrame, keys: list[str], order: str, text: str = "text", preferred: Column | None = None, soft: bool = False, soft_cap: int = SOFT_CHARS, hard_cap: int = HARD_CHARS) -> DataFrame:
