@@ -22,20 +22,22 @@ KINDS = {**{f"h{i}": "heading" for i in range(1, 7)}, "li": "list_item"}
 ROOT, CELL_CHARS = "[document]", 500
 #: The start of a character reference that lacks its semicolon.
 BARE = re.compile(r"&(?=#?[A-Za-z0-9]+(?![A-Za-z0-9;]))")
+#: Tags without attributes, and those whose content is read in another way.
+PLAIN, PLAIN_END = re.compile(r"<([A-Za-z][A-Za-z0-9]*)>"), re.compile(r"</([A-Za-z][A-Za-z0-9]*)>")
+NOT_PLAIN = ("script", "style", "xmp", "iframe", "noembed", "noframes", "noscript", "textarea", "title", "plaintext")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
 class Node:
     """An open or closed element: its place among the siblings of its name, and what has been read in it."""
 
-    __slots__ = ("tag", "path", "parent", "counts", "parts", "hrefs", "cells", "table", "header", "first", "section")
+    __slots__ = ("tag", "n", "parent", "counts", "parts", "hrefs", "cells", "table", "header", "first", "section")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
-        n = 1
+        self.n = 1
         if parent is not None:
-            n = parent.counts[tag] = parent.counts.get(tag, 0) + 1
-        self.path = f"{parent.path} > {tag}:nth-of-type({n})" if parent is not None else f"{tag}:nth-of-type(1)"
+            self.n = parent.counts[tag] = parent.counts.get(tag, 0) + 1
         self.counts: dict[str, int] = {}
         self.parts: list[str] = []
         self.hrefs: dict[str, None] = {}
@@ -45,6 +47,14 @@ class Node:
         self.first: Node | None = None  # of a table: its first row
         self.section: list[str] = []
 
+    @property
+    def path(self) -> str:
+        steps, n = [], self
+        while n is not None:
+            steps.append(f"{n.tag}:nth-of-type({n.n})")
+            n = n.parent
+        return " > ".join(reversed(steps))
+
     def up(self, tag: str) -> Node | None:
         n = self.parent
         while n is not None and n.tag != tag:
@@ -68,6 +78,25 @@ class Dom(HTMLParser):
         self.section: list[str] = []
         self.found: list[Node] = []
 
+    def updatepos(self, i, j):
+        return j  # lines are not told
+
+    def parse_starttag(self, i):
+        """A tag without attributes, which most are, is read at once."""
+        plain = PLAIN.match(self.rawdata, i)
+        tag = plain[1].lower() if plain else ""
+        if not plain or tag in NOT_PLAIN:
+            return super().parse_starttag(i)
+        self.handle_starttag(tag, [])
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if plain is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1].lower())
+        return plain.end()
+
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_PARAGRAPH and self.kept is not None and self.kept.tag == "p":
             self._close(self.kept)
@@ -205,7 +234,8 @@ def html_cells(pages: DataFrame, key: str = "page_id") -> DataFrame:
     def cells(html: str) -> Iterator[tuple]:
         rows = [n for n in _read(html).found if n.tag == "tr" and n.table is not None]
         for r, n in enumerate(rows, 1):
-            yield from ((n.table.path, r, c, n is _columns(n)[0], x.text()) for c, x in enumerate(n.cells))
+            path, head = n.table.path, n is (n.table.header or n.table.first)
+            yield from ((path, r, c, head, x.text()) for c, x in enumerate(n.cells))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

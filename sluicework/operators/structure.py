@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .ranges import numbered, pack
 
 # Fixed values.
@@ -218,6 +219,7 @@ def html_table_rows(cells: DataFrame, table: list[str], row: str, column: str) -
     kept = cells.select(*table, row, column, "is_header", F.substring(F.coalesce("text", F.lit("")), 1, CELL_CHARS).alias("text"))
     parts = F.array_sort(F.collect_list(F.struct(F.col(column).alias("c"), F.col("text").alias("t"))))
     rows = kept.groupBy(*table, row).agg(F.transform(parts, lambda x: x["t"]).alias("cells"), F.max("is_header").alias("_th"))
+    rows = written(rows)  # read twice: cells may come from pages that are parsed for them
     heads = rows.groupBy(*table).agg(F.min_by(F.struct(F.col(row).alias("at"), F.col("cells").alias("names")), F.struct(~F.col("_th"), F.col(row))).alias("_head"))
     both = rows.join(heads, table)
     name = lambda i: F.coalesce(F.nullif(F.get("_head.names", i), F.lit("")), F.concat(F.lit("column"), (i + 1).cast("string")))
