@@ -25,6 +25,8 @@ SMALL_QUERIES, SMALL_BYTES = 2_000, 32 << 20
 TILE_QUERIES, TILE_ROWS, TILE_LEAST, CHUNK = 5_000, 100_000, 1_000, 1_024
 #: Most groups that users are dealt into; their sizes are the only thing collected.
 BUCKETS = 4_096
+#: Numbers of a matrix of words, up to which the words of queries and rows are multiplied as such.
+DENSE = 8 << 20
 #: Scores that are equal to so many places tie.
 PLACES = 9
 
@@ -128,10 +130,14 @@ class Bm25:
         coded = flat.dictionary_encode()
         word, q, tf = self._counted(size, coded.indices.to_numpy(zero_copy_only=False), np.ones(len(flat), bool))
         edges = np.searchsorted(word, np.arange(len(coded.dictionary) + 1))
-        return len(queries), {w: i for i, w in enumerate(coded.dictionary.to_pylist())}, edges, q, tf.astype(np.float64)
+        tf, dense = tf.astype(np.float64), None
+        if len(queries) * len(coded.dictionary) <= DENSE:
+            dense = np.zeros((len(queries), len(coded.dictionary)))
+            dense[q, word] = tf
+        return len(queries), {w: i for i, w in enumerate(coded.dictionary.to_pylist())}, edges, q, tf, dense
 
     def scores(self, asked, rows: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
-        n, known, edges, q, qtf = asked
+        n, known, edges, q, qtf, dense = asked
         size, flat = lists(rows["w"])
         coded = flat.dictionary_encode()
         own = np.array([known.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
@@ -139,8 +145,13 @@ class Bm25:
         seen = word >= 0
         word, row, tf = self._counted(size, word[seen], seen)
         weight = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * size[row] / self.average))
-        out = np.zeros((n, len(rows)))
         starts = np.flatnonzero(np.diff(word, prepend=-1))
+        if dense is not None and len(starts) * len(rows) <= DENSE:
+            weights = np.zeros((len(starts), len(rows)))
+            weights[np.repeat(np.arange(len(starts)), np.diff([*starts, len(word)])), row] = weight
+            out = dense[:, word[starts]] @ weights
+            return out, out > 0
+        out = np.zeros((n, len(rows)))
         for w, a, z in zip(word[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(word)]):
             at = slice(edges[w], edges[w + 1])
             out[np.ix_(q[at], row[a:z])] += np.multiply.outer(qtf[at], weight[a:z])
@@ -156,19 +167,19 @@ def _scan(queries: pa.Table, parts: Iterator[pa.Table], arm, k: int, scoped: boo
     named = [set(d) if d else None for d in queries["doc_ids"].to_pylist()] if scoped else []
     for part in parts:
         for a in range(0, len(part), CHUNK):
-            chunk = part.slice(a, CHUNK).sort_by("id")
-            owners = np.array(chunk["user_id"].to_pylist(), object) if scoped else None
+            chunk = part.slice(a, CHUNK)
+            order = pc.sort_indices(chunk["id"]).to_numpy()
+            owners = np.array(chunk["user_id"].to_pylist(), object)[order] if scoped else None
             for u, at in groups.items():
-                rows = chunk
-                if scoped:
-                    own = np.flatnonzero(owners == u)
-                    if not len(own):
-                        continue
-                    rows = chunk.take(pa.array(own))
+                own = order[owners == u] if scoped else order
+                if not len(own):
+                    continue
+                rows = chunk.take(pa.array(own))
                 scores, can = arm.scores(asked[u], rows)
                 if scoped and any(named[q] for q in at):
                     docs = rows["doc_id"].to_pylist()
-                    sees = np.array([[named[q] is None or d in named[q] for d in docs] for q in at])
+                    whole = [True] * len(docs)
+                    sees = np.array([[d in named[q] for d in docs] if named[q] is not None else whole for q in at])
                     can = sees if can is None else can & sees
                 best.add(at, rows["id"], scores, can)
     found = best.prune()

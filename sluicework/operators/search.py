@@ -11,7 +11,7 @@ from ..functions.text import tokens
 from ..functions.vectors import cosine
 from ..sources.registry import top_per
 from ..sources.scratch import written
-from .arms import bm25_topk, dense_topk
+from .arms import SMALL_QUERIES, bm25_topk, dense_topk
 from .ranges import numbered
 
 
@@ -75,6 +75,8 @@ def retrieve(queries: DataFrame, index: DataFrame, scorer: Callable[[Column, Col
     dense, sparse = dense_topk(queries, seen, prefetch, True), bm25_topk(queries, seen, prefetch, scoped=True)
     fused = dbsf_fuse([dense, sparse]) if fusion == "dbsf" else rrf_fuse([(dense, 1.0), (sparse, 1.0)])
     fused = fused.where(F.col("rank") <= max(top_k, prefetch)).select("query_id", "id", "rank", "score")
+    if queries.count() <= SMALL_QUERIES:  # else all texts of the index would be dealt by id to meet a few hits
+        fused = F.broadcast(fused)
     pairs = fused.join(index.where(F.col("chunk_type") == "child").select("id", "doc_id", "text", *_payload(index)), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     best = rerank(pairs, scorer, top_k)
     return best.select("query_id", "rank", "id", "doc_id", "text", "score", "rerank_score", *[c for c in PAYLOAD if c in index.columns])
