@@ -24,7 +24,8 @@ Deduplication at a shingle similarity of 0.8 needs more than 64 bits: such texts
 is hashed by its ball on its own, and colliding pairs are verified by all bits and then by the exact
 Jaccard similarity of their shingle sets, so that no family of related texts grows together by chance.
 What fingerprints or heads miss is found by an exact join over the rarest shingles of each text, so groups
-are those of all similar pairs.
+are those of all similar pairs. Before that a sieve over some 30 in 100 shingles of each set, the least hashes,
+leaves out sets that can have no partner: only of those that stay are all shingles shuffled.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, settled
@@ -54,6 +56,10 @@ WORDS, WORD_BITS, WORD_RADIUS = 32, 32, 2
 WORD_PREFIX = 12
 #: Shingle hashes that a task holds before it passes them on.
 HELD = 1_000_000
+#: Share of a set's shingles that the sieve reads beyond those that a partner may lack.
+SIEVE = 0.1
+#: Rows that are broadcast at most to choose texts, so that these need no shuffle.
+SENT_ROWS = 2_000_000
 #: Texts with one rare shingle that one task tries with others.
 TRIED_ROWS = 5_000
 
@@ -312,24 +318,37 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
 
 
-def shingle_sets(docs: DataFrame, shingle: int, keys: tuple[str, ...], fingerprints: bool = False) -> DataFrame:
-    """The key columns of docs, ``hashes``, the set of shingles, and if asked ``bits``, the long fingerprint, as arrays of longs."""
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[list[pa.Array], list[np.ndarray], list[int]]]:
+    """Of batches whose last column is a text, pieces of some HELD hashes: the other columns, the sets of shingles and their ids."""
+    for b in batches:
+        texts, sets, at, held = b.column(b.num_columns - 1), [], 0, 0
+        for i in range(len(texts)):
+            sets.append(shingle_hashes(texts[i].as_py(), shingle))
+            held += len(sets[-1])
+            if held > HELD or i == len(texts) - 1:
+                yield [c.slice(at, len(sets)) for c in b.columns[:-1]], sets, [xxhash.xxh64_intdigest(h.tobytes()) for h in sets]
+                sets, at, held = [], i + 1, 0
+
+
+_MADE = {
+    "id": ("long", lambda sets, ids: pa.array(np.array(ids, np.uint64).view(np.int64))),
+    "n": ("int", lambda sets, ids: pa.array(list(map(len, sets)), pa.int32())),
+    "hashes": ("array<long>", lambda sets, ids: _lists(sets)),
+    "bits": ("array<long>", lambda sets, ids: _lists([long_fingerprint(h) for h in sets])),
+}
+
+
+def shingle_sets(docs: DataFrame, shingle: int, keys: tuple[str, ...], made: tuple[str, ...] = ("id", "hashes")) -> DataFrame:
+    """The key columns of docs and what is asked of the set of shingles: its ``id``, its number ``n``, the ``hashes``
+    themselves and ``bits``, the long fingerprint, as arrays of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, sets, at, held = b.column(b.num_columns - 1), [], 0, 0
-            for i in range(len(texts)):
-                sets.append(shingle_hashes(texts[i].as_py(), shingle))
-                held += len(sets[-1])
-                if held > HELD or i == len(texts) - 1:
-                    made = [_lists(sets), *([_lists([long_fingerprint(h) for h in sets])] if fingerprints else [])]
-                    yield pa.RecordBatch.from_arrays([*[c.slice(at, len(sets)) for c in b.columns[:-1]], *made], names=[*keys, *("hashes", "bits")[: len(made)]])
-                    sets, at, held = [], i + 1, 0
+        for columns, sets, ids in _sets(batches, shingle):
+            yield pa.RecordBatch.from_arrays([*columns, *[_MADE[m][1](sets, ids) for m in made]], names=[*keys, *made])
 
     kept = docs.select(*keys, F.col("text").cast("binary").alias("_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
-    made = kept.mapInArrow(run, ", ".join([*kinds, "hashes array<long>", *["bits array<long>"] * fingerprints]))
-    return made.withColumn("id", F.xxhash64("hashes"))
+    return kept.mapInArrow(run, ", ".join([*kinds, *[f"{m} {_MADE[m][0]}" for m in made]]))
 
 
 def _least_common(n: Column, similarity: float) -> Column:
@@ -337,6 +356,59 @@ def _least_common(n: Column, similarity: float) -> Column:
     return F.ceil(n * similarity - 1e-6).cast("int")
 
 
+def _sieve_prefix(n: int, similarity: float) -> int:
+    """How many of a set's n shingles, those of least hashes, the sieve reads."""
+    least = int(np.ceil(n * similarity - 1e-6))
+    return n - least + max(1, int(SIEVE * n)) if n else 0
+
+
+def sieved(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """id and met, of sets of docs: how many shingles in its prefix (of _sieve_prefix) another set has in its own.
+
+    A set as similar as asked lacks so few shingles of the other that at least SIEVE of the smaller one's number
+    stand in both prefixes (one at least): that of the prefix that ends first. So a set with fewer, by
+    the least number that a partner of it can have, has no partner.
+
+    A piece of texts sends a shingle once: with its set, or, where several sets of the piece have it, as met
+    by these already. So no shingle has more rows than there are pieces. A set that stands in several pieces is counted
+    in each on its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, (_, sets, ids) in enumerate(_sets(batches, shingle)):
+            once = dict(zip(ids, sets))
+            own = np.fromiter(once, np.uint64, len(once)).view(np.int64)
+            heads = [h[: _sieve_prefix(len(h), similarity)] for h in once.values()]
+            tokens, owner = np.concatenate(heads), np.repeat(np.arange(len(own)), list(map(len, heads)))
+            by = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[by].view(np.int64), owner[by]
+            starts = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]) != 0)
+            times = np.diff(starts, append=len(tokens))
+            met = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(own))
+            some = np.flatnonzero(met)
+            rows = [np.concatenate(x) for x in ((tokens[starts], own[some]), (own[owner[starts]], own[some]), (np.where(times > 1, -1, 0), met[some]))]
+            place = np.full(len(rows[0]), TaskContext.get().partitionId() << 32 | piece, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(place), pa.array(rows[2].astype(np.int32))], names=["token", "id", "piece", "met"])
+
+    rows = docs.select(F.col("text").cast("binary")).mapInArrow(run, "token long, id long, piece long, met int")
+    of = Window.partitionBy("token")
+    sent = F.when(F.col("met") <= 0, F.col("id"))
+    several = (F.min(sent).over(of) < F.max(sent).over(of)) | (F.min("met").over(of) < 0)
+    met = F.when(F.col("met") > 0, F.col("met")).when((F.col("met") == 0) & several, 1).otherwise(0)
+    return rows.select("id", "piece", met.alias("met")).where("met > 0").groupBy("id", "piece").agg(F.sum("met").alias("met")).groupBy("id").agg(F.max("met").alias("met"))
+
+
+def comparable_texts(docs: DataFrame, ids: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The rows (text) of docs, with texts whose sets may have a partner by the sieve; ids: id, n and text_hash of every row.
+
+    Where the hashes of these texts are too many for a broadcast, all texts are shuffled once."""
+    asked = F.greatest(F.lit(1), F.floor(SIEVE * _least_common(F.col("n"), similarity)))
+    texts = ids.groupBy("text_hash").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    chosen = settled(attach(texts, sieved(docs, similarity, shingle), ["id"]).where(F.col("met") >= asked).select("text_hash", "c"))
+    rows = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    few = chosen.count() <= SENT_ROWS
+    return settled((rows.join(F.broadcast(chosen), "text_hash") if few else attach(rows, chosen, ["text_hash"], "c", ids.count())).select("text"))
+
+
 def comparable_sets(sets: DataFrame, similarity: float, total: int) -> DataFrame:
     """sets: id, hashes (rows of one id are equal), total of them in all. id, n (its shingles) and shared: those that
     another row has too, the rarest first; only of ids that share enough to resemble any other.
@@ -448,18 +520,19 @@ def _grouped(docs: DataFrame, keys: list[str], similarity: float, shingle: int)
     """docs: keys, text. Every row's keys and ``first``, the least keys of its group (nulls last, as a struct).
 
     Sets are made anew from the texts where they are asked for: they take more room than the texts."""
-    ids = settled(shingle_sets(docs, shingle, tuple(keys), True).select(*keys, "id", "bits", F.size("hashes").alias("n")))
-    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ids = settled(shingle_sets(docs.withColumn("text_hash", F.xxhash64("text")), shingle, (*keys, "text_hash"), ("id", "n")))
     order = F.struct(*[x for k in keys for x in (F.col(k).isNull().alias(f"no_{k}"), F.col(k).alias(k))])
     least = ids.groupBy("id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("c"))
-    near = comparable_sets(shingle_sets(docs, shingle, ()), similarity, total)
-    distinct = settled(near.join(ids.select("id", "bits").dropDuplicates(["id"]), "id"))
+    texts = comparable_texts(docs, ids, similarity, shingle)
+    total = shingle_sets(texts, shingle, (), ("n",)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    near = comparable_sets(shingle_sets(texts, shingle, ()), similarity, total)
+    distinct = settled(near.join(shingle_sets(texts, shingle, (), ("id", "bits")).dropDuplicates(["id"]), "id"))
     links = exact_links(near, settled(long_links(distinct, similarity)), similarity)
     named = least.join(components(links), F.col("id") == F.col("node"), "left").select("id", "first", "c", F.coalesce("root", "id").alias("root"))
     named = settled(named)
     least = named.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
     named = settled(attach(named.drop("first"), least, ["root"], "n").select("id", "first", "c"))
-    return attach(ids.drop("bits", "n"), named, ["id"], "c").drop("id")
+    return attach(ids.drop("text_hash", "n"), named, ["id"], "c").drop("id")
 
 
 def group_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -483,6 +556,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     grouped = _grouped(keyed.where(comparable).select("d", "h", "text"), ["d", "h"], similarity, shingle)
     per = grouped.groupBy("d", "h").agg(F.count(F.lit(1)).alias("n"), F.max(~(F.col("d").eqNullSafe(F.col("first.d")) & (F.col("h") == F.col("first.h")))).alias("gone"))
     marked = settled(per.where("gone or n > 1").select(F.col("d").alias("d2"), F.col("h").alias("h2"), "gone"))
+    marked = F.broadcast(marked) if marked.count() <= SENT_ROWS else marked
     on = F.col("d").eqNullSafe(F.col("d2")) & F.col("h").eqNullSafe(F.col("h2"))
     single = keyed.join(marked, on, "left_anti").select("row.*")
     repeated = keyed.join(marked.where("not gone"), on, "left_semi").dropDuplicates(["d", "h"]).select("row.*")

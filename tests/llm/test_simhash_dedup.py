@@ -204,3 +204,44 @@ def test_one_row_of_each_group_stays_with_columns_of_any_name(spark):
     out = S.drop_near_duplicates(spark.createDataFrame(rows + none, "doc_id long, text string, id string")).collect()
     assert len(out) == 6 and sum(r.doc_id == 5 and r.text.startswith("w0") for r in out) == 1
     assert {r.id for r in out} >= {"g", "k", "l", "m"} and sum(r.id in "hij" for r in out) == 1
+
+
+def test_sieve_keeps_every_text_with_a_partner(spark):
+    rng = random.Random(21)
+    texts = []
+    for n in [*range(1, 40), *(rng.randrange(40, 400) for _ in range(80))]:
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+        words, at = base.split(), rng.randrange(n)
+        texts += [base, edited(rng, base, rng.choice([0.01, 0.02, 0.03, 0.05])), " ".join(words[: max(1, n * 17 // 20)]), " ".join([*words[:at], "put in", *words[at:]]), base.upper()]
+    texts += [f"w{i} " * 3 + "a common end of all these " + " ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for i in range(90)] + [None, "", " "]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7).cache()
+    ids = S.shingle_sets(docs.withColumn("text_hash", S.F.xxhash64("text")), 5, ("text_hash",), ("id", "n"))
+    got = {r.text for r in S.comparable_texts(docs, ids, 0.8, 5).collect()}
+    some = sorted({t for t in texts if t and t.strip()})
+    sets = [shingles(t) for t in some]
+    partners = set()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(x & sets[j])
+            if x != sets[j] and common >= 0.8 * (len(x) + len(sets[j]) - common):
+                partners |= {some[i], some[j]}
+    assert partners <= got and len(partners) > 200
+    assert sum("common end" in t for t in got) == 0 and len(got) < len(some) - 90
+
+
+def test_shingles_of_texts_without_a_partner_are_not_all_shuffled(spark, monkeypatch):
+    rng = random.Random(22)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(120)) + " with the same eight words at its end" for _ in range(200)]
+    texts += [t + " more" for t in texts[:5]] + [texts[9].upper()]
+    asked, whole = [], S.comparable_sets
+
+    def comparable_sets(sets, similarity, total):
+        asked.append(total)
+        return whole(sets, similarity, total)
+
+    monkeypatch.setattr(S, "comparable_sets", comparable_sets)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.group_similar(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == exact_components(texts)
+    assert 0 < asked[0] <= sum(len(shingles(t)) for t in texts) / 10
