@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Words that a worker keeps encoded before it starts anew.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 400_000
 #: UTF-8 bytes of text that are encoded together.
 SLICE_BYTES = 4 << 20
 #: A control character that stands between words that are encoded together.
