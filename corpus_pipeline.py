@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. ``run`` applies them in turn.
+documents. ``run`` applies them in turn. Stages that hand rows to Python bound the session's Arrow batches
+(``small_batches``): one executor runs all stages, and what one of them took adds to what the next needs.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicework.llm import decontamination, line_dedup, packing, quality_classifier, simhash_dedup
-from sluicework.llm.common import cut
+from sluicework.llm.common import cut, small_batches
 
 #: A document goes if the classifier's score for good quality is below this.
 LEAST_SCORE = 0.3
@@ -26,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts get the score of a text without n-grams, so they stay or go together; repeated rows
     are scored each, and ties with LEAST_SCORE stay. Very long texts are scored whole. Without labels nothing
     is rejected. An empty table stays empty, extra columns of any name stay."""
+    small_batches(spark)
     model = quality_classifier.train(docs.where(~quality_classifier.held_out(F.col("doc_id"))), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality_classifier.score(docs, model)
     return scored.where(F.col(scored.columns[-1]) >= LEAST_SCORE).select(*_own(docs))
@@ -47,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null, empty and wordless texts are in no group and stay. Of rows with the same doc_id the smallest text
     hash stays, of repeated rows one; groups without any doc_id keep one row. Very long texts are compared by
     all their shingles. An empty table stays empty, extra columns of any name stay."""
+    small_batches(spark)
     return simhash_dedup.drop_near_duplicates(docs, similarity=0.8, shingle=5)
 
 
@@ -55,6 +58,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts hold none and stay; repeated rows go or stay together; very long texts are searched
     whole. Null benchmark texts match nothing. Empty tables drop nothing, extra columns of any name stay."""
+    small_batches(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -64,6 +68,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one piece of its end alone; a very long one is cut into pieces. Repeated rows are
     packed each, and which of two equal pieces comes first is left open. An empty table gives no pieces; of
     documents only doc_id and text are read."""
+    small_batches(spark)
     return packing.pack(docs, packing.tokenizer_path()).drop("ids")
 
 

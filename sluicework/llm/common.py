@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is frequent if it holds more than one in so many times the number of partitions of the rows, but never if it holds no more than MANY.
 SHARES, MANY = 4, 500
+#: Bytes of rows in one Arrow batch to or from a Python worker, and Spark's setting for it.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,6 +52,28 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in batches of BATCH_BYTES, unless it has a setting of its own.
+
+    Spark's 64 MB take all texts of a task at once, and an executor holds such a batch several times over: as vectors,
+    as written for the worker, in the worker, and as read back. A row larger than a batch is a batch of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, giving back at the end of a task what Arrow's pool keeps for later: a worker goes on to other stages."""
+
+    @wraps(run)
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return through
+
+
 def fresh(taken: list[str], name: str) -> str:
     """The name, with underscores behind it until it is none of those taken (case does not tell names apart)."""
     have = {t.lower() for t in taken}

@@ -1,7 +1,7 @@
 """Benchmark decontamination by training suffix arrays.
 
-Each batch of training documents is a shard. Its sparse suffix array holds, in word order, every
-suffix that starts with a few words (the seed) that some benchmark text has in a row; no other suffix
+Some SHARD_BYTES of training documents are a shard, whatever the size of the batches they come in. Its
+sparse suffix array holds, in word order, every suffix that starts with a few words (the seed) that some benchmark text has in a row; no other suffix
 can match a test suffix for a whole window. Every test suffix that begins a window is binary-searched
 in it, which gives all places of its verbatim matches; places that follow one another join into the
 longest matches. Documents never cross a shuffle.
@@ -11,7 +11,7 @@ The benchmark is taken in blocks of bounded size, each broadcast in turn, so it
 Defined cases: words are runs of 0-9, a-z (A-Z lower-cased) and anything outside ASCII. A null or
 wordless text has no words and no match. An item of fewer words than a window, but not none, is one
 window. An item of null id matches under the id ``null``. Repeated items and rows are all counted. A very
-long text is searched as a whole, as a shard of its own. Extra columns of documents, of any name, are carried
+long text is searched as a whole, and ends its shard. Extra columns of documents, of any name, are carried
 through untouched; those of benchmark are not read. Empty tables match nothing.
 """
 
@@ -22,11 +22,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh
+from .common import cut, fresh, released
 
 #: Word bytes stay (A-Z lower-cased), all others become spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -188,31 +189,50 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
         tests = spark.sparkContext.broadcast(TestSuffixes([(r["item"], bytes(r["text"])) for r in block], window))
         if b:
             out = cut(out)
-        out = out.mapInArrow(_searcher(tests, b > 0, names), schema)
+        out = out.mapInArrow(released(_searcher(tests, b > 0, names)), schema)
     return out
 
 
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column(batch.schema.get_field_index("text")).cast(pa.large_string()).cast(pa.large_binary())
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of the batches in shards of some SHARD_BYTES of text, each a list of slices of batches."""
+    shard, held = [], 0
+    for whole in batches:
+        sizes = pc.fill_null(pc.binary_length(_texts(whole)), 0).to_numpy(zero_copy_only=False)
+        ends, at = held + np.cumsum(sizes.astype(np.int64)), 0
+        while at < whole.num_rows:
+            end = min(at + int(np.searchsorted(ends[at:], SHARD_BYTES)) + 1, whole.num_rows)
+            shard.append(whole.slice(at, end - at))
+            held, at = int(ends[end - 1]), end
+            if held >= SHARD_BYTES:
+                yield shard
+                shard, held, ends = [], 0, ends - held
+    if shard:
+        yield shard
+
+
 def _searcher(tests, again: bool, new: list[str]):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.string())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            text = whole.column(whole.schema.get_field_index("text"))
-            size = text.cast(pa.large_string()).cast(pa.large_binary())
-            ends = np.cumsum(np.array([0 if x is None else x for x in pa.compute.binary_length(size).to_pylist()], np.int64)) if whole.num_rows else np.empty(0)
-            shard = ends // SHARD_BYTES if len(ends) else ends
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), whole.num_rows]
-            for a, z in zip(cuts, cuts[1:]):
-                if z == a:
-                    continue
-                counts, spans = search_shard(size.slice(a, z - a).to_pylist(), tests.value)
-                batch = whole.slice(a, z - a)
+        for shard in _shards(batches):
+            texts = [t for b in shard for t in _texts(b).to_pylist()]
+            every, found = search_shard(texts, tests.value)
+            del texts
+            at = 0
+            for batch in shard:
+                counts, spans = every[at : at + batch.num_rows], found[at : at + batch.num_rows]
+                at += batch.num_rows
                 columns = list(batch.columns)
                 if again:
-                    spans = [[(s["start"], s["end"], s["item"]) for s in old] + new for old, new in zip(columns[-1].to_pylist(), spans)]
+                    spans = [[(s["start"], s["end"], s["item"]) for s in old] + more for old, more in zip(columns[-1].to_pylist(), spans)]
                     columns = columns[:-2]
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.string())]))
-                found = pa.array([[{"start": s, "end": e, "item": i} for s, e, i in x] for x in spans], kind)
-                names = [*whole.schema.names[: len(columns)], *new]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), found], names=names)
+                own = pa.array([[{"start": s, "end": e, "item": i} for s, e, i in x] for x in spans], kind)
+                names = [*batch.schema.names[: len(columns)], *new]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), own], names=names)
 
     return run
 

@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, released
 
 #: Words that a worker keeps encoded before it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: UTF-8 bytes of text that are encoded together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A control character that stands between words that are encoded together.
 MARK = b"\x01"
 #: UTF-8 of letters that stay as they are once ASCII is lowered (to U+00FF), and ASCII punctuation but for the apostrophe.
@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>, part int, k long")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>, part int, k long")
 
 
 def fit_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

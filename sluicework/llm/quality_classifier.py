@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, released
 
 BUCKETS = 1 << 18
 #: n-gram lengths in bytes.
@@ -100,12 +100,13 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: fl
     sign = np.where(y > 0, 1.0, -1.0)
     share = np.bincount((y > 0).astype(int), minlength=2) / max(1, len(y))
     upper = cost * np.where(y > 0, 0.5 / max(share[1], 1e-9), 0.5 / max(share[0], 1e-9))  # both labels weigh the same
-    values = [ratio[r] / max(1e-12, float(np.sqrt((ratio[r] ** 2).sum()))) for r in rows]
+    lengths = [max(1e-12, float(np.sqrt((ratio[r] ** 2).sum()))) for r in rows]  # the scaled rows themselves take twice the room of rows
     order, rng = np.arange(len(rows)), np.random.default_rng(7)
     for _ in range(epochs):
         rng.shuffle(order)
         for i in order:
-            r, v, s = rows[i], values[i], sign[i]
+            r, s = rows[i], sign[i]
+            v = ratio[r] / lengths[i]
             gradient = s * (float(w[r] @ v) + bias) - 1
             new = min(max(alpha[i] - gradient / 2.0, 0.0), upper[i])  # the row's squared length with its bias entry is 2
             if step := new - alpha[i]:
@@ -151,7 +152,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
     """Learns from all rows of docs that have a label; leave held-out rows out of docs beforehand."""
     rows = _labelled(docs, labels, label)
-    counted = rows.select("_y", "_text").mapInArrow(_count, "chunk int, c0 binary, c1 binary, n0 long, n1 long")
+    counted = rows.select("_y", "_text").mapInArrow(released(_count), "chunk int, c0 binary, c1 binary, n0 long, n1 long")
     total = sorted(counted.groupBy("chunk").applyInPandas(_add, "chunk int, c0 binary, c1 binary, n0 long, n1 long").collect(), key=lambda r: r["chunk"])
     n0, n1 = (total[0]["n0"], total[0]["n1"]) if total else (0, 0)
     if not n0 or not n1:
@@ -164,9 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["h", "y", "f"])
 
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("h")
-        r, y = [np.frombuffer(x, np.int32) for x in f["f"]], f["y"].to_numpy()
+    def fit(f: pa.Table) -> pa.Table:
+        by = np.argsort(f["h"].to_numpy())
+        r = [np.frombuffer(x.as_buffer(), np.int32) for x in f["f"]]  # where Arrow has them
+        r, y = [r[i] for i in by], f["y"].to_numpy()[by]
         ratio = shared.value
         own = np.arange(len(r)) % 4 > 0
         if len(set(y[own])) < 2 or len(set(y[~own])) < 2:
@@ -175,14 +177,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
         rest = np.flatnonzero(~own) if not own.all() else np.arange(len(r))
         margin = np.array([bias + (float(w[r[i]] @ ratio[r[i]]) / max(1e-12, float(np.sqrt((ratio[r[i]] ** 2).sum()))) if len(r[i]) else 0.0) for i in rest])
         a, b = fit_curve(margin, y[rest])
-        return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "bias": [bias], "a": [a], "b": [b]})
+        return pa.table({"w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": [float(bias)], "a": [float(a)], "b": [float(b)]})
 
     seen = int(sum(h.sum() - BUCKETS for h in have))  # n-grams of all rows, each of four bytes
     share = min(1.0, fit_rows / (n0 + n1), FIT_BYTES / max(1, 4 * seen))
     drawn = rows.withColumn("_h", F.xxhash64("_id", "_text"))
     if share < 1:
         drawn = drawn.where(F.col("_h") < int(share * 2.0**64) - (1 << 63))
-    got = drawn.select("_h", "_y", "_text").mapInArrow(extract, "h long, y int, f binary").groupBy(F.lit(0).alias("g")).applyInPandas(fit, "w binary, bias double, a double, b double").collect()
+    got = drawn.select("_h", "_y", "_text").mapInArrow(released(extract), "h long, y int, f binary").groupBy(F.lit(0).alias("g")).applyInArrow(fit, "w binary, bias double, a double, b double").collect()
     shared.unpersist()
     if not got:
         return Model(None, None, 0.0, 0.0, 0.0, constant=n1 / (n0 + n1))
@@ -201,7 +203,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             texts = b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.scores(texts), pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op4_quality_classifier(spark, sf_dir):

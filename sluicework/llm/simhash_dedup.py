@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, settled
+from .common import attach, released, settled
 
 #: Variants that one group makes at most before its prefix is split.
 GROUP_VARIANTS = 4_000_000
@@ -348,7 +348,7 @@ def shingle_sets(docs: DataFrame, shingle: int, keys: tuple[str, ...], made: tup
 
     kept = docs.select(*keys, F.col("text").cast("binary").alias("_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
-    return kept.mapInArrow(run, ", ".join([*kinds, *[f"{m} {_MADE[m][0]}" for m in made]]))
+    return kept.mapInArrow(released(run), ", ".join([*kinds, *[f"{m} {_MADE[m][0]}" for m in made]]))
 
 
 def _least_common(n: Column, similarity: float) -> Column:
@@ -389,7 +389,7 @@ def sieved(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
             place = np.full(len(rows[0]), TaskContext.get().partitionId() << 32 | piece, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(place), pa.array(rows[2].astype(np.int32))], names=["token", "id", "piece", "met"])
 
-    rows = docs.select(F.col("text").cast("binary")).mapInArrow(run, "token long, id long, piece long, met int")
+    rows = docs.select(F.col("text").cast("binary")).mapInArrow(released(run), "token long, id long, piece long, met int")
     of = Window.partitionBy("token")
     sent = F.when(F.col("met") <= 0, F.col("id"))
     several = (F.min(sent).over(of) < F.max(sent).over(of)) | (F.min("met").over(of) < 0)

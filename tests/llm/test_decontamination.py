@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from sluicework.llm import decontamination as D
@@ -69,3 +70,13 @@ def test_columns_of_any_name_are_carried_through(spark, monkeypatch):
     kept = D.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not r["_spans_"] for r in rows)
     assert D.decontaminate(with_clashes(empty(spark)), bench).count() == 0
+
+
+def test_a_shard_spans_small_batches_and_parts_a_large_one(monkeypatch):
+    monkeypatch.setattr(D, "SHARD_BYTES", 100)
+    texts = [["x" * 30] * 2, ["x" * 30, None, "x" * 30, "y" * 20], [], ["z" * 250, "", "é" * 60, "w"], [None]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], names=["text"]) for t in texts]
+    shards = [[x for b in shard for x in b.column(0).to_pylist()] for shard in D._shards(iter(batches))]
+    assert [x for s in shards for x in s] == [x for t in texts for x in t]
+    assert [sum(len((x or "").encode()) for x in s) for s in shards] == [120, 270, 120, 1]
+    assert [len(s) for s in shards] == [5, 2, 2, 2]

@@ -1,6 +1,13 @@
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
+from sluicework.llm import common
+from sluicework.llm import quality_classifier as Q
 from sluicework.llm import simhash_dedup as S
 
 from .helpers import clashes_kept, documents, empty, with_clashes, words
@@ -63,3 +70,57 @@ def test_every_stage_bears_awkward_rows_empty_tables_and_columns_of_any_name(spa
     bare = C.lines(spark, docs.select("doc_id", "text"), str(tmp_path))
     assert bare.columns == ["doc_id", "text"]
     assert C.packed(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark, tmp_path):
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c " * 9)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wide = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("abcd"), 2500).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    def largest():
+        return wide.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+    before = spark.conf.get(common.BATCH_SETTING, None)
+    try:
+        for name, stage in C.STAGES:
+            if stage is not C.lines:  # runs no Python
+                spark.conf.unset(common.BATCH_SETTING)
+                assert largest() > 4 * common.BATCH_BYTES
+                stage(spark, documents(spark), str(tmp_path))
+                assert largest() < 1.1 * common.BATCH_BYTES, name
+        spark.conf.set(common.BATCH_SETTING, "1m")
+        C.benchmark(spark, documents(spark), str(tmp_path))
+        assert largest() < 1.1 * (1 << 20)
+    finally:
+        spark.conf.unset(common.BATCH_SETTING) if before is None else spark.conf.set(common.BATCH_SETTING, before)
+
+
+def test_a_task_gives_back_what_arrow_keeps(monkeypatch):
+    class Pool:
+        times = 0
+
+        def release_unused(self):
+            self.times += 1
+
+    pool = Pool()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])
+    run = common.released(lambda batches: (b for b in batches))(iter([batch, batch]))
+    assert [next(run), next(run)] == [batch, batch] and not pool.times
+    assert list(run) == [] and pool.times == 1
+
+
+def test_the_fit_keeps_no_scaled_copy_of_its_rows():
+    rng = np.random.default_rng(3)
+    rows, y = [np.sort(rng.choice(Q.BUCKETS, 4000, False)).astype(np.int32) for _ in range(300)], rng.integers(0, 2, 300)
+    tracemalloc.start()
+    try:
+        Q.fit_hinge(rows, y, rng.normal(size=Q.BUCKETS), epochs=1)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < sum(r.nbytes for r in rows)
