@@ -163,6 +163,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array(kept, pa.list_(pa.int32())), pa.array([part] * len(rows), pa.int32()), pa.array(k)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "k"],
                 )
+        enc.clear()  # the worker goes on to other stages
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, released
+from .common import fresh, give_back, released
 
 BUCKETS = 1 << 18
 #: n-gram lengths in bytes.
@@ -166,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["h", "y", "f"])
 
     def fit(f: pa.Table) -> pa.Table:
+        give_back()
         by = np.argsort(f["h"].to_numpy())
         r = [np.frombuffer(x.as_buffer(), np.int32) for x in f["f"]]  # where Arrow has them
         r, y = [r[i] for i in by], f["y"].to_numpy()[by]
