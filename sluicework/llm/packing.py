@@ -14,11 +14,10 @@ doc_ids are packed like others. A document of exactly the capacity is one piece.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,27 +29,38 @@ from pyspark.sql import functions as F
 
 from .common import cut, released
 
-#: Words that a worker keeps encoded before it starts anew.
+#: Words, in two halves, that a worker keeps encoded.
 CACHED_WORDS = 250_000
 #: UTF-8 bytes of text that are encoded together.
 SLICE_BYTES = 1 << 20
 #: A control character that stands between words that are encoded together.
 MARK = b"\x01"
 #: UTF-8 of letters that stay as they are once ASCII is lowered (to U+00FF), and ASCII punctuation but for the apostrophe.
-LATIN_WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+LATIN_WORD = r"^(?P<stem>(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 #: Byte-level vocabularies write a byte that has no visible Latin-1 character as the next free letter from U+0100 on.
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Passes of the coordinate descent.
 PASSES = 4
 
 
+def _values(words: pa.Array) -> list[bytes]:
+    """The words of a binary array without nulls (to_pylist makes an Arrow scalar of each, which takes some ten times as long)."""
+    _, offsets, data = words.buffers()
+    at, data = np.frombuffer(offsets or b"", np.int32)[words.offset :][: len(words) + 1].tolist(), bytes(data or b"")
+    return [data[a:z] for a, z in zip(at, at[1:])]
+
+
 class WordEncoder:
     """Encodes texts by way of their words.
 
     The tokenizer drops white space and none of its tokens spans any, so the ids of a text are those
     of its white-space-separated words in turn, and each distinct word of a block of texts is looked
     up once. A word of plain Latin letters and a tail of ASCII punctuation is the common case: it is
-    split in two there, and its letters go straight to the merges. All others are encoded whole."""
+    split in two there, and the letters, lowered, go straight to the merges, once for all the words
+    that differ in case or tail alone. All others are encoded whole.
+
+    Stems, tails and other words are kept in two halves: when the recent half is full it becomes the
+    older one, from which only what comes up again is taken over, so that common words stay."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,8 +71,8 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[bytes, bytes] = {b"": b""}
-        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
@@ -71,7 +81,7 @@ class WordEncoder:
         """Many at once, with a mark between them whose id no word can have."""
         # the text of a special token is case-sensitive, so what may hold one is not lowered
         plain = [w for w in words if MARK not in w and b"<|" not in w]
-        self.words.update((w, self._ids(w).tobytes()) for w in set(words).difference(plain))
+        self.recent.update((w, self._ids(w).tobytes()) for w in set(words).difference(plain))
         mark = self._ids(MARK)
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
@@ -80,37 +90,45 @@ class WordEncoder:
             if len(mark) != 1 or len(ends) != len(some) - 1:
                 raise ValueError("the tokenizer does not keep the mark apart")
             buffer = ids.tobytes()
-            self.words.update((w, buffer[4 * a : 4 * z]) for w, a, z in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)]))
-
-    def _learn(self, words: list[bytes]) -> None:
-        whole, split, merge, known, tails = [], LATIN_WORD.fullmatch, self.merge, self.words, self.tails
-        for w in words:
-            if not (m := split(w)) or b"<|" in w:
-                whole.append(w)
-                continue
-            stem, tail = m.groups()
-            if tail not in tails:
-                tails[tail] = self._ids(tail).tobytes()
-            letters = stem.lower().decode("latin-1")
+            self.recent.update((w, buffer[4 * a : 4 * z]) for w, a, z in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)]))
+
+    def _merge_stems(self, stems: list[bytes]) -> None:
+        merge, known = self.merge, self.recent
+        for w in stems:
+            letters = w.decode("latin-1")
             if not letters.isascii():
                 letters = letters.translate(BYTE_LETTERS)
-            known[w] = array("I", [t.id for t in merge(letters)]).tobytes() + tails[tail]
-        self._encode_whole(whole)
+            known[w] = array("I", [t.id for t in merge(letters)]).tobytes()
+
+    def _known(self, words: pa.Array, learn: Callable[[list[bytes]], None]) -> pa.Array:
+        """The ids of distinct words; learn puts those of new ones into the recent half."""
+        if len(self.recent) > CACHED_WORDS // 2:
+            self.recent, self.older = {}, self.recent
+        keys, recent, older = _values(words), self.recent, self.older
+        of_word = list(map(recent.get, keys))
+        if None in of_word:
+            missing = [w for w, ids in zip(keys, of_word) if ids is None]
+            recent.update((w, older[w]) for w in missing if w in older)
+            learn([w for w in missing if w not in older])
+            of_word = [recent[w] if ids is None else ids for w, ids in zip(keys, of_word)]
+        return pa.array(of_word, pa.large_binary())
 
     def encode(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
         """The ids of all texts as unsigned 32-bit numbers, without ends, and the bytes between which each text's are."""
-        if len(self.words) > CACHED_WORDS:
-            self.clear()
         words = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
         coded = words.flatten().dictionary_encode()
-        _, offsets, data = coded.dictionary.buffers()
-        at, data = np.frombuffer(offsets, np.int32)[: len(coded.dictionary) + 1].tolist(), bytes(data or b"")
-        distinct = [data[a:z] for a, z in zip(at, at[1:])]
-        of_word = list(map(self.words.get, distinct))
-        if None in of_word:
-            self._learn([w for w, ids in zip(distinct, of_word) if ids is None])
-            of_word = [self.words[w] if ids is None else ids for w, ids in zip(distinct, of_word)]
-        ids = pa.array(of_word, pa.large_binary()).take(coded.indices)
+        distinct = coded.dictionary.view(pa.binary())
+        stem, tail = pc.extract_regex(distinct, LATIN_WORD).flatten()
+        split = pc.and_(stem.is_valid(), pc.invert(pc.fill_null(pc.match_substring(tail, "<|"), True)))
+        plain, other = pc.indices_nonzero(split), pc.indices_nonzero(pc.invert(split))
+        stem = pc.ascii_lower(stem.take(plain).view(pa.string())).view(pa.binary()).dictionary_encode()
+        tail = tail.take(plain).dictionary_encode()
+        stem_ids = self._known(stem.dictionary, self._merge_stems).take(stem.indices)
+        tail_ids = self._known(tail.dictionary, self._encode_whole).take(tail.indices)
+        of_word = pa.concat_arrays([pc.binary_join_element_wise(stem_ids, tail_ids, pa.scalar(b"", pa.large_binary())), self._known(distinct.take(other), self._encode_whole)])
+        place = np.empty(len(distinct), np.int64)
+        place[np.concatenate([plain.to_numpy(), other.to_numpy()])] = np.arange(len(distinct))
+        ids = of_word.take(pa.array(place[coded.indices.to_numpy()]))
         _, offsets, data = ids.buffers()
         at = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1]
         return memoryview(data or b""), at[words.offsets.to_numpy()].tolist()

@@ -25,6 +25,22 @@ def test_words_encode_like_whole_texts():
         assert np.frombuffer(ids, np.uint32).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_stems_are_merged_once_while_they_come_up_again(monkeypatch):
+    monkeypatch.setattr(P, "CACHED_WORDS", 40)
+    enc, whole, merged = P.WordEncoder(PATH), Tokenizer.from_file(PATH), []
+    merge = enc.merge
+    enc.merge = lambda letters: merged.append(letters) or merge(letters)
+    for i in range(12):
+        texts = [f"Again again, AGAIN. (again) again!? d\u00e9j\u00e0 {i}"] + [f"word{a}x{b} w{chr(97 + i)}{a * 3}" for a, b in ("ab", "cd", "ef")]
+        texts += [" ".join(f"{chr(97 + i)}{a}{b}{end}" for a in "abc" for b in "xyz" for end in ("", ".", ";"))]
+        data, edges = enc.encode(pa.array([t.encode() for t in texts], pa.binary()))
+        for t, a, z in zip(texts, edges, edges[1:]):
+            assert np.frombuffer(data[a:z], np.uint32).tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    assert merged.count("again") == 1
+    assert len(merged) == len(set(merged))
+    assert len(enc.recent) + len(enc.older) < 120
+
+
 def test_pack(spark):
     docs = documents(spark)
     whole = Tokenizer.from_file(PATH)
