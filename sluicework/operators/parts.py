@@ -1,9 +1,9 @@
 """Parents that are too large for one, split into parts.
 
-The standard split keeps each part's own windows within the band that a parent may have: huge elements are cut at
-seams first, the rest is cut where the windows of the whole say, and every part is counted anew by its own windows
-and bisected until it fits. The legacy split goes by characters, at preferred places under a soft or a hard cap.
-A block is one row of a task; blocks run in parallel."""
+The standard split keeps each part's own windows within the band that a parent may have: elements that are huge, or
+have too many windows alone, are cut at seams first, the rest is cut where the windows of the whole say, and every part
+is counted anew by its own windows and bisected until it fits. The legacy split goes by characters, at preferred places
+under a soft or a hard cap. A block is one row of a task; blocks run in parallel."""
 
 from __future__ import annotations
 
@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .chunking import CHILDREN, OVERLAP_MAX, PARENT_TOKENS, sentence_seams, window_spans
+from .chunking import CHILD_CHARS, CHILDREN, OVERLAP_MAX, PARENT_TOKENS, SEAM_REACH, sentence_seams, window_spans, windows
 
 # Where a part is closed, and the caps of the legacy split.
 CLOSE_TOKENS, SOFT_CHARS, HARD_CHARS = 1344, 7500, 20_000
 #: Blocks whose texts a task has open at once.
 BLOCKS = 128
+#: What an element that says something has: any character but these, as in the SQL of part_audit.
+SAID = r"[^ \t\n\r\f\x0B\x1c-\x1f\x85\xa0]"
 
 
 def tokens(chars: int) -> int:
@@ -37,18 +39,38 @@ def is_seam(text: str, at: int) -> bool:
     return before in " \t\n" or (before in ".!?;" and text[at] in " \n")
 
 
+def seam_before(text: str, end: int, at: int) -> int:
+    """The last seam behind ``at`` and within OVERLAP_MAX characters before ``end``, or that if there is none."""
+    return next((p for p in range(end, max(at, end - OVERLAP_MAX) - 1, -1) if p > at and is_seam(text, p)), end)
+
+
 def seam_cuts(text: str, most: int = CLOSE_TOKENS) -> list[tuple[int, int]]:
     """Slices of at most ``most`` tokens, each but the last cut at the last seam within OVERLAP_MAX characters
     before that, or there if there is none."""
     out, at, reach = [], 0, 4 * most + 3
     while len(text) - at > reach:
-        end = at + reach
-        seam = next((p for p in range(end, max(at, end - OVERLAP_MAX) - 1, -1) if p > at and is_seam(text, p)), end)
+        seam = seam_before(text, at + reach, at)
         out.append((at, seam))
         at = seam
     return [*out, (at, len(text))]
 
 
+def unit_cuts(text: str, most: int = CHILDREN[1], close: int = CLOSE_TOKENS) -> list[tuple[int, int]]:
+    """seam_cuts, of which each that has over ``most`` windows alone is halved at the last seam before its middle window
+    until none has."""
+    out, todo = [], seam_cuts(text, close)[::-1]
+    while todo:
+        a, z = todo.pop()
+        # a window begins at least so far behind the one before
+        spans = windows(text[a:z]) if z - a > most * (CHILD_CHARS - OVERLAP_MAX - SEAM_REACH) else []
+        if len(spans) <= most:
+            out.append((a, z))
+            continue
+        cut = seam_before(text, a + spans[len(spans) // 2][0], a)
+        todo += [(cut, z), (a, cut)]  # the left one comes next
+    return out
+
+
 class Stream:
     """Units joined by blank lines: where each starts, and the windows of any run of them."""
 
@@ -132,7 +154,7 @@ def legacy_runs(sizes: list[int], preferred: list[bool], soft: bool = False, sof
 
 def _blocks(elements: DataFrame, keys: list[str], order: str, text: str, blank: bool, **flags: Column | None) -> DataFrame:
     """keys and es, the elements (those that say something, unless blank) of a block in order."""
-    rows = elements if blank else elements.where(F.col(text).rlike(r"(?U)\S"))
+    rows = elements if blank else elements.where(F.col(text).rlike(SAID))
     marks = [F.coalesce(c, F.lit(False)).alias(n) if c is not None else F.lit(False).alias(n) for n, c in flags.items()]
     one = F.struct(F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"), *marks)
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("es"))
@@ -142,8 +164,9 @@ def standard_parts(elements: DataFrame, keys: list[str], order: str, text: str =
     """keys, part (from 1), part_count, first, first_char, last, last_char, n_units, text, children: the parts of
     every block (keys) of elements, by standard_runs.
 
-    A part goes from the character first_char of its first element up to last_char of its last one; only elements of
-    over CLOSE_TOKENS that are not atomic are cut. children are the windows (start, end) over the part's text."""
+    A part goes from the character first_char of its first element up to last_char of its last one; only elements that
+    are not atomic and have over CLOSE_TOKENS, or more windows than a part may have, are cut (unit_cuts). children are
+    the windows (start, end) over the part's text."""
     kinds = {f.name: f.dataType.simpleString() for f in elements.schema.fields}
     named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     schema = f"{named}, part int, part_count int, first {kinds[order]}, first_char long, last {kinds[order]}, last_char long, n_units long, text string, children array<struct<start:long,end:long>>"
@@ -157,7 +180,7 @@ def standard_parts(elements: DataFrame, keys: list[str], order: str, text: str =
                 for r, es in enumerate(own.column(len(keys)).to_pylist()):
                     units = []  # (order, first character, text, atomic)
                     for e in es:
-                        cuts = [(0, len(e["t"]))] if e["alone"] else seam_cuts(e["t"])
+                        cuts = [(0, len(e["t"]))] if e["alone"] else unit_cuts(e["t"])
                         units += [(e["o"], a, e["t"][a:z], e["alone"]) for a, z in cuts]
                     runs = standard_runs([u[2] for u in units], [u[3] for u in units])
                     for p, (i, j) in enumerate(runs, 1):
